@@ -73,7 +73,7 @@ def _planes(fps: np.ndarray) -> np.ndarray:
     lanes = np.zeros(-(-len(fps) // 64) * 64, dtype="<u8")
     lanes[: len(fps)] = fps
     bits = np.unpackbits(lanes.view(np.uint8).reshape(-1, 64, 8), axis=2, bitorder="little")
-    return np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little").view("<u8")[:, :, 0]
+    return np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")).view("<u8")[:, :, 0]
 
 
 def _exceed(ones: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndarray:
