@@ -32,7 +32,7 @@ CLOSES = {
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
 }
 #: Open elements beyond which a new one becomes a sibling of the innermost; columns are aligned up to this width.
-MOST_OPEN, MOST_WIDTH = 400, 60
+MOST_OPEN, MOST_WIDTH = 200, 60
 
 
 @dataclass

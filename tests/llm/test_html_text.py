@@ -13,7 +13,7 @@ CASES = [
     ("<style>p{margin:0} .h, #i{display:none}</style><p class='x h'>no</p><p id=i>no</p><p>yes", "yes"),
     ("<p style='Display : none'>no</p><p hidden>no<b>no</b></p>ok<input value=no><dialog>no</dialog>", "ok"), ("<script>var t='</p>';</script><title>no</title>ok<!-- <p>no -->!", "ok!"),
     ("<pre>a\n  b\n</pre>c", "a\n  b\n\nc"), ("<dl><dt>t<dd>d<dt>u<dd>e</dl>", "t\n    d\nu\n    e"), ("<blockquote>q<p>r</blockquote>", "    q\n\n    r"),
-    ("<b>bold<p>in</b> still", "bold\n\nin still"), ("</div>a</p>b", "ab"), ("<p>a < b > c", "a < b > c"), ("<!doctype html><html lang=en><head><meta charset=utf-8></head><body>x</body></html>", "x"),
+    ("<b>bold<p>in</b> still", "bold\n\nin\n\nstill"), ("</div>a</p>b", "ab"), ("<p>a < b > c", "a < b > c"), ("<!doctype html><html lang=en><head><meta charset=utf-8></head><body>x</body></html>", "x"),
     ("<head><title>t</title><p>x", "x"), ("<td>lone", "lone"), ("<a href='>'>x</a>", "x"), ("<script>never ends", ""), ("<table><tr><td>a<table><tr><td>b</table></table>", "a\n\nb"), ("<html hidden>x", ""),
 ]
 
