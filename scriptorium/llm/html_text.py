@@ -81,11 +81,11 @@ def build(source: str) -> tuple[Node, list[str]]:
             stack.pop()
         if tag in BLOCK and tag not in ("html", "body") and len(stack) > 1 and stack[-1].tag == "head":
             stack.pop()
+        if len(stack) >= MOST_OPEN and tag not in VOID:
+            stack.pop()
         node = Node(tag, attrs)
         stack[-1].children.append(node)
         if tag not in VOID:
-            if len(stack) >= MOST_OPEN:
-                stack.pop()
             stack.append(node)
 
     while m := _TOKEN.search(source, at):
