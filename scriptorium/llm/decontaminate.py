@@ -133,7 +133,9 @@ def _hits(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
     watch = Watch(items)
     shared = spark.sparkContext.broadcast(watch)
     found = materialize(docs.mapInArrow(_find(shared), "doc_id long, passage string, keys array<long>"), "passages")
-    held = found.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    # how common an n-gram is by itself: copies of an item bring its n-grams together, chance brings one
+    alone = (F.size("keys") == 1).cast("long").alias("alone")
+    held = found.select(alone, F.explode("keys").alias("key")).groupBy("key").agg(F.sum("alone").alias("df"))
     grams = spark.createDataFrame(pd.DataFrame(watch.rows, columns=["item_id", "pos", "key"]).astype("int64"), "item_id long, pos long, key long")
     rarest = Window.partitionBy("item_id", "segment").orderBy("df")
     seeds = grams.join(held, "key").withColumn("segment", F.floor(F.col("pos") / SEGMENT))
@@ -150,9 +152,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(id, item_id, score, seeds, matched): the documents that hold a copy of a benchmark item, even an edited one.
 
     Words are runs of letters and digits, in lower case. A passage is aligned with an item if
-    they share a seed: an n-gram of SEED_WORDS words that at most RARE_DOCS passages hold, or
-    the rarest of its SEGMENT words of the item, ties included, so that a passage copied any
-    number of times keeps its seeds. score is the alignment's share of a perfect one; rows
+    they share a seed: an n-gram of SEED_WORDS words that at most RARE_DOCS passages hold
+    without another watched n-gram beside it, or the rarest such in its SEGMENT words of the
+    item, ties included. Copies bring n-grams together, so a passage copied any number of times
+    keeps its seeds. score is the alignment's share of a perfect one; rows
     from `least` stay, the best of each document and item. Items with the same words are one,
     under their least id; items under SEED_WORDS words match nothing. Null ids and texts of
     items count for nothing; null and empty documents match nothing; rows that repeat a
