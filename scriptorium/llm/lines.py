@@ -113,10 +113,13 @@ def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> D
     """
     n = docs.agg(F.sum(F.size(_lines(F.col("text"))))).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * n).bit_length()))
-    lines = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.posexplode(F.transform(_lines(F.col("text")), line_key)).alias("pos", "key"))
-    lines = lines.where(F.char_length("key") >= min_chars)
+    # the hash of a text is taken before its lines part, so that no line carries the text
+    cut = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.transform(_lines(F.col("text")), line_key).alias("keys"))
+    lines = cut.select("doc_id", "mark", F.posexplode_outer("keys").alias("pos", "key")).where(F.char_length("key") >= min_chars)
     suspected = suspicion(lines.select(F.xxhash64("key").alias("h")), bits)
-    suspects = materialize(lines.where(suspected(F.xxhash64("key"))), "suspect-lines")
+    # SHA-256 stands for a key from here on: equal digests are equal keys, and lines don't travel
+    suspects = lines.where(suspected(F.xxhash64("key"))).select("doc_id", "mark", "pos", F.unhex(F.sha2("key", 256)).alias("key"))
+    suspects = materialize(suspects, "suspect-lines")
     holders = suspects.select("key", "doc_id", "mark").distinct()
     shared = holders.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where((F.col("n") >= min_docs) & F.col("keeper").isNotNull())
     lost = suspects.join(shared.select("key", "keeper"), "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
