@@ -159,7 +159,7 @@ def parse_duration(t: Tables) -> DataFrame:
 
 @query(
     r"""
-SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '')) || '   tail. | — |' AS shown FROM conversations
+SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '')) || '   tail. | |' AS shown FROM conversations
 """
 )
 def strip_citations(t: Tables) -> DataFrame:
