@@ -90,7 +90,8 @@ def label_runs(units: DataFrame, run: int = LABEL_RUN, chars: int = LABEL_CHARS)
     short = F.col("heading").isNotNull() & (F.length("text") <= chars)
     marked = units.withColumn("short", short).withColumn("island", F.row_number().over(order) - F.sum(short.cast("int")).over(order))
     # headings of one run share an island; other units have one each
-    key = F.when(F.col("short"), F.struct(F.lit(1), F.col("island"), F.lit(0), F.lit(0))).otherwise(F.struct(F.lit(0), F.lit(0), F.col("line_no"), F.col("part")))
+    at = F.concat_ws("/", "line_no", "part")
+    key = F.when(F.col("short"), F.concat(F.lit("run "), "island")).otherwise(at)
     item = F.struct("line_no", "part", "text", "heading")
     grouped = marked.groupBy("doc_id", "page_no", key.alias("key")).agg(F.array_sort(F.collect_list(item)).alias("items"), F.first("short").alias("short"))
     flat = lambda x: F.regexp_replace(x["text"], r"(?U)\s+", " ")

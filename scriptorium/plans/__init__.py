@@ -1,6 +1,6 @@
 """Registered queries of the library."""
 
-from . import text_queries  # noqa: F401
+from . import corpus_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES, Query
 
 __all__ = ["ORACLES", "QUERIES", "Query"]
