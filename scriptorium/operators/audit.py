@@ -72,9 +72,10 @@ def evaluate(part: Column) -> Column:
         failed = state(s["sum"], s["term"], s["op"], s["sign"], s["want"], F.lit(False), s["n"], s["last"])
         return F.when(number, took).when(s["want"] & minus, sign).when(~s["want"], chose).otherwise(failed)
 
-    folded = F.aggregate(tokens, zero, add)
-    good = folded["ok"] & ~folded["want"]
-    return F.struct(F.when(good, (folded["sum"] + folded["term"]).cast(NUMBER)).alias("value"), folded["n"].alias("operations"), folded["last"].alias("last"))
+    def finish(s: Column) -> Column:
+        return F.struct(F.when(s["ok"] & ~s["want"], (s["sum"] + s["term"]).cast(NUMBER)).alias("value"), s["n"].alias("operations"), s["last"].alias("last"))
+
+    return F.aggregate(tokens, zero, add, finish)
 
 
 def equal_as_written(expected: Column, written: Column, last: Column) -> Column:
@@ -90,7 +91,9 @@ def calc_audit(lines: DataFrame) -> DataFrame:
     A right value goes on as the next expectation only if it is right; one that can't be read
     ends the line; a line whose left side can't be read, or does nothing, is skipped.
     """
-    valued = lines.withColumn("vs", F.transform("parts", evaluate)).where(F.col("vs")[0]["value"].isNotNull() & (F.col("vs")[0]["operations"] > 0))
+    # the one-row explode keeps the optimizer from evaluating an expression again wherever it is used
+    once = lines.select("run_id", "pos", F.explode(F.array(F.transform("parts", evaluate))).alias("vs"))
+    valued = once.where(F.col("vs")[0]["value"].isNotNull() & (F.col("vs")[0]["operations"] > 0))
     none = F.struct(F.col("vs")[0]["value"].alias("expected"), F.lit(True).alias("live"), F.array().cast(f"array<struct<expected:{NUMBER},written:{NUMBER},ok:boolean>>").alias("out"))
 
     def add(s: Column, v: Column) -> Column:
