@@ -50,7 +50,7 @@ def evaluate(part: Column) -> Column:
     value is null where the text is no such expression, or has brackets with something in them.
     """
     worded = F.regexp_replace(F.regexp_replace(F.lower(part), "binde", "‰"), "yüzde", "%")
-    bare = F.regexp_replace(worded, r"\(\s*\)", "")
+    bare = F.regexp_replace(worded, r"\([^\d()]*\)", "")
     tokens = F.regexp_extract_all(F.regexp_replace(bare, r"([‰%])\s+(?=\d)", "$1"), F.lit(TOKEN), F.lit(1))
     dec = lambda x: F.lit(x).cast(NUMBER)
     state = lambda s, t, op, sign, want, ok, n, last: F.struct(s.cast(NUMBER).alias("sum"), t.cast(NUMBER).alias("term"), op.alias("op"), sign.cast("int").alias("sign"), want.alias("want"), ok.alias("ok"), n.cast("int").alias("n"), last.alias("last"))

@@ -133,7 +133,13 @@ def reading_order(words: DataFrame, bounds: DataFrame, near: float = 3.0) -> Dat
 
     column = banded.groupBy("page_id", "band", "side").agg(F.array_sort(F.collect_list(F.struct("top", "x0", "text"))).alias("ws"))
     lined = column.select("page_id", "band", "side", F.array_sort(F.aggregate("ws", zero, place)["out"]).alias("out"))
-    text = F.array_join(F.transform("out", lambda w: w["text"]), " ")
+    blank = F.struct(F.lit(None).cast("double").alias("line"), F.lit("").alias("t"))
+
+    def join(s, w):
+        gap = F.when(s["t"] == "", "").when(s["line"] == w["line"], " ").otherwise("\n")
+        return F.struct(w["line"].alias("line"), F.concat(s["t"], gap, w["text"]).alias("t"))
+
+    text = F.aggregate("out", blank, join, lambda s: s["t"])
     return lined.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("band", "side", text.alias("t")))), lambda c: c["t"]), "\n").alias("text"))
 
 
