@@ -32,7 +32,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     total = F.sum("source_size").over(Window.partitionBy()).cast("double") * SHARE
     left = total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
     levelled = rows.withColumn("level", left / F.sum("weight").over(onward)).withColumn("open", F.col("cap") > F.col("level") * F.col("weight"))
-    level = F.min(F.when(F.col("open"), F.col("level"))).over(Window.partitionBy())  # of the first that isn't capped
+    level = F.max(F.when(F.col("open"), F.col("level"))).over(Window.partitionBy())  # of the first that isn't capped; later ones are lower
     met = F.when(level.isNull(), F.col("cap")).otherwise(F.least("cap", level * F.col("weight")))
     return levelled.withColumn("target", met).select("source", "source_size", "target")
 

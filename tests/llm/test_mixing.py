@@ -81,6 +81,15 @@ def test_one_source_and_empty(spark):
     assert [r.taken for r in M.mixture(spark.createDataFrame([(1, None, None, "")], SCHEMA)).collect()] == [0]
 
 
+def test_targets_by_brute_force(spark):
+    rng = random.Random(12)
+    for n in (1, 2, 3, 4, 7, 20):
+        sizes = {f"s{i:02}": rng.choice([0, 1, 10, 100, 100, 1000, 5000]) + 1 for i in range(n)}
+        got = M.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+        want = brute_targets(sizes)
+        assert all(abs(r.target - want[r.source]) < 1e-6 * max(1, r.target) for r in got), sizes
+
+
 def test_newton_finds_the_dual(spark):
     rng = random.Random(6)
     sizes = {s: [rng.randrange(1, 400) for _ in range(200)] for s in "abcd"}
