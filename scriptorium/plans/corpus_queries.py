@@ -57,7 +57,7 @@ cut AS (SELECT *, regexp_split_to_array(s, '\s+') AS w, coalesce(regexp_extract(
 
 def _short_lines(t: Tables) -> DataFrame:
     """Lines with a numbered and a capital form of their first words."""
-    lines = L.page_lines(pages(t)).where("line_no % 3 = 2")
+    lines = L.page_lines(pages(t))
     words = F.array_join(F.slice(F.split("line", " "), 1, 4), " ")
     kind = F.col("line_no") % 4
     return lines.withColumn("line", F.when(kind == 1, F.concat(F.col("page_no"), F.lit(".2 "), words)).when(kind == 2, F.upper(F.replace(words, F.lit("ß"), F.lit("ss")))).when(kind == 3, F.concat(F.lit("7 "), words, F.lit(" 12345678"))).otherwise(F.col("line")))
@@ -65,7 +65,7 @@ def _short_lines(t: Tables) -> DataFrame:
 
 @query(
     rf"""
-WITH {PAGES}, w4 AS (SELECT *, list_aggregate(string_split(line, ' ')[1:4], 'string_agg', ' ') AS q FROM raw WHERE line_no % 3 = 2),
+WITH {PAGES}, w4 AS (SELECT *, list_aggregate(string_split(line, ' ')[1:4], 'string_agg', ' ') AS q FROM raw),
 src AS (SELECT doc_id, page_no, line_no, trim(CASE line_no % 4 WHEN 1 THEN page_no || '.2 ' || q WHEN 2 THEN upper(replace(q, 'ß', 'ss')) WHEN 3 THEN '7 ' || q || ' 12345678' ELSE line END) AS s FROM w4), {CUT}
 SELECT doc_id, page_no::INTEGER AS page_no, line_no::INTEGER AS line_no, {HEAD} AS heading FROM cut
 """
@@ -190,18 +190,19 @@ def figure_pages(t: Tables) -> DataFrame:
 
 
 def _words(t: Tables) -> DataFrame:
-    """Words of documents laid out in two columns, with a full-width title."""
-    words = F.slice(F.split("text", r"\s+"), 1, 60)
-    w = t.documents.where("n_chars > 400").select(F.col("doc_id").alias("page_id"), F.posexplode(words).alias("i", "text")).where("text <> ''")
-    i = F.col("i").cast("double")
-    title, column, row, slot = F.col("i") < 4, F.floor((i - 4) / 28), F.floor(((i - 4) % 28) / 4), (i - 4) % 4
+    """All words of a document, 60 to a page in two columns under a full-width title; page_id is 1000 * doc_id + page."""
+    w = t.documents.select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("at", "text")).where("text <> ''")
+    i = (F.col("at") % 60).cast("double")
+    title, column, row, slot = i < 4, F.floor((i - 4) / 28), F.floor(((i - 4) % 28) / 4), (i - 4) % 4
     x0 = F.when(title, 80 + i * 110).otherwise(60 + column * 260 + slot * 55)
-    return w.select("page_id", "text", x0.alias("x0"), (x0 + F.when(title, 105).otherwise(50)).alias("x1"), F.when(title, 40.0).otherwise(60 + row * 14).alias("top"), F.when(title, 52.0).otherwise(72 + row * 14).alias("bottom"))
+    page = F.col("doc_id") * 1000 + F.floor(F.col("at") / 60)
+    return w.select(page.alias("page_id"), "text", x0.alias("x0"), (x0 + F.when(title, 105).otherwise(50)).alias("x1"), F.when(title, 40.0).otherwise(60 + row * 14).alias("top"), F.when(title, 52.0).otherwise(72 + row * 14).alias("bottom"))
 
 
 WORDS = r"""
-w AS (SELECT doc_id AS page_id, unnest(regexp_split_to_array(text, '\s+')[1:60]) AS text, generate_subscripts(regexp_split_to_array(text, '\s+')[1:60], 1) - 1 AS i FROM documents WHERE n_chars > 400),
-v AS (SELECT *, CASE WHEN i < 4 THEN 80 + i * 110 ELSE 60 + (i - 4) // 28 * 260 + (i - 4) % 4 * 55 END::DOUBLE AS x0, CASE WHEN i < 4 THEN 40 ELSE 60 + ((i - 4) % 28) // 4 * 14 END::DOUBLE AS top FROM w WHERE text <> ''),
+w AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \t\n\r\f\x0b]+')) AS text, generate_subscripts(regexp_split_to_array(text, '[ \t\n\r\f\x0b]+'), 1) - 1 AS k FROM documents),
+z AS (SELECT doc_id * 1000 + k // 60 AS page_id, text, k % 60 AS i FROM w WHERE text <> ''),
+v AS (SELECT *, CASE WHEN i < 4 THEN 80 + i * 110 ELSE 60 + (i - 4) // 28 * 260 + (i - 4) % 4 * 55 END::DOUBLE AS x0, CASE WHEN i < 4 THEN 40 ELSE 60 + ((i - 4) % 28) // 4 * 14 END::DOUBLE AS top FROM z),
 words AS (SELECT page_id, text, x0, x0 + CASE WHEN i < 4 THEN 105 ELSE 50 END AS x1, top, top + 12 AS bottom FROM v)
 """
 
@@ -227,7 +228,7 @@ def reading_order(t: Tables) -> DataFrame:
 @query(f"WITH {WORDS} SELECT page_id, count(*) AS n, min(text) AS least FROM words WHERE NOT ((x0 + x1) / 2 BETWEEN 100 AND 300 AND (top + bottom) / 2 BETWEEN 60 + page_id % 3 * 20 AND 120) GROUP BY 1")
 def words_outside_tables(t: Tables) -> DataFrame:
     words = _words(t)
-    boxes = t.documents.select(F.col("doc_id").alias("page_id"), F.lit(100.0).alias("left"), F.lit(300.0).alias("right"), (60 + F.col("doc_id") % 3 * 20).alias("upper"), F.lit(120.0).alias("lower"))
+    boxes = words.select("page_id").distinct().select("page_id", F.lit(100.0).alias("left"), F.lit(300.0).alias("right"), (60 + F.col("page_id") % 3 * 20).alias("upper"), F.lit(120.0).alias("lower"))
     return L.outside_tables(words, boxes).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("least"))
 
 

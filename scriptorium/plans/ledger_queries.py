@@ -273,9 +273,9 @@ def tr_number(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", U.tr_number(raw).cast("double").alias("value"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity, regexp_replace(replace(replace(replace(format('{:,}', c // 100), ',', '_'), '.', ','), '_', '.') || ',' || lpad((c % 100)::VARCHAR, 2, '0'), ',?0*$', '') AS shown FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS c FROM lineitem WHERE l_linenumber % 2 = 1)")
+@query("SELECT l_orderkey, l_linenumber, l_quantity, regexp_replace(replace(replace(replace(format('{:,}', c // 100), ',', '_'), '.', ','), '_', '.') || ',' || lpad((c % 100)::VARCHAR, 2, '0'), ',?0*$', '') AS shown FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS c FROM lineitem)")
 def tr_format(t: Tables) -> DataFrame:
-    return t.lineitem.where("l_linenumber % 2 = 1").select("l_orderkey", "l_linenumber", "l_quantity", U.tr_format(F.col("l_extendedprice").cast("decimal(18,2)")).alias("shown"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", U.tr_format(F.col("l_extendedprice").cast("decimal(18,2)")).alias("shown"))
 
 
 def _answers(t: Tables) -> DataFrame:

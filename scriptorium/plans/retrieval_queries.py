@@ -1,4 +1,4 @@
-"""Queries of storage and retrieval: documents are chunks, benchmark texts and every 50th vector are queries."""
+"""Queries of storage and retrieval: documents are chunks, benchmark texts and vectors whose id is divisible by 20 are queries."""
 
 from __future__ import annotations
 
@@ -43,14 +43,13 @@ def dedup_by_owner(t: Tables) -> DataFrame:
 
 def _chunks(t: Tables) -> DataFrame:
     """A summary chunk of each fourth document and one body chunk of each."""
-    part = F.substring("text", 1, 80)
     body = t.documents.select("doc_id", F.lit(0).alias("ordinal"), F.lit("body").alias("kind"), F.col("source").alias("section"), "text")
-    return body.unionByName(t.documents.where("doc_id % 4 = 0").select("doc_id", F.lit(0).alias("ordinal"), F.lit("summary").alias("kind"), F.lit("").alias("section"), part.alias("text")))
+    return body.unionByName(t.documents.where("doc_id % 4 = 0").select("doc_id", F.lit(0).alias("ordinal"), F.lit("summary").alias("kind"), F.lit("").alias("section"), "text"))
 
 
 @query(
     """
-SELECT doc_id, CASE kind WHEN 'summary' THEN 0 ELSE 1 END AS ordinal, kind FROM (SELECT doc_id, 'body' AS kind, text FROM documents UNION ALL SELECT doc_id, 'summary', substr(text, 1, 80) FROM documents WHERE doc_id % 4 = 0)
+SELECT doc_id, CASE kind WHEN 'summary' THEN 0 ELSE 1 END AS ordinal, kind FROM (SELECT doc_id, 'body' AS kind, text FROM documents UNION ALL SELECT doc_id, 'summary', text FROM documents WHERE doc_id % 4 = 0)
 WHERE trim(text) <> '' AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)
 """
 )
@@ -63,13 +62,13 @@ def index_append(t: Tables) -> DataFrame:
     """
 SELECT 'd' AS kind, doc_id AS id, CASE WHEN toxic = 1 THEN 'deleted' ELSE 'ready' END AS state, CASE WHEN toxic = 1 THEN NULL ELSE source END AS rest FROM documents LEFT JOIN labels USING (doc_id)
 UNION ALL SELECT 'p', page_id, 'kept', NULL FROM pages WHERE page_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
-UNION ALL SELECT 'c', doc_id, CASE WHEN toxic = 1 THEN 'deleted' ELSE 'live' END, CASE WHEN toxic = 1 THEN '' ELSE substr(text, 1, 20) END FROM documents LEFT JOIN labels USING (doc_id)
+UNION ALL SELECT 'c', doc_id, CASE WHEN toxic = 1 THEN 'deleted' ELSE 'live' END, CASE WHEN toxic = 1 THEN '' ELSE text END FROM documents LEFT JOIN labels USING (doc_id)
 """
 )
 def soft_delete(t: Tables) -> DataFrame:
     docs = t.documents.select("doc_id", F.lit("ready").alias("status"), F.col("source").alias("summary"))
     pages = t.pages.select(F.col("page_id").alias("doc_id"))
-    chunks = t.documents.select("doc_id", F.substring("text", 1, 20).alias("text"), F.lit(False).alias("deleted"))
+    chunks = t.documents.select("doc_id", "text", F.lit(False).alias("deleted"))
     d, p, c = I.soft_delete(docs, pages, chunks, t.labels.where("toxic = 1"))
     return (
         d.select(F.lit("d").alias("kind"), F.col("doc_id").alias("id"), F.col("status").alias("state"), F.col("summary").alias("rest"))
@@ -180,13 +179,13 @@ DOT = "round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6)"
 
 
 def dense_sql(k: int, name: str = "dense") -> str:
-    """CTE dense(query_id, vec_id, score, rank) of the vectors whose id is divisible by 50."""
+    """CTE dense(query_id, vec_id, score, rank) of the vectors whose id is divisible by 20."""
     return f"""{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
-SELECT q.vec_id AS query_id, e.vec_id, {DOT} AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0)) WHERE rank <= {k})"""
+SELECT q.vec_id AS query_id, e.vec_id, {DOT} AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 20 = 0)) WHERE rank <= {k})"""
 
 
 def _probes(t: Tables) -> DataFrame:
-    return t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 @query(f"WITH {dense_sql(20)} SELECT query_id, vec_id, score, rank::INTEGER AS rank FROM dense")
@@ -312,7 +311,7 @@ def prf_gain(t: Tables) -> DataFrame:
 
 @query(
     f"""
-WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, {DOT} AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0),
+WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, {DOT} AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 20 = 0),
 b AS (SELECT query_id, label, row_number() OVER (PARTITION BY query_id ORDER BY m DESC, label) AS r FROM (SELECT query_id, label, max(score) AS m FROM s GROUP BY ALL))
 SELECT query_id, label, vec_id, rank::INTEGER AS rank FROM (SELECT s.*, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS rank FROM s JOIN b USING (query_id, label) WHERE r <= 8) WHERE rank <= 3
 """
@@ -376,7 +375,7 @@ def scope_rescue(t: Tables) -> DataFrame:
     f"""
 WITH fb AS (SELECT vec_id AS id, CASE WHEN toxic = 1 THEN -1 ELSE 1 END AS vote, CASE WHEN vec_id % 3 > 0 THEN 'p' || label END AS predicted, CASE WHEN toxic = 1 AND vec_id % 2 = 0 THEN 'c' || label END AS corrected, embedding FROM embeddings JOIN labels ON doc_id = vec_id),
 told AS (SELECT * FROM fb WHERE (vote = -1 AND corrected IS NOT NULL) OR (vote = 1 AND predicted IS NOT NULL) ORDER BY id DESC LIMIT 200),
-s AS (SELECT q.vec_id AS query_id, id, coalesce(corrected, predicted) AS category, round(list_dot_product(q.embedding::DOUBLE[], told.embedding::DOUBLE[]), 6) AS score FROM embeddings q CROSS JOIN told WHERE q.vec_id % 50 = 0)
+s AS (SELECT q.vec_id AS query_id, id, coalesce(corrected, predicted) AS category, round(list_dot_product(q.embedding::DOUBLE[], told.embedding::DOUBLE[]), 6) AS score FROM embeddings q CROSS JOIN told WHERE q.vec_id % 20 = 0)
 SELECT query_id, rank::INTEGER AS rank, id, category, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score >= 0.2) WHERE rank <= 5
 """
 )

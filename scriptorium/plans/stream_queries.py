@@ -24,13 +24,13 @@ def _scratch(t: Tables) -> str:
 
 
 def _uploads(t: Tables) -> DataFrame:
-    text = F.when(F.col("doc_id") % 17 == 0, " ").otherwise(F.substring("text", 1, 60))
+    text = F.when(F.col("doc_id") % 17 == 0, " ").otherwise(F.col("text"))
     return t.documents.select("doc_id", F.col("lang").alias("owner_id"), text.alias("text"))
 
 
 @query(
     """
-WITH u AS (SELECT doc_id, lang AS owner_id, CASE WHEN doc_id % 17 = 0 THEN ' ' ELSE substr(text, 1, 60) END AS text FROM documents)
+WITH u AS (SELECT doc_id, lang AS owner_id, CASE WHEN doc_id % 17 = 0 THEN ' ' ELSE text END AS text FROM documents)
 SELECT owner_id, sha256(text) AS sha256, CASE WHEN trim(text) = '' THEN 'failed' ELSE 'ready' END AS status FROM u WHERE trim(text) <> '' GROUP BY ALL
 """
 )
