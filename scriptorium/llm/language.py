@@ -55,15 +55,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities of trigrams by language) of docs (text, lang).
 
-    Learnt from at most SAMPLE texts a language, the first by a hash, of up to SAMPLE_CHARS.
+    Learnt from at most SAMPLE different texts a language, the first by a hash, of up to
+    SAMPLE_CHARS.
     There are as many languages as docs names.
     """
-    rows = docs.select("lang", "text").where("lang IS NOT NULL").where(F.char_length("text") <= SAMPLE_CHARS)
-    languages = sorted(r.lang for r in rows.select("lang").distinct().collect())
+    rows = docs.select("lang", "text").where("lang IS NOT NULL").where(F.char_length("text") <= SAMPLE_CHARS).withColumn("h", F.xxhash64("text"))
+    languages = sorted(r.lang for r in docs.select("lang").where("lang IS NOT NULL").distinct().collect())
     some = None
     for lang in languages:
-        own = rows.where(F.col("lang") == lang).orderBy(F.xxhash64("text")).limit(SAMPLE)
-        some = own if some is None else some.unionByName(own)
+        own = rows.where(F.col("lang") == lang)
+        last = own.select("h").distinct().orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]  # only hashes are ordered
+        if last is not None:
+            own = own.where(F.col("h") <= last).groupBy("h").agg(F.first("text").alias("text")).select(F.lit(lang).alias("lang"), "text")
+            some = own if some is None else some.unionByName(own)
     table = np.full((len(languages), BUCKETS), 0.5)
     if some is not None:
         for r in some.repartition(8).mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
