@@ -122,7 +122,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> D
     suspects = materialize(suspects, "suspect-lines")
     holders = suspects.select("key", "doc_id", "mark").distinct()
     shared = holders.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where((F.col("n") >= min_docs) & F.col("keeper").isNotNull())
-    lost = suspects.join(shared.select("key", "keeper"), "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    shared = materialize(shared.select("key", "keeper"), "shared-lines")  # read anew, so that a frequent key's rows can be split over tasks
+    lost = suspects.join(shared, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return lost.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("pos")).alias("drops"))
 
 
