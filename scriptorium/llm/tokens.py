@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -21,55 +22,80 @@ from .common import bound_batches, shared_dir
 MAGIC = b"PLN1"
 #: Ids of one block (transposed and compressed plane by plane) and of one chunk (a row of the files).
 BLOCK_IDS, CHUNK_IDS = 1 << 16, 1 << 19
+#: Stretches of ascending ids that the files are dealt into, at most.
+MOST_PARTS = 100_000
 #: Pieces of text a worker remembers the ids of.
-CACHE_PIECES = 800_000
-_UNSAFE = re.compile(r" (?:\s|\Z)")
+CACHE_PIECES = 300_000
+_UNSAFE = re.compile(r"[ \n](?:\s|\Z)")
+_STOPPED = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+[.,]")
 
 
 class Encoder:
     """Ids of whole texts by a byte-level BPE file of the tokenizers library.
 
-    Its pre-tokenizer never joins a visible character to a following space, so a text in which
-    every space is followed by a visible character can be cut before each space; the ids of
-    the pieces are then the ids of the text. Pieces recur, and each is encoded once. Other
-    texts are encoded whole. Strings of special tokens are ordinary text.
+    Its pre-tokenizer never joins a visible character to following white space, so a text in
+    which every space and line end is followed by a visible character can be cut before each;
+    the ids of the pieces are then the ids of the text. Pieces recur, and each is encoded once
+    a task. Other texts are encoded whole. Strings of special tokens are ordinary text.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of their own cost memory each
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         vocab = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
+        self.kind = np.dtype("<u2" if len(self.opens) <= 1 << 16 else "<u4")
+        self.opens[[i for t, i in vocab.items() if t[0] in "ĠĊ"]] = True
         self.known: dict[str, bytes] = {}
+        self.stops = {c: self._ids([c])[0].tobytes() for c in ".,"}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, dtype="<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: list[str]) -> None:
-        for at in range(0, len(pieces), 20_000):
-            some = pieces[at : at + 20_000]
-            for first, ids in enumerate(self._ids([" " + " ".join(some[i : i + 500]) for i in range(0, len(some), 500)])):
+        return [np.array(x.ids, dtype=self.kind) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: set[str]) -> None:
+        # a word and the stop after it are encoded apart in any case, so the word is all there is to learn
+        stopped = [p for p in pieces if _STOPPED.fullmatch(p)]
+        plain = list({p[:-1] for p in stopped}.union(pieces.difference(stopped)).difference(self.known))
+        for at in range(0, len(plain), 20_000):
+            some = plain[at : at + 20_000]
+            for first, ids in enumerate(self._ids(["".join([p if p[0] == "\n" else " " + p for p in some[i : i + 500]]) for i in range(0, len(some), 500)])):
                 starts = np.flatnonzero(self.opens[ids])
-                raw, cuts = ids.tobytes(), (4 * np.r_[starts, len(ids)]).tolist()
+                raw, cuts = ids.tobytes(), (self.kind.itemsize * np.r_[starts, len(ids)]).tolist()
                 self.known.update(zip(some[500 * first : 500 * first + 500], (raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
+        self.known.update([(p, self.known[p[:-1]] + self.stops[p[-1]]) for p in stopped])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; none for a null or empty one."""
-        cut: list[list[str] | None] = [None if _UNSAFE.search(t or "") else (t or "").split(" ") for t in texts]
+        """Ids of each text as little-endian integers of `kind`; none for a null or empty one."""
         if len(self.known) > CACHE_PIECES:
             self.known.clear()
-        fresh = {p for pieces in cut if pieces for p in pieces[1:]} - self.known.keys()
+        get, out, fresh = self.known.get, [], set()
+        for text in texts:
+            if _UNSAFE.search(text or ""):
+                out.append((text, [], []))
+            else:
+                head, *pieces = (text or "").replace("\n", " \n").split(" ")
+                ids, holes, k = list(map(get, pieces, repeat(b""))), [], -1
+                try:
+                    while True:
+                        k = ids.index(b"", k + 1)
+                        holes.append((k, pieces[k]))
+                except ValueError:
+                    pass
+                fresh.update([p for _, p in holes])
+                out.append((head, ids, holes))
         if fresh:
-            self._learn(list(fresh))
-        heads = self._ids([pieces[0] if pieces else t for pieces, t in zip(cut, texts, strict=True)])
-        get = self.known.__getitem__
-        return [h.tobytes() + b"".join(map(get, pieces[1:])) if pieces else h.tobytes() for h, pieces in zip(heads, cut, strict=True)]
+            self._learn(fresh)
+        for _, ids, holes in out:
+            for k, piece in holes:
+                ids[k] = self.known[piece]
+        heads = self._ids([head for head, _, _ in out])
+        return [h.tobytes() + b"".join(ids) for h, (_, ids, _) in zip(heads, out, strict=True)]
 
 
 def pack(ids: np.ndarray, planes: str = "byte") -> bytes:
     """Chunk: magic, plane kind, ids, block size; a table of compressed plane lengths; the planes."""
-    compress = zstandard.ZstdCompressor(level=3).compress
+    compress = zstandard.ZstdCompressor(level=1).compress
     lengths, body = [], []
     for at in range(0, len(ids), BLOCK_IDS):
         octets = np.ascontiguousarray(ids[at : at + BLOCK_IDS], dtype="<u4").view(np.uint8).reshape(-1, 4)
@@ -112,22 +138,38 @@ _ENCODERS: dict[str, Encoder] = {}
 CHUNKS = "part int, chunk int, start long, n_ids long, doc_ids array<long>, lengths array<long>, data binary"
 
 
-def _write(path: str, end_id: int, planes: str):
+def _encode(path: str, edges):
+    """Rows (doc_id, mark, text) to (part, doc_id, mark, width, ids); part numbers the stretch of ids that doc_id falls in."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _ENCODERS:
             _ENCODERS[path] = Encoder(path)
         encoder = _ENCODERS[path]
-        end, part = struct.pack("<I", end_id), TaskContext.get().partitionId()
-        chunk = start = size = 0
+        for batch in batches:
+            docs, ids = batch.column(0), encoder.encode(batch.column(2).to_pylist())
+            part = np.searchsorted(edges.value, docs.fill_null(0).to_numpy(zero_copy_only=False), "left").astype(np.int32)
+            part[docs.is_null().to_numpy(zero_copy_only=False)] = -1
+            yield pa.RecordBatch.from_arrays([pa.array(part), docs, batch.column(1), pa.array([encoder.kind.itemsize] * len(ids), pa.int32()), pa.array(ids, pa.binary())], names=["part", "doc_id", "mark", "width", "ids"])
+        encoder.known.clear()  # workers outlive their tasks; what they hold must not
+
+    return run
+
+
+def _write(end_id: int, planes: str):
+    """Sorted rows of _encode to chunks; a chunk ends with its part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, chunk, start, size = None, 0, 0, 0
         docs: list[int | None] = []
         lengths: list[int] = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
+        end = np.array([end_id], "<u4")
 
         def flush() -> pa.RecordBatch:
             nonlocal chunk, start, size
             row = {
                 "part": pa.array([part], pa.int32()), "chunk": pa.array([chunk], pa.int32()), "start": [start], "n_ids": [size],
-                "doc_ids": pa.array([docs], pa.list_(pa.int64())), "lengths": pa.array([lengths], pa.list_(pa.int64())), "data": [pack(np.frombuffer(b"".join(held), "<u4"), planes)],
+                "doc_ids": pa.array([docs], pa.list_(pa.int64())), "lengths": pa.array([lengths], pa.list_(pa.int64())), "data": [pack(np.concatenate(held), planes)],
             }
             chunk, start, size = chunk + 1, start + size, 0
             out = pa.RecordBatch.from_pydict(row)
@@ -135,10 +177,14 @@ def _write(path: str, end_id: int, planes: str):
             return out
 
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+            for own, doc, width, ids in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4)), strict=True):
+                if own != part:
+                    if docs:
+                        yield flush()
+                    part, chunk, start = own, 0, 0
                 docs.append(doc)
-                lengths.append(len(ids) // 4 + 1)
-                held += (ids, end)
+                held += (np.frombuffer(ids, f"<u{width}").astype("<u4"), end)
+                lengths.append(len(held[-2]) + 1)
                 size += lengths[-1]
                 if size >= CHUNK_IDS:
                     yield flush()
@@ -149,16 +195,21 @@ def _write(path: str, end_id: int, planes: str):
 
 
 def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2, planes: str = "byte") -> None:
-    """Writes docs (doc_id, text) to `out`: files in ascending doc_id order, null ids first.
+    """Writes docs (doc_id, text) to `out`: parts in ascending doc_id order, null ids first.
 
-    A file's rows are chunks of whole documents: the chunk index (part, chunk, start, n_ids,
-    ids and lengths of its documents) and the shuffled, compressed ids. Rows that share an id
-    follow each other by a hash of their text. Spark's writer commits the files, so a lost
-    executor costs its tasks only.
+    A row of the files is a chunk of whole documents: the chunk index (part, chunk, start,
+    n_ids, ids and lengths of its documents) and the shuffled, compressed ids. Texts are encoded
+    where they are read; only ids move, to the part of their doc_id, whose edges are
+    approximate percentiles. Rows that share an id follow each other by a hash of their text.
+    Spark's writer commits the files, so a lost executor costs its tasks only.
     """
-    bound_batches(docs.sparkSession, rows=1000)
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text"))
-    ordered.sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(_write(tokenizer, end_id, planes), CHUNKS).write.parquet(out)
+    spark = docs.sparkSession
+    bound_batches(spark, rows=500)
+    parts = min(MOST_PARTS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    edges = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []
+    shared = spark.sparkContext.broadcast(np.unique(np.array(edges, np.int64)))
+    encoded = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(_encode(tokenizer, shared), "part int, doc_id long, mark long, width int, ids binary")
+    encoded.repartition("part").sortWithinPartitions("part", "doc_id", "mark").mapInArrow(_write(end_id, planes), CHUNKS).write.parquet(out)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +228,7 @@ def _based(files: DataFrame) -> DataFrame:
     """files with base, the ids of all parts before a row's own; there is one row a part to sum."""
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     base = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    return files.join(base, "part")
+    return files.join(F.broadcast(base), "part")  # write_tokens makes at most MOST_PARTS parts
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
