@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: shared n-grams find passages, a bound on the score spares most chance meetings, Smith-Waterman alignment scores the rest."""
 
 from __future__ import annotations
 
@@ -8,15 +8,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bound_batches, materialize
 
 _WORD = re.compile(r"\w+")
-#: Words of a seed, words of an item from which one seed is kept at least, documents up to which every n-gram is a seed.
-SEED_WORDS, SEGMENT, RARE_DOCS = 4, 8, 50
+#: Words of a seed.
+SEED_WORDS = 4
+#: Not read any more: every n-gram is a seed, however frequent. A test still sets it.
+RARE_DOCS = 50
 #: N-grams of benchmark items that one pass over the corpus looks for.
 PASS_NGRAMS = 4_000_000
 MATCH, MISMATCH, GAP = 2, 1, 1
@@ -37,55 +39,107 @@ def _grams(ids: np.ndarray, n: int) -> np.ndarray:
 
 
 class Watch:
-    """The n-grams of some benchmark items, to be found in documents."""
+    """Some benchmark items and their n-grams, to be found in documents."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], least: float = LEAST_SCORE):
         cut = [words_of(t) for _, t in items]
         self.vocabulary: dict[str, int] = {}
         for words in cut:
             for w in words:
                 self.vocabulary.setdefault(w, len(self.vocabulary))
-        rows = [(item, pos, key) for (item, _), words in zip(items, cut, strict=True) for pos, key in enumerate(_grams(np.array([self.vocabulary[w] for w in words], np.int64), SEED_WORDS).tolist())]
-        self.rows = rows
-        self.keys = np.unique(np.array([k for *_, k in rows], np.int64))
-        self.reach = max((len(words) for words in cut), default=0)
-
-    def passages(self, text: str | None) -> list[tuple[str, list[int]]]:
-        """Stretches of the text around watched n-grams, each wide enough for an item around any of them, with those n-grams."""
+        self.items = np.array([i for i, _ in items], np.int64)
+        lengths = np.array([len(words) for words in cut], np.int64)
+        self.words = np.fromiter((self.vocabulary[w] for words in cut for w in words), np.int64, int(lengths.sum()))
+        self.starts = np.r_[0, np.cumsum(lengths)]
+        grams = [_grams(self.words[s:e], SEED_WORDS) for s, e in zip(self.starts[:-1], self.starts[1:], strict=True)]
+        keys, owners = np.concatenate([*grams, np.zeros(0, np.int64)]), np.repeat(np.arange(len(cut)), [len(g) for g in grams])
+        order = np.lexsort((owners, keys))
+        keys, owners = keys[order], owners[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])
+        self.owners = owners[new]
+        self.keys, first = np.unique(keys[new], return_index=True)
+        self.owned = np.r_[first, len(self.owners)]  # owners of key k: owners[owned[k]:owned[k + 1]]
+        # 2 * matches - edits >= score, so `need` words match, in a stretch of at most `span` words
+        self.need = np.ceil(least * lengths - 1e-9).astype(np.int64)
+        self.span = np.maximum(1, np.floor((3 - 2 * least) * lengths + 1e-9).astype(np.int64))
+        self.reach = int(lengths.max()) if len(lengths) else 0
+
+    def passages(self, text: str | None) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+        """Stretches of the text around watched n-grams, each wide enough for an item around any of them: (words, their numbers, positions of the n-grams in `keys`)."""
         words = words_of(text)
         get = self.vocabulary.get
         ids = np.array([get(w, -1) for w in words], dtype=np.int64)
         if len(ids) < SEED_WORDS or not len(self.keys):
-            return []
+            return
         known = np.convolve(ids >= 0, np.ones(SEED_WORDS, np.int64), "valid") == SEED_WORDS
         at = np.flatnonzero(known)
         if not len(at):
-            return []
+            return
         keys = _grams(ids, SEED_WORDS)[at]
-        found = self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] == keys
-        at, keys = at[found], keys[found]
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        found = self.keys[place] == keys
+        at, place = at[found], place[found]
         if not len(at):
-            return []
-        margin, out = self.reach + self.reach // 4 + SEED_WORDS, []
+            return
+        margin = self.reach + self.reach // 4 + SEED_WORDS
         for run in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > margin) + 1):
             low, high = max(0, at[run[0]] - margin), at[run[-1]] + SEED_WORDS + margin
-            out.append((" ".join(words[low:high]), np.unique(keys[run]).tolist()))
-        return out
+            yield " ".join(words[low:high]), ids[low:high], np.unique(place[run])
+
+    def candidates(self, ids: np.ndarray, places: np.ndarray, present: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(item, shared n-grams) of the items that share one and may reach the score. present: all False, one of each word."""
+        own, seeds = np.unique(np.concatenate([self.owners[self.owned[k] : self.owned[k + 1]] for k in places.tolist()]), return_counts=True)
+        known = ids[ids >= 0]
+        present[known] = True
+        lengths = self.starts[own + 1] - self.starts[own]
+        ends = np.cumsum(lengths)
+        words = self.words[np.arange(ends[-1]) + np.repeat(self.starts[own] - (ends - lengths), lengths)]
+        enough = np.add.reduceat(present[words].astype(np.int64), ends - lengths) >= self.need[own]
+        present[known] = False
+        for item, n in zip(own[enough].tolist(), seeds[enough].tolist(), strict=True):
+            if self.reaches(item, ids):
+                yield item, n
+
+    def reaches(self, item: int, ids: np.ndarray) -> bool:
+        """Whether some stretch of `span` words holds `need` of the item's words, none more often than the item does."""
+        own, times = np.unique(self.words[self.starts[item] : self.starts[item + 1]], return_counts=True)
+        place = np.minimum(np.searchsorted(own, ids), len(own) - 1)
+        at = np.flatnonzero(own[place] == ids)
+        if len(at) < self.need[item]:
+            return False
+        at = at[np.argsort(place[at], kind="stable")]
+        word = place[at]
+        before = np.arange(len(at)) - times[word]  # with this one inside, a stretch holds the word too often
+        full = (before >= 0) & (word[before] == word)
+        first = np.maximum(np.where(full, at[before] + 1, 0), at - self.span[item] + 1)
+        change = np.bincount(np.maximum(first, 0), minlength=len(ids) + 1) - np.bincount(at + 1, minlength=len(ids) + 1)
+        return bool(np.cumsum(change).max() >= self.need[item])
 
 
 def _find(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        watch = shared.value
+        present = np.zeros(len(watch.vocabulary), bool)
         for batch in batches:
-            docs, parts, keys = [], [], []
+            rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for part, own in shared.value.passages(text):
-                    docs.append(doc), parts.append(part), keys.append(own)
-            if docs:
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs, pa.int64()), "passage": parts, "keys": pa.array(keys, pa.list_(pa.int64()))})
+                for part, ids, places in watch.passages(text):
+                    rows += [(doc, int(watch.items[item]), n, part) for item, n in watch.candidates(ids, places, present)]
+                    if len(rows) >= 2000:
+                        yield _pairs(rows)
+                        rows = []
+            if rows:
+                yield _pairs(rows)
 
     return run
 
 
+def _pairs(rows: list[tuple]) -> pa.RecordBatch:
+    docs, items, seeds, parts = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(items, pa.int64()), pa.array(seeds, pa.int64()), pa.array(parts, pa.string())], names=["doc_id", "item_id", "seeds", "passage"])
+
+
 def align(item: list[str], passage: list[str]) -> tuple[float, int, int]:
     """(score, first, end) of the best local alignment of words: 1 for a passage that holds the whole item."""
     if not item or not passage:
@@ -128,22 +182,12 @@ def _aligned(item: pd.Series, passage: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["score", "passage"])
 
 
-def _hits(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+def _hits(docs: DataFrame, items: list[tuple[int, str]], least: float) -> DataFrame:
     spark = docs.sparkSession
-    watch = Watch(items)
-    shared = spark.sparkContext.broadcast(watch)
-    found = materialize(docs.mapInArrow(_find(shared), "doc_id long, passage string, keys array<long>"), "passages")
-    # how common an n-gram is by itself: copies of an item bring its n-grams together, chance brings one
-    alone = (F.size("keys") == 1).cast("long").alias("alone")
-    held = found.select(alone, F.explode("keys").alias("key")).groupBy("key").agg(F.sum("alone").alias("df"))
-    grams = spark.createDataFrame(pd.DataFrame(watch.rows, columns=["item_id", "pos", "key"]).astype("int64"), "item_id long, pos long, key long")
-    rarest = Window.partitionBy("item_id", "segment").orderBy("df")
-    seeds = grams.join(held, "key").withColumn("segment", F.floor(F.col("pos") / SEGMENT))
-    seeds = seeds.withColumn("r", F.rank().over(rarest)).where((F.col("r") == 1) | (F.col("df") <= RARE_DOCS)).select("key", "item_id").distinct()
+    shared = spark.sparkContext.broadcast(Watch(items, least))
+    found = materialize(docs.mapInArrow(_find(shared), "doc_id long, item_id long, seeds long, passage string"), "passages")
+    pairs = found.groupBy("doc_id", "item_id", F.xxhash64("doc_id", "passage").alias("row")).agg(F.first("passage").alias("passage"), F.max("seeds").alias("seeds"))
     texts = spark.createDataFrame(items, "item_id long, item string")
-    marked = found.withColumn("row", F.xxhash64("doc_id", "passage"))
-    pairs = marked.select("doc_id", "row", "passage", F.explode("keys").alias("key")).join(seeds, "key")
-    pairs = pairs.groupBy("doc_id", "row", "item_id").agg(F.first("passage").alias("passage"), F.count(F.lit(1)).alias("seeds"))
     scored = pairs.join(texts, "item_id").withColumn("a", _aligned("item", "passage"))
     return scored.select("doc_id", "item_id", F.col("a.score").alias("score"), "seeds", F.col("a.passage").alias("matched"))
 
@@ -151,13 +195,12 @@ def _hits(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
     """(id, item_id, score, seeds, matched): the documents that hold a copy of a benchmark item, even an edited one.
 
-    Words are runs of letters and digits, in lower case. A passage is aligned with an item if
-    they share a seed: an n-gram of SEED_WORDS words that at most RARE_DOCS passages hold
-    without another watched n-gram beside it, or the rarest such in its SEGMENT words of the
-    item, ties included. Copies bring n-grams together, so a passage copied any number of times
-    keeps its seeds. score is the alignment's share of a perfect one; rows
-    from `least` stay, the best of each document and item. Items with the same words are one,
-    under their least id; items under SEED_WORDS words match nothing. Null ids and texts of
+    Words are runs of letters and digits, in lower case. A passage is aligned with every item
+    that it shares a seed with, an n-gram of SEED_WORDS words, however frequent that is, unless
+    no stretch of it holds so many of the item's words that the score could be reached (a bound,
+    so nothing is lost; it depends on passage and item only, not on the size of the corpus).
+    score is the alignment's share of a perfect one; rows from `least` stay, the best of each
+    document and item. Items with the same words are one, under their least id; items under SEED_WORDS words match nothing. Null ids and texts of
     items count for nothing; null and empty documents match nothing; rows that repeat a
     document's id give its pairs once. Other columns are not read.
 
@@ -177,7 +220,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         some = [(r.item_id, r.item) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()]
         some = sorted((i, t) for i, t in some if len(words_of(t)) >= SEED_WORDS)
         if some:
-            hits = _hits(docs, some).where(F.col("score") >= least)
+            hits = _hits(docs, some, least).where(F.col("score") >= least)
             found = hits if found is None else found.unionByName(hits)
     if found is None:
         return spark.createDataFrame([], "doc_id long, item_id long, score double, seeds long, matched string").withColumnRenamed("doc_id", id_col)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import types as T
 
 from scriptorium.llm import decontaminate as D
@@ -62,3 +63,26 @@ def test_empty_tables(spark):
     none, docs = spark.createDataFrame([], ITEMS), spark.createDataFrame([(1, "a b c d", "")], DOCS)
     assert D.contamination(docs, none).count() == 0
     assert D.contamination(spark.createDataFrame([], DOCS), spark.createDataFrame([(1, "a b c d", "")], ITEMS)).count() == 0
+
+
+def test_frequent_seeds_still_find_edited_copies(spark):
+    rng = random.Random(5)
+    item = [f"w{k}" for k in range(16)]
+    copy = ["edited" if k in (3, 9, 14) else w for k, w in enumerate(item)]  # n-grams 4, 5 and 10 stay
+    texts = [" ".join([prose(rng, 20), *item[p : p + 4], prose(rng, 20)]) for p in range(13) for _ in range(55 if p in (0, 8) else 60)]
+    texts.append(" ".join([prose(rng, 20), *copy, prose(rng, 20)]))
+    got = D.contamination(spark.createDataFrame([(d, t, "") for d, t in enumerate(texts)], DOCS), spark.createDataFrame([(1, " ".join(item), "")], ITEMS)).collect()
+    assert [(r.doc_id, r.item_id, r.score, r.seeds) for r in got] == [(len(texts) - 1, 1, 23 / 32, 3)]
+
+
+def test_bound_never_drops_a_pair_that_reaches_the_score():
+    rng, reached, spared = random.Random(6), 0, 0
+    for _ in range(400):
+        item = [rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(4, 14))]
+        passage, kept = [rng.choice("abcdefghijklmnop" + 20 * "ABCDEFGH") for _ in range(40)], rng.choice([0.2, 0.6, 0.8])
+        passage[10:10] = [w for k in item for w in ((k, "x") if rng.random() < 0.3 else (k,) if rng.random() < kept else ())]
+        watch = D.Watch([(1, " ".join(item))])
+        may = watch.reaches(0, np.array([watch.vocabulary.get(w, -1) for w in passage]))
+        assert may or D.align(item, passage)[0] < D.LEAST_SCORE
+        reached, spared = reached + (D.align(item, passage)[0] >= D.LEAST_SCORE), spared + (not may)
+    assert reached > 50 and spared > 50
