@@ -16,7 +16,8 @@ from .common import bound_batches
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_CSS = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->|\"(?:[^\"\\\n]|\\(?:.|\Z))*\"?|'(?:[^'\\\n]|\\(?:.|\Z))*'?|[{};]", re.S)
+_SCREEN = re.compile(r"(?:only\s+)?(?:screen|all)|not\s+(?:print|speech)|", re.I)
 _SPACE = re.compile(r"[ \t\n\f\r]+")
 #: Element classes of the HTML standard (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -84,8 +85,9 @@ def build(source: str) -> tuple[Node, list[str]]:
         if len(stack) >= MOST_OPEN and tag not in VOID:
             stack.pop()
         node = Node(tag, attrs)
+        empty = tag in VOID or tag == "form" and stack[-1].tag in ("table", "tbody", "thead", "tfoot", "tr")  # a form between cells holds nothing
         stack[-1].children.append(node)
-        if tag not in VOID:
+        if not empty:
             stack.append(node)
 
     while m := _TOKEN.search(source, at):
@@ -110,7 +112,7 @@ def build(source: str) -> tuple[Node, list[str]]:
             end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>|\Z", re.I).search(source, at)
             inner = source[at : end.start()]
             at = end.end()
-            if tag == "style":
+            if tag == "style" and _on_screen(_attrs(m["attrs"]).get("media", "")):
                 sheets.append(inner)
             stack[-1].children.append(inner)
             stack.pop()
@@ -118,9 +120,48 @@ def build(source: str) -> tuple[Node, list[str]]:
     return root, sheets
 
 
+def _on_screen(condition: str) -> bool:
+    """Whether a media list surely holds on a screen; a condition on its size or the like may not."""
+    return any(_SCREEN.fullmatch(part.strip()) for part in condition.split(","))
+
+
 def hidden_names(sheets: list[str]) -> set[str]:
-    """Plain selectors (tag, .class, #id) that style sheets hide."""
-    return {s.strip().lower() for sheet in sheets for selectors, body in _RULE.findall(sheet) if _GONE.search(body) for s in selectors.split(",") if re.fullmatch(r"[.#]?[\w-]+", s.strip())}
+    """Plain selectors (tag, .class, #id) that style sheets hide, whatever the screen. Nested rules depend on their parents and don't count."""
+    out: set[str] = set()
+    for sheet in sheets:
+        opened: list[str | bool] = []  # selectors of a rule, or whether rules of a group count
+        words: list[str] = []
+        at = 0
+
+        def end() -> None:
+            if opened and isinstance(opened[-1], str) and _GONE.search("".join(words)):
+                out.update(s.strip().lower() for s in opened[-1].split(",") if re.fullmatch(r"[.#]?[\w-]+", s.strip()))
+            words.clear()
+
+        for m in _CSS.finditer(sheet):
+            words.append(sheet[at : m.start()])
+            at = m.end()
+            if m[0] == "{":
+                start = "".join(words).strip()
+                words.clear()
+                if opened and opened[-1] is not True:
+                    opened.append(False)
+                elif start.startswith("@"):
+                    name, _, condition = start[1:].replace("(", " (", 1).partition(" ")
+                    opened.append(name.lower() == "layer" or name.lower() == "media" and _on_screen(condition))
+                else:
+                    opened.append(start)
+            elif m[0] == ";":
+                end()
+            elif m[0] == "}":
+                end()
+                if opened:
+                    opened.pop()
+            else:
+                words.append(" " if m[0][0] in "/<-" else '""')
+        words.append(sheet[at:])
+        end()
+    return out
 
 
 class Page:
@@ -205,20 +246,28 @@ class Page:
             return [("    " + x) if x else x for x in found]
         return found
 
-    def rows(self, node: Node) -> Iterator[Node]:
+    def parts(self, node: Node) -> tuple[list[Node | str], list[Node]]:
+        """(loose content, rows) of a table; rows count wherever they stand outside a table of their own."""
+        loose: list[Node | str] = []
+        rows: list[Node] = []
         for x in node.children:
-            if isinstance(x, Node) and self.seen(x):
+            if isinstance(x, str) or x.tag == "table":
+                loose.append(x)
+            elif self.seen(x):
                 if x.tag == "tr":
-                    yield x
-                elif x.tag in ("tbody", "thead", "tfoot"):
-                    yield from self.rows(x)
+                    rows.append(x)
+                else:
+                    own, inner = self.parts(x)
+                    loose.append(Node(x.tag, x.attrs, own) if inner else x)
+                    rows += inner
+        return loose, rows
 
     def table(self, node: Node) -> list[str]:
         """Rows of cells, columns aligned; what stands between them comes first."""
-        loose = Node("div", {}, [x for x in node.children if isinstance(x, str) or x.tag not in ("tr", "tbody", "thead", "tfoot")])
-        out = self.lines(loose)
+        loose, rows = self.parts(node)
+        out = self.lines(Node("div", {}, loose))
         grid: list[list[list[str]]] = []
-        for tr in self.rows(node):
+        for tr in rows:
             row: list[list[str]] = []
             for cell in tr.children:
                 if isinstance(cell, Node) and self.seen(cell):
@@ -258,7 +307,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
     """(id, text): all visible text of each page.
 
     A tree is built with implied tags; elements that are never shown, that carry `hidden` or an
-    inline or plain style rule that hides them, are left out with all they hold. Blocks begin
+    inline or plain style rule that hides them on any screen, are left out with all they hold. Blocks begin
     new lines, and paragraphs, headings, lists and tables stand apart by a blank line; lists
     have marks and indents; table columns are aligned. A null or empty page has an empty text.
     Rows that repeat an id all stay; an empty table gives no rows; other columns are not read.

@@ -59,3 +59,23 @@ def test_rows(spark):
     got = H.extract(spark.createDataFrame(rows, schema)).collect()
     assert sorted((str(r.page_id), r.text) for r in got) == [("1", ""), ("1", "a"), ("None", "b")]
     assert H.extract(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_what_stands_between_rows_stays():
+    assert H.render("<table><tbody><form><tr><td>a<td>b</form></table>") == "a  b"
+    assert H.render("<table><tbody>text<div>block</div><a href=x>link</a><tr><td>a<td>b</tbody><tfoot>end</table>") == "text\nblock\nlink\nend\na  b"
+    assert H.render("<table><tr><td>a<td>b<form>c<tr><td>d<td>e</table>") == "a  b\n   c\nd  e"
+    assert H.render("<table><tbody hidden>no<form><tr><td>no</tbody><tbody><form hidden><tr><td>kept</form><tr><td>yes</table>") == "kept\nyes"
+    assert H.render("<table><tbody><section><tr><td>a<td>b</section></table>") == "a  b"
+    assert H.render("<table><tbody><form><table><tr><td>in</table><tr><td>out</table>") == "in\nout"
+
+
+def test_only_rules_of_any_screen_hide():
+    page = "<style{}>{}</style><p class=content>text</p>"
+    for rule in ("@media print{.content{display:none}}", "@media (max-width:600px){.content{display:none}}", "@media screen and (max-width:9px){.x{color:red}.content{display:none}}", "@supports (x:y){.content{display:none}}",
+                 "@media print{@media screen{.content{display:none}}}", ".a{color:red;.content{display:none}}", "/*.content{display:none}*/", ".content{content:'display:none'}", "@media print{.x{content:'}'}.content{display:none}}"):
+        assert H.render(page.format("", rule)) == "text", rule
+    assert H.render(page.format(" media=print", ".content{display:none}")) == "text"
+    for rule in ("@media screen{.content{display:none}}", "@media only screen, print{.content{display:none}}", "@media print{.x{color:red}}.content{display:none}", "@charset 'a';/* b */.content{color:red;display:none}", "@layer a{.content{display:none}}", "@media all{@media screen{.content{display:none}}}"):
+        assert H.render(page.format("", rule)) == "", rule
+    H.render("<style>" + "{" * 20_000 + "'\\'" * 20_000 + "@media print{" * 5000)
