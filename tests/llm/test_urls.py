@@ -82,3 +82,34 @@ def test_purity_is_smoothed_as_documented(spark):
 def test_empty(spark):
     assert U.judge(spark.createDataFrame([], PAGES), spark.createDataFrame([], LABELS), RULES).count() == 0
     assert spark.range(1).select(F.size(U.segments(F.lit("/")))).first()[0] == 0
+
+
+def test_rare_and_deep_bad_branches_are_told_apart(spark):
+    rows, labels, d = [], [], 0
+
+    def add(path, n, good):
+        nonlocal d
+        for _ in range(n):
+            rows.append((d, f"http://big.org/{path}/{d}", ""))
+            labels.append((d, good))
+            d += 1
+
+    add("main", 2600, True)
+    for k in range(30):
+        add(f"section{chr(97 + k % 26)}{'x' * (k // 26)}", 10, True)
+    add("spam", 50, False)  # under 2 % of its node's rows
+    for kind, good in (("fine", True), ("foul", False)):
+        add(f"a/b/c/d/e/f/{kind}", 40 if good else 30, good)
+    add("g/h/i/j/k/l", 30, True)
+    add("a/b/c/d", 60, True)
+    got = U.judge(spark.createDataFrame(rows, PAGES), spark.createDataFrame(labels, LABELS), []).collect()
+    assert len(got) == len(rows)
+    verdicts, shapes = defaultdict(set), defaultdict(set)
+    for r in got:
+        key = r.path.rsplit("/", 1)[0][1:]
+        verdicts[key].add(r.verdict)
+        shapes[key].add(r.template)
+    assert {k for k, v in verdicts.items() if v != {"allow"}} == {"spam", "a/b/c/d/e/f/foul"}
+    assert verdicts["spam"] == verdicts["a/b/c/d/e/f/foul"] == {"block"}
+    assert len(set.union(*(shapes[k] for k in shapes if k.startswith("section")))) == 1
+    assert shapes["g/h/i/j/k/l"].pop().endswith("/{rest}")
