@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,6 +116,8 @@ class Model:
 
 
 CUT = 0.7
+#: Steps of a histogram of logits: width and outermost number.
+STEP, OUTERMOST = 1 / 64, 2560
 #: Spread of untrained embeddings, gradient steps at least, and passes over the sample at most.
 NOISE, LEAST_STEPS, MOST_EPOCHS = 0.02, 800, 60
 
@@ -138,14 +141,13 @@ class _Adam:
         return out
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = 5, batch: int = 64, seed: int = 7) -> Model:
-    """A model of texts and 0/1 labels. A fifth of them sets the thresholds; without both labels, untrained."""
+def fit(texts: list[str], labels: np.ndarray, epochs: int = 5, batch: int = 64, seed: int = 7) -> tuple[Model, np.ndarray]:
+    """(a model of texts and 0/1 labels, positions of those it is fitted on). A fifth is left for the thresholds, which aren't set; without both labels, untrained."""
     labels = np.asarray(labels, np.float32)
     if len(set(labels.tolist())) < 2:
-        return untrained()
+        return untrained(), np.zeros(0, np.int64)
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(texts))
-    held, used = order[: len(order) // 5], order[len(order) // 5 :]
+    used = rng.permutation(len(texts))[len(texts) // 5 :]
     model = untrained()
     model.table = rng.normal(0, NOISE, model.table.shape).astype(np.float32)  # words not met must not stand out in a maximum
     model.filters = rng.normal(0, 0.3, model.filters.shape).astype(np.float32)
@@ -188,27 +190,72 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 5, batch: int = 64,
                 rows = words.rows[touched, part]
                 np.add.at(square, rows, (x_grad**2).mean(axis=1, keepdims=True))
                 np.add.at(model.table, rows, -0.05 * x_grad / np.sqrt(square[rows]))
-    words = words_of([texts[i] for i in held])
-    logits, truth = model.logits(words), labels[held]
-    general = _threshold(logits, truth)
-    for k in range(len(LANGUAGES)):
-        own = words.languages == k
-        n = int(min((truth[own] > 0).sum(), (truth[own] == 0).sum()))
-        model.thresholds[k] = (n * _threshold(logits[own], truth[own]) + 20 * general) / (n + 20) if n else general
-    return model
+    return model, used
 
 
-def _threshold(logits: np.ndarray, truth: np.ndarray) -> float:
-    """Middle of the cuts with the fewest errors, an error on a clean text weighing as its label is rarer."""
-    if not len(logits):
+def _threshold(steps: np.ndarray, clean: np.ndarray, toxic: np.ndarray, weight: float = 1.0) -> float:
+    """Middle of the cuts with the least errors, steps ascending. An error on a clean text weighs 1, a toxic one `weight`."""
+    if not clean.sum() + toxic.sum():
         return 0.0
-    order = np.argsort(logits)
-    z, y = logits[order], truth[order]
-    errors = np.r_[0, np.cumsum(y > 0)] + np.r_[np.cumsum((y == 0)[::-1])[::-1], 0]
-    best = np.flatnonzero(errors == errors.min())
+    errors = weight * np.r_[0, np.cumsum(toxic)] + np.r_[np.cumsum(clean[::-1])[::-1], 0]
+    best = np.flatnonzero(errors <= errors.min() + 1e-9)
     cut = best[len(best) // 2]
-    low, high = z[max(0, cut - 1)], z[min(len(z) - 1, cut)]
-    return float((low + high) / 2)
+    return float((steps[max(0, cut - 1)] + steps[min(len(steps) - 1, cut)]) / 2 * STEP)
+
+
+def _thresholds(sums: list[tuple[int, int, int, int]], clean_rows: int, toxic_rows: int) -> np.ndarray:
+    """Thresholds of each language from (language, step, clean, toxic); few texts lean to the general one.
+
+    clean_rows, toxic_rows: labels of each kind before any were fitted on. Errors weigh so that
+    both kinds count by these, and an error on a clean text the more, the rarer toxic ones are.
+    """
+    clean_left, toxic_left = sum(r[2] for r in sums), sum(r[3] for r in sums)
+    weight = toxic_rows / max(1, toxic_left) * max(1, clean_left) / max(1, clean_rows)
+
+    def of(rows: list[tuple[int, int, int, int]]) -> tuple[float, int]:
+        steps, at = np.unique(np.array([r[1] for r in rows], np.int64), return_inverse=True)
+        clean, toxic = (np.zeros(len(steps), np.int64) for _ in range(2))
+        np.add.at(clean, at, [r[2] for r in rows])
+        np.add.at(toxic, at, [r[3] for r in rows])
+        return _threshold(steps, clean, toxic, weight), int(min(clean.sum(), toxic.sum()))
+
+    if not sums:
+        return np.zeros(len(LANGUAGES))
+    general, found = of(sums)[0], []
+    for k in range(len(LANGUAGES)):
+        own = [r for r in sums if r[0] == k]
+        cut, n = of(own) if own else (general, 0)
+        found.append((n * cut + 20 * general) / (n + 20))
+    return np.array(found)
+
+
+def _steps(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = words_of(batch.column(0).to_pylist())
+            step = np.clip(np.rint(shared.value.logits(words) / STEP), -OUTERMOST, OUTERMOST).astype(np.int64)
+            toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            cells, counts = np.unique(np.stack([words.languages, step, toxic]), axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (*cells, counts)], names=["language", "step", "toxic", "n"])
+
+    return run
+
+
+def calibrated(docs: DataFrame, marked: DataFrame, model: Model, fitted: list[int]) -> Model:
+    """The model with thresholds from all rows of docs (doc_id, text) that marked (doc_id, toxic) labels, but the fitted ids.
+
+    Histograms of logits by language and label are summed on Spark; what is collected is bounded by their steps.
+    """
+    spark = docs.sparkSession
+    bound_batches(spark)
+    used = spark.createDataFrame(pd.DataFrame({"doc_id": np.array(sorted(set(fitted)), np.int64)}), "doc_id long")
+    rest = marked.join(F.broadcast(used), "doc_id", "left_anti")
+    rows = docs.select("doc_id", "text").join(rest, "doc_id").select("text", F.col("toxic").cast("long").alias("toxic"))
+    steps = rows.mapInArrow(_steps(spark.sparkContext.broadcast(model)), "language long, step long, toxic long, n long")
+    sums = steps.groupBy("language", "step").agg(F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("clean"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("toxic"))
+    labelled = marked.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
+    model.thresholds = _thresholds([tuple(r) for r in sums.collect()], *labelled)
+    return model
 
 
 def for_training(doc_id: Column) -> Column:
@@ -219,7 +266,8 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None) ->
     """A model of docs (doc_id, text) and labels (doc_id, toxic 0/1).
 
     Fitted on at most SAMPLE_TOXIC and SAMPLE_CLEAN labelled rows, the first by a hash of the
-    id, with texts up to SAMPLE_CHARS. allowed: a condition on doc_id. Rows with a null id or
+    id, with texts up to SAMPLE_CHARS; all other labelled rows, and a fifth of these, set the
+    thresholds. allowed: a condition on doc_id. Rows with a null id or
     another label don't count; an id with both labels counts as toxic.
     """
     marked = labels.select("doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IN (0, 1)")
@@ -229,7 +277,8 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None) ->
     texts = docs.select("doc_id", "text").where(F.char_length("text") <= SAMPLE_CHARS)
     rows = texts.join(F.broadcast(some), "doc_id").collect()  # at most SAMPLE_TOXIC + SAMPLE_CLEAN ids
     rows = sorted(((r.doc_id, r.text, r.toxic) for r in rows))[: 2 * (SAMPLE_TOXIC + SAMPLE_CLEAN)]
-    return fit([t for _, t, _ in rows], np.array([y for *_, y in rows]))
+    model, used = fit([t for _, t, _ in rows], np.array([y for *_, y in rows]))
+    return calibrated(docs, marked, model, [rows[i][0] for i in used]) if len(used) else model
 
 
 def scorer(docs: DataFrame, model: Model):

@@ -50,3 +50,25 @@ def test_padding_separates_texts():
     texts = ["alpha beta", "", "gamma", None, "delta " * 70000]
     together = model.logits(X.words_of(texts))
     assert np.allclose(together, [model.logits(X.words_of([t]))[0] for t in texts], atol=1e-4)
+
+
+def test_errors_weigh_by_the_real_share_of_labels():
+    sums = [(0, 0, 60, 0), (0, 64, 30, 10), (0, 128, 10, 90)]  # errors by cut before step 0, 64, 128: 100 clean, 40 clean, 10 toxic and 10 clean
+    assert X._thresholds(sums, 100, 100)[0] == 1.5
+    assert X._thresholds(sums, 100, 1000)[0] == 0.5  # a toxic text stands for ten: 40 against 110
+    assert X._thresholds(sums, 10_000, 100)[0] > 1.5 - 1e-9
+    assert not X._thresholds([], 0, 0).any()
+
+
+def test_rare_language_is_calibrated_by_its_own_rows(spark, monkeypatch):
+    monkeypatch.setattr(X, "SAMPLE_TOXIC", 40)
+    monkeypatch.setattr(X, "SAMPLE_CLEAN", 80)
+    seen = []
+    monkeypatch.setattr(X, "_thresholds", lambda sums, *rows: seen.append(sums) or np.zeros(len(X.LANGUAGES)))
+    rows, labels = corpus(900, 4)
+    rows = [(d, t + " der die und das" if d % 9 == 0 else t) for d, t in rows]
+    df = spark.createDataFrame([(d, t, "") for d, t in rows], DOCS)
+    X.train(df, spark.createDataFrame(labels, LABELS), None)
+    german = sum(c + y for k, _, c, y in seen[0] if k == X.LANGUAGES.index("de"))
+    assert sum(c + y for _, _, c, y in seen[0]) == 900 - 96  # all labelled rows but those fitted on
+    assert german > 80
