@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,10 +14,12 @@ from pyspark.sql import types as T
 
 from .common import materialize
 
-#: Rows of one tree, of one leaf page, pivots at most, and rows of the sample that pivots are chosen from.
-TREE_ROWS, PAGE_ROWS, MOST_PIVOTS, SAMPLE = 2048, 64, 1024, 8192
-#: Queries that are sent to all tasks at a time.
-QUERY_BLOCK = 8192
+#: Rows of one tree, of one leaf page, children of an inner node, pivots at most, and rows of the sample that pivots are chosen from.
+TREE_ROWS, PAGE_ROWS, FANOUT, MOST_PIVOTS, SAMPLE = 2048, 64, 8, 1024, 8192
+#: Queries that are sent to all tasks at a time (about these bytes of vectors), and those that go through a tree together.
+QUERY_BYTES, QUERY_BATCH = 32 << 20, 4096
+#: Entries of trees that a task holds at a time.
+FOREST_BYTES = 64 << 20
 EXACT = float(1 << 53)
 
 
@@ -29,10 +32,13 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.coalesce(bad, F.lit(True))
 
 
-def _matrix(column, dims: int) -> np.ndarray:
+def _matrix(column: pa.ListArray, dims: int) -> np.ndarray:
+    """Rows of a list column, shorter ones filled up with zeros."""
+    lengths, values = column.value_lengths().to_numpy(zero_copy_only=False), column.flatten().to_numpy(zero_copy_only=False)
+    if (lengths == dims).all():
+        return values.reshape(-1, dims).astype(np.int64)
     out = np.zeros((len(column), dims), dtype=np.int64)
-    for i, v in enumerate(column):
-        out[i, : len(v)] = v
+    out[np.arange(dims) < lengths[:, None]] = values
     return out
 
 
@@ -56,108 +62,173 @@ def _spread(x: np.ndarray, n: int) -> np.ndarray:
     return np.array(chosen)
 
 
-TREE = T.StructType(
-    [T.StructField("pivot", T.IntegerType()), T.StructField("leaf", T.IntegerType()), T.StructField("tree", T.BinaryType()), T.StructField("tree_radius", T.DoubleType()),
-     T.StructField("centre", T.BinaryType()), T.StructField("to_tree", T.DoubleType()), T.StructField("radius", T.DoubleType()),
-     T.StructField("ids", T.BinaryType()), T.StructField("vectors", T.BinaryType()), T.StructField("to_centre", T.BinaryType())]
-)
+#: One tree a row. Nodes are numbered from the root down; an entry of `first` is a node's first child, or -1 - the first row of a leaf page.
+TREE = T.StructType([T.StructField("pivot", T.IntegerType())] + [T.StructField(x, T.BinaryType()) for x in ("centres", "radius", "to_parent", "first", "count", "ids", "vectors", "to_centre")])
 
 
-def _grow(dims: int, peak: int):
-    """Turns the rows of one group into a tree: a routing object over leaf pages.
+def plant(ids: np.ndarray, vectors: np.ndarray, peak: int) -> dict[str, np.ndarray]:
+    """A metric tree of rows: nodes with centre, covering radius and distance to the parent, split while they exceed a page.
 
-    Every page keeps its centre, covering radius and distance to the routing object; every
-    entry keeps its distance to the page's centre, by which entries are sorted.
+    Leaf pages hold their rows by distance to the page's centre, and that distance.
     """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        vectors = _matrix(rows["vector"], dims)
-        ids, x = rows["vec_id"].to_numpy(np.int64), _lifted(vectors, peak)
-        root = x.mean(axis=0, keepdims=True)
-        centres = x[_spread(x, -(-len(x) // PAGE_ROWS))]
-        nearest = _distances(x, centres).argmin(axis=1)
-        out, whole = [], float(_distances(x, root).max())
-        for leaf in range(len(centres)):
-            members = np.flatnonzero(nearest == leaf)
-            centre = x[members].mean(axis=0, keepdims=True) if len(members) else centres[leaf : leaf + 1]
+    x = _lifted(vectors, peak)
+    centres, radius, to_parent, first, count = [], [], [], [], []
+    rows: list[np.ndarray] = []
+    far: list[np.ndarray] = []
+    placed = 0
+    level: list[tuple[np.ndarray, np.ndarray | None]] = [(np.arange(len(x)), None)]
+    while level:
+        below: list[tuple[np.ndarray, np.ndarray | None]] = []
+        start = len(centres) + len(level)  # number of the first node of the next level
+        for members, parent in level:
+            centre = x[members].mean(axis=0, keepdims=True)
             d = _distances(x[members], centre)[:, 0]
-            members, d = members[np.argsort(d, kind="stable")], np.sort(d, kind="stable")
-            if len(members):
-                out.append((int(rows["pivot"].iloc[0]), leaf, root.tobytes(), whole, centre.tobytes(), float(_distances(centre, root)[0, 0]), float(d[-1]), ids[members].tobytes(), vectors[members].tobytes(), d.tobytes()))
-        return pd.DataFrame(out, columns=TREE.fieldNames())
+            centres.append(centre[0])
+            radius.append(float(d.max()))
+            to_parent.append(0.0 if parent is None else float(_distances(centre, parent)[0, 0]))
+            if len(members) <= PAGE_ROWS:
+                order = np.argsort(d, kind="stable")
+                rows.append(members[order])
+                far.append(d[order])
+                first.append(-1 - placed)
+                count.append(len(members))
+                placed += len(members)
+                continue
+            seeds = _spread(x[members], min(FANOUT, -(-len(members) // PAGE_ROWS)))
+            nearest = _distances(x[members], x[members[seeds]]).argmin(axis=1)
+            parts = [members[nearest == s] for s in range(len(seeds))]
+            parts = [p for p in parts if len(p)]
+            if len(parts) == 1:  # rows that can't be told apart are cut by number
+                parts = np.array_split(members, min(FANOUT, -(-len(members) // PAGE_ROWS)))
+            first.append(start + len(below))
+            count.append(len(parts))
+            below += [(p, centre) for p in parts]
+        level = below
+    order = np.concatenate(rows)
+    return {
+        "centres": np.stack(centres), "radius": np.array(radius), "to_parent": np.array(to_parent), "first": np.array(first, np.int64), "count": np.array(count, np.int64),
+        "ids": ids[order], "vectors": vectors[order], "to_centre": np.concatenate(far),
+    }
+
+
+def _grow(dims: int, peak: int):
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        tree = plant(rows["vec_id"].to_numpy().astype(np.int64), _matrix(rows["vector"].chunk(0), dims), peak)
+        return pa.table({"pivot": pa.array([rows["pivot"][0].as_py()], pa.int32())} | {k: pa.array([v.tobytes()], pa.binary()) for k, v in tree.items()})
 
     return run
 
 
+@dataclass
+class Tree:
+    pivot: int
+    centres: np.ndarray
+    radius: np.ndarray
+    to_parent: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
+    ids: np.ndarray
+    vectors: np.ndarray  # float64 where that is exact
+    to_centre: np.ndarray
+
+    @classmethod
+    def read(cls, row: dict, dims: int, exact: bool) -> Tree:
+        f64, i64 = (lambda x: np.frombuffer(row[x], np.float64)), (lambda x: np.frombuffer(row[x], np.int64))
+        vectors = i64("vectors").reshape(-1, dims)
+        return cls(row["pivot"], f64("centres").reshape(-1, dims + 1), f64("radius"), f64("to_parent"), i64("first"), i64("count"), i64("ids"), vectors.astype(np.float64) if exact else vectors, f64("to_centre"))
+
+
 class Best:
-    """The k best (score, smaller id first) that a query has met."""
-
-    def __init__(self, k: int, floor: int | None):
-        self.k, self.floor, self.scores, self.ids = k, floor, np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        if self.floor is not None:
-            keep = scores >= self.floor
-            scores, ids = scores[keep], ids[keep]
-        if len(scores):
-            s, i = np.r_[self.scores, scores], np.r_[self.ids, ids]
-            order = np.lexsort((i, -s))[: self.k]
-            self.scores, self.ids = s[order], i[order]
-            if len(order) == self.k:
-                self.floor = int(self.scores[-1]) if self.floor is None else max(self.floor, int(self.scores[-1]))
-
-
-class Forest:
-    """The trees whose pages one task has read."""
-
-    def __init__(self, rows: list[dict], dims: int, peak: int):
-        f64, wide = lambda b: np.frombuffer(b, np.float64), dims + 1
-        self.peak, self.pivot = peak, np.array([r["pivot"] for r in rows])
-        roots, self.of = np.unique(np.array([r["tree"] for r in rows], dtype=object), return_inverse=True)
-        self.roots = np.stack([f64(b) for b in roots]).reshape(-1, wide)
-        self.root_radius = np.zeros(len(roots))
-        self.root_radius[self.of] = [r["tree_radius"] for r in rows]
-        self.pages = [np.flatnonzero(self.of == t) for t in range(len(roots))]
-        self.centres = np.stack([f64(r["centre"]) for r in rows])
-        self.to_tree, self.radius = (np.array([r[x] for r in rows]) for x in ("to_tree", "radius"))
-        self.ids = [np.frombuffer(r["ids"], np.int64) for r in rows]
-        self.vectors = [np.frombuffer(r["vectors"], np.int64).reshape(-1, dims) for r in rows]
-        self.to_centre = [f64(r["to_centre"]) for r in rows]
-        self.float_safe = peak < EXACT / 4
-
-    def search(self, query: np.ndarray, own: int, best: Best, only: int | None = None) -> None:
-        """Best-first: trees, then pages, by the least distance they can hold; what a stored bound rules out is not computed."""
-        norm, slack = float((query.astype(np.float64) ** 2).sum()), 1e-7 * (1.0 + self.peak)
-        q = np.r_[query.astype(np.float64), 0.0][None, :]
-        fast = self.float_safe and norm < EXACT / 4
-
-        def reach() -> float:
-            return np.inf if best.floor is None else np.sqrt(max(0.0, norm + self.peak - 2.0 * best.floor) + slack)
-
-        to_roots = _distances(q, self.roots)[0]
-        tree_low = np.maximum(0.0, to_roots - self.root_radius)
-        for t in np.argsort(tree_low):
-            if tree_low[t] > reach():
-                break
-            pages = self.pages[t]
-            if only is not None:
-                pages = pages[self.pivot[pages] == only]
-            # |d(q, root) - d(centre, root)| - radius bounds a page from below before d(q, centre) is known
-            pages = pages[np.abs(to_roots[t] - self.to_tree[pages]) - self.radius[pages] <= reach()]
-            if len(pages):
-                d = _distances(q, self.centres[pages])[0]
-                low = np.maximum(0.0, d - self.radius[pages])
-                for i in np.argsort(low):
-                    limit = reach()
-                    if low[i] > limit:
-                        break
-                    p, far = pages[i], self.to_centre[pages[i]]
-                    a, b = np.searchsorted(far, d[i] - limit, "left"), np.searchsorted(far, d[i] + limit, "right")
-                    if a < b:
-                        ids, vectors = self.ids[p][a:b], self.vectors[p][a:b]
-                        scores = np.rint(vectors.astype(np.float64) @ q[0, :-1]).astype(np.int64) if fast else vectors @ query
-                        other = ids != own
-                        best.add(scores[other], ids[other])
+    """The k best (score, smaller id first) that each query of a batch has met."""
+
+    def __init__(self, n: int, k: int, floors: np.ndarray):
+        self.k, self.floors = k, floors.copy()  # least score that may still be among the k best
+        self.peaks = np.full((n, k), -np.inf)  # the k highest scores met
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray, own: np.ndarray) -> None:
+        """scores: a row for each of queries, a column for each of ids; own: ids of the queries, which aren't their own candidates."""
+        good = (scores >= self.floors[queries, None]) & (ids[None, :] != own[:, None])
+        hot = np.flatnonzero(good.any(axis=1))
+        if not len(hot):
+            return
+        some, good = queries[hot], good[hot]
+        row, column = np.nonzero(good)
+        self.held.append((some[row], scores[hot[row], column], ids[column]))
+        self.size += len(row)
+        both = np.concatenate([self.peaks[some], np.where(good, scores[hot], -np.inf)], axis=1)
+        self.peaks[some] = np.partition(both, both.shape[1] - self.k, axis=1)[:, -self.k :]
+        self.floors[some] = np.maximum(self.floors[some], self.peaks[some].min(axis=1))
+        if self.size > 4 * self.peaks.size + 65_536:
+            self.held = [self.result()]
+            self.size = len(self.held[0][0])
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, score, id), at most k rows a query."""
+        if not self.held:
+            return np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+        q, s, i = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        near = s >= self.floors[q]
+        q, s, i = q[near], s[near], i[near]
+        order = np.lexsort((i, -s, q))
+        q, s, i = q[order], s[order], i[order]
+        start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, np.int64)
+        keep = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)])) < self.k
+        return q[keep], s[keep], i[keep]
+
+
+def search(trees: list[Tree], queries: np.ndarray, own: np.ndarray, best: Best, peak: int, homes: np.ndarray | None = None) -> None:
+    """Best-first over the nodes of all trees for a batch of queries at once.
+
+    A node waits under the least distance that it may hold for any of the queries that can't
+    rule it out yet. Bounds from stored distances to the parent come before distances to
+    centres, those before scores. homes: pivots of the only trees that each query looks into.
+    """
+    q = np.c_[queries.astype(np.float64), np.zeros(len(queries))]
+    norms = (q * q).sum(axis=1)
+
+    def reach(some: np.ndarray) -> np.ndarray:
+        # scores are whole, so the next lower one is 2 further in squared distance; less than that spares rounding
+        return np.sqrt(np.maximum(0.0, norms[some] + peak - 2.0 * best.floors[some]) + 1.0 + 1e-6 * peak)
+
+    heap: list[tuple] = []
+    serial = 0
+
+    def push(tree: Tree, node: int, some: np.ndarray, d: np.ndarray) -> None:
+        nonlocal serial
+        low = np.maximum(0.0, d - tree.radius[node])
+        live = low <= reach(some)
+        if live.any():
+            serial += 1
+            heapq.heappush(heap, (float(low[live].min()), serial, tree, node, some[live], d[live]))
+
+    for tree in trees:
+        some = np.arange(len(q)) if homes is None else np.flatnonzero(homes == tree.pivot)
+        if len(some):
+            push(tree, 0, some, _distances(q[some], tree.centres[:1])[:, 0])
+    while heap:
+        _, _, tree, node, some, d = heapq.heappop(heap)
+        limit = reach(some)
+        live = d - tree.radius[node] <= limit
+        some, d, limit = some[live], d[live], limit[live]
+        if not len(some):
+            continue
+        first, count = int(tree.first[node]), int(tree.count[node])
+        if first < 0:
+            far = tree.to_centre[-1 - first : -1 - first + count]
+            a, b = np.searchsorted(far, (d - limit).min(), "left"), np.searchsorted(far, (d + limit).max(), "right")
+            if a < b:
+                at = slice(-1 - first + a, -1 - first + b)
+                scores = q[some, :-1] @ tree.vectors[at].T if tree.vectors.dtype == np.float64 else (queries[some] @ tree.vectors[at].T).astype(np.float64)
+                best.add(some, scores, tree.ids[at], own[some])
+            continue
+        children = np.arange(first, first + count)
+        may = np.abs(d[:, None] - tree.to_parent[children]) - tree.radius[children] <= limit[:, None]
+        for child in children[may.any(axis=0)].tolist():
+            close = np.flatnonzero(may[:, child - first])
+            push(tree, child, some[close], _distances(q[some[close]], tree.centres[child : child + 1])[:, 0])
 
 
 FOUND = "query_id long, vec_id long, score long"
@@ -167,22 +238,31 @@ def _ask(queries, dims: int, peak: int, k: int, at_home: bool):
     """queries: broadcast (ids, vectors, home pivots, floors)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in b.to_pylist()]
-        if not rows:
-            return
-        forest = Forest(rows, dims, peak)
-        here = set(forest.pivot.tolist())
         ids, vectors, homes, floors = queries.value
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for i in range(len(ids)):
-            if at_home and homes[i] not in here:
-                continue
-            best = Best(k, floors[i])
-            forest.search(vectors[i], ids[i], best, int(homes[i]) if at_home else None)
-            if len(best.ids):
-                out.append((np.full(len(best.ids), ids[i]), best.ids, best.scores))
-        if out:
-            yield pa.RecordBatch.from_pydict({n: np.concatenate([x[j] for x in out]) for j, n in enumerate(("query_id", "vec_id", "score"))})
+        floors = floors.copy()
+        exact = float(peak) < EXACT / 4 and float((vectors.astype(np.float64) ** 2).sum(axis=1).max()) < EXACT / 4
+
+        def ask(trees: list[Tree]) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(ids), QUERY_BATCH):
+                some = slice(at, at + QUERY_BATCH)
+                best = Best(len(ids[some]), k, floors[some])
+                search(trees, vectors[some], ids[some], best, peak, homes[some] if at_home else None)
+                floors[some] = best.floors
+                q, s, i = best.result()
+                if len(q):
+                    yield pa.RecordBatch.from_pydict({"query_id": ids[some][q], "vec_id": i, "score": s.astype(np.int64)})
+
+        trees: list[Tree] = []
+        held = 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                trees.append(Tree.read(row, dims, exact))
+                held += len(row["vectors"])
+                if held >= FOREST_BYTES:
+                    yield from ask(trees)
+                    trees, held = [], 0
+        if trees:
+            yield from ask(trees)
 
     return run
 
@@ -193,30 +273,34 @@ def _cut(found: DataFrame, k: int) -> DataFrame:
 
 
 def build_index(vectors: DataFrame) -> tuple[DataFrame, np.ndarray, int, int] | None:
-    """(pages, pivots, dims, peak) of vectors (vec_id, vector array<long>); None for an empty table.
+    """(trees, pivots, dims, peak) of vectors (vec_id, vector array<long>); None for an empty table.
 
     Every row is indexed. Pivots come from a sample of SAMPLE rows by hash; a row goes to its
-    nearest pivot, and a pivot above TREE_ROWS rows is dealt over several trees by a hash of the
-    row, so no group grows with the data, however many rows repeat a vector.
+    nearest pivot, and a pivot above TREE_ROWS rows is dealt over several trees by the place
+    where a row was read, so no group grows with the data, even if all rows are alike.
     """
+    spark = vectors.sparkSession
     dims, peak, n = vectors.agg(F.max(F.size("vector")), F.max(F.aggregate("vector", F.lit(0).cast("long"), lambda a, x: a + x * x)), F.count(F.lit(1))).first()
     if not n:
         return None
     dims, peak = max(1, dims), int(peak or 0)
-    sample = _matrix([r.vector for r in vectors.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("vector").collect()], dims)
-    lifted = _lifted(sample, peak)
+    lowest = vectors.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("vector").toArrow()["vector"].combine_chunks()
+    lifted = _lifted(_matrix(lowest if isinstance(lowest, pa.ListArray) else lowest.chunk(0), dims), peak)
     pivots = lifted[_spread(lifted, min(MOST_PIVOTS, max(1, -(-n // TREE_ROWS))))]
-    shared = vectors.sparkSession.sparkContext.broadcast(pivots)
+    shared = spark.sparkContext.broadcast(pivots)
 
-    def nearest(vector: pd.Series) -> pd.Series:
-        return pd.Series(_distances(_lifted(_matrix(vector, dims), peak), shared.value).argmin(axis=1).astype(np.int32))
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pivot = _distances(_lifted(_matrix(batch.column(2), dims), peak), shared.value).argmin(axis=1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(pivot), *batch.columns], names=["pivot", *batch.schema.names])
 
-    dealt = materialize(vectors.withColumn("pivot", F.pandas_udf(nearest, T.IntegerType())("vector")), "vectors-by-pivot")
+    dealt = vectors.select(F.xxhash64(F.monotonically_increasing_id()).alias("place"), "vec_id", "vector").mapInArrow(nearest, "pivot int, place long, vec_id long, vector array<long>")
+    dealt = materialize(dealt, "vectors-by-pivot")
     sizes = dealt.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / TREE_ROWS).alias("trees"))
-    salted = dealt.join(F.broadcast(sizes), "pivot")  # at most MOST_PIVOTS rows
-    salted = salted.withColumn("salt", F.pmod(F.xxhash64("vec_id", "vector"), F.col("trees")))
-    pages = salted.groupBy("pivot", "salt").applyInPandas(_grow(dims, peak), TREE)
-    return materialize(pages, "metric-pages"), pivots, dims, peak
+    salted = dealt.join(F.broadcast(sizes), "pivot").select("pivot", F.pmod("place", "trees").alias("salt"), "vec_id", "vector")  # at most MOST_PIVOTS rows are broadcast
+    parts = min(n // TREE_ROWS + 1, 4 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    trees = salted.repartition(parts, "pivot", "salt").groupBy("pivot", "salt").applyInArrow(_grow(dims, peak), TREE)
+    return materialize(trees, "metric-trees"), pivots, dims, peak
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
@@ -228,8 +312,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     vectors are filled up with zeros. Rows with a null id or vector take no part; an empty table
     gives no rows. Other columns are not read.
 
-    Queries go out in blocks of QUERY_BLOCK. A first pass looks only into each query's home
-    trees; the k-th score found there is a floor for the pass over all trees.
+    Queries go out in blocks of about QUERY_BYTES. A first pass looks only into each query's
+    home trees; the k-th score found there is a floor for the pass over all trees.
     """
     spark = vectors.sparkSession
     vectors = vectors.select("vec_id", "vector").where("vec_id IS NOT NULL AND vector IS NOT NULL")
@@ -237,22 +321,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     built = build_index(vectors)
     if built is None:
         return none
-    pages, pivots, dims, peak = built
+    trees, pivots, dims, peak = built
     asked = queries.where("vec_id IS NOT NULL AND vector IS NOT NULL").groupBy("vec_id").agg(F.min("vector").alias("vector"))
     asked = materialize(asked, "queries")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    blocks = max(1, -(-asked.count() * 8 * dims // QUERY_BYTES))
     results = []
     for b in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()  # about QUERY_BLOCK rows
-        if not rows:
+        rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow().combine_chunks()  # about QUERY_BYTES
+        if not rows.num_rows:
             continue
-        ids, mine = np.array([r.vec_id for r in rows]), _matrix([r.vector for r in rows], dims)
+        ids, mine = rows["vec_id"].to_numpy().astype(np.int64), _matrix(rows["vector"].chunk(0), dims)
         homes = _distances(np.c_[mine.astype(np.float64), np.zeros(len(mine))], pivots).argmin(axis=1)
-        first = spark.sparkContext.broadcast((ids, mine, homes, [None] * len(ids)))
-        near = _cut(pages.mapInArrow(_ask(first, dims, peak, k, True), FOUND), k)
-        floors = {r.query_id: r.score for r in near.where(F.col("rank") == k).select("query_id", "score").collect()}
-        second = spark.sparkContext.broadcast((ids, mine, homes, [floors.get(i) for i in ids.tolist()]))
-        best = _cut(pages.mapInArrow(_ask(second, dims, peak, k, False), FOUND), k).select("query_id", "rank", "vec_id", "score")
+        first = spark.sparkContext.broadcast((ids, mine, homes, np.full(len(ids), -np.inf)))
+        near = _cut(trees.mapInArrow(_ask(first, dims, peak, k, True), FOUND), k)
+        floors = {r.query_id: float(r.score) for r in near.where(F.col("rank") == k).select("query_id", "score").collect()}  # a row a query of the block
+        second = spark.sparkContext.broadcast((ids, mine, homes, np.array([floors.get(i, -np.inf) for i in ids.tolist()])))
+        best = _cut(trees.mapInArrow(_ask(second, dims, peak, k, False), FOUND), k).select("query_id", "rank", "vec_id", "score")
         results.append(materialize(best, "top-k") if blocks > 1 else best)
     out = results[0] if results else none
     for more in results[1:]:

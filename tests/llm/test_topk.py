@@ -43,7 +43,7 @@ def test_few_rows_and_empty(spark, monkeypatch):
 
 
 def test_blocks_of_queries(spark, monkeypatch):
-    monkeypatch.setattr(K, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(K, "QUERY_BYTES", 160)
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(size=5).astype(np.float32).tolist()) for i in range(300)]
     assert run(spark, rows, 3) == brute(rows, 3)
