@@ -12,17 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches
+from .markup import CONTENT, END, RAW, START, TEXT, Scanner
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_SHOW = re.compile(r"(display|visibility)\s*:\s*([\w-]+)\s*(!\s*important)?", re.I)
 _CSS = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->|\"(?:[^\"\\\n]|\\(?:.|\Z))*\"?|'(?:[^'\\\n]|\\(?:.|\Z))*'?|[{};]", re.S)
 _SCREEN = re.compile(r"(?:only\s+)?(?:screen|all)|not\s+(?:print|speech)|", re.I)
 _SPACE = re.compile(r"[ \t\n\f\r]+")
 #: Element classes of the HTML standard (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template title noscript iframe noembed noframes datalist object audio video canvas svg textarea".split())
+UNSEEN = frozenset("head script style template title noscript iframe noembed noframes datalist object audio video canvas desc defs symbol metadata".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul menu dir".split())
 ENDS_P = BLOCK - frozenset("body html option optgroup td th tr tbody thead tfoot caption legend".split())
@@ -32,8 +30,10 @@ CLOSES = {
     "td": ({"td", "th", "caption"}, {"tr", "table"}), "th": ({"td", "th", "caption"}, {"tr", "table"}), "tr": ({"tr", "td", "th", "caption"}, {"table"}),
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
 }
-#: Open elements beyond which a new one becomes a sibling of the innermost; columns are aligned up to this width.
-MOST_OPEN, MOST_WIDTH = 200, 60
+#: Open elements beyond which a new one becomes a sibling of the innermost; columns are aligned up to this width, and up to this one in all.
+MOST_OPEN, MOST_WIDTH, MOST_INDENT = 200, 60, 400
+#: Columns and rows that a cell reaches over at most; columns beyond the first of these don't reach into later rows.
+MOST_COLUMNS, MOST_ROWS = 100, 1000
 
 
 @dataclass
@@ -43,17 +43,10 @@ class Node:
     children: list[Node | str] = field(default_factory=list)
 
 
-def _attrs(text: str) -> dict[str, str]:
-    out: dict[str, str] = {}
-    for name, a, b, c in _ATTR.findall(text):
-        out.setdefault(name.lower(), html.unescape(a or b or c))
-    return out
-
-
 def build(source: str) -> tuple[Node, list[str]]:
     """(tree, style sheets) of a page; missing start and end tags are implied."""
     root = Node("html")
-    stack, sheets, at = [root], [], 0
+    stack, sheets = [root], []
 
     def text(s: str) -> None:
         if s:
@@ -90,33 +83,26 @@ def build(source: str) -> tuple[Node, list[str]]:
         if not empty:
             stack.append(node)
 
-    while m := _TOKEN.search(source, at):
-        text(source[at : m.start()])
-        at, tag = m.end(), (m["tag"] or "").lower()
-        if not tag:
-            continue
-        if m["end"]:
+    for kind, name, attrs in Scanner(source).tokens():
+        if kind == TEXT:
+            text(name)
+        elif kind == CONTENT:
+            if stack[-1].tag == "style" and _on_screen(stack[-1].attrs.get("media", "")):
+                sheets.append(name)
+            stack[-1].children.append(html.unescape(name) if stack[-1].tag in ("textarea", "title") else name)
+        elif kind == END:
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
+                if stack[i].tag == name:
                     del stack[i:]
                     break
-                if stack[i].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th"):
+                if stack[i].tag in ("td", "th", "table") and name not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th"):
                     break
-            continue
-        if tag in ("html", "body"):
-            (stack[1:] and stack[-1].tag == "head") and stack.pop()
-            root.attrs = _attrs(m["attrs"]) | root.attrs
-            continue
-        open_(tag, _attrs(m["attrs"]))
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>|\Z", re.I).search(source, at)
-            inner = source[at : end.start()]
-            at = end.end()
-            if tag == "style" and _on_screen(_attrs(m["attrs"]).get("media", "")):
-                sheets.append(inner)
-            stack[-1].children.append(inner)
-            stack.pop()
-    text(source[at:])
+        elif name in ("html", "body"):
+            if stack[1:] and stack[-1].tag == "head":
+                stack.pop()
+            root.attrs = attrs | root.attrs
+        else:
+            open_(name, attrs)
     return root, sheets
 
 
@@ -125,17 +111,34 @@ def _on_screen(condition: str) -> bool:
     return any(_SCREEN.fullmatch(part.strip()) for part in condition.split(","))
 
 
-def hidden_names(sheets: list[str]) -> set[str]:
-    """Plain selectors (tag, .class, #id) that style sheets hide, whatever the screen. Nested rules depend on their parents and don't count."""
-    out: set[str] = set()
+def _declared(text: str, order: int) -> Iterator[tuple[str, tuple[bool, int, str]]]:
+    """(property, (important, order, value)) of the declarations of a block that say what is seen."""
+    for name, value, important in _SHOW.findall(text):
+        yield name.lower(), (bool(important), order, value.lower())
+
+
+#: By property, for a plain selector (tag, .class, #id): its last declaration.
+Rules = dict[str, dict[str, tuple[bool, int, str]]]
+
+
+def rules_of(sheets: list[str]) -> Rules:
+    """What style sheets say of display and visibility, whatever the screen, by plain selectors. Nested rules depend on their parents and don't count."""
+    out: Rules = {}
+    order = 0
     for sheet in sheets:
         opened: list[str | bool] = []  # selectors of a rule, or whether rules of a group count
         words: list[str] = []
         at = 0
 
         def end() -> None:
-            if opened and isinstance(opened[-1], str) and _GONE.search("".join(words)):
-                out.update(s.strip().lower() for s in opened[-1].split(",") if re.fullmatch(r"[.#]?[\w-]+", s.strip()))
+            nonlocal order
+            if opened and isinstance(opened[-1], str):
+                order += 1
+                for name, said in _declared("".join(words), order):
+                    for selector in opened[-1].split(","):
+                        if re.fullmatch(r"[.#]?[\w-]+", selector.strip()):
+                            own = out.setdefault(selector.strip().lower(), {})
+                            own[name] = max(own.get(name, said), said, key=lambda x: x[:2])
             words.clear()
 
         for m in _CSS.finditer(sheet):
@@ -167,18 +170,47 @@ def hidden_names(sheets: list[str]) -> set[str]:
 class Page:
     """Lines of a page while its tree is walked."""
 
-    def __init__(self, hidden: set[str]):
-        self.hidden = hidden
+    def __init__(self, rules: Rules):
+        self.rules = rules
+        self.visible = True  # whether text is seen where the walk is
+
+    def _style(self, node: Node) -> dict[str, tuple]:
+        """What the strongest declaration says: important ones first, then by selector (tag, class, id, the element's own), then the last."""
+        out: dict[str, tuple] = {}
+        style = node.attrs.get("style", "")
+        if self.rules:
+            names = [(0, node.tag), *((1, "." + c) for c in node.attrs.get("class", "").lower().split()), (2, "#" + node.attrs.get("id", "").lower())]
+            for weight, name in names:
+                for prop, (important, order, value) in self.rules.get(name, {}).items():
+                    out[prop] = max(out.get(prop, (False, -1, 0, "")), (important, weight, order, value))
+        if style:
+            for prop, (important, order, value) in _declared(style, 0):
+                said = (important, 3, order, value)
+                if prop not in out or said[:3] >= out[prop][:3]:
+                    out[prop] = said
+        return out
 
     def seen(self, node: Node) -> bool:
-        if node.tag in UNSEEN or "hidden" in node.attrs or node.tag == "input":
-            return False
-        if node.tag == "dialog" and "open" not in node.attrs or _GONE.search(node.attrs.get("style", "")):
+        """Whether anything of an element may be seen; its visibility is looked at where its text is."""
+        if node.tag in UNSEEN or node.tag == "input" or node.tag == "dialog" and "open" not in node.attrs:
             return False
-        if self.hidden:
-            names = {node.tag, "#" + node.attrs.get("id", "").lower(), *("." + c for c in node.attrs.get("class", "").lower().split())}
-            return not (names & self.hidden)
-        return True
+        if not self.rules and "style" not in node.attrs:
+            return "hidden" not in node.attrs
+        display = self._style(node).get("display")
+        return "hidden" not in node.attrs if display is None else display[-1] != "none"
+
+    def enter(self, node: Node) -> bool:
+        """Takes over the visibility of an element; returns the one before."""
+        before = self.visible
+        if self.rules or "style" in node.attrs:
+            said = self._style(node).get("visibility")
+            if said and said[-1] in ("hidden", "collapse", "visible"):
+                self.visible = said[-1] == "visible"
+        if node.tag == "svg":
+            self.visible = False  # of a drawing only its texts
+        elif node.tag in ("text", "foreignobject"):
+            self.visible = True
+        return before
 
     def lines(self, node: Node, kept: bool = False) -> list[str]:
         """Lines of what a node holds. Empty lines stand between blocks that are spaced."""
@@ -209,10 +241,13 @@ class Page:
             number = 0
             for x in nodes:
                 if isinstance(x, str):
-                    run.append(x if kept else x.replace("\x00", ""))
-                elif not self.seen(x):
+                    if self.visible:
+                        run.append(x if kept else x.replace("\x00", ""))
                     continue
-                elif x.tag == "br":
+                if not self.seen(x):
+                    continue
+                before = self.enter(x)
+                if x.tag == "br":
                     run.append("\n" if kept else "\x00")
                 elif x.tag in BLOCK:
                     flush()
@@ -224,6 +259,7 @@ class Page:
                         gap = x.tag in SPACED
                 else:
                     walk(x.children)
+                self.visible = before
 
         walk(node.children)
         flush()
@@ -263,38 +299,68 @@ class Page:
         return loose, rows
 
     def table(self, node: Node) -> list[str]:
-        """Rows of cells, columns aligned; what stands between them comes first."""
+        """Rows of cells, columns aligned; what stands between them comes first. A cell is shown in the first row and column that it reaches over."""
         loose, rows = self.parts(node)
         out = self.lines(Node("div", {}, loose))
-        grid: list[list[list[str]]] = []
-        for tr in rows:
-            row: list[list[str]] = []
+        grid: list[list[tuple[int, list[str]]]] = []
+        held: dict[int, int] = {}  # the first columns, and the row up to which a cell above reaches into them
+        for number, tr in enumerate(rows):
+            row: list[tuple[int, list[str]]] = []
+            before = self.enter(tr)
+            column, taken = 0, {}
             for cell in tr.children:
-                if isinstance(cell, Node) and self.seen(cell):
-                    row.append(self.lines(cell if cell.tag in ("td", "th") else Node("td", {}, [cell])))
-                    span = cell.attrs.get("colspan", "1")
-                    row += [[]] * (min(int(span), 100) - 1 if span.isdecimal() and len(span) < 6 else 0)
-                elif isinstance(cell, str) and cell.strip():
-                    row.append(self.lines(Node("td", {}, [cell])))
-            if any(row):
+                if isinstance(cell, Node) and not self.seen(cell) or isinstance(cell, str) and not cell.strip():
+                    continue
+                if isinstance(cell, Node) and cell.tag in ("td", "th"):
+                    across, down = (_span(cell, name, most) for name, most in (("colspan", MOST_COLUMNS), ("rowspan", MOST_ROWS)))
+                    outer = self.enter(cell)
+                    found = self.lines(cell)
+                    self.visible = outer
+                else:
+                    across, down, found = 1, 1, self.lines(Node("td", {}, [cell]))
+                while held.get(column, 0) > number:
+                    column += 1
+                if found:
+                    row.append((column, found))
+                if down > 1:
+                    taken |= dict.fromkeys(range(column, min(column + across, MOST_COLUMNS)), number + down)
+                column += across
+            self.visible = before
+            held |= taken
+            if row:
                 grid.append(row)
-        widths: list[int] = []
+        widths: dict[int, int] = {}
         for row in grid:
-            for i, cell in enumerate(row):
-                if i == len(widths):
-                    widths.append(0)
-                widths[i] = max(widths[i], *(len(x) for x in cell if len(x) <= MOST_WIDTH), 0) if cell else widths[i]
+            for column, cell in row:
+                widths[column] = max(widths.get(column, 0), *(len(x) for x in cell if len(x) <= MOST_WIDTH), 0)
+        starts, at, last = {}, 0, -1
+        for column in sorted(widths):
+            at = min(MOST_INDENT, at + 2 * (column - last - 1))
+            starts[column] = at
+            at, last = min(MOST_INDENT, at + widths[column] + 2), column
         for row in grid:
-            for k in range(max(map(len, row))):
-                out.append("  ".join((cell[k] if k < len(cell) else "").ljust(widths[i]) for i, cell in enumerate(row)).rstrip())
+            for k in range(max(len(cell) for _, cell in row)):
+                line, size = [], 0
+                for column, cell in row:
+                    if k < len(cell) and cell[k]:
+                        gap = max(starts[column] - size, 2 if size else 0)
+                        line.append(" " * gap + cell[k])
+                        size += gap + len(cell[k])
+                out.append("".join(line))
         return out
 
 
+def _span(cell: Node, name: str, most: int) -> int:
+    text = cell.attrs.get(name, "1").strip()
+    return max(1, min(int(text), most)) if text.isdecimal() and len(text) < 6 else 1
+
+
 def render(source: str | None) -> str:
     if not source:
         return ""
     root, sheets = build(source)
-    page = Page(hidden_names(sheets))
+    page = Page(rules_of(sheets))
+    page.enter(root)
     return "\n".join(page.lines(root)) if page.seen(root) else ""
 
 

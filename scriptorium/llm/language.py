@@ -8,10 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, materialize
+from .markup import CONTENT, END, START, TEXT, Scanner
 from .urls import host_of
 
 #: Buckets of letter trigrams, labelled texts a language is learnt from at most, and the longest of them.
@@ -20,8 +21,9 @@ BUCKETS, SAMPLE, SAMPLE_CHARS = 1 << 14, 1500, 50_000
 TEMPER, MOST_NATS = 0.2, 30.0
 #: Rows that a prior counts for at each level, and those that a confusion table starts from.
 STRENGTH, PSEUDO = 10.0, 1.0
-_UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b.*?(?:</\1\s*>|\Z)|<[^>]*>", re.S | re.I)
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})\b|<meta\b[^>]*?content-language[^>]*?content\s*=\s*[\"']?([A-Za-z]{2,3})\b", re.I)
+#: Elements whose text nobody reads (fixed values).
+UNREAD = frozenset("script style template noscript iframe noembed noframes".split())
+_CODE = re.compile(r"[A-Za-z]{2,3}(?![A-Za-z])")
 
 
 def trigram_counts(text: str | None) -> np.ndarray:
@@ -33,13 +35,35 @@ def trigram_counts(text: str | None) -> np.ndarray:
     return np.bincount(code >> np.uint32(32 - BUCKETS.bit_length() + 1), minlength=BUCKETS)
 
 
+def read_page(source: str | None) -> tuple[str, str | None]:
+    """(text, declared language) of a page: what stands between its tags, and the first language that an html or meta tag names."""
+    parts, declared, skip = [], None, ""
+    for kind, name, attrs in Scanner(source or "").tokens():
+        if kind in (TEXT, CONTENT):
+            if not skip:
+                parts.append(name)
+            continue
+        parts.append(" ")
+        if kind == START and not skip:
+            if name in UNREAD:
+                skip = name
+            elif declared is None and name == "html":
+                declared = attrs.get("lang", "")
+            elif declared is None and name == "meta" and attrs.get("http-equiv", attrs.get("name", "")).lower() == "content-language":
+                declared = attrs.get("content", "")
+            code = _CODE.match((declared or "").strip())
+            declared = code[0].lower() if code else None
+        elif kind == END and name == skip:
+            skip = ""
+    return html.unescape("".join(parts)), declared
+
+
 def plain_text(source: str | None) -> str:
-    return html.unescape(_UNSEEN.sub(" ", source or ""))
+    return read_page(source)[0]
 
 
 def declared_of(source: str | None) -> str | None:
-    m = _DECLARED.search(source or "")
-    return (m[1] or m[2]).lower() if m else None
+    return read_page(source)[1]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,19 +83,15 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     SAMPLE_CHARS.
     There are as many languages as docs names.
     """
-    rows = docs.select("lang", "text").where("lang IS NOT NULL").where(F.char_length("text") <= SAMPLE_CHARS).withColumn("h", F.xxhash64("text"))
-    languages = sorted(r.lang for r in docs.select("lang").where("lang IS NOT NULL").distinct().collect())
-    some = None
-    for lang in languages:
-        own = rows.where(F.col("lang") == lang)
-        last = own.select("h").distinct().orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]  # only hashes are ordered
-        if last is not None:
-            own = own.where(F.col("h") <= last).groupBy("h").agg(F.first("text").alias("text")).select(F.lit(lang).alias("lang"), "text")
-            some = own if some is None else some.unionByName(own)
+    rows = docs.select("lang", "text").where("lang IS NOT NULL")
+    languages = sorted(r.lang for r in rows.select("lang").distinct().collect())
+    short = rows.where(F.char_length("text") <= SAMPLE_CHARS).withColumn("h", F.xxhash64("text"))
+    first = Window.partitionBy("lang").orderBy("h")  # only hashes are ordered, and each task keeps its first of a language
+    last = short.select("lang", "h").distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= SAMPLE).groupBy("lang").agg(F.max("h").alias("last"))
+    some = short.join(F.broadcast(last), "lang").where("h <= last").groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")  # a row a language
     table = np.full((len(languages), BUCKETS), 0.5)
-    if some is not None:
-        for r in some.repartition(8).mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
-            table[languages.index(r.lang), r.bucket] += r.n
+    for r in some.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
+        table[languages.index(r.lang), r.bucket] += r.n
     return languages, np.log(table / table.sum(axis=1, keepdims=True))
 
 
@@ -80,12 +100,12 @@ def _read(shared):
         logs = shared.value
         mean = logs.mean(axis=0)
         for batch in batches:
-            pages = batch.column(1).to_pylist()
-            nats = np.stack([(logs - mean) @ trigram_counts(plain_text(x)) for x in pages]) * TEMPER
+            pages = [read_page(x) for x in batch.column(1).to_pylist()]
+            nats = np.stack([(logs - mean) @ trigram_counts(text) for text, _ in pages]) * TEMPER
             nats -= nats.max(axis=1, keepdims=True)
             nats = np.maximum(nats, -MOST_NATS)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([declared_of(x) for x in pages], pa.string()), pa.array(nats.tolist(), pa.list_(pa.float64())), pa.array([any(c != 0.0 for c in x) for x in nats.tolist()], pa.bool_())],
+                [batch.column(0), batch.column(2), pa.array([declared for _, declared in pages], pa.string()), pa.array(nats.tolist(), pa.list_(pa.float64())), pa.array([any(c != 0.0 for c in x) for x in nats.tolist()], pa.bool_())],
                 names=["page_id", "url", "declared", "nats", "told"],
             )
 
@@ -127,7 +147,8 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", html_co
     by_suffix = _tallies(seen, "suffix", n).withColumnRenamed("tally", "suffix_tally")
     by_declared = _tallies(seen, "declared", n).withColumnRenamed("tally", "declared_tally")
     whole = seen.agg(F.array(*[F.count_if((F.col("guess") == i) & F.col("told")).cast("double") for i in range(n)])).first()[0]
-    met = seen.join(by_declared, "declared").join(by_suffix, "suffix").join(by_host, "host")
+    met = seen.join(materialize(by_declared, "declared-tallies"), "declared").join(materialize(by_suffix, "suffix-tallies"), "suffix")
+    met = met.join(materialize(by_host, "host-tallies"), "host")  # read anew, so that a hot host's rows can be split over tasks
     own = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when((i == F.col("guess")) & F.col("told"), 1.0).otherwise(0.0))
     met = met.withColumn("own", own).withColumn("whole", F.array(*[F.lit(float(x)) for x in whole]))
     for name in ("host_tally", "suffix_tally", "declared_tally", "whole"):

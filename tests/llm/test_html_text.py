@@ -1,9 +1,12 @@
 import random
+import time
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import types as T
 
 from scriptorium.llm import html_text as H
+from scriptorium.llm import language as L
 
 CASES = [
     (None, ""), ("", ""), ("   ", ""), ("a  b\n c", "a b c"), ("a &amp; b&nbsp;&nbsp;c &lt;", "a & b  c <"),
@@ -79,3 +82,103 @@ def test_only_rules_of_any_screen_hide():
     for rule in ("@media screen{.content{display:none}}", "@media only screen, print{.content{display:none}}", "@media print{.x{color:red}}.content{display:none}", "@charset 'a';/* b */.content{color:red;display:none}", "@layer a{.content{display:none}}", "@media all{@media screen{.content{display:none}}}"):
         assert H.render(page.format("", rule)) == "", rule
     H.render("<style>" + "{" * 20_000 + "'\\'" * 20_000 + "@media print{" * 5000)
+
+
+def test_cells_over_several_rows():
+    assert H.render("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>") == "a  b\n   c"
+    assert H.render("<table><tr><td>x<td rowspan=2 colspan=2>y<td>z<tr><td>u<td>v<tr><td>1<td>2<td>3<td>4</table>") == "x  y     z\nu        v\n1  2  3  4"
+    assert H.render("<table><tr><td rowspan=0>a<td>b<tr><td>c<td rowspan=x>d</table>") == "a  b\nc  d"
+
+
+def test_what_a_reader_sees():
+    assert H.render("a<textarea>b &amp; <p>c</textarea>") == "ab & <p>c"
+    assert H.render("<svg><title>no</title><desc>no</desc><g>no<text>drawn</text></g></svg>") == "drawn"
+    assert H.render("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b>no</div>") == "yes"
+    assert H.render("<style>.a{display:none}.a{display:block}</style><p class=a>yes") == "yes"
+    assert H.render("<style>.a{display:block}.a{display:none}</style><p class=a>no") == ""
+    assert H.render("<style>#i{display:block}.a{display:none}</style><p class=a id=i>yes") == "yes"
+    assert H.render("<style>.a{display:none!important}</style><p class=a style='display:block'>no") == ""
+    assert H.render("<style>p{display:none}</style><p style='display:inline'>yes<p>no") == "yes"
+    assert H.render("<style>.b{visibility:hidden}</style><table><tr class=b><td>no<td style='visibility:visible'>yes</table>") == "  yes"  # the cell that isn't seen has its place
+
+
+def test_broken_markup():
+    assert H.render("a<b") == "a" and H.render("a<!-- b") == "a" and H.render("a<!--> b") == "a b" and H.render("a</>b</ c>d") == "abd"
+    assert H.render("x < y <3 <é>") == "x < y <3 <é>"
+    assert H.render("<a href='x>y</a> z") == "y z" and H.render("<script>a</scriptx></script >b") == "b"
+
+
+class Slow(HTMLParser):
+    """An independent reader of well-formed pages: words that no hidden element holds."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.words, self.skip = [], [], 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("br", "meta", "link", "img", "hr", "input"):
+            return
+        gone = tag in ("script", "style", "title", "template", "head") or "hidden" in dict(attrs) or "none" in dict(attrs).get("style", "")
+        self.open.append((tag, gone))
+        self.skip += gone
+
+    def handle_endtag(self, tag):
+        while self.open:
+            t, gone = self.open.pop()
+            self.skip -= gone
+            if t == tag:
+                break
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.words += data.split()
+
+
+def slow_words(page):
+    reader = Slow()
+    reader.feed(page)
+    reader.close()
+    return reader.words
+
+
+def plain_words(text):
+    return [w for w in text.split() if w != "-" and not (w[:-1].isdecimal() and w.endswith("."))]
+
+
+def test_same_words_as_a_slow_reader(spark):
+    rng = random.Random(8)
+    number = iter(range(10**9))
+    word = lambda: f"w{next(number)}"
+
+    def make(depth):
+        kind = rng.choice(["text", "p", "div", "b", "ul", "table", "hidden", "gone", "br", "pre", "comment", "a"] if depth else ["text"])
+        inner = lambda: " ".join(make(depth - 1) for _ in range(rng.randrange(1, 4)))
+        if kind in ("p", "b", "pre", "a"):
+            return f"<{kind} title='<{word()}>'>{' '.join(word() for _ in range(3))}</{kind}>"
+        if kind == "div":
+            return f"<div>{inner()}</div>"
+        if kind == "ul":
+            return "<ul>" + "".join(f"<li>{inner()}</li>" for _ in range(2)) + "</ul>"
+        if kind == "table":
+            return "<table>" + "".join(f"<tr><td rowspan={rng.randrange(1, 3)}>{inner()}</td><td>{word()}</td></tr>" for _ in range(3)) + "</table>"
+        if kind == "hidden":
+            return f"<section hidden>{inner()}</section>"
+        if kind == "gone":
+            return f"<div style='display:none'>{inner()}</div>"
+        return {"br": "<br>", "comment": f"<!-- <p>{word()} -->"}.get(kind, f"{word()} {word()}")
+
+    for _ in range(150):
+        page = " ".join(make(4) for _ in range(3))
+        assert sorted(plain_words(H.render(page))) == sorted(slow_words(page)), page
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        assert plain_words(H.render(r.html)) == plain_words(" ".join(slow_words(r.html))), r.page_id
+
+
+@pytest.mark.parametrize("part", ["<a ", "<", "<!--", "<!", "</", "<a b='", "<a b=\"'", "<script>", "</script ", "<style>a{", "<table><tr><td rowspan=999>x", "<tr><td>x", "<td colspan=99>x", "<meta content-language", "<li>", "<b>x", "&", "<svg><text>", "<p style='display:", "a<b c=\"d>", "<html lang", "<td rowspan=1000>x<tr>"])
+def test_a_megabyte_of_broken_markup(part):
+    page = part * (1_000_000 // len(part))
+    began = time.process_time()
+    H.render(page)
+    rendered = time.process_time()
+    L.read_page(page)
+    assert rendered - began < 20 and time.process_time() - rendered < 10  # generous on a loaded machine; what it forbids takes hours

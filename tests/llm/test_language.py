@@ -77,3 +77,12 @@ def test_no_labelled_text_and_empty(spark):
     pages = spark.createDataFrame([(1, "http://a.b/", "<p>x", "")], PAGES)
     assert [r.lang for r in L.identify(pages, spark.createDataFrame([], DOCS)).collect()] == [None]
     assert L.identify(spark.createDataFrame([], PAGES), spark.createDataFrame([("ka", "aa", "")], DOCS)).count() == 0
+
+
+def test_declared_language():
+    for page, lang in [
+        ('<!-- <html lang="de"> --><html lang="fr">', "fr"), ('<html data-lang="de">x', None), ("<HTML class=a LANG='En-gb'>", "en"), ("<html><meta http-equiv=Content-Language content=es>", "es"), ("<script><html lang=de></script>", None),
+        ("<html lang=''><meta name=content-language content='it, en'>", "it"), (None, None), ("", None), ("<html lang=german>", None), ("<p lang=de>", None), ("<meta content-language" * 2000, None), ("<html lang=de", None),
+    ]:
+        assert L.declared_of(page) == lang, page
+    assert L.plain_text("a<script>b</script><template><p>c</template>d &amp; e<noscript>f</noscript>").split() == ["a", "d", "&", "e"]
