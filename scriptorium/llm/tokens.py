@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -12,6 +11,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,73 +24,135 @@ MAGIC = b"PLN1"
 BLOCK_IDS, CHUNK_IDS = 1 << 16, 1 << 19
 #: Stretches of ascending ids that the files are dealt into, at most.
 MOST_PARTS = 100_000
-#: Pieces of text a worker remembers the ids of.
-CACHE_PIECES = 300_000
-_UNSAFE = re.compile(r"[ \n](?:\s|\Z)")
-_STOPPED = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+[.,]")
+#: Words that a worker remembers the ids of, and those that one call of the tokenizer is given at a time.
+CACHE_WORDS, CALL_WORDS = 500_000, 500
+#: Every kind of white space that a pre-tokenizer may know, as a class of RE2 (fixed values).
+SPACES = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: A character that parts pieces; texts that hold it are encoded whole.
+MARK = "\x01"
+STOPS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_WORD_END = r"[0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]$"
+
+
+def _strings(column: pa.StringArray) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """flat[starts[i] : starts[i] + sizes[i]] of every i, one after the other."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 class Encoder:
     """Ids of whole texts by a byte-level BPE file of the tokenizers library.
 
-    Its pre-tokenizer never joins a visible character to following white space, so a text in
-    which every space and line end is followed by a visible character can be cut before each;
-    the ids of the pieces are then the ids of the text. Pieces recur, and each is encoded once
-    a task. Other texts are encoded whole. Strings of special tokens are ordinary text.
+    Its pre-tokenizer never joins a visible character to following white space, and of a run of
+    white space only the last character can go with what follows. So a text can be cut before
+    each space or line end that a visible character follows, and the ids of the pieces are the
+    ids of the text; a word likewise before the signs that end it. Pieces recur, so each
+    distinct word goes through the library once a worker, as long as it is among the first
+    CACHE_WORDS, and else once a batch. Texts that hold an added token's string are encoded whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of their own cost memory each
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocab = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.kind = np.dtype("<u2" if len(self.opens) <= 1 << 16 else "<u4")
         self.opens[[i for t, i in vocab.items() if t[0] in "ĠĊ"]] = True
-        self.known: dict[str, bytes] = {}
-        self.stops = {c: self._ids([c])[0].tobytes() for c in ".,"}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[str, int] = {"": 0}  # number of a word; its ids are flat[edges[n] : edges[n + 1]]
+        self.flat, self.edges = np.empty(0, self.kind), np.zeros(2, np.int64)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, dtype=self.kind) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: set[str]) -> None:
-        # a word and the stop after it are encoded apart in any case, so the word is all there is to learn
-        stopped = [p for p in pieces if _STOPPED.fullmatch(p)]
-        plain = list({p[:-1] for p in stopped}.union(pieces.difference(stopped)).difference(self.known))
-        for at in range(0, len(plain), 20_000):
-            some = plain[at : at + 20_000]
-            for first, ids in enumerate(self._ids(["".join([p if p[0] == "\n" else " " + p for p in some[i : i + 500]]) for i in range(0, len(some), 500)])):
-                starts = np.flatnonzero(self.opens[ids])
-                raw, cuts = ids.tobytes(), (self.kind.itemsize * np.r_[starts, len(ids)]).tolist()
-                self.known.update(zip(some[500 * first : 500 * first + 500], (raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
-        self.known.update([(p, self.known[p[:-1]] + self.stops[p[-1]]) for p in stopped])
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words one after the other, how many each has). Words after one space are told apart in a longer text by the tokens that open with it."""
+        plain = pc.match_substring_regex(pa.array(words, pa.string()), rf"^[ \n][^{SPACES}]+$").to_numpy(zero_copy_only=False)
+        spaced, others = [w for w, p in zip(words, plain, strict=True) if p], [w for w, p in zip(words, plain, strict=True) if not p]
+        found: list[np.ndarray] = []
+        sizes = np.zeros(len(words), np.int64)
+        counts: list[np.ndarray] = []
+        for ids in self._ids(["".join(spaced[i : i + CALL_WORDS]) for i in range(0, len(spaced), CALL_WORDS)]):
+            counts.append(np.diff(np.r_[np.flatnonzero(self.opens[ids]), len(ids)]))
+            found.append(ids)
+        sizes[plain] = np.concatenate([*counts, np.zeros(0, np.int64)])
+        single = self._ids(others)
+        sizes[~plain] = [len(x) for x in single]
+        both = np.concatenate([*found, *single, np.empty(0, self.kind)])
+        place = np.r_[np.flatnonzero(plain), np.flatnonzero(~plain)]  # word of each stretch of both
+        starts = np.empty(len(words), np.int64)
+        starts[place] = np.cumsum(sizes[place]) - sizes[place]
+        return _gather(both, starts, sizes), sizes
+
+    def _numbers(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers of distinct words, flat, edges) after learning those not known; those that don't fit the memory are only in the flat and edges returned."""
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0)
+        flat, edges = self.flat, self.edges
+        if len(new):
+            fresh = [words[i] for i in new.tolist()]
+            ids, sizes = self._learn(fresh)
+            first = len(edges) - 1
+            at[new] = first + np.arange(len(new))
+            flat, edges = np.concatenate([flat, ids]), np.concatenate([edges, edges[-1] + np.cumsum(sizes)])
+            room = max(0, CACHE_WORDS - first)
+            if room:
+                self.known.update(zip(fresh[:room], range(first, first + room), strict=False))
+                self.edges = edges[: first + 1 + min(room, len(new))].copy()
+                self.flat = flat[: self.edges[-1]].copy()
+        return at, flat, edges
+
+    def _pieces(self, texts: pa.StringArray, whole: pa.BooleanArray) -> pa.ListArray:
+        cut = texts
+        for space in " \n":
+            cut = pc.replace_substring(cut, space, MARK + space)
+        runs = pc.match_substring_regex(texts, rf"[ \n](?:[{SPACES}]|\z)")  # only there a space may have no visible character behind it
+        if pc.any(runs).as_py():
+            cut = pc.replace_with_mask(cut, runs, pc.replace_substring_regex(texts.filter(runs), rf"([ \n])([^{SPACES}])", MARK + r"\1\2"))
+        if pc.any(whole).as_py():
+            cut = pc.if_else(whole, "", cut)
+        return pc.split_pattern(cut, MARK)
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian integers of `kind`; none for a null or empty one."""
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        get, out, fresh = self.known.get, [], set()
-        for text in texts:
-            if _UNSAFE.search(text or ""):
-                out.append((text, [], []))
-            else:
-                head, *pieces = (text or "").replace("\n", " \n").split(" ")
-                ids, holes, k = list(map(get, pieces, repeat(b""))), [], -1
-                try:
-                    while True:
-                        k = ids.index(b"", k + 1)
-                        holes.append((k, pieces[k]))
-                except ValueError:
-                    pass
-                fresh.update([p for _, p in holes])
-                out.append((head, ids, holes))
-        if fresh:
-            self._learn(fresh)
-        for _, ids, holes in out:
-            for k, piece in holes:
-                ids[k] = self.known[piece]
-        heads = self._ids([head for head, _, _ in out])
-        return [h.tobytes() + b"".join(ids) for h, (_, ids, _) in zip(heads, out, strict=True)]
+        texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string()), "")
+        if not len(texts):
+            return []
+        whole = pc.match_substring(texts, MARK)
+        for token in self.added:
+            whole = pc.or_(whole, pc.match_substring(texts, token))
+        pieces = self._pieces(texts, whole)
+        per_text = pieces.value_lengths().to_numpy(zero_copy_only=False)
+        coded = pieces.flatten().dictionary_encode()
+        distinct = coded.dictionary
+        stems = pc.ascii_rtrim(distinct, characters=STOPS)
+        stems = pc.if_else(pc.match_substring_regex(stems, _WORD_END), stems, distinct)
+        bare = pc.binary_length(stems).to_numpy(zero_copy_only=False)
+        tailed = np.flatnonzero(bare < pc.binary_length(distinct).to_numpy(zero_copy_only=False))
+        tails = [w[len(s) :] for w, s in zip(_strings(distinct.take(pa.array(tailed))), _strings(stems.take(pa.array(tailed))), strict=True)]
+        stems = stems.dictionary_encode()
+        words = dict.fromkeys(_strings(stems.dictionary))  # a tail may be a stem as well
+        order = {w: i for i, w in enumerate(words | dict.fromkeys(tails))}
+        number, flat, edges = self._numbers(list(order))
+        both = np.zeros((len(distinct), 2), np.int64)  # number of the stem and of the tail, 0 for none
+        both[:, 0] = number[: len(words)][stems.indices.to_numpy(zero_copy_only=False)]
+        both[tailed, 1] = number[[order[t] for t in tails]] if tails else 0
+        sizes = edges[both + 1] - edges[both]
+        flat = _gather(flat, edges[both].ravel(), sizes.ravel())  # ids of the distinct pieces
+        sizes = sizes.sum(axis=1)
+        starts = np.cumsum(sizes) - sizes
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        raw = _gather(flat, starts[at], sizes[at]).tobytes()
+        ends = np.r_[0, np.cumsum(sizes[at])][np.cumsum(per_text)] * self.kind.itemsize
+        out = [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        held = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        for i, ids in zip(held.tolist(), self._ids(_strings(texts.take(pa.array(held)))), strict=True):
+            out[i] = ids.tobytes()
+        return out
 
 
 def pack(ids: np.ndarray, planes: str = "byte") -> bytes:
@@ -138,19 +200,31 @@ _ENCODERS: dict[str, Encoder] = {}
 CHUNKS = "part int, chunk int, start long, n_ids long, doc_ids array<long>, lengths array<long>, data binary"
 
 
-def _encode(path: str, edges):
-    """Rows (doc_id, mark, text) to (part, doc_id, mark, width, ids); part numbers the stretch of ids that doc_id falls in."""
+def _part(docs: np.ndarray, missing: np.ndarray, marks: np.ndarray, edges: np.ndarray, apart: int) -> np.ndarray:
+    """Part of each row: the stretch between two edges that its id falls in.
+
+    An id that is several edges holds so many rows that it has as many parts; rows without an
+    id have the `apart` parts below zero. Such rows are dealt by their mark, in its order.
+    """
+    share = (marks.astype(np.float64) + 2.0**63) / 2.0**64
+    low, high = np.searchsorted(edges, docs, "left"), np.searchsorted(edges, docs, "right")
+    many = np.maximum(1, high - low)
+    part = low + np.minimum((share * many).astype(np.int64), many - 1)
+    return np.where(missing, np.minimum((share * apart).astype(np.int64), apart - 1) - apart, part).astype(np.int32)
+
+
+def _encode(path: str, edges, apart: int):
+    """Rows (doc_id, mark, text) to (part, doc_id, mark, width, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _ENCODERS:
             _ENCODERS[path] = Encoder(path)
         encoder = _ENCODERS[path]
         for batch in batches:
-            docs, ids = batch.column(0), encoder.encode(batch.column(2).to_pylist())
-            part = np.searchsorted(edges.value, docs.fill_null(0).to_numpy(zero_copy_only=False), "left").astype(np.int32)
-            part[docs.is_null().to_numpy(zero_copy_only=False)] = -1
-            yield pa.RecordBatch.from_arrays([pa.array(part), docs, batch.column(1), pa.array([encoder.kind.itemsize] * len(ids), pa.int32()), pa.array(ids, pa.binary())], names=["part", "doc_id", "mark", "width", "ids"])
-        encoder.known.clear()  # workers outlive their tasks; what they hold must not
+            docs, marks, ids = batch.column(0), batch.column(1), encoder.encode(batch.column(2))
+            missing = docs.is_null().to_numpy(zero_copy_only=False)
+            part = _part(docs.fill_null(0).to_numpy(zero_copy_only=False), missing, marks.to_numpy(zero_copy_only=False), edges.value, apart)
+            yield pa.RecordBatch.from_arrays([pa.array(part), docs, marks, pa.array([encoder.kind.itemsize] * len(ids), pa.int32()), pa.array(ids, pa.binary())], names=["part", "doc_id", "mark", "width", "ids"])
 
     return run
 
@@ -200,15 +274,17 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2, pla
     A row of the files is a chunk of whole documents: the chunk index (part, chunk, start,
     n_ids, ids and lengths of its documents) and the shuffled, compressed ids. Texts are encoded
     where they are read; only ids move, to the part of their doc_id, whose edges are
-    approximate percentiles. Rows that share an id follow each other by a hash of their text.
+    approximate percentiles; an id that is several of them, and rows without an id, are dealt
+    over several parts. Rows that share an id follow each other by a hash of their text.
     Spark's writer commits the files, so a lost executor costs its tasks only.
     """
     spark = docs.sparkSession
-    bound_batches(spark, rows=500)
+    bound_batches(spark, rows=4000, size="8m")
     parts = min(MOST_PARTS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    edges = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []
-    shared = spark.sparkContext.broadcast(np.unique(np.array(edges, np.int64)))
-    encoded = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(_encode(tokenizer, shared), "part int, doc_id long, mark long, width int, ids binary")
+    edges, rows, named = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts), F.count(F.lit(1)), F.count("doc_id")).first()
+    apart = max(1, parts * (rows - named) // max(1, rows))
+    shared = spark.sparkContext.broadcast(np.array(edges or [], np.int64))
+    encoded = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(_encode(tokenizer, shared, apart), "part int, doc_id long, mark long, width int, ids binary")
     encoded.repartition("part").sortWithinPartitions("part", "doc_id", "mark").mapInArrow(_write(end_id, planes), CHUNKS).write.parquet(out)
 
 

@@ -11,12 +11,11 @@ from scriptorium.llm import tokens as K
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("start", T.StringType())])
-ODD = [None, "", " ", "  ", "a", " a", "a ", "a  b", "a   b", "a\n b", "a\n\n  b", "a \n b", "don't we'll 12 34x", "é  x  y", "Ġ x", "<|endoftext|> a", "日本 語", "a\tb c\r\n d", "x" * 5000, "😀 😀", "a\x1c b \x85c", "\nab", "a\nb c\nd\n", "a\t\nb", "x\n\ty", "a.\nB \nc"]
+ODD = [None, "", " ", "  ", "a", " a", "a ", "a  b", "a   b", "a\n b", "a\n\n  b", "a \n b", "don't we'll 12 34x", "é  x  y", "Ġ x", "<|endoftext|> a", "日本 語", "a\tb c\r\n d", "x" * 5000, "😀 😀", "a\x1c b \x85c", "\nab", "a\nb c\nd\n", "a\t\nb", "x\n\ty", "a.\nB \nc", "a  <|endoftext|>  b", "x<|endoftext|>", "a\x01b \x01 c", "it's. dogs', (a). x_,. 5% a'", "...  ,, a", "é. ø! ñ?", "w\xa0. \xa0x", "日. 本,", " .", "'s 't"]
 
 
 def plain(texts):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
@@ -26,6 +25,18 @@ def test_pieces_have_the_ids_of_the_text():
     encoder = K.Encoder(PATH)
     got = [np.frombuffer(b, encoder.kind).tolist() for b in encoder.encode(texts)]
     assert got == plain(texts)
+    assert [np.frombuffer(b, encoder.kind).tolist() for b in encoder.encode(texts)] == got  # from memory
+
+
+def test_more_words_than_the_memory_holds(monkeypatch):
+    monkeypatch.setattr(K, "CACHE_WORDS", 20)
+    monkeypatch.setattr(K, "CALL_WORDS", 3)
+    rng = random.Random(2)
+    encoder = K.Encoder(PATH)
+    for _ in range(5):
+        texts = [" ".join(f"w{rng.randrange(60)}" + rng.choice(["", ".", "?!"]) for _ in range(50)) for _ in range(3)]
+        assert [np.frombuffer(b, encoder.kind).tolist() for b in encoder.encode(texts)] == plain(texts)
+        assert len(encoder.known) <= 21
 
 
 @pytest.mark.parametrize("planes", ["byte", "bit"])
@@ -60,3 +71,12 @@ def test_read_tokens(spark, tmp_path):
     got = {r.doc_id: (r.start, r.ids) for r in K.read_tokens(spark, f"file://{tmp_path}/t").collect()}
     a, b = plain(["a", "b c"])
     assert got == {1: (0, [*a, 2]), 2: (len(a) + 1, [*b, 2])}
+
+
+def test_frequent_ids_have_several_parts_in_order():
+    rng = np.random.default_rng(4)
+    docs, marks = rng.choice([1, 5, 5, 5, 5, 9], 1000), rng.integers(-(2**63), 2**63 - 1, 1000)
+    missing = rng.random(1000) < 0.2
+    part = K._part(docs, missing, marks, np.array([1, 5, 5, 5, 5, 9]), 3)
+    order = np.lexsort((marks, np.where(missing, 0, docs), ~missing))
+    assert (np.diff(part[order]) >= 0).all() and len(set(part[(docs == 5) & ~missing].tolist())) == 4 and set(part[missing].tolist()) == {-3, -2, -1}
