@@ -1,105 +1,171 @@
-"""Benchmark decontamination: shared n-grams find passages, a bound on the score spares most chance meetings, Smith-Waterman alignment scores the rest."""
+"""Benchmark decontamination: rare n-grams find the passages that may hold an item, bounds spare most chance meetings, Smith-Waterman alignment scores the rest."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import bound_batches, materialize
+from .common import arrow_batches, materialize
 
 _WORD = re.compile(r"\w+")
-#: Words of a seed.
-SEED_WORDS = 4
-#: Not read any more: every n-gram is a seed, however frequent. A test still sets it.
-RARE_DOCS = 50
-#: N-grams of benchmark items that one pass over the corpus looks for.
-PASS_NGRAMS = 4_000_000
+#: Words of an item at least.
+LEAST_WORDS = 4
+#: Words of benchmark items that one pass over the corpus looks for.
+PASS_WORDS = 1_000_000
 MATCH, MISMATCH, GAP = 2, 1, 1
 LEAST_SCORE = 0.5
+#: Words between those of an n-gram, in the item and in the text, at most: two words with none or one left out between them.
+SKIPS = (1, 2)
+_ASCII_WORD = bytes(c if c >= 128 or c == 0 or c == 95 or chr(c).isalnum() else 32 for c in range(256))
 
 
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def _grams(ids: np.ndarray, n: int) -> np.ndarray:
-    """64-bit keys of the n-grams of word numbers."""
-    key = np.zeros(max(0, len(ids) - n + 1), np.uint64)
-    for i in range(n):
-        key = (key ^ ids[i : i + len(key)].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    return key.view(np.int64)
+def cut_words(texts: list[str | None]) -> tuple[pa.StringArray, np.ndarray]:
+    """(words of all texts, lengths): what words_of gives for each, cut in one go."""
+    joined = " \0 ".join([(t or "").lower().replace("\0", " ") for t in texts]) + " \0 "
+    for c in set(joined):
+        if c >= "\x80" and not c.isalnum():
+            joined = joined.replace(c, " ")
+    parts = pc.split_pattern(pa.array([joined.encode().translate(_ASCII_WORD)], pa.binary()).cast(pa.large_string()), " ").flatten()
+    parts = parts.filter(pc.greater(pc.binary_length(parts), 0))
+    ends = np.flatnonzero(pc.equal(parts, "\0").to_numpy(zero_copy_only=False))
+    return parts, np.diff(np.r_[-1, ends]) - 1
 
 
+@dataclass
 class Watch:
-    """Some benchmark items and their n-grams, to be found in documents."""
+    """Some benchmark items, their n-grams, and those of them that are looked for.
 
-    def __init__(self, items: list[tuple[int, str]], least: float = LEAST_SCORE):
+    2 * matches - edits of an alignment is at least 2 * least * words of the item. So it has
+    enough matched words (need) within a stretch (span), and at least `pairs` neighbouring
+    matched words with one edit or none between them: n-grams of two words that skip none or
+    one. An item can therefore do without its most frequent ones, as long as fewer than `pairs`
+    of the places where they begin go, and still no passage that reaches the score is lost.
+    """
+
+    items: np.ndarray
+    texts: list[str]
+    vocabulary: list[str]
+    words: np.ndarray
+    starts: np.ndarray
+    need: np.ndarray
+    span: np.ndarray
+    pairs: np.ndarray
+    keys: np.ndarray  # of all n-grams, each once, rising
+    first: np.ndarray  # words that an n-gram looked for begins with
+    wanted: np.ndarray  # n-grams that are looked for
+    owned: np.ndarray  # items of n-gram k: owners[owned[k] : owned[k + 1]]
+    owners: np.ndarray
+
+    @classmethod
+    def of(cls, items: list[tuple[int, str]], least: float = LEAST_SCORE) -> Watch:
         cut = [words_of(t) for _, t in items]
-        self.vocabulary: dict[str, int] = {}
+        numbers: dict[str, int] = {}
         for words in cut:
             for w in words:
-                self.vocabulary.setdefault(w, len(self.vocabulary))
-        self.items = np.array([i for i, _ in items], np.int64)
+                numbers.setdefault(w, len(numbers))
         lengths = np.array([len(words) for words in cut], np.int64)
-        self.words = np.fromiter((self.vocabulary[w] for words in cut for w in words), np.int64, int(lengths.sum()))
-        self.starts = np.r_[0, np.cumsum(lengths)]
-        grams = [_grams(self.words[s:e], SEED_WORDS) for s, e in zip(self.starts[:-1], self.starts[1:], strict=True)]
-        keys, owners = np.concatenate([*grams, np.zeros(0, np.int64)]), np.repeat(np.arange(len(cut)), [len(g) for g in grams])
-        order = np.lexsort((owners, keys))
-        keys, owners = keys[order], owners[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])
-        self.owners = owners[new]
-        self.keys, first = np.unique(keys[new], return_index=True)
-        self.owned = np.r_[first, len(self.owners)]  # owners of key k: owners[owned[k]:owned[k + 1]]
-        # 2 * matches - edits >= score, so `need` words match, in a stretch of at most `span` words
-        self.need = np.ceil(least * lengths - 1e-9).astype(np.int64)
-        self.span = np.maximum(1, np.floor((3 - 2 * least) * lengths + 1e-9).astype(np.int64))
-        self.reach = int(lengths.max()) if len(lengths) else 0
-
-    def passages(self, text: str | None) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-        """Stretches of the text around watched n-grams, each wide enough for an item around any of them: (words, their numbers, positions of the n-grams in `keys`)."""
-        words = words_of(text)
-        get = self.vocabulary.get
-        ids = np.array([get(w, -1) for w in words], dtype=np.int64)
-        if len(ids) < SEED_WORDS or not len(self.keys):
-            return
-        known = np.convolve(ids >= 0, np.ones(SEED_WORDS, np.int64), "valid") == SEED_WORDS
-        at = np.flatnonzero(known)
-        if not len(at):
+        words = np.fromiter((numbers[w] for own in cut for w in own), np.int64, int(lengths.sum()))
+        watch = cls(
+            np.array([i for i, _ in items], np.int64), [t for _, t in items], list(numbers), words, np.r_[0, np.cumsum(lengths)], np.ceil(least * lengths - 1e-9).astype(np.int64),
+            np.maximum(1, np.floor((3 - 2 * least) * lengths + 1e-9).astype(np.int64)), np.maximum(1, np.ceil(least * lengths - 1 - 1e-9).astype(np.int64)), *[np.zeros(0, np.int64)] * 5,
+        )
+        watch.keys = np.unique(watch._grams()[0])
+        return watch.rarest(None)
+
+    def _grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, items, places in `words`) of all n-grams."""
+        item = np.repeat(np.arange(len(self.items)), np.diff(self.starts))
+        keys, owners, places = [], [], []
+        for d in SKIPS:
+            at = np.flatnonzero(item[d:] == item[:-d])
+            keys.append(self.words[at] * len(self.vocabulary) + self.words[at + d])
+            owners.append(item[at])
+            places.append(at)
+        return np.concatenate(keys), np.concatenate(owners), np.concatenate(places)
+
+    def rarest(self, counts: np.ndarray | None) -> Watch:
+        """Looks for the rarest n-grams only, by counts of `keys`; without counts for all."""
+        keys, owners, places = self._grams()
+        number = np.searchsorted(self.keys, keys)
+        worst = np.zeros(len(self.words), np.int64)
+        if counts is not None:
+            np.maximum.at(worst, places, counts[number])
+        item = np.repeat(np.arange(len(self.items)), np.diff(self.starts))
+        order = np.lexsort((np.arange(len(item)), -worst, item))  # of each item, the most frequent first
+        rank = np.arange(len(item)) - self.starts[item[order]]
+        kept = np.ones(len(item), bool)
+        kept[order] = rank >= self.pairs[item[order]] - 1
+        if counts is None:
+            kept[:] = True
+        use = kept[places]
+        both = np.unique(np.stack([number[use], owners[use]]), axis=1)
+        self.wanted = np.unique(both[0])
+        self.owners = both[1]
+        self.owned = np.searchsorted(both[0], np.r_[self.wanted, len(self.keys)])
+        self.first = np.zeros(len(self.vocabulary) + 1, bool)
+        self.first[self.keys[self.wanted] // max(1, len(self.vocabulary))] = True
+        return self
+
+    def hits(self, ids: np.ndarray, text: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, numbers in `keys`) of the n-grams in words numbered by the vocabulary, -1 for others; text: which text a word is of."""
+        places, found = [], []
+        for d in SKIPS:
+            at = np.flatnonzero((ids[:-d] >= 0) & (ids[d:] >= 0) & (text[:-d] == text[d:]) & self.first[ids[:-d]])
+            key = ids[at] * len(self.vocabulary) + ids[at + d]
+            place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = keys[place] == key
+            places.append(at[hit])
+            found.append(place[hit])
+        return np.concatenate(places), np.concatenate(found)
+
+    def passages(self, ids: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, first, end): stretches in which an n-gram looked for lets an item be, at most four spans long and such that each alignment lies in one."""
+        text = np.repeat(np.arange(len(lengths)), lengths)
+        begin = np.r_[0, np.cumsum(lengths)]
+        if not len(self.wanted) or not len(ids):
             return
-        keys = _grams(ids, SEED_WORDS)[at]
-        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        found = self.keys[place] == keys
-        at, place = at[found], place[found]
-        if not len(at):
-            return
-        margin = self.reach + self.reach // 4 + SEED_WORDS
-        for run in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > margin) + 1):
-            low, high = max(0, at[run[0]] - margin), at[run[-1]] + SEED_WORDS + margin
-            yield " ".join(words[low:high]), ids[low:high], np.unique(place[run])
-
-    def candidates(self, ids: np.ndarray, places: np.ndarray, present: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(item, shared n-grams) of the items that share one and may reach the score. present: all False, one of each word."""
-        own, seeds = np.unique(np.concatenate([self.owners[self.owned[k] : self.owned[k + 1]] for k in places.tolist()]), return_counts=True)
-        known = ids[ids >= 0]
-        present[known] = True
-        lengths = self.starts[own + 1] - self.starts[own]
-        ends = np.cumsum(lengths)
-        words = self.words[np.arange(ends[-1]) + np.repeat(self.starts[own] - (ends - lengths), lengths)]
-        enough = np.add.reduceat(present[words].astype(np.int64), ends - lengths) >= self.need[own]
-        present[known] = False
-        for item, n in zip(own[enough].tolist(), seeds[enough].tolist(), strict=True):
-            if self.reaches(item, ids):
-                yield item, n
+        place, key = self.hits(ids, text, self.keys[self.wanted])
+        many = self.owned[key + 1] - self.owned[key]
+        item = self.owners[np.repeat(self.owned[key] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+        place = np.repeat(place, many)
+        order = np.lexsort((place, item))
+        item, place = item[order], place[order]
+        low, high = np.maximum(begin[text[place]], place - self.span[item]), np.minimum(begin[text[place] + 1], place + self.span[item] + max(SKIPS))
+        new = np.r_[True, (item[1:] != item[:-1]) | (low[1:] > high[:-1]) | (text[place[1:]] != text[place[:-1]])] if len(item) else np.zeros(0, bool)
+        run = np.flatnonzero(new)
+        for own, t, a, b in zip(item[run].tolist(), text[place[run]].tolist(), low[run].tolist(), np.maximum.reduceat(high, run).tolist() if len(run) else [], strict=True):
+            span = int(self.span[own])
+            while b - a > 4 * span:
+                yield t, own, a, a + 2 * span
+                a += span
+            yield t, own, a, b
+
+    def may_reach(self, item: int, ids: np.ndarray) -> int:
+        """How many n-grams a stretch of `span` words shares with the item, 0 if no stretch has enough of them or of the item's words."""
+        own = self.words[self.starts[item] : self.starts[item + 1]]
+        if np.isin(ids, own).sum() < self.need[item]:
+            return 0
+        grams = np.unique(np.concatenate([own[:-d] * len(self.vocabulary) + own[d:] for d in SKIPS]))
+        begins = np.zeros(len(ids) + 1, np.int64)
+        for d in SKIPS:
+            at = np.flatnonzero((ids[:-d] >= 0) & (ids[d:] >= 0))
+            key = ids[at] * len(self.vocabulary) + ids[at + d]
+            begins[at[grams[np.minimum(np.searchsorted(grams, key), len(grams) - 1)] == key]] = 1
+        sums = np.r_[0, np.cumsum(begins)]
+        width = min(int(self.span[item]), len(begins))
+        seeds = int((sums[width:] - sums[:-width]).max())
+        return seeds if seeds >= self.pairs[item] and self.reaches(item, ids) else 0
 
     def reaches(self, item: int, ids: np.ndarray) -> bool:
         """Whether some stretch of `span` words holds `need` of the item's words, none more often than the item does."""
@@ -111,118 +177,135 @@ class Watch:
         at = at[np.argsort(place[at], kind="stable")]
         word = place[at]
         before = np.arange(len(at)) - times[word]  # with this one inside, a stretch holds the word too often
-        full = (before >= 0) & (word[before] == word)
-        first = np.maximum(np.where(full, at[before] + 1, 0), at - self.span[item] + 1)
+        full = (before >= 0) & (word[np.maximum(before, 0)] == word)
+        first = np.maximum(np.where(full, at[np.maximum(before, 0)] + 1, 0), at - self.span[item] + 1)
         change = np.bincount(np.maximum(first, 0), minlength=len(ids) + 1) - np.bincount(at + 1, minlength=len(ids) + 1)
         return bool(np.cumsum(change).max() >= self.need[item])
 
 
-def _find(shared):
+def align_numbers(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """(score, first, end) of the best local alignment of two rows of numbers; memory follows the second only."""
+    n = len(b)
+    drift, wide = GAP * np.arange(n + 1), n + 2
+    here = np.arange(n + 1)
+    score, start = np.zeros(n + 1, np.int64), here
+    best = (0, 0, 0)
+    for w in a.tolist():
+        across = score[:-1] + np.where(b == w, MATCH, -MISMATCH)
+        up = score[1:] - GAP
+        now = np.r_[0, np.maximum(np.maximum(across, up), 0)]
+        origin = np.r_[0, np.where(across >= up, np.where(score[:-1] > 0, start[:-1], here[:-1]), start[1:])]
+        both = np.maximum.accumulate((now + drift) * wide + origin)  # gaps along the second; the score and where it began go together
+        score, start = both // wide - drift, both % wide
+        j = int(score.argmax())
+        if score[j] > best[0]:
+            best = (int(score[j]), int(start[j]), j)
+    return best
+
+
+def align(item: list[str], passage: list[str]) -> tuple[float, int, int]:
+    """(score, first, end) of the best local alignment of words: 1 for a passage that holds the whole item."""
+    if not item or not passage:
+        return 0.0, 0, 0
+    numbers = {w: i for i, w in enumerate(dict.fromkeys(item))}
+    score, first, end = align_numbers(np.array([numbers[w] for w in item]), np.array([numbers.get(w, -1) for w in passage]))
+    return score / (MATCH * len(item)), first, end
+
+
+def _numbered(batch: pa.RecordBatch, column: int, vocabulary: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(words of all texts, their numbers in the vocabulary or -1, lengths of the texts)."""
+    words, lengths = cut_words(batch.column(column).to_pylist())
+    words = words.filter(pc.not_equal(words, "\0"))
+    return words, pc.fill_null(pc.index_in(words, value_set=vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64), lengths
+
+
+def _count(shared):
+    """Texts (second column) to (key, texts that hold it) of all n-grams of the items, summed in the task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         watch = shared.value
-        present = np.zeros(len(watch.vocabulary), bool)
+        vocabulary = pa.array(watch.vocabulary, pa.large_string())
+        counts = np.zeros(len(watch.keys), np.int64)
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for part, ids, places in watch.passages(text):
-                    rows += [(doc, int(watch.items[item]), n, part) for item, n in watch.candidates(ids, places, present)]
-                    if len(rows) >= 2000:
-                        yield _pairs(rows)
-                        rows = []
-            if rows:
-                yield _pairs(rows)
+            _, ids, lengths = _numbered(batch, 1, vocabulary)
+            text = np.repeat(np.arange(len(lengths)), lengths)
+            place, key = watch.hits(ids, text, watch.keys)
+            counts += np.bincount(np.unique(text[place] * len(counts) + key) % len(counts), minlength=len(counts))
+        met = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_pydict({"gram": met, "n": counts[met]})
 
     return run
 
 
-def _pairs(rows: list[tuple]) -> pa.RecordBatch:
-    docs, items, seeds, parts = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(items, pa.int64()), pa.array(seeds, pa.int64()), pa.array(parts, pa.string())], names=["doc_id", "item_id", "seeds", "passage"])
+FOUND = "doc_id long, mark long, item_id long, score double, seeds long, matched string"
 
 
-def align(item: list[str], passage: list[str]) -> tuple[float, int, int]:
-    """(score, first, end) of the best local alignment of words: 1 for a passage that holds the whole item."""
-    if not item or not passage:
-        return 0.0, 0, 0
-    numbers = {w: i for i, w in enumerate(dict.fromkeys(item))}
-    a, b = np.array([numbers[w] for w in item]), np.array([numbers.get(w, -1) for w in passage])
-    drift = GAP * np.arange(len(b) + 1)
-    rows, best, end = [np.zeros(len(b) + 1, np.int64)], (0, 0), 0
-    for i, w in enumerate(a):
-        up = rows[-1]
-        row = np.zeros(len(b) + 1, np.int64)
-        row[1:] = np.maximum(up[:-1] + np.where(b == w, MATCH, -MISMATCH), up[1:] - GAP)
-        row = np.maximum(np.maximum.accumulate(np.maximum(row, 0) + drift) - drift, 0)  # gaps along the passage
-        rows.append(row)
-        j = int(row.argmax())
-        if row[j] > best[0]:
-            best, end = (int(row[j]), i + 1), j
-    i, j = best[1], end
-    while i > 0 and j > 0 and rows[i][j] > 0:
-        here = rows[i][j]
-        if here == rows[i - 1][j - 1] + (MATCH if a[i - 1] == b[j - 1] else -MISMATCH):
-            i, j = i - 1, j - 1
-        elif here == rows[i - 1][j] - GAP:
-            i -= 1
-        else:
-            j -= 1
-    return best[0] / (MATCH * len(item)), j, end
-
-
-ALIGNED = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("passage", T.StringType())])
-
-
-@F.pandas_udf(ALIGNED)
-def _aligned(item: pd.Series, passage: pd.Series) -> pd.DataFrame:
-    out = []
-    for x, p in zip(item, passage, strict=True):
-        words = p.split(" ")
-        score, first, end = align(words_of(x), words)
-        out.append((score, " ".join(words[first:end])))
-    return pd.DataFrame(out, columns=["score", "passage"])
-
-
-def _hits(docs: DataFrame, items: list[tuple[int, str]], least: float) -> DataFrame:
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(Watch(items, least))
-    found = materialize(docs.mapInArrow(_find(shared), "doc_id long, item_id long, seeds long, passage string"), "passages")
-    pairs = found.groupBy("doc_id", "item_id", F.xxhash64("doc_id", "passage").alias("row")).agg(F.first("passage").alias("passage"), F.max("seeds").alias("seeds"))
-    texts = spark.createDataFrame(items, "item_id long, item string")
-    scored = pairs.join(texts, "item_id").withColumn("a", _aligned("item", "passage"))
-    return scored.select("doc_id", "item_id", F.col("a.score").alias("score"), "seeds", F.col("a.passage").alias("matched"))
+def _find(shared, least: float):
+    """(doc_id, text, mark) to pairs with an item that reach the score."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        watch = shared.value
+        vocabulary = pa.array(watch.vocabulary, pa.large_string())
+        for batch in batches:
+            words, ids, lengths = _numbered(batch, 1, vocabulary)
+            best: dict[tuple[int, int], tuple[float, int, int, int]] = {}
+            for text, item, a, b in watch.passages(ids, lengths):
+                seeds = watch.may_reach(item, ids[a:b])
+                if not seeds:
+                    continue
+                own = watch.words[watch.starts[item] : watch.starts[item + 1]]
+                points, first, end = align_numbers(own, ids[a:b])
+                score = points / (MATCH * len(own))
+                if score >= least:
+                    best[text, item] = max(best.get((text, item), (0.0, 0, 0, 0)), (score, seeds, a + first, a + end))
+            if best:
+                texts = pa.array([t for t, _ in best], pa.int64())
+                matched = [" ".join(words.slice(a, b - a).to_pylist()) for _, _, a, b in best.values()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(texts), batch.column(2).take(texts), pa.array([int(watch.items[i]) for _, i in best], pa.int64()), pa.array([x[0] for x in best.values()]), pa.array([x[1] for x in best.values()], pa.int64()), pa.array(matched, pa.string())],
+                    names=["doc_id", "mark", "item_id", "score", "seeds", "matched"],
+                )
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
-    """(id, item_id, score, seeds, matched): the documents that hold a copy of a benchmark item, even an edited one.
+    return run
 
-    Words are runs of letters and digits, in lower case. A passage is aligned with every item
-    that it shares a seed with, an n-gram of SEED_WORDS words, however frequent that is, unless
-    no stretch of it holds so many of the item's words that the score could be reached (a bound,
-    so nothing is lost; it depends on passage and item only, not on the size of the corpus).
-    score is the alignment's share of a perfect one; rows from `least` stay, the best of each
-    document and item. Items with the same words are one, under their least id; items under SEED_WORDS words match nothing. Null ids and texts of
-    items count for nothing; null and empty documents match nothing; rows that repeat a
-    document's id give its pairs once. Other columns are not read.
-
-    The benchmark goes out in blocks of at most about PASS_NGRAMS words, each found by one pass
-    over the corpus, so neither its size nor the corpus's bounds a task's memory.
-    """
+
+def findings(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
+    """(doc_id, mark, item_id, score, seeds, matched) of every row of docs and item that reach the score; mark is a hash of the row's text. See contamination()."""
     spark = docs.sparkSession
-    bound_batches(spark)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("item")).where("item_id IS NOT NULL AND item IS NOT NULL")
     norm = F.trim(F.regexp_replace(F.lower("item"), r"(?U)\W+", " "))
     items = materialize(items.groupBy(norm.alias("norm")).agg(F.min_by("item", "item_id").alias("item"), F.min("item_id").alias("item_id")).select("item_id", "item"), "items")
     total = items.agg(F.sum(F.size(F.split("item", r"\s+")))).first()[0] or 0
-    blocks = max(1, -(-total // PASS_NGRAMS))
+    blocks = max(1, -(-total // PASS_WORDS))
     found = None
     for b in range(blocks):
-        some = [(r.item_id, r.item) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()]
-        some = sorted((i, t) for i, t in some if len(words_of(t)) >= SEED_WORDS)
-        if some:
-            hits = _hits(docs, some, least).where(F.col("score") >= least)
-            found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, score double, seeds long, matched string").withColumnRenamed("doc_id", id_col)
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "seeds", "matched")).alias("b")).select("doc_id", "item_id", "b.*")
+        some = [(r.item_id, r.item) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()]  # about PASS_WORDS words
+        some = sorted((i, t) for i, t in some if len(words_of(t)) >= max(LEAST_WORDS, 1 / least + 1e-9))
+        if not some:
+            continue
+        watch = Watch.of(some, least)
+        sums = arrow_batches(docs, _count(spark.sparkContext.broadcast(watch)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # a row an n-gram of the block at most
+        counts = np.zeros(len(watch.keys), np.int64)
+        counts[sums["gram"].to_numpy()] = sums["n"].to_numpy()
+        hits = arrow_batches(docs, _find(spark.sparkContext.broadcast(watch.rarest(counts)), least), FOUND)
+        found = hits if found is None else found.unionByName(hits)
+    return spark.createDataFrame([], FOUND) if found is None else found
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
+    """(id, item_id, score, seeds, matched): the documents that hold a copy of a benchmark item, even an edited one.
+
+    Words are runs of letters and digits, in lower case. score is the alignment's share of a
+    perfect one; rows from `least` stay, the best of each document and item. seeds: n-grams that
+    the densest stretch shares with the item. No pair that reaches the score is lost: see Watch.
+    Items with the same words are one, under their least id; items under LEAST_WORDS words match
+    nothing. Null ids and texts of items count for nothing; null and empty documents match
+    nothing; rows that repeat a document's id give its pairs once. Other columns are not read.
+
+    The benchmark goes out in blocks of about PASS_WORDS words; for each, one pass over the
+    corpus counts its n-grams and one finds and aligns, where the texts are read. Passages are
+    at most four spans of an item long, so memory follows neither the corpus nor its texts.
+    """
+    best = findings(docs, benchmark, id_col, text_col, item_col, item_text, least).groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "seeds", "matched")).alias("b")).select("doc_id", "item_id", "b.*")
     return best.withColumnRenamed("doc_id", id_col)

@@ -31,7 +31,6 @@ def test_alignment_matches_brute_force():
 
 
 def test_finds_copies_and_leaves_clean_documents(spark, monkeypatch):
-    monkeypatch.setattr(D, "RARE_DOCS", 3)
     rng = random.Random(2)
     items = [(i, prose(rng, rng.randrange(15, 50))) for i in range(30)]
     rows, want = [], set()
@@ -54,7 +53,7 @@ def test_finds_copies_and_leaves_clean_documents(spark, monkeypatch):
     got = D.contamination(spark.createDataFrame([(d, t, "") for d, t in rows], DOCS), spark.createDataFrame([(i, t, "") for i, t in items], ITEMS)).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
     assert {r.score for r in got if r.doc_id == 902} == {1.0}
-    monkeypatch.setattr(D, "PASS_NGRAMS", 200)
+    monkeypatch.setattr(D, "PASS_WORDS", 200)
     again = D.contamination(spark.createDataFrame([(d, t, "") for d, t in rows], DOCS), spark.createDataFrame([(i, t, "") for i, t in items], ITEMS)).collect()
     assert {(r.doc_id, r.item_id) for r in again} == want
 
@@ -68,21 +67,83 @@ def test_empty_tables(spark):
 def test_frequent_seeds_still_find_edited_copies(spark):
     rng = random.Random(5)
     item = [f"w{k}" for k in range(16)]
-    copy = ["edited" if k in (3, 9, 14) else w for k, w in enumerate(item)]  # n-grams 4, 5 and 10 stay
+    copy = ["edited" if k in (3, 9, 14) else w for k, w in enumerate(item)]  # each word kept but the last has another within two
     texts = [" ".join([prose(rng, 20), *item[p : p + 4], prose(rng, 20)]) for p in range(13) for _ in range(55 if p in (0, 8) else 60)]
     texts.append(" ".join([prose(rng, 20), *copy, prose(rng, 20)]))
     got = D.contamination(spark.createDataFrame([(d, t, "") for d, t in enumerate(texts)], DOCS), spark.createDataFrame([(1, " ".join(item), "")], ITEMS)).collect()
-    assert [(r.doc_id, r.item_id, r.score, r.seeds) for r in got] == [(len(texts) - 1, 1, 23 / 32, 3)]
-
-
-def test_bound_never_drops_a_pair_that_reaches_the_score():
-    rng, reached, spared = random.Random(6), 0, 0
-    for _ in range(400):
-        item = [rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(4, 14))]
-        passage, kept = [rng.choice("abcdefghijklmnop" + 20 * "ABCDEFGH") for _ in range(40)], rng.choice([0.2, 0.6, 0.8])
-        passage[10:10] = [w for k in item for w in ((k, "x") if rng.random() < 0.3 else (k,) if rng.random() < kept else ())]
-        watch = D.Watch([(1, " ".join(item))])
-        may = watch.reaches(0, np.array([watch.vocabulary.get(w, -1) for w in passage]))
-        assert may or D.align(item, passage)[0] < D.LEAST_SCORE
-        reached, spared = reached + (D.align(item, passage)[0] >= D.LEAST_SCORE), spared + (not may)
-    assert reached > 50 and spared > 50
+    assert [(r.doc_id, r.item_id, r.score, r.seeds) for r in got] == [(len(texts) - 1, 1, 23 / 32, 12)]
+
+
+def pairs_of(watch, texts):
+    """What one task finds, without Spark."""
+    words = [D.words_of(t) for t in texts]
+    number = {w: i for i, w in enumerate(watch.vocabulary)}
+    ids = np.array([number.get(w, -1) for own in words for w in own], np.int64)
+    return {(t, item) for t, item, a, b in watch.passages(ids, np.array([len(w) for w in words])) if watch.may_reach(item, ids[a:b])}
+
+
+def test_cut_words():
+    texts = [None, "", "  ", "A-b_c, d\x00e é–ß 日本 x…", "İı ¿qué? 12½", "\u0301a b\u0301"]
+    words, lengths = D.cut_words(texts)
+    assert [w for w in words.to_pylist() if w != "\0"] == [w for t in texts for w in D.words_of(t)]
+    assert lengths.tolist() == [len(D.words_of(t)) for t in texts]
+
+
+def test_no_pair_that_reaches_the_score_is_lost():
+    rng, reached, spared, edited = random.Random(6), 0, 0, 0
+    letters = "abcdefghijklmnop"
+    for trial in range(400):
+        items = [(i, " ".join(rng.choice(letters) for _ in range(rng.randrange(4, 14)))) for i in range(3)]
+        texts = []
+        for _ in range(4):
+            item, kept = items[rng.randrange(3)][1].split(), rng.choice([0.5, 0.7, 0.9])
+            passage = [rng.choice(letters + 20 * "ABCDEFGH") if trial % 2 else "zz" for _ in range(rng.randrange(60))]
+            passage[10:10] = [w for k in item for w in ((k, "x") if rng.random() < 0.4 else (k,) if rng.random() < kept else rng.choice([(), ("y",)]))]
+            texts.append(" ".join(passage))
+        watch = D.Watch.of(items)
+        if trial % 4 < 2:  # whatever the counts are
+            watch.rarest(np.array([rng.randrange(5) for _ in watch.keys]))
+        may = pairs_of(watch, texts)
+        for t, text in enumerate(texts):
+            for i, item in items:
+                good = brute_align(D.words_of(item), D.words_of(text)) >= D.LEAST_SCORE
+                assert not good or (t, i) in may, (item, text)
+                reached, spared, edited = reached + good, spared + ((t, i) not in may), edited + (good and item not in text)
+    assert reached > 300 and spared > 300 and edited > 200
+
+
+def test_every_third_or_fourth_word_replaced():
+    rng = random.Random(7)
+    item = [f"w{k}" for k in range(60)]
+    for step in (3, 4, 5):
+        copy = ["edited" if k % step == 0 else w for k, w in enumerate(item)]
+        text = " ".join([prose(rng, 30), *copy, prose(rng, 30)])
+        assert brute_align(item, copy) >= 0.5
+        assert pairs_of(D.Watch.of([(1, " ".join(item))]), [text]) == {(0, 0)}
+    apart = [x for w in item for x in (w, "z")]  # a word between any two
+    assert pairs_of(D.Watch.of([(1, " ".join(item))]), [" ".join(apart)]) == {(0, 0)}
+
+
+def test_all_pairs_of_the_small_tables(spark):
+    """Recall and precision against an alignment of every document with every item."""
+    folder = "/root/testdata/sf0.001"
+    docs, items = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "benchmark"))
+    got = {(r.doc_id, r.item_id): r.score for r in D.contamination(docs, items).collect()}
+    want = {}
+    for d in docs.collect():
+        words = D.words_of(d.text)
+        for i in items.collect():
+            if (score := D.align(D.words_of(i.text), words)[0]) >= D.LEAST_SCORE:
+                want[d.doc_id, i.item_id] = score
+    assert got == want and want
+
+
+def test_long_documents_are_aligned_in_windows():
+    item = [f"w{k}" for k in range(20)]
+    text = " ".join(["w3", "w4", "q"] * 400 + item + ["w7", "w8", "q"] * 400)
+    watch = D.Watch.of([(1, " ".join(item))])
+    number = {w: i for i, w in enumerate(watch.vocabulary)}
+    ids = np.array([number.get(w, -1) for w in text.split()])
+    cut = list(watch.passages(ids, np.array([len(ids)])))
+    assert all(b - a <= 4 * watch.span[0] for _, _, a, b in cut) and len(cut) > 10
+    assert max(D.align_numbers(watch.words, ids[a:b])[0] for _, _, a, b in cut) == 40
