@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,9 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, materialize
+from .common import arrow_batches, cut_words, materialize, words_of
 
-_WORD = re.compile(r"\w+")
 #: Words of an item at least.
 LEAST_WORDS = 4
 #: Words of benchmark items that one pass over the corpus looks for.
@@ -23,23 +21,6 @@ MATCH, MISMATCH, GAP = 2, 1, 1
 LEAST_SCORE = 0.5
 #: Words between those of an n-gram, in the item and in the text, at most: two words with none or one left out between them.
 SKIPS = (1, 2)
-_ASCII_WORD = bytes(c if c >= 128 or c == 0 or c == 95 or chr(c).isalnum() else 32 for c in range(256))
-
-
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
-
-
-def cut_words(texts: list[str | None]) -> tuple[pa.StringArray, np.ndarray]:
-    """(words of all texts, lengths): what words_of gives for each, cut in one go."""
-    joined = " \0 ".join([(t or "").lower().replace("\0", " ") for t in texts]) + " \0 "
-    for c in set(joined):
-        if c >= "\x80" and not c.isalnum():
-            joined = joined.replace(c, " ")
-    parts = pc.split_pattern(pa.array([joined.encode().translate(_ASCII_WORD)], pa.binary()).cast(pa.large_string()), " ").flatten()
-    parts = parts.filter(pc.greater(pc.binary_length(parts), 0))
-    ends = np.flatnonzero(pc.equal(parts, "\0").to_numpy(zero_copy_only=False))
-    return parts, np.diff(np.r_[-1, ends]) - 1
 
 
 @dataclass

@@ -2,69 +2,76 @@
 
 from __future__ import annotations
 
-import re
+import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches
+from .common import arrow_batches, cut_words, words_of
 
-_WORD = re.compile(r"\w+")
-#: Rows of the embedding table, its width, filters of each width, and the filter widths.
-BUCKETS, DIMS, FILTERS, WIDTHS = 1 << 16, 12, 8, (1, 2, 3)
-PAD = max(WIDTHS) - 1
+#: Rows of the embedding table, its width, filters of each width, the filter widths, and how many of a filter's highest activations are pooled.
+BUCKETS, DIMS, FILTERS, WIDTHS, TOP = 1 << 18, 12, 8, (1, 2, 3), 3
+PAD = max(WIDTHS)  # places of padding behind each text
 PARTS = 3  # hashes of a word: whole, first four and first five letters
 #: Labelled rows a model is fitted on at most, of each label, and the longest text among them.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 3000, 6000, 50_000
-#: Frequent words that tell a text's language from the text alone (fixed values).
-FUNCTION_WORDS = {
-    "en": "the and of to in is that was for with on are as this from or".split(),
-    "de": "der die und das den von ist mit zu im ein eine des auf nicht für".split(),
-    "fr": "le la les et de des du une est dans pour que qui sur avec au".split(),
-    "es": "el la los las de y en que un una es con por para del se".split(),
-}
-LANGUAGES = [*FUNCTION_WORDS, "other"]
+#: Words that tell a language, of each at most, and how much more frequent than elsewhere they are, as a logarithm.
+MARKERS, LEAST_LIFT = 40, 0.7
+#: Words that a worker remembers the hashes of, and places that filters pass over at a time.
+CACHE_WORDS, SPAN = 400_000, 60_000
 
 
 def word_rows(word: str) -> tuple[int, int, int]:
     return tuple(zlib.crc32(f"{k}:{part}".encode()) % BUCKETS for k, part in enumerate((word, word[:4], word[:5])))
 
 
+_ROWS: dict[str, tuple[int, int, int]] = {}
+
+
+def _rows_of(words: list[str]) -> np.ndarray:
+    if len(_ROWS) > CACHE_WORDS:
+        _ROWS.clear()
+    known = [_ROWS.get(w) or _ROWS.setdefault(w, word_rows(w)) for w in words]
+    return np.array(known, np.int64).reshape(-1, PARTS)
+
+
 @dataclass
 class Words:
-    """Texts as positions into their distinct words; word 0 is padding and ends every text."""
+    """Texts as places of their distinct words; word 0 is padding and ends every text."""
 
+    words: list[str]
     rows: np.ndarray  # (distinct words, PARTS) rows of the embedding table
-    at: np.ndarray  # word of each position
-    starts: np.ndarray  # first position of each text
-    pads: np.ndarray  # positions of padding
-    languages: np.ndarray  # index into LANGUAGES of each text
-
-
-def words_of(texts: list[str | None]) -> Words:
-    known: dict[str, int] = {"": 0}
-    at, starts, pads, languages = [], [], [], []
-    marks = {w: [k for k, own in enumerate(FUNCTION_WORDS.values()) if w in own] for own in FUNCTION_WORDS.values() for w in own}
-    for text in texts:
-        starts.append(len(at))
-        found = _WORD.findall((text or "").lower())
-        votes = [0] * len(FUNCTION_WORDS)
-        for w in found:
-            for k in marks.get(w, ()):
-                votes[k] += 1
-        languages.append(int(np.argmax(votes)) if max(votes) > 0 else len(FUNCTION_WORDS))
-        at += [known.setdefault(w, len(known)) for w in found]
-        pads += range(len(at), len(at) + PAD + 1)
-        at += [0] * (PAD + 1)
-    rows = np.array([word_rows(w) for w in known], dtype=np.int64)
-    return Words(rows, np.array(at, np.int64), np.array(starts, np.int64), np.array(pads, np.int64), np.array(languages, np.int64))
+    at: np.ndarray  # word of each place
+    starts: np.ndarray  # first place of each text, and the end of the last
+    text: np.ndarray  # text of each place
+
+    def of(self, texts: np.ndarray) -> Words:
+        """Some of the texts, with the words that they hold."""
+        sizes = self.starts[texts + 1] - self.starts[texts]
+        ends = np.cumsum(sizes)
+        at = self.at[np.arange(ends[-1]) + np.repeat(self.starts[texts] - (ends - sizes), sizes)]
+        held, at = np.unique(np.r_[0, at], return_inverse=True)
+        return Words([], self.rows[held], at[1:], np.r_[0, ends], np.repeat(np.arange(len(texts)), sizes))
+
+
+def read(texts: list[str | None]) -> Words:
+    words, lengths = cut_words(texts)
+    words = words.filter(pc.not_equal(words, "\0")).dictionary_encode()
+    distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+    own = np.repeat(np.arange(len(lengths)), lengths)
+    starts = np.r_[0, np.cumsum(lengths + PAD)]
+    at = np.zeros(starts[-1], np.int64)
+    at[np.arange(len(own)) + PAD * own] = words.indices.to_numpy(zero_copy_only=False) + 1
+    return Words(["", *distinct], np.concatenate([np.zeros((1, PARTS), np.int64), _rows_of(distinct)]), at, starts, np.repeat(np.arange(len(lengths)), lengths + PAD))
 
 
 @dataclass
@@ -72,59 +79,91 @@ class Model:
     table: np.ndarray  # (BUCKETS, DIMS)
     filters: np.ndarray  # (DIMS, all filters' taps): FILTERS columns for each tap of each width
     bias: np.ndarray  # (len(WIDTHS) * FILTERS,)
-    out: np.ndarray
+    out: np.ndarray  # (TOP * len(WIDTHS) * FILTERS,): for the highest activation of each filter, then for the second ones and so on
     out_bias: float
-    thresholds: np.ndarray  # logit above which a text of a language is toxic
+    languages: int = 0
+    markers: dict[str, list[tuple[int, float]]] = field(default_factory=dict)  # words that speak for languages, and how much
+    thresholds: np.ndarray = field(default_factory=lambda: np.zeros(1))  # logit above which a text of a language is toxic; the last for texts of none
 
-    def embed(self, words: Words) -> np.ndarray:
-        x = self.table[words.rows].sum(axis=1)
+    def embed(self, rows: np.ndarray) -> np.ndarray:
+        x = self.table[rows].sum(axis=1)
         x[0] = 0.0
         return x
 
-    def maps(self, words: Words, x: np.ndarray, span: slice, pads: np.ndarray) -> np.ndarray:
-        """Activations of every filter at every position of `span`; a width's taps add up."""
-        taps, at = x @ self.filters, words.at[span]
+    def maps(self, taps: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Activations of every filter at every place; a width's taps add up."""
         padded, out, column = np.r_[at, np.zeros(PAD, np.int64)], [], 0
         for width in WIDTHS:
-            total = np.zeros((len(at), FILTERS), np.float32)
+            total = np.zeros((len(at), FILTERS), taps.dtype)
             for tap in range(width):
                 total += taps[:, column : column + FILTERS][padded[tap : tap + len(at)]]
                 column += FILTERS
             out.append(total)
         found = np.concatenate(out, axis=1) + self.bias
-        found[pads] = -1e9  # a window starts at a word of its own text, or at the pad of an empty one
+        found[at == 0] = -1e9  # a window starts at a word
         return found
 
     def logits(self, words: Words) -> np.ndarray:
-        x, n, found = self.embed(words), len(words.starts), []
-        ends = np.r_[words.starts[1:], len(words.at)]
-        first = 0
-        while first < n:  # some texts at a time, so that memory follows the longest text only
-            last = max(first + 1, int(np.searchsorted(ends, words.starts[first] + 60_000, "right")))
-            span = slice(words.starts[first], ends[last - 1])
-            pads = words.pads[(words.pads >= span.start) & (words.pads < span.stop)] - span.start
-            peak = np.maximum.reduceat(self.maps(words, x, span, pads), words.starts[first:last] - span.start, axis=0)
-            found.append(np.maximum(peak, 0.0) @ self.out + self.out_bias)
+        taps, found, first = self.embed(words.rows) @ self.filters, [], 0
+        n = len(words.starts) - 1
+        while first < n:  # some texts at a time; a long text in stretches, so that memory follows neither
+            last = max(first + 1, int(np.searchsorted(words.starts, words.starts[first] + SPAN, "right")) - 1)
+            begin, end = int(words.starts[first]), int(words.starts[last])
+            pooled = np.full((TOP, last - first, len(self.bias)), -1e9, taps.dtype)
+            for a in range(begin, end, SPAN):
+                b = min(end, a + SPAN)
+                maps = self.maps(taps, words.at[a : min(end, b + PAD)])[: b - a]
+                if last - first == 1:
+                    pooled = np.sort(np.concatenate([pooled, pool(maps, np.zeros(1, np.int64))[0]]), axis=0)[: -TOP - 1 : -1]
+                else:
+                    pooled = pool(maps, words.starts[first:last] - begin)[0]
+            found.append(np.maximum(pooled, 0.0).transpose(1, 0, 2).reshape(last - first, -1) @ self.out + self.out_bias)
             first = last
         return np.concatenate(found) if found else np.empty(0)
 
+    def language_of(self, words: Words) -> np.ndarray:
+        """The language that most speaks for, `languages` where nothing does."""
+        votes = np.zeros((len(words.words), max(1, self.languages)))
+        for i, w in enumerate(words.words):
+            for k, weight in self.markers.get(w, ()):
+                votes[i, k] = weight
+        telling = np.flatnonzero(votes.any(axis=1)[words.at])
+        sums = np.zeros((len(words.starts) - 1, votes.shape[1]))
+        np.add.at(sums, words.text[telling], votes[words.at[telling]])
+        return np.where(sums.any(axis=1), sums.argmax(axis=1), self.languages)
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """0 to 1; a text at its language's threshold scores `CUT`."""
-        words = words_of(texts)
-        shifted = self.logits(words) - self.thresholds[words.languages] + np.log(CUT / (1 - CUT))
+        words = read(texts)
+        shifted = self.logits(words) - self.thresholds[self.language_of(words)] + math.log(CUT / (1 - CUT))
         return 1.0 / (1.0 + np.exp(-np.clip(shifted, -30, 30)))
 
 
+def pool(maps: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(TOP highest activations of each text and filter, their places). Below zero only the highest counts, as none of them is used."""
+    maps, n = maps.copy(), maps.shape[1]
+    text = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(maps)]))
+    peaks, places = np.full((TOP, len(starts), n), -1e9, maps.dtype), np.zeros((TOP, len(starts), n), np.int64)
+    places[:] = starts[None, :, None]
+    for k in range(TOP):
+        peaks[k] = np.maximum.reduceat(maps, starts, axis=0)
+        row, column = np.nonzero((maps == peaks[k][text]) & (maps > 0))
+        cell, one = np.unique(text[row] * n + column, return_index=True)
+        places[k, cell // n, cell % n] = row[one]
+        maps[row[one], column[one]] = -1e9
+    return peaks, places
+
+
 CUT = 0.7
 #: Steps of a histogram of logits: width and outermost number.
 STEP, OUTERMOST = 1 / 64, 2560
-#: Spread of untrained embeddings, gradient steps at least, and passes over the sample at most.
-NOISE, LEAST_STEPS, MOST_EPOCHS = 0.02, 800, 60
+#: Spread of untrained embeddings, scale of what word counts say of labels, gradient steps, texts of a step, and steps of the two optimizers.
+NOISE, ODDS, STEPS, BATCH, RATE, TABLE_RATE = 0.02, 0.2, 100, 64, 0.01, 0.02
 
 
 def untrained() -> Model:
     n = len(WIDTHS) * FILTERS
-    return Model(np.zeros((BUCKETS, DIMS), np.float32), np.zeros((DIMS, sum(WIDTHS) * FILTERS), np.float32), np.zeros(n, np.float32), np.zeros(n, np.float32), -4.0, np.zeros(len(LANGUAGES)))
+    return Model(np.zeros((BUCKETS, DIMS), np.float32), np.zeros((DIMS, sum(WIDTHS) * FILTERS), np.float32), np.zeros(n, np.float32), np.zeros(TOP * n, np.float32), -4.0)
 
 
 class _Adam:
@@ -141,58 +180,110 @@ class _Adam:
         return out
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = 5, batch: int = 64, seed: int = 7) -> tuple[Model, np.ndarray]:
-    """(a model of texts and 0/1 labels, positions of those it is fitted on). A fifth is left for the thresholds, which aren't set; without both labels, untrained."""
+def told_by_counts(words: Words, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(signed root of the likelihood ratio that a bucket of words is independent of the label, whether two texts hold it) by bucket."""
+    n, z, seen = np.array([(labels == 0).sum(), (labels == 1).sum()], float), np.zeros(BUCKETS), np.zeros(BUCKETS, bool)
+    place = np.flatnonzero(words.at > 0)
+    for part in range(PARTS):
+        pairs, times = np.unique(words.text[place] * BUCKETS + words.rows[words.at[place], part], return_counts=True)
+        for least in (1, 2):  # texts that hold it, and texts that hold it twice
+            both = pairs[times >= least]
+            held = np.stack([np.bincount(both[labels[both // BUCKETS] == y] % BUCKETS, minlength=BUCKETS) for y in (0, 1)]).astype(float)
+            seen |= held.sum(axis=0) > 1
+            share = held.sum(axis=0) / n.sum()
+            ratio = np.zeros(BUCKETS)
+            for y in (0, 1):
+                for count, expected in ((held[y], n[y] * share), (n[y] - held[y], n[y] * (1 - share))):
+                    ratio += 2 * np.where(count > 0, count * np.log(np.maximum(count, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
+            signed = np.sign(held[1] / n[1] - held[0] / n[0]) * np.sqrt(np.maximum(ratio, 0.0))
+            z = np.where(np.abs(signed) > np.abs(z), signed, z)
+    return z, seen
+
+
+def gradients(model: Model, words: Words, labels: np.ndarray, weight: np.ndarray) -> tuple[float, list[np.ndarray], np.ndarray, np.ndarray]:
+    """(loss, gradients of filters, bias, out and out_bias, words touched, gradients of their embeddings): weighted mean cross entropy."""
+    x = model.embed(words.rows)
+    a = model.maps(x @ model.filters, words.at)
+    peaks, best = pool(a, words.starts[:-1])
+    h = np.maximum(peaks, 0.0).transpose(1, 0, 2).reshape(len(labels), -1)
+    logit = np.clip(h @ model.out + model.out_bias, -30, 30)
+    p = 1.0 / (1.0 + np.exp(-logit))
+    loss = float((weight * (np.logaddexp(0.0, logit) - labels * logit)).mean())
+    g = ((p - labels) * weight / len(labels)).astype(model.out.dtype)
+    d = g[None, :, None] * model.out.reshape(TOP, 1, -1) * (peaks > 0)
+    taps = np.zeros((len(x), model.filters.shape[1]), x.dtype)
+    padded, column = np.r_[words.at, np.zeros(PAD, np.int64)], 0
+    for k, width in enumerate(WIDTHS):
+        own = slice(k * FILTERS, (k + 1) * FILTERS)
+        for tap in range(width):
+            np.add.at(taps, (padded[best[:, :, own] + tap], np.arange(column, column + FILTERS)[None, None, :]), d[:, :, own])
+            column += FILTERS
+    touched = np.flatnonzero(taps.any(axis=1))
+    touched = touched[touched > 0]
+    return loss, [x[touched].T @ taps[touched], d.sum(axis=(0, 1)), h.T @ g, g.sum()], touched, taps[touched] @ model.filters.T
+
+
+def fit(texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int = 7) -> tuple[Model, np.ndarray]:
+    """(a model of texts and 0/1 labels, positions of those it is fitted on). A fifth is left for the thresholds, which aren't set; without both labels, untrained.
+
+    The first coordinate of an embedding starts from what counts of the word's buckets say of
+    the label, and the first filter reads it; buckets that one text alone holds stay at zero, so
+    that a text can't be told by words of its own.
+    """
     labels = np.asarray(labels, np.float32)
-    if len(set(labels.tolist())) < 2:
-        return untrained(), np.zeros(0, np.int64)
     rng = np.random.default_rng(seed)
-    used = rng.permutation(len(texts))[len(texts) // 5 :]
+    used = np.sort(rng.permutation(len(texts))[len(texts) // 5 :])
+    if len(set(labels[used].tolist())) < 2:
+        return untrained(), np.zeros(0, np.int64)
+    whole, labels = read([texts[i] for i in used]), labels[used]
     model = untrained()
-    model.table = rng.normal(0, NOISE, model.table.shape).astype(np.float32)  # words not met must not stand out in a maximum
+    z, alive = told_by_counts(whole, labels)
+    model.table = (rng.normal(0, NOISE, model.table.shape) * alive[:, None]).astype(np.float32)
+    model.table[:, 0] += np.where(alive, ODDS * z, 0.0)
     model.filters = rng.normal(0, 0.3, model.filters.shape).astype(np.float32)
-    model.out = rng.normal(0, 0.3, model.out.shape).astype(np.float32)
-    model.out_bias = 0.0
+    model.filters[:, 0] = 0.0
+    model.filters[0, 0] = 1.0
+    model.out = rng.normal(0, 0.1, model.out.shape).astype(np.float32)
+    model.out[:: len(model.bias)] = 0.5
+    model.out_bias = -2.0
     dense = _Adam(model.filters.shape, model.bias.shape, model.out.shape, ())
     square = np.full((BUCKETS, 1), 1e-6, np.float32)
-    share = labels[used].mean()
-    epochs = min(MOST_EPOCHS, max(epochs, LEAST_STEPS * batch // len(used)))
-    weight = np.where(labels > 0, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6))
-    for epoch in range(epochs):
-        for at in range(0, len(used), batch):
-            some = used[at : at + batch] if epoch == 0 else rng.permutation(used)[:batch]
-            words = words_of([texts[i] for i in some])
-            x = model.embed(words)
-            a = model.maps(words, x, slice(0, len(words.at)), words.pads)
-            ends = np.r_[words.starts[1:], len(words.at)]
-            best = np.stack([s + a[s:e].argmax(axis=0) for s, e in zip(words.starts, ends, strict=True)])
-            peak = np.take_along_axis(a, best, axis=0)
-            h = np.maximum(peak, 0.0)
-            p = 1.0 / (1.0 + np.exp(-np.clip(h @ model.out + model.out_bias, -30, 30)))
-            g = ((p - labels[some]) * weight[some] / len(some)).astype(np.float32)
-            d = g[:, None] * model.out[None, :] * (peak > 0)
-            taps_grad = np.zeros((len(x), model.filters.shape[1]), np.float32)
-            padded, column = np.r_[words.at, np.zeros(PAD, np.int64)], 0
-            for k, width in enumerate(WIDTHS):
-                own = slice(k * FILTERS, (k + 1) * FILTERS)
-                for tap in range(width):
-                    np.add.at(taps_grad, (padded[best[:, own] + tap], np.arange(column, column + FILTERS)[None, :]), d[:, own])
-                    column += FILTERS
-            touched = np.flatnonzero(taps_grad.any(axis=1))
-            touched = touched[touched > 0]
-            x_grad = taps_grad[touched] @ model.filters.T
-            steps = dense.steps([x[touched].T @ taps_grad[touched], d.sum(axis=0), h.T @ g, g.sum()], 0.01)
-            model.filters -= steps[0]
-            model.bias -= steps[1]
-            model.out -= steps[2]
-            model.out_bias -= float(steps[3])
-            for part in range(PARTS):  # Adagrad on the rows that were met
-                rows = words.rows[touched, part]
-                np.add.at(square, rows, (x_grad**2).mean(axis=1, keepdims=True))
-                np.add.at(model.table, rows, -0.05 * x_grad / np.sqrt(square[rows]))
+    share = labels.mean()
+    weight = np.where(labels > 0, 0.5 / share, 0.5 / (1 - share))
+    for _ in range(steps):
+        some = rng.choice(len(used), min(BATCH, len(used)), replace=False)
+        words = whole.of(some)
+        _, grads, touched, x_grad = gradients(model, words, labels[some], weight[some])
+        moves = dense.steps(grads, RATE)
+        model.filters -= moves[0]
+        model.bias -= moves[1]
+        model.out -= moves[2]
+        model.out_bias -= float(moves[3])
+        for part in range(PARTS):  # Adagrad on the rows that were met
+            rows = words.rows[touched, part]
+            live = alive[rows]
+            np.add.at(square, rows[live], (x_grad[live] ** 2).mean(axis=1, keepdims=True))
+            np.add.at(model.table, rows[live], -TABLE_RATE * x_grad[live] / np.sqrt(square[rows[live]]))
     return model, used
 
 
+def language_markers(texts: list[str], langs: list[str | None]) -> tuple[int, dict[str, list[tuple[int, float]]]]:
+    """(languages, words that speak for each): frequent words that texts of other languages lack, weighed by how much more frequent they are."""
+    names = sorted({x for x in langs if x is not None})
+    held, n = [Counter() for _ in names], Counter(x for x in langs if x is not None)
+    for text, lang in zip(texts, langs, strict=True):
+        if lang is not None:
+            held[names.index(lang)].update(set(words_of(text)))
+    total = sum(held, Counter())
+    out: dict[str, list[tuple[int, float]]] = {}
+    for k, lang in enumerate(names):
+        rest = sum(n.values()) - n[lang]
+        lift = {w: math.log((c + 0.5) / (n[lang] + 1)) - math.log((total[w] - c + 0.5) / (rest + 1)) for w, c in held[k].items() if c > 0.05 * n[lang]}
+        for w in sorted((w for w in lift if lift[w] > LEAST_LIFT), key=lambda w: (-held[k][w] * lift[w], w))[:MARKERS]:
+            out.setdefault(w, []).append((k, lift[w]))
+    return len(names), out
+
+
 def _threshold(steps: np.ndarray, clean: np.ndarray, toxic: np.ndarray, weight: float = 1.0) -> float:
     """Middle of the cuts with the least errors, steps ascending. An error on a clean text weighs 1, a toxic one `weight`."""
     if not clean.sum() + toxic.sum():
@@ -203,7 +294,7 @@ def _threshold(steps: np.ndarray, clean: np.ndarray, toxic: np.ndarray, weight:
     return float((steps[max(0, cut - 1)] + steps[min(len(steps) - 1, cut)]) / 2 * STEP)
 
 
-def _thresholds(sums: list[tuple[int, int, int, int]], clean_rows: int, toxic_rows: int) -> np.ndarray:
+def _thresholds(sums: list[tuple[int, int, int, int]], clean_rows: int, toxic_rows: int, languages: int) -> np.ndarray:
     """Thresholds of each language from (language, step, clean, toxic); few texts lean to the general one.
 
     clean_rows, toxic_rows: labels of each kind before any were fitted on. Errors weigh so that
@@ -220,9 +311,9 @@ def _thresholds(sums: list[tuple[int, int, int, int]], clean_rows: int, toxic_ro
         return _threshold(steps, clean, toxic, weight), int(min(clean.sum(), toxic.sum()))
 
     if not sums:
-        return np.zeros(len(LANGUAGES))
+        return np.zeros(languages + 1)
     general, found = of(sums)[0], []
-    for k in range(len(LANGUAGES)):
+    for k in range(languages + 1):
         own = [r for r in sums if r[0] == k]
         cut, n = of(own) if own else (general, 0)
         found.append((n * cut + 20 * general) / (n + 20))
@@ -232,10 +323,10 @@ def _thresholds(sums: list[tuple[int, int, int, int]], clean_rows: int, toxic_ro
 def _steps(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = words_of(batch.column(0).to_pylist())
+            words = read(batch.column(0).to_pylist())
             step = np.clip(np.rint(shared.value.logits(words) / STEP), -OUTERMOST, OUTERMOST).astype(np.int64)
             toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            cells, counts = np.unique(np.stack([words.languages, step, toxic]), axis=1, return_counts=True)
+            cells, counts = np.unique(np.stack([shared.value.language_of(words), step, toxic]), axis=1, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (*cells, counts)], names=["language", "step", "toxic", "n"])
 
     return run
@@ -247,14 +338,13 @@ def calibrated(docs: DataFrame, marked: DataFrame, model: Model, fitted: list[in
     Histograms of logits by language and label are summed on Spark; what is collected is bounded by their steps.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
     used = spark.createDataFrame(pd.DataFrame({"doc_id": np.array(sorted(set(fitted)), np.int64)}), "doc_id long")
     rest = marked.join(F.broadcast(used), "doc_id", "left_anti")
     rows = docs.select("doc_id", "text").join(rest, "doc_id").select("text", F.col("toxic").cast("long").alias("toxic"))
-    steps = rows.mapInArrow(_steps(spark.sparkContext.broadcast(model)), "language long, step long, toxic long, n long")
+    steps = arrow_batches(rows, _steps(spark.sparkContext.broadcast(model)), "language long, step long, toxic long, n long", rows=2000)
     sums = steps.groupBy("language", "step").agg(F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("clean"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("toxic"))
     labelled = marked.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
-    model.thresholds = _thresholds([tuple(r) for r in sums.collect()], *labelled)
+    model.thresholds = _thresholds([tuple(r) for r in sums.collect()], *labelled, model.languages)
     return model
 
 
@@ -263,32 +353,39 @@ def for_training(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None) -> Model:
-    """A model of docs (doc_id, text) and labels (doc_id, toxic 0/1).
-
-    Fitted on at most SAMPLE_TOXIC and SAMPLE_CLEAN labelled rows, the first by a hash of the
-    id, with texts up to SAMPLE_CHARS; all other labelled rows, and a fifth of these, set the
-    thresholds. allowed: a condition on doc_id. Rows with a null id or
-    another label don't count; an id with both labels counts as toxic.
+    """A model of docs (doc_id, text, and lang if there is one) and labels (doc_id, toxic 0/1).
+
+    Fitted on at most SAMPLE_TOXIC and SAMPLE_CLEAN labelled ids, the first by a hash of the
+    id, with texts up to SAMPLE_CHARS, of rows that repeat an id the least text; all other
+    labelled rows, and a fifth of these, set the thresholds. The words that tell a text's
+    language are learnt from the same rows; without a lang column there is one threshold.
+    allowed: a condition on doc_id. Rows with a null id or another label don't count; an id
+    with both labels counts as toxic.
     """
     marked = labels.select("doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     marked = (marked.where(allowed) if allowed is not None else marked).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rank = F.xxhash64("doc_id")
     some = marked.where("toxic = 1").orderBy(rank).limit(SAMPLE_TOXIC).unionByName(marked.where("toxic = 0").orderBy(rank).limit(SAMPLE_CLEAN))
-    texts = docs.select("doc_id", "text").where(F.char_length("text") <= SAMPLE_CHARS)
-    rows = texts.join(F.broadcast(some), "doc_id").collect()  # at most SAMPLE_TOXIC + SAMPLE_CLEAN ids
-    rows = sorted(((r.doc_id, r.text, r.toxic) for r in rows))[: 2 * (SAMPLE_TOXIC + SAMPLE_CLEAN)]
-    model, used = fit([t for _, t, _ in rows], np.array([y for *_, y in rows]))
-    return calibrated(docs, marked, model, [rows[i][0] for i in used]) if len(used) else model
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    texts = docs.select("doc_id", "text", lang.alias("lang")).where(F.char_length("text") <= SAMPLE_CHARS)
+    one = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("t"))
+    rows = sorted((r.doc_id, r.t.text, r.t.lang, r.toxic) for r in one.collect())  # at most SAMPLE_TOXIC + SAMPLE_CLEAN ids
+    model, used = fit([r[1] for r in rows], np.array([r[3] for r in rows]))
+    if not len(used):
+        return model
+    model.languages, model.markers = language_markers([rows[i][1] for i in used], [rows[i][2] for i in used])
+    model.thresholds = np.zeros(model.languages + 1)
+    return calibrated(docs, marked, model, [rows[i][0] for i in used])
 
 
 def scorer(docs: DataFrame, model: Model):
     """A column function: text to score."""
-    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(shared.value.scores(texts.tolist()), dtype=np.float64)
+            some = texts.tolist()
+            yield pd.Series(np.concatenate([shared.value.scores(some[at : at + 1000]) for at in range(0, len(some), 1000)] or [np.empty(0)]), dtype=np.float64)
 
     return F.pandas_udf(score, T.DoubleType())
 
@@ -298,11 +395,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Labels are learnt from rows whose crc32(id) mod 3 is not 1; the others are held out. The
     score reads the text only: its language, which chooses the calibrated threshold, is told
-    from its own function words. A null or empty text has the score of no words. Without
-    labels of both kinds every score is low. A null id counts as not held out. An empty table
-    gives no rows; rows that repeat an id all stay; other columns are not read.
+    from its own words. A null or empty text has the score of no words. Without labels of both
+    kinds every score is low. A null id counts as not held out. An empty table gives no rows;
+    rows that repeat an id all stay. A column lang, if there is one, tells the fit which words
+    go with which language; other columns are not read.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    lang = [F.col("lang")] if "lang" in docs.columns else []
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *lang)
     score = scorer(docs, train(docs, labels, for_training(F.col("doc_id"))))
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))
     scored = docs.select("doc_id", held.alias("held_out"), score("text").alias("score"))
