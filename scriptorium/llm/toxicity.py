@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -16,18 +15,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_batches, cut_words, words_of
+from .common import arrow_batches, cut_words
 
 #: Rows of the embedding table, its width, filters of each width, the filter widths, and how many of a filter's highest activations are pooled.
 BUCKETS, DIMS, FILTERS, WIDTHS, TOP = 1 << 18, 12, 8, (1, 2, 3), 3
 PAD = max(WIDTHS)  # places of padding behind each text
 PARTS = 3  # hashes of a word: whole, first four and first five letters
 #: Labelled rows a model is fitted on at most, of each label, and the longest text among them.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 3000, 6000, 50_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1500, 3000, 20_000
 #: Words that tell a language, of each at most, and how much more frequent than elsewhere they are, as a logarithm.
 MARKERS, LEAST_LIFT = 40, 0.7
 #: Words that a worker remembers the hashes of, and places that filters pass over at a time.
-CACHE_WORDS, SPAN = 400_000, 60_000
+CACHE_WORDS, SPAN = 200_000, 60_000
 
 
 def word_rows(word: str) -> tuple[int, int, int]:
@@ -69,9 +68,9 @@ def read(texts: list[str | None]) -> Words:
     distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
     own = np.repeat(np.arange(len(lengths)), lengths)
     starts = np.r_[0, np.cumsum(lengths + PAD)]
-    at = np.zeros(starts[-1], np.int64)
+    at = np.zeros(starts[-1], np.int32)
     at[np.arange(len(own)) + PAD * own] = words.indices.to_numpy(zero_copy_only=False) + 1
-    return Words(["", *distinct], np.concatenate([np.zeros((1, PARTS), np.int64), _rows_of(distinct)]), at, starts, np.repeat(np.arange(len(lengths)), lengths + PAD))
+    return Words(["", *distinct], np.concatenate([np.zeros((1, PARTS), np.int64), _rows_of(distinct)]), at, starts, np.repeat(np.arange(len(lengths), dtype=np.int32), lengths + PAD))
 
 
 @dataclass
@@ -185,7 +184,7 @@ def told_by_counts(words: Words, labels: np.ndarray) -> tuple[np.ndarray, np.nda
     n, z, seen = np.array([(labels == 0).sum(), (labels == 1).sum()], float), np.zeros(BUCKETS), np.zeros(BUCKETS, bool)
     place = np.flatnonzero(words.at > 0)
     for part in range(PARTS):
-        pairs, times = np.unique(words.text[place] * BUCKETS + words.rows[words.at[place], part], return_counts=True)
+        pairs, times = np.unique(words.text[place].astype(np.int64) * BUCKETS + words.rows[words.at[place], part], return_counts=True)
         for least in (1, 2):  # texts that hold it, and texts that hold it twice
             both = pairs[times >= least]
             held = np.stack([np.bincount(both[labels[both // BUCKETS] == y] % BUCKETS, minlength=BUCKETS) for y in (0, 1)]).astype(float)
@@ -223,7 +222,7 @@ def gradients(model: Model, words: Words, labels: np.ndarray, weight: np.ndarray
     return loss, [x[touched].T @ taps[touched], d.sum(axis=(0, 1)), h.T @ g, g.sum()], touched, taps[touched] @ model.filters.T
 
 
-def fit(texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int = 7) -> tuple[Model, np.ndarray]:
+def fit(texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int = 7, langs: list[str | None] | None = None) -> tuple[Model, np.ndarray]:
     """(a model of texts and 0/1 labels, positions of those it is fitted on). A fifth is left for the thresholds, which aren't set; without both labels, untrained.
 
     The first coordinate of an embedding starts from what counts of the word's buckets say of
@@ -236,7 +235,11 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int = 7)
     if len(set(labels[used].tolist())) < 2:
         return untrained(), np.zeros(0, np.int64)
     whole, labels = read([texts[i] for i in used]), labels[used]
+    _ROWS.clear()
     model = untrained()
+    model.languages, model.markers = language_markers(whole, [langs[i] for i in used.tolist()] if langs else [])
+    model.thresholds = np.zeros(model.languages + 1)
+    whole.words = []
     z, alive = told_by_counts(whole, labels)
     model.table = (rng.normal(0, NOISE, model.table.shape) * alive[:, None]).astype(np.float32)
     model.table[:, 0] += np.where(alive, ODDS * z, 0.0)
@@ -267,20 +270,22 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int = 7)
     return model, used
 
 
-def language_markers(texts: list[str], langs: list[str | None]) -> tuple[int, dict[str, list[tuple[int, float]]]]:
+def language_markers(words: Words, langs: list[str | None]) -> tuple[int, dict[str, list[tuple[int, float]]]]:
     """(languages, words that speak for each): frequent words that texts of other languages lack, weighed by how much more frequent they are."""
     names = sorted({x for x in langs if x is not None})
-    held, n = [Counter() for _ in names], Counter(x for x in langs if x is not None)
-    for text, lang in zip(texts, langs, strict=True):
-        if lang is not None:
-            held[names.index(lang)].update(set(words_of(text)))
-    total = sum(held, Counter())
-    out: dict[str, list[tuple[int, float]]] = {}
-    for k, lang in enumerate(names):
-        rest = sum(n.values()) - n[lang]
-        lift = {w: math.log((c + 0.5) / (n[lang] + 1)) - math.log((total[w] - c + 0.5) / (rest + 1)) for w, c in held[k].items() if c > 0.05 * n[lang]}
-        for w in sorted((w for w in lift if lift[w] > LEAST_LIFT), key=lambda w: (-held[k][w] * lift[w], w))[:MARKERS]:
-            out.setdefault(w, []).append((k, lift[w]))
+    if not names:
+        return 0, {}
+    own, wide = np.array([names.index(x) if x is not None else -1 for x in langs]), len(words.words)
+    place = np.flatnonzero((words.at > 0) & (own[words.text] >= 0))
+    pairs = np.unique(words.text[place].astype(np.int64) * wide + words.at[place])  # each word once a text
+    held = np.stack([np.bincount(pairs[own[pairs // wide] == k] % wide, minlength=wide) for k in range(len(names))])
+    total, out = held.sum(axis=0), {}
+    for k in range(len(names)):
+        n, rest = int((own == k).sum()), int(((own >= 0) & (own != k)).sum())
+        lift = np.log((held[k] + 0.5) / (n + 1)) - np.log((total - held[k] + 0.5) / (rest + 1))
+        some = np.flatnonzero((held[k] > 0.05 * n) & (lift > LEAST_LIFT))
+        for i in sorted(some.tolist(), key=lambda i: (-held[k][i] * lift[i], words.words[i]))[:MARKERS]:
+            out.setdefault(words.words[i], []).append((k, float(lift[i])))
     return len(names), out
 
 
@@ -370,12 +375,10 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None) ->
     texts = docs.select("doc_id", "text", lang.alias("lang")).where(F.char_length("text") <= SAMPLE_CHARS)
     one = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("t"))
     rows = sorted((r.doc_id, r.t.text, r.t.lang, r.toxic) for r in one.collect())  # at most SAMPLE_TOXIC + SAMPLE_CLEAN ids
-    model, used = fit([r[1] for r in rows], np.array([r[3] for r in rows]))
-    if not len(used):
-        return model
-    model.languages, model.markers = language_markers([rows[i][1] for i in used], [rows[i][2] for i in used])
-    model.thresholds = np.zeros(model.languages + 1)
-    return calibrated(docs, marked, model, [rows[i][0] for i in used])
+    ids, texts, langs, toxic = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [], [])
+    del rows
+    model, used = fit(texts, np.array(toxic), langs=langs)
+    return calibrated(docs, marked, model, [ids[i] for i in used]) if len(used) else model
 
 
 def scorer(docs: DataFrame, model: Model):

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import types as T
 
 from scriptorium.llm import toxicity as X
+from scriptorium.llm.common import words_of
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("score", T.StringType())])
 LABELS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("quality", T.IntegerType()), T.StructField("toxic", T.IntegerType())])
@@ -51,7 +52,7 @@ def random_model(seed=0):
 
 def plain_logit(model, text):
     """The same network for one text, word by word."""
-    words = X.words_of(text)
+    words = words_of(text)
     x = [sum(model.table[r] for r in X.word_rows(w)) for w in words] + [np.zeros(X.DIMS, np.float32)] * X.PAD
     tops, column = [[] for _ in range(X.TOP)], 0
     for width in X.WIDTHS:
