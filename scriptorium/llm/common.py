@@ -22,30 +22,32 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a fresh one only where the setting is absent."""
+    """The folder named by spark.checkpoint.dir. Only where the setting is absent and driver and executors are one process, a fresh one of this machine."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-scriptorium-")
         sc.setCheckpointDir(root)
     return root
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, *spent: DataFrame) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and returns a reader of it.
 
-    Cuts the lineage: a lost executor costs a reread of files that every executor sees.
+    Cuts the lineage: a lost executor costs a reread of files that every executor sees. spent:
+    tables made by this function that nothing needs any more once df is written; they go.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def bound_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
-    """Bounds what one Arrow batch holds, so that long texts don't fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    for old in spent:
+        place = spark._jvm.org.apache.hadoop.fs.Path(old.scratch)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.RecordBatch]:

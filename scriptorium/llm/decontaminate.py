@@ -274,6 +274,13 @@ def findings(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     return spark.createDataFrame([], FOUND) if found is None else found
 
 
+def clean_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of docs that hold no item; each is judged by its own text, also where ids repeat or are null."""
+    found = materialize(findings(docs, benchmark, id_col, text_col, least=least).select(F.col("doc_id").alias("found"), "mark").distinct(), "contaminated")
+    row = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("own"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))  # the caller's names stay inside
+    return row.join(found, F.col("id").eqNullSafe(F.col("found")) & (F.col("own") == F.col("mark")), "left_anti").select("row.*")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
     """(id, item_id, score, seeds, matched): the documents that hold a copy of a benchmark item, even an edited one.
 

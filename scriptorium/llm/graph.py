@@ -13,10 +13,11 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, root) for every node of edges (u, v long); root is the smallest node reachable.
+    """(node, root) for every node of edges (u, v long) that is no root; root is the smallest node reachable.
 
     Each half round takes the minimum of a node's neighbours with map-side partial
-    aggregation and joins it back, so a hub's rows can be split over tasks. Self loops and
+    aggregation, writes it and joins what it reads back, so that adaptive execution can split a
+    hub's rows over tasks. Self loops and
     repeated edges are allowed; an empty edge table gives an empty result. The number of
     rounds is about the logarithm of the longest chain; `rounds` only stops a runaway loop.
     """
@@ -24,13 +25,13 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     seen = _state(now)
     for _ in range(rounds if seen[0] else 0):
         both = now.unionByName(now.selectExpr("v AS u", "u AS v"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least-neighbours")
         # large star: each neighbour above u points at the least of u's neighbourhood
-        large = both.where("v > u").join(least, "u").selectExpr("v AS u", "m AS v").distinct()
+        large = materialize(both.where("v > u").join(least, "u").selectExpr("v AS u", "m AS v").distinct(), "large-star")
         # small star: each neighbour below u, and u itself, points at the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "lowest-neighbours")
         small = large.join(low, "u").selectExpr("v AS u", "m AS v").where("u <> v")
-        now = materialize(small.unionByName(low.selectExpr("u", "m AS v")).distinct(), "edges")
+        now = materialize(small.unionByName(low.selectExpr("u", "m AS v")).distinct(), "edges", now, least, large, low)
         state = _state(now)
         if state == seen:
             break

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import arrow_batches
 from .markup import CONTENT, END, RAW, START, TEXT, Scanner
 
 _SHOW = re.compile(r"(display|visibility)\s*:\s*([\w-]+)\s*(!\s*important)?", re.I)
@@ -378,6 +378,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
     have marks and indents; table columns are aligned. A null or empty page has an empty text.
     Rows that repeat an id all stay; an empty table gives no rows; other columns are not read.
     """
-    bound_batches(pages.sparkSession, rows=500)
     rows = pages.select(F.col(id_col).cast("long").alias(id_col), F.col(html_col).cast("string").alias("text"))
-    return rows.mapInArrow(_rendered, f"{id_col} long, text string")
+    return arrow_batches(rows, _rendered, f"{id_col} long, text string", rows=500)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize
+from .common import arrow_batches, materialize
 from .markup import CONTENT, END, START, TEXT, Scanner
 from .urls import host_of
 
@@ -130,7 +130,6 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", html_co
     labelled text, lang is null. Rows that repeat an id all stay; an empty table gives no rows.
     """
     spark = pages.sparkSession
-    bound_batches(spark, rows=500)
     languages, logs = train(docs)
     n = len(languages)
     if not n:
@@ -138,7 +137,7 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", html_co
         return pages.select(F.col(id_col), none.alias("declared"), none.alias("suffix"), none.alias("host"), none.alias("text_lang"), none.alias("lang"), F.lit(None).cast("double").alias("confidence"))
     shared = spark.sparkContext.broadcast(logs)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html"), F.col(url_col).alias("url"))
-    read = rows.mapInArrow(_read(shared), "page_id long, url string, declared string, nats array<double>, told boolean")
+    read = arrow_batches(rows, _read(shared), "page_id long, url string, declared string, nats array<double>, told boolean", rows=500)
     host = F.coalesce(host_of(F.col("url")), F.lit(""))
     read = read.withColumn("host", host).withColumn("suffix", F.substring_index(F.regexp_replace("host", ":[0-9]*$", ""), ".", -1))
     read = read.withColumn("declared", F.coalesce("declared", F.lit(""))).withColumn("guess", F.array_position("nats", F.array_max("nats")).cast("int") - 1)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower, bound_batches, materialize
+from .common import ascii_lower, materialize
 
 STRIPPED = " \t\n\x0b\x0c\r"
 #: Bits of one piece in which filters are merged.
@@ -111,7 +111,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> D
 
     docs: doc_id, text. mark is a hash of the text; it tells rows apart that share an id.
     """
-    n = docs.agg(F.sum(F.size(_lines(F.col("text"))))).first()[0] or 0
+    n = docs.agg(F.sum(F.size(F.filter(_lines(F.col("text")), lambda line: F.length(line) >= min_chars)))).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * n).bit_length()))
     # the hash of a text is taken before its lines part, so that no line carries the text
     cut = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.transform(_lines(F.col("text")), line_key).alias("keys"))
@@ -120,8 +120,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> D
     # SHA-256 stands for a key from here on: equal digests are equal keys, and lines don't travel
     suspects = lines.where(suspected(F.xxhash64("key"))).select("doc_id", "mark", "pos", F.unhex(F.sha2("key", 256)).alias("key"))
     suspects = materialize(suspects, "suspect-lines")
-    holders = suspects.select("key", "doc_id", "mark").distinct()
-    shared = holders.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where((F.col("n") >= min_docs) & F.col("keeper").isNotNull())
+    holders = suspects.select("key", "doc_id").where("doc_id IS NOT NULL").distinct()
+    shared = holders.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
     shared = materialize(shared.select("key", "keeper"), "shared-lines")  # read anew, so that a frequent key's rows can be split over tasks
     lost = suspects.join(shared, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return lost.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("pos")).alias("drops"))
@@ -132,12 +132,11 @@ def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A line's key is the line stripped of ASCII white space, with A-Z lower-cased. A key of at
     least min_chars code points found in at least min_docs documents keeps its lines only in
-    the largest id that holds it, all of them. A null or empty text is one empty line. Rows that
-    repeat an id and a text count as one document and get the same result; rows that repeat
-    only the id are documents of their own. A null id is never the largest; lines that only
-    rows without an id hold stay. Of other columns none is read.
+    the largest id that holds it, all of them. A null or empty text is one empty line. A
+    document is known by its id: rows that repeat one count once, and all keep or lose a line.
+    Rows without an id count for nothing and keep no line that others share. Of other columns
+    none is read.
     """
-    bound_batches(docs.sparkSession, rows=20_000)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     drops = materialize(repeated_lines(docs, min_chars, min_docs), "line-drops").toDF("of", "of_mark", "drops")
     marked = docs.withColumn("mark", F.xxhash64("text"))

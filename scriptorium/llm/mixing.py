@@ -56,7 +56,7 @@ def tilts(cells: DataFrame, targets: DataFrame, tolerance: float = 1e-7) -> Data
     means = cells.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
     same = F.col("source").eqNullSafe(F.col("of"))
     state = state.join(means.withColumnRenamed("source", "of"), same).drop("of")
-    state = materialize(state.withColumn("done", F.lit(False)), "tilts")
+    state = spent = materialize(state.withColumn("done", F.lit(False)), "tilts")
     for _ in range(ROUNDS):
         live = cells.join(state.where("NOT done").select(F.col("source").alias("of"), "tilt", "mean"), same)
         r = _rate("tilt")
@@ -74,7 +74,7 @@ def tilts(cells: DataFrame, targets: DataFrame, tolerance: float = 1e-7) -> Data
         moved = F.when((F.col("step") > F.col("l")) & (F.col("step") < F.col("h")), F.col("step")).otherwise(middle)
         done = F.col("done") | (off < tolerance) | (F.col("h") - F.col("l") < 1e-12) | ((F.col("slope") == 0) & ~over)
         state = bracketed.select("source", "target", F.when(done, F.col("tilt")).otherwise(moved).alias("tilt"), F.coalesce("l", "low").alias("low"), F.coalesce("h", "high").alias("high"), "mean", F.coalesce(done, F.lit(True)).alias("done"))
-        state = materialize(state, "tilts")
+        state = spent = materialize(state, "tilts", spent)
         if state.where("NOT done").isEmpty():
             break
     return state.select("source", "tilt", "mean")
@@ -137,8 +137,10 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, text, source and others), each as often as the mix takes it. See copies()."""
-    many = copies(docs).groupBy(F.col("doc_id").alias("of"), F.col("mark").alias("of_mark")).agg(F.sum("copies").alias("times"))
-    marked = docs.withColumn("_mark", F.xxhash64("text"))
-    once = marked.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_mark").orderBy(F.lit(0)))).where("_nth = 1")
-    met = once.join(many, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("_mark") == F.col("of_mark")))
-    return met.where("times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*docs.columns)
+    many = copies(docs).groupBy("doc_id", "mark").agg(F.sum("copies").alias("times"))
+    many = materialize(many.where("times > 0").select(F.col("doc_id").alias("of"), "mark", "times"), "copies")
+    row = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("own"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))  # the caller's names stay inside
+    nth = F.row_number().over(Window.partitionBy("id", "own").orderBy(F.lit(0)))
+    once = row.withColumn("nth", nth).where("nth = 1")
+    met = once.join(many, F.col("id").eqNullSafe(F.col("of")) & (F.col("own") == F.col("mark")))
+    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).select("row.*")

@@ -9,11 +9,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, materialize
+from .common import materialize
 from .graph import connected_components
 
 SEED = 42
@@ -219,6 +219,17 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_link(radius), "u long, v long")
 
 
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
+    """(doc_id, mark, fp, root, component_id) of every row: a hash of its text, its fingerprint, and that of its group's root. See near_duplicates()."""
+    marked = materialize(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), fingerprint(F.col(text_col)).alias("fp")), "fingerprints")
+    fps = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    roots = connected_components(links(fps.select("fp"), radius))
+    linked = fps.join(roots.selectExpr("node AS fp", "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    comps = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_fp = materialize(linked.join(materialize(comps, "components"), "root").select("fp", "root", "component_id"), "grouped-fingerprints")
+    return marked.join(by_fp, "fp")  # read anew, so that a frequent fingerprint's rows can be split over tasks
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits), component_id.
 
@@ -229,12 +240,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     partial aggregation on their fingerprint before anything is compared. Other columns of
     docs, whatever their names, are not read.
     """
-    bound_batches(docs.sparkSession)
-    marked = materialize(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col)).alias("fp")), "fingerprints")
-    fps = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = connected_components(links(fps.select("fp"), radius))
-    linked = fps.join(roots.selectExpr("node AS fp", "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    comps = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = linked.join(comps, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return marked.join(by_fp, "fp").select(F.col("doc_id").alias(id_col), hexed.alias("fingerprint"), "component_id")
+    return groups(docs, id_col, text_col, radius).select(F.col("doc_id").alias(id_col), hexed.alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
+    """The rows of docs without near duplicates: of each group the row of the least id, of its texts the one whose hash is least.
+
+    Rows without an id stay only where a group has no other; of rows that repeat an id and a text one stays.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    kept = groups(docs, id_col, text_col, radius).groupBy("root").agg(F.min(order).alias("k"))
+    kept = materialize(kept.select(F.col("k.doc_id").alias("kept"), F.col("k.mark").alias("mark")), "kept-documents")
+    row = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("own"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))  # the caller's names stay inside
+    met = row.join(kept, F.col("id").eqNullSafe(F.col("kept")) & (F.col("own") == F.col("mark")))
+    return met.withColumn("nth", F.row_number().over(Window.partitionBy("id", "own").orderBy(F.lit(0)))).where("nth = 1").select("row.*")

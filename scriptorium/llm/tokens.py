@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import bound_batches, shared_dir
+from .common import arrow_batches, shared_dir
 
 MAGIC = b"PLN1"
 #: Ids of one block (transposed and compressed plane by plane) and of one chunk (a row of the files).
@@ -279,12 +279,11 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2, pla
     Spark's writer commits the files, so a lost executor costs its tasks only.
     """
     spark = docs.sparkSession
-    bound_batches(spark, rows=4000, size="8m")
     parts = min(MOST_PARTS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     edges, rows, named = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts), F.count(F.lit(1)), F.count("doc_id")).first()
     apart = max(1, parts * (rows - named) // max(1, rows))
     shared = spark.sparkContext.broadcast(np.array(edges or [], np.int64))
-    encoded = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(_encode(tokenizer, shared, apart), "part int, doc_id long, mark long, width int, ids binary")
+    encoded = arrow_batches(docs.select("doc_id", F.xxhash64("text").alias("mark"), "text"), _encode(tokenizer, shared, apart), "part int, doc_id long, mark long, width int, ids binary")
     encoded.repartition("part").sortWithinPartitions("part", "doc_id", "mark").mapInArrow(_write(end_id, planes), CHUNKS).write.parquet(out)
 
 
@@ -317,13 +316,12 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids array<long>) of files that write_tokens has made."""
-    return _based(spark.read.parquet(path)).mapInArrow(_texts, "doc_id long, start long, ids array<long>")
+    return arrow_batches(_based(spark.read.parquet(path)), _texts, "doc_id long, start long, ids array<long>", rows=4)
 
 
 def token_digest(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of files that write_tokens has made, from their ids."""
-    bound_batches(spark, rows=8)
-    return _based(spark.read.parquet(path)).mapInArrow(_digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return arrow_batches(_based(spark.read.parquet(path)), _digest, "doc_id long, start long, n_tokens long, ids_crc32 long", rows=8)
 
 
 def tokenized(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, planes: str = "byte") -> DataFrame:

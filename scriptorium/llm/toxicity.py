@@ -9,13 +9,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import arrow_batches, cut_words
+from .common import cut_words, materialize
 
 #: Rows of the embedding table, its width, filters of each width, the filter widths, and how many of a filter's highest activations are pooled.
 BUCKETS, DIMS, FILTERS, WIDTHS, TOP = 1 << 18, 12, 8, (1, 2, 3), 3
@@ -131,12 +129,6 @@ class Model:
         np.add.at(sums, words.text[telling], votes[words.at[telling]])
         return np.where(sums.any(axis=1), sums.argmax(axis=1), self.languages)
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        """0 to 1; a text at its language's threshold scores `CUT`."""
-        words = read(texts)
-        shifted = self.logits(words) - self.thresholds[self.language_of(words)] + math.log(CUT / (1 - CUT))
-        return 1.0 / (1.0 + np.exp(-np.clip(shifted, -30, 30)))
-
 
 def pool(maps: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(TOP highest activations of each text and filter, their places). Below zero only the highest counts, as none of them is used."""
@@ -325,40 +317,12 @@ def _thresholds(sums: list[tuple[int, int, int, int]], clean_rows: int, toxic_ro
     return np.array(found)
 
 
-def _steps(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = read(batch.column(0).to_pylist())
-            step = np.clip(np.rint(shared.value.logits(words) / STEP), -OUTERMOST, OUTERMOST).astype(np.int64)
-            toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            cells, counts = np.unique(np.stack([shared.value.language_of(words), step, toxic]), axis=1, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (*cells, counts)], names=["language", "step", "toxic", "n"])
-
-    return run
-
-
-def calibrated(docs: DataFrame, marked: DataFrame, model: Model, fitted: list[int]) -> Model:
-    """The model with thresholds from all rows of docs (doc_id, text) that marked (doc_id, toxic) labels, but the fitted ids.
-
-    Histograms of logits by language and label are summed on Spark; what is collected is bounded by their steps.
-    """
-    spark = docs.sparkSession
-    used = spark.createDataFrame(pd.DataFrame({"doc_id": np.array(sorted(set(fitted)), np.int64)}), "doc_id long")
-    rest = marked.join(F.broadcast(used), "doc_id", "left_anti")
-    rows = docs.select("doc_id", "text").join(rest, "doc_id").select("text", F.col("toxic").cast("long").alias("toxic"))
-    steps = arrow_batches(rows, _steps(spark.sparkContext.broadcast(model)), "language long, step long, toxic long, n long", rows=2000)
-    sums = steps.groupBy("language", "step").agg(F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("clean"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("toxic"))
-    labelled = marked.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
-    model.thresholds = _thresholds([tuple(r) for r in sums.collect()], *labelled, model.languages)
-    return model
-
-
 def for_training(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(3)) != 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None) -> Model:
-    """A model of docs (doc_id, text, and lang if there is one) and labels (doc_id, toxic 0/1).
+def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None) -> tuple[Model, DataFrame, DataFrame]:
+    """(a model without thresholds, labels (doc_id, toxic) that may set them, all labels) of docs (doc_id, text, and lang if there is one) and labels (doc_id, toxic 0/1).
 
     Fitted on at most SAMPLE_TOXIC and SAMPLE_CLEAN labelled ids, the first by a hash of the
     id, with texts up to SAMPLE_CHARS, of rows that repeat an id the least text; all other
@@ -367,8 +331,10 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None) ->
     allowed: a condition on doc_id. Rows with a null id or another label don't count; an id
     with both labels counts as toxic.
     """
+    spark = docs.sparkSession
     marked = labels.select("doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     marked = (marked.where(allowed) if allowed is not None else marked).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marked = materialize(marked, "labels")
     rank = F.xxhash64("doc_id")
     some = marked.where("toxic = 1").orderBy(rank).limit(SAMPLE_TOXIC).unionByName(marked.where("toxic = 0").orderBy(rank).limit(SAMPLE_CLEAN))
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
@@ -378,19 +344,58 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None) ->
     ids, texts, langs, toxic = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [], [])
     del rows
     model, used = fit(texts, np.array(toxic), langs=langs)
-    return calibrated(docs, marked, model, [ids[i] for i in used]) if len(used) else model
+    fitted = spark.createDataFrame(pd.DataFrame({"doc_id": np.array(sorted({ids[i] for i in used.tolist()}), np.int64)}), "doc_id long")
+    return model, marked.join(F.broadcast(fitted), "doc_id", "left_anti"), marked
 
 
-def scorer(docs: DataFrame, model: Model):
-    """A column function: text to score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def judge(spark: SparkSession, model: Model):
+    """A column function: text to struct(logit, language)."""
+    shared = spark.sparkContext.broadcast(model)
 
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            some = texts.tolist()
-            yield pd.Series(np.concatenate([shared.value.scores(some[at : at + 1000]) for at in range(0, len(some), 1000)] or [np.empty(0)]), dtype=np.float64)
+            some, parts = texts.tolist(), []
+            for at in range(0, len(some), 1000):
+                words = read(some[at : at + 1000])
+                parts.append(pd.DataFrame({"logit": shared.value.logits(words).astype(np.float64), "language": shared.value.language_of(words).astype(np.int32)}))
+            yield pd.concat(parts) if parts else pd.DataFrame({"logit": np.zeros(0), "language": np.zeros(0, np.int32)})
+
+    return F.pandas_udf(run, "logit double, language int")
+
+
+def calibrated(judged: DataFrame, left: DataFrame, labels: DataFrame, model: Model) -> Model:
+    """The model with thresholds from all rows of judged (doc_id, logit, language) that left (doc_id, toxic) labels.
+
+    Histograms of logits by language and label are summed on Spark; no text moves, and what is
+    collected is bounded by their steps. labels: all that the model may learn from.
+    """
+    step = F.greatest(F.lit(-OUTERMOST), F.least(F.lit(OUTERMOST), F.rint(F.col("logit") / STEP).cast("long"))).alias("step")
+    met = judged.select("doc_id", step, "language").join(left, "doc_id")
+    sums = met.groupBy("language", "step").agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("toxic"))
+    labelled = labels.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
+    model.thresholds = _thresholds([tuple(r) for r in sums.collect()], *labelled, model.languages)
+    return model
+
+
+def scored(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, keep: list[str] | None = None) -> DataFrame:
+    """(row, score): the columns `keep` of docs (doc_id, text and others; all, if none are named) as a struct, and the score of the text, 0 to 1.
+
+    Each text is judged once, where it is read; thresholds follow from narrow rows, and a text at its language's threshold scores CUT.
+    """
+    spark = docs.sparkSession
+    model, left, marked = train(docs, labels, allowed)
+    row = F.struct(*[docs[f"`{c}`"] for c in (docs.columns if keep is None else keep)])
+    judged = docs.select(row.alias("row"), F.col("doc_id").alias("id"), judge(spark, model)("text").alias("j"))
+    judged = materialize(judged.select("row", "id", F.col("j.logit").alias("logit"), F.col("j.language").alias("language")), "judged")
+    model = calibrated(judged.select(F.col("id").alias("doc_id"), "logit", "language"), left, marked, model)
+    threshold = F.element_at(F.array(*map(F.lit, model.thresholds.tolist())), F.col("language") + 1)
+    shifted = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("logit") - threshold + math.log(CUT / (1 - CUT))))
+    return judged.select("row", (1 / (1 + F.exp(-shifted))).alias("score"))
+
 
-    return F.pandas_udf(score, T.DoubleType())
+def drop_toxic(docs: DataFrame, labels: DataFrame, allowed: Column | None = None) -> DataFrame:
+    """The rows of docs that the classifier doesn't reject. See toxicity()."""
+    return scored(docs, labels, allowed).where(F.col("score") < CUT).select("row.*")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -405,7 +410,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     lang = [F.col("lang")] if "lang" in docs.columns else []
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *lang)
-    score = scorer(docs, train(docs, labels, for_training(F.col("doc_id"))))
-    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))
-    scored = docs.select("doc_id", held.alias("held_out"), score("text").alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= CUT).cast("int")).withColumnRenamed("doc_id", id_col)
+    held = F.coalesce(F.pmod(F.crc32(F.col("row.doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))
+    out = scored(docs, labels, for_training(F.col("doc_id")), ["doc_id"])
+    return out.select(F.col("row.doc_id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

@@ -67,7 +67,7 @@ def _widen(rows: DataFrame, level: int) -> DataFrame:
     pool = rare.groupBy("host", "node").agg(F.sum("l").alias("pool_l"), F.sum("g").alias("pool_g"))
     away = _away(F.col("l"), F.col("g"), F.col("pool_l"), F.col("pool_g"))
     rare = rare.join(pool, ["host", "node"]).where((F.col("l") < FEW_LABELS) | (away <= ALIKE)).select("host", "node", "seg", F.lit(True).alias("rare"))
-    met = here.join(rare, ["host", "node", "seg"], "left")
+    met = here.join(materialize(rare, "rare-segments"), ["host", "node", "seg"], "left")  # read anew, so that a hot node's rows can be split
     return met.withColumn("template", F.when(F.col("rare"), _put(F.col("template"), level, "*")).otherwise(F.col("template"))).select(*rows.columns)
 
 
@@ -76,7 +76,7 @@ def _close(rows: DataFrame, level: int) -> DataFrame:
     deep = rows.withColumn("node", F.concat_ws("/", F.slice("template", 1, level + 1))).withColumn("deep", F.size("template") > level + 2)
     nodes = deep.where("deep").groupBy("host", "node").agg(F.sum("labelled").alias("l"), F.sum("good").alias("g"))
     alike = nodes.where((F.col("l") < FEW_LABELS) | (F.col("g") == 0) | (F.col("g") == F.col("l"))).select("host", "node", F.lit(True).alias("alike"))
-    met = deep.join(alike, ["host", "node"], "left")
+    met = deep.join(materialize(alike, "alike-nodes"), ["host", "node"], "left")
     short = F.concat(F.slice("template", 1, level + 1), F.array(F.lit("{rest}")))
     return met.withColumn("template", F.when(F.col("deep") & F.col("alike"), short).otherwise(F.col("template"))).select(*rows.columns)
 
@@ -88,7 +88,7 @@ def _merge(rows: DataFrame, level: int) -> DataFrame:
     pool = own.groupBy("host", "wide").agg(F.sum("l").alias("pool_l"), F.sum("g").alias("pool_g"), F.count(F.lit(1)).alias("branches")).where("branches > 1")
     away = _away(F.col("l"), F.col("g"), F.col("pool_l"), F.col("pool_g"))
     alike = own.join(pool, ["host", "wide"]).where((F.col("l") == 0) | (away <= ALIKE)).select("host", "template", F.lit(True).alias("alike"))
-    met = wide.join(alike, ["host", "template"], "left")
+    met = wide.join(materialize(alike, "alike-branches"), ["host", "template"], "left")
     return met.withColumn("template", F.when(F.col("alike"), F.col("wide")).otherwise(F.col("template"))).select(*rows.columns)
 
 
@@ -111,9 +111,9 @@ def templates(pages: DataFrame) -> DataFrame:
     whole = rows.agg(F.sum("good").alias("g"), F.sum("labelled").alias("l")).first()
     prior = ((whole.g or 0) + 1.0) / ((whole.l or 0) + 2.0)
     hosts = rows.groupBy("host").agg(((F.sum("good") + STRENGTH * prior) / (F.sum("labelled") + STRENGTH)).alias("host_purity"))
-    sums = rows.groupBy("host", "template").agg(F.sum("good").alias("g"), F.sum("labelled").alias("l")).join(hosts, "host")
+    sums = rows.groupBy("host", "template").agg(F.sum("good").alias("g"), F.sum("labelled").alias("l")).join(materialize(hosts, "host-purity"), "host")
     pure = sums.select("host", "template", ((F.col("g") + STRENGTH * F.col("host_purity")) / (F.col("l") + STRENGTH)).alias("purity"))
-    return rows.join(pure, ["host", "template"]).select("host", "segs", "template", "purity")
+    return rows.join(materialize(pure, "template-purity"), ["host", "template"]).select("host", "segs", "template", "purity")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -131,8 +131,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], id_
     marks = labels.where("label_id IS NOT NULL AND label IS NOT NULL").groupBy(F.col("label_id").alias("number")).agg(F.bool_and("label").alias("label"))
     number = F.expr("try_cast(nullif(regexp_extract(path, '/([0-9]{1,18})[^/]*/?$', 1), '') AS BIGINT)")
     marked = parsed.withColumn("number", number).join(marks, "number", "left")
-    judged = templates(marked.select("host", "segs", "label"))
-    out = parsed.join(judged, ["host", "segs"])
+    judged = materialize(templates(marked.select("host", "segs", "label")), "judged-paths")
+    out = parsed.join(judged, ["host", "segs"])  # a frequent path's rows can be split
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("purity") < LEAST_PURITY, "block").otherwise("allow")
     shape = F.concat(F.lit("/"), F.concat_ws("/", "template"))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptorium.llm import decontaminate as D
@@ -147,3 +148,12 @@ def test_long_documents_are_aligned_in_windows():
     cut = list(watch.passages(ids, np.array([len(ids)])))
     assert all(b - a <= 4 * watch.span[0] for _, _, a, b in cut) and len(cut) > 10
     assert max(D.align_numbers(watch.words, ids[a:b])[0] for _, _, a, b in cut) == 40
+
+
+def test_clean_rows_are_judged_by_their_own_text(spark):
+    item = "one two three four five six"
+    rows = [(1, f"x {item} y", "a"), (1, "clean text of the same id", "b"), (None, f"{item}", "c"), (None, "clean without id", "d"), (2, None, "e"), (3, "", "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, found string").withColumn("mark", F.lit("m"))
+    got = D.clean_rows(df, spark.createDataFrame([(1, item, "")], ITEMS))
+    assert got.columns == df.columns
+    assert sorted(r.found for r in got.collect()) == ["b", "d", "e", "f"]

@@ -15,17 +15,16 @@ def key(line):
 
 
 def brute(rows):
-    docs = set(rows)
     holders = defaultdict(set)
-    for d, t in docs:
+    for d, t in rows:
         for x in (t or "").split("\n"):
-            if len(key(x)) >= 40:
-                holders[key(x)].add((d, t))
-    keep = {k: max((d for d, _ in v if d is not None), default=None) for k, v in holders.items() if len(v) >= 5}
+            if len(key(x)) >= 40 and d is not None:
+                holders[key(x)].add(d)
+    keep = {k: max(v) for k, v in holders.items() if len(v) >= 5}
     out = []
     for d, t in rows:
         lines = (t or "").split("\n")
-        kept = [x for x in lines if keep.get(key(x)) in (None, d) or key(x) not in keep]
+        kept = [x for x in lines if key(x) not in keep or keep[key(x)] == d]
         out.append((d, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
     return sorted(out, key=str)
 
@@ -45,6 +44,7 @@ def test_matches_brute_force(spark):
         rows.append((d, "\n".join(body)))
     rows += [(100, None), (101, ""), (102, "\n\n"), (103, shared[0].upper() + "\n \t" + shared[0] + "\r\n"), (103, shared[0]), (7, rows[7][1]), (None, shared[1] + "\nown")]
     rows += [(200 + i, "y" * 40 + "\n" + "z" * 39) for i in range(4)] + [(300 + i, "w" * 40) for i in range(5)]
+    rows += [(500 + i % 2, f"{'v' * 50}\n{i}") for i in range(8)] + [(510 + i % 5, f"{'u' * 50}\n{i}") for i in range(8)]  # texts of two and of five ids
     rows += [(400, "\n".join([shared[2]] * 3000))]
     assert run(spark, rows) == brute(rows)
 

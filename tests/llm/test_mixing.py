@@ -112,3 +112,12 @@ def test_mixed_rows_follow_copies(spark, monkeypatch):
         got[r.doc_id] += 1
     assert {k: v for k, v in want.items() if v} == dict(got)
     assert M.mixed(df).columns == df.columns
+
+
+def test_mixed_keeps_columns_of_any_name(spark):
+    names = ["doc_id", "text", "source", "times", "of", "mark", "row", "copy", "own", "id", "nth", "_mark"]
+    df = spark.createDataFrame([(i, "a b c", "s", *[f"{n}{i}" for n in names[3:]]) for i in range(40)], names)
+    got = M.mixed(df)
+    assert got.columns == names
+    rows = got.collect()
+    assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names[3:])

@@ -2,9 +2,11 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptorium.llm import simhash as S
+from scriptorium.llm.graph import connected_components
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("fp", T.StringType())])
 
@@ -89,3 +91,18 @@ def test_every_pair_in_one_block():
     a, b = S.close_pairs(fps, np.tile(np.arange(blocks), n), q, 2, planes)
     want = {(i, j) for i in range(n) for j in range(n) if j > i and bin(int(fps[i]) ^ int(fps[j])).count("1") <= 2}
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == want
+
+
+def test_one_row_of_each_group_stays(spark):
+    rows = [(3, "a b c d", "x"), (5, "a b c d", "y"), (5, "other words here now", "z"), (7, "Other words here now", "u"), (None, "a b c d", "v"), (None, "alone in this world", "w"), (None, "alone in this world", "w"), (9, None, "p"), (8, "", "q"), (9, None, "p")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, mark string").withColumn("root", F.lit(1))
+    got = S.one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted((str(r.doc_id), str(r.text), r.mark) for r in got.collect()) == sorted([("3", "a b c d", "x"), ("5", "other words here now", "z"), ("None", "alone in this world", "w"), ("8", "", "q")])
+    assert S.one_of_each(df.limit(0)).count() == 0
+
+
+def test_components_of_a_hub(spark):
+    edges = [(0, i) for i in range(1, 3000)] + [(i, i + 1) for i in range(5000, 5100)] + [(2999, 5000), (7000, 7000), (8001, 8000)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**dict.fromkeys([*range(1, 3000), *range(5000, 5101)], 0), 8001: 8000}

@@ -128,10 +128,22 @@ def test_rare_language_is_calibrated_by_its_own_rows(spark, monkeypatch):
     rows, labels = corpus(900, 4)
     rows = [(d, t + " der die und das" if d % 9 == 0 else t, "de" if d % 9 == 0 else "xx") for d, t in rows]
     df = spark.createDataFrame([(d, t, lang) for d, t, lang in rows], "doc_id long, text string, lang string")
-    model = X.train(df, spark.createDataFrame(labels, LABELS), None)
+    model, left, marked = X.train(df, spark.createDataFrame(labels, LABELS), None)
+    assert left.count() == 900 - 96 and marked.count() == 900
+    assert X.scored(df, spark.createDataFrame(labels, LABELS)).count() == 900
     (sums, n), german = seen[0], [k for w, votes in model.markers.items() if w == "und" for k, _ in votes]
     assert n == 2 and german == [0]
     assert sum(c + y for _, _, c, y in sums) == 900 - 96  # all labelled rows but those fitted on
     assert sum(c + y for k, _, c, y in sums if k == 0) > 80
     german = [t for _, t, lang in rows if lang == "de"]
     assert (model.language_of(X.read(german)) == 0).all() and model.language_of(X.read(["und das", "zzz", None])).tolist() == [0, 2, 2]
+
+
+def test_rows_that_stay_have_all_their_columns(spark):
+    rows, labels = corpus(600, 5)
+    df = spark.createDataFrame([(d, t, f"s{d}", d) for d, t in rows], "doc_id long, text string, row string, logit long")
+    kept = X.drop_toxic(df, spark.createDataFrame(labels, LABELS))
+    assert kept.columns == df.columns
+    got, bad = {r.doc_id: r for r in kept.collect()}, {d for d, _, y in labels if y}
+    assert all(r.row == f"s{d}" and r.logit == d for d, r in got.items())
+    assert len(bad & set(got)) <= 20 and len(set(dict(rows)) - bad - set(got)) <= 20
