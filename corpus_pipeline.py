@@ -16,22 +16,17 @@ from scriptorium.llm.queries import TOKENIZER
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model doesn't reject; it is trained on the labels of all documents of this stage that may be learnt from."""
-    labels = table(spark, sf_dir, "labels")
-    score = toxicity.scorer(docs, toxicity.train(docs, labels, toxicity.for_training(F.col("doc_id"))))
-    return docs.where(score("text") < toxicity.CUT).select(*docs.columns)
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"), toxicity.for_training(F.col("doc_id")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each near-duplicate group; documents without an id stay."""
-    groups = simhash.near_duplicates(docs)
-    extra = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
+    """The document of the smallest id of each near-duplicate group."""
+    return simhash.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, not even an edited one."""
-    found = materialize(decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "contaminated")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return decontaminate.clean_rows(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
