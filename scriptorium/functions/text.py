@@ -50,8 +50,8 @@ def clean_text(c: Column, compose=nfc) -> Column:
     c = compose(fold_punctuation(c))
     c = F.regexp_replace(c, r"(?U)(\w)-\n(\w)", "$1$2")
     c = F.regexp_replace(c, r"\n{3,}", "\n\n")
-    c = F.array_join(F.transform(F.split(c, "\n"), lambda line: strip(F.regexp_replace(line, r"[ \t]+", " "))), "\n")
-    return strip(c)
+    c = F.regexp_replace(c, r"[ \t]+", " ")
+    return strip(F.regexp_replace(c, r"(?mdU)^[^\S\n]++|(?<!\s)[^\S\n]++$", ""))
 
 
 def letters_in(c: Column) -> Column:
@@ -77,9 +77,8 @@ def tr_lower(c: Column) -> Column:
 
 def tokenize(c: Column, stop: list[str] = STOP_WORDS) -> Column:
     """Lower-case index terms: hyphens and slashes part, other signs vanish, single letters and stop words go."""
-    words = F.split(strip(F.translate(tr_lower(c), "-/", "  ")), r"(?U)\s+")
-    terms = F.transform(words, lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]+", ""))
-    return F.filter(terms, lambda w: (F.length(w) > 1) & ~w.isin(stop))
+    bare = F.regexp_replace(F.translate(tr_lower(c), "-/", "  "), r"(?U)[^\p{L}\p{N}\s]+", "")
+    return F.filter(F.split(bare, r"(?U)\s+"), lambda w: (F.length(w) > 1) & ~w.isin(stop))
 
 
 def title_case(c: Column) -> Column:

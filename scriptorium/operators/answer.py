@@ -64,13 +64,14 @@ def apply_focus(queries: DataFrame, named: DataFrame, focus: DataFrame, ready: D
     return met.select("query_id", category.alias("category"), F.array_join(F.coalesce("focused", "own", F.array().cast("array<bigint>")), ",").alias("doc_ids"))
 
 
-def summary_listing(queries: DataFrame, named: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, doc_id, shown): full summaries of named documents; without any, first paragraphs of all ready ones."""
+def summary_listing(named: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, doc_id, shown): full summaries of the documents that a query names, and, under a null query_id, the first paragraphs of all ready ones.
+
+    The latter are what a query that names none is shown; they are the same for all, so they come once.
+    """
     ready = docs.where("status = 'ready' AND summary IS NOT NULL").select("doc_id", "summary")
     full = named.select("query_id", "doc_id").distinct().join(ready, "doc_id").select("query_id", "doc_id", F.col("summary").alias("shown"))
-    free = queries.join(named, "query_id", "left_anti").select("query_id")
-    listed = free.join(ready, F.lit(True)).select("query_id", "doc_id", X.first_paragraph(F.col("summary")).alias("shown"))
-    return full.unionByName(listed)
+    return full.unionByName(ready.select(F.lit(None).cast("long").alias("query_id"), "doc_id", X.first_paragraph(F.col("summary")).alias("shown")))
 
 
 def confidence(runs: DataFrame, verdicts: DataFrame) -> DataFrame:

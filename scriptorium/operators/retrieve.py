@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import LIMITS
 from ..functions import text as X
+from .vectors import nearest
 
 
 def postings(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -33,7 +34,7 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int, scope: DataFrame | None
     scope: (query_id, key), the chunks a query may see, applied before anything is ranked. As
     with the default idf_scope, the idf counts the chunks in scope against document frequencies
     of the whole corpus, so it can be negative; scores of zero or less don't rank. Postings are
-    cut to the query's tokens first; frequencies come from that cut, so the corpus is read once.
+    cut to the query's tokens before they are counted; a second pass gives the corpus sums.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(X.tokenize(F.col("text")))).alias("token"))
     found = postings(chunks, key)
@@ -56,22 +57,18 @@ def dot(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(queries: DataFrame, chunks: DataFrame, k: int, scope: DataFrame | None = None, key: str = "vec_id", most: int = 10_000) -> DataFrame:
+def cosine(queries: DataFrame, chunks: DataFrame, k: int, scope: DataFrame | None = None, key: str = "vec_id") -> DataFrame:
     """(query_id, key, score, rank) by the product of unit vectors (queries: query_id, embedding).
 
-    A set of up to `most` queries meets every chunk where the chunk lies; a larger one is asked
-    in blocks. Each task keeps its own k best of a query before anything moves.
+    Each task multiplies its chunks with a block of queries at once and keeps its own k best of
+    a query before anything moves. With a scope, only its pairs (query_id, key) meet.
     """
-    n = queries.count()
-    out = None
-    for b in range(max(1, -(-n // most))):
-        some = queries if n <= most else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // most))) == b)
-        met = chunks.select(key, F.col("embedding").alias("e")).join(F.broadcast(some.select("query_id", F.col("embedding").alias("q"))), F.lit(True))
-        if scope is not None:
-            met = met.join(scope, ["query_id", key], "left_semi")
-        ranked = top(met.select("query_id", key, F.round(dot("e", "q"), 6).alias("score")), k, F.desc("score"), F.col(key))
-        out = ranked if out is None else out.unionByName(ranked)
-    return out
+    if scope is None:
+        found = nearest(queries, chunks, k, key)
+    else:
+        pairs = scope.select("query_id", key).distinct().join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
+        found = pairs.join(chunks.select(key, F.col("embedding").alias("e")), key).select("query_id", key, F.round(dot("q", "e"), 6).alias("score")).where("score IS NOT NULL")
+    return top(found, k, F.desc("score"), F.col(key))
 
 
 def rrf(dense: DataFrame, sparse: DataFrame, key: str, k: int = LIMITS.rrf_k) -> DataFrame:
@@ -84,6 +81,10 @@ def rrf(dense: DataFrame, sparse: DataFrame, key: str, k: int = LIMITS.rrf_k) ->
 
 
 
+def fused_order(key: str) -> tuple[Column, ...]:
+    return F.desc("fused"), F.asc_nulls_last("rank_dense"), F.asc_nulls_last("rank_sparse"), F.col(key)
+
+
 def capped(ranked: DataFrame, cap: int, k: int, doc: str, *order: Column) -> DataFrame:
     """At most `cap` rows of a document (0: any number), then the k best."""
     if cap:
@@ -91,6 +92,36 @@ def capped(ranked: DataFrame, cap: int, k: int, doc: str, *order: Column) -> Dat
     return top(ranked, k, *order)
 
 
+def hybrid_search(queries: DataFrame, chunks: DataFrame, top_k: int = LIMITS.top_k, mode: str = "hybrid", cap: int = LIMITS.per_document, scope: DataFrame | None = None, kinds: tuple[str, ...] | None = None, key: str = "row_id", doc: str = "doc_id", width: int = LIMITS.candidates) -> DataFrame:
+    """(query_id, key, doc, fused, dense_score, rank_dense, rank_sparse, rank): the top_k chunks of each query.
+
+    queries: query_id, text, embedding. chunks: key, doc, text, embedding, and kind where kinds
+    are asked for. The lists of both kinds of search hold max(width, 4 * top_k) candidates, or
+    all that are allowed, and are fused by rank; mode dense or bm25 takes one of them. What
+    scope (query_id, key) and kinds allow is settled before anything is ranked. At most `cap`
+    chunks of a document (0: any number). dense_score is the cosine of every hit, of those too
+    that only their words have found; null where a vector is missing.
+    """
+    if mode not in ("hybrid", "dense", "bm25"):
+        raise ValueError(f"no such mode: {mode}")
+    take = max(width, 4 * top_k)
+    live = chunks if kinds is None else chunks.where(F.col("kind").isin(*kinds))
+    allowed = scope if kinds is None or scope is None else scope.join(live.select(key), key, "left_semi")
+    none = queries.sparkSession.createDataFrame([], queries.select("query_id").join(chunks.select(key)).select("query_id", key, F.lit(0.0).alias("score"), F.lit(0).alias("rank")).schema)
+    dense = none if mode == "bm25" else cosine(queries, live, take, allowed, key)
+    sparse = none if mode == "dense" else bm25(queries, chunks if scope is None and kinds is None else live, take, allowed, key=key)
+    hits = capped(rrf(dense, sparse, key).join(chunks.select(key, doc), key), cap, top_k, doc, *fused_order(key))
+    told = dense.select("query_id", key, F.col("score").alias("told"))
+    met = hits.join(told, ["query_id", key], "left")
+    met = met.join(queries.select("query_id", F.col("embedding").alias("_q")), "query_id", "left").join(chunks.select(key, F.col("embedding").alias("_e")), key, "left")
+    return met.select("query_id", key, doc, "fused", F.coalesce("told", F.round(dot("_q", "_e"), 6)).alias("dense_score"), "rank_dense", "rank_sparse", "rank")
+
+
+def rescue(hits: DataFrame, least: float = LIMITS.rescue) -> DataFrame:
+    """(query_id, rescued) of hits (query_id, dense_score): whether a question that was held for out of scope has a hit that is near enough."""
+    return hits.groupBy("query_id").agg((F.coalesce(F.max("dense_score"), F.lit(-1.0)) >= least).alias("rescued"))
+
+
 def fuse(lists: DataFrame, k: int, cap: int, key: str, doc: str) -> DataFrame:
     """lists (query_id, variant, rank, dense_score, key, doc): one list stays as it is; several fuse by rank, the best dense score of each hit counts."""
     many = lists.groupBy("query_id").agg(F.count_distinct("variant").alias("variants"))
@@ -135,20 +166,36 @@ def full_read_route(scoped: DataFrame, single: int = LIMITS.full_read_chars, cro
     return sums.withColumn("route", F.when(fits, "read").otherwise("search"))
 
 
-def visible(docs: DataFrame, users: DataFrame) -> DataFrame:
-    """(user_id, doc_id) of what a user owns or all share, without deleted documents."""
-    live = docs.where("status <> 'deleted'").select("doc_id", "owner_id", "visibility")
-    own = live.join(users.select(F.col("user_id").alias("owner_id")), "owner_id").select(F.col("owner_id").alias("user_id"), "doc_id")
-    shared = live.where("visibility = 'ortak'").select("doc_id")
-    return own.unionByName(users.select("user_id").join(shared, F.lit(True)).select("user_id", "doc_id")).distinct()
+def permitted(docs: DataFrame) -> DataFrame:
+    """(doc_id, owner_id, shared) of live documents: what scope and lists are told by, without a row for every user of a shared one."""
+    return docs.where("status <> 'deleted'").select("doc_id", "owner_id", (F.col("visibility") == "ortak").alias("shared"))
+
+
+def document_list(docs: DataFrame, users: DataFrame, newest: int = 60) -> DataFrame:
+    """(user_id, doc_id, kind, rank): the newest live documents that each user owns or all share, own ones told from shared ones.
+
+    Of shared documents only the `newest` of all can be among a user's newest, so no more of them meet a user.
+    """
+    live = permitted(docs)
+    users = users.select("user_id").distinct()
+    own = top(live.select(F.col("owner_id").alias("user_id"), "doc_id"), newest, F.desc("doc_id"), by=("user_id",)).select("user_id", "doc_id", F.lit("own").alias("kind")).join(users, "user_id", "left_semi")
+    shared = live.where("shared").orderBy(F.desc("doc_id")).limit(newest)
+    others = users.join(F.broadcast(shared), F.col("user_id") != F.col("owner_id")).select("user_id", "doc_id", F.lit("shared").alias("kind"))
+    return top(own.unionByName(others), newest, F.desc("doc_id"), by=("user_id",))
 
 
 def scoped(queries: DataFrame, named: DataFrame, permitted: DataFrame) -> DataFrame:
-    """(query_id, doc_id): what a query names, if anything, within what its user may see; nothing left means no hits."""
-    may = queries.select("query_id", "user_id").join(permitted, "user_id").select("query_id", "doc_id")
-    asks = named.select("query_id", F.lit(True).alias("asks")).distinct()
-    free = may.join(asks, "query_id", "left_anti")
-    return free.unionByName(may.join(named.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi"))
+    """(query_id, doc_id): what a query (query_id, user_id) names, if anything, within what its user may see; nothing left means no hits.
+
+    Named documents are looked up one by one. Only a query that names none gets a row for every
+    document that its user owns or all share, as that is its scope.
+    """
+    asks = named.select("query_id", "doc_id").distinct().join(queries.select("query_id", "user_id"), "query_id")
+    found = asks.join(permitted, "doc_id").where(F.col("shared") | (F.col("owner_id") == F.col("user_id"))).select("query_id", "doc_id")
+    free = queries.join(named.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "user_id")
+    own = free.join(permitted.where("NOT shared"), F.col("user_id") == F.col("owner_id")).select("query_id", "doc_id")
+    shared = free.select("query_id").join(permitted.where("shared").select("doc_id"), F.lit(True))
+    return found.unionByName(own).unionByName(shared)
 
 
 def valid_refs(refs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -204,12 +251,17 @@ def query_variants(queries: DataFrame) -> DataFrame:
 
 
 def term_hints(queries: DataFrame, targets: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, term, doc_id): names and codes of a query that its target documents lack and others hold whole."""
+    """(query_id, term, doc_id, pages): names and codes of a query that its target documents lack and others hold whole, and the pages where they do.
+
+    chunks: doc_id, page_no, text.
+    """
     words = F.transform(F.regexp_extract_all("text", F.lit(r"(?U)([\w/-]+(?:['’]\w+)?)"), F.lit(1)), lambda w: F.regexp_extract(w, "^([^'’]*)", 1))
     terms = queries.select("query_id", F.explode(F.array_distinct(words)).alias("term")).where((F.length("term") >= 2) & F.col("term").rlike(r"^\p{Lu}|\p{Nd}") & ~F.col("term").rlike(r"^\p{Nd}+$"))
     parts = terms.withColumn("ts", F.array_distinct(X.tokenize(F.col("term")))).where(F.size("ts") > 0).select("query_id", "term", F.size("ts").alias("need"), F.explode("ts").alias("token"))
-    held = postings(chunks).select("doc_id", "token").join(parts.select("token").distinct(), "token", "left_semi")
-    docs = parts.join(held, "token").groupBy("query_id", "term", "need", "doc_id").agg(F.count(F.lit(1)).alias("n")).where("n = need").select("query_id", "term", "doc_id")
+    held = chunks.select("doc_id", "page_no", F.explode(F.array_distinct(X.tokenize(F.col("text")))).alias("token"))
+    held = held.join(parts.select("token").distinct(), "token", "left_semi")
+    on_page = parts.join(held, "token").groupBy("query_id", "term", "need", "doc_id", "page_no").agg(F.count(F.lit(1)).alias("n")).where("n = need")
+    docs = on_page.groupBy("query_id", "term", "doc_id").agg(F.array_sort(F.collect_set("page_no")).alias("pages"))
     covered = docs.join(targets, ["query_id", "doc_id"], "left_semi").select("query_id", "term").distinct()
     return docs.join(covered, ["query_id", "term"], "left_anti")
 
@@ -222,9 +274,11 @@ def fewshot(queries: DataFrame, feedback: DataFrame, n: int = 5, least: float =
 
 
 def per_document(queries: DataFrame, chunks: DataFrame, key: str, doc: str, each: int = 3, most_docs: int = 8) -> DataFrame:
-    """The `each` best chunks in each of the `most_docs` documents that fit a query best (queries: query_id, embedding)."""
-    met = chunks.select(key, doc, F.col("embedding").alias("e")).join(F.broadcast(queries.select("query_id", F.col("embedding").alias("q"))), F.lit(True))
-    scored = met.select("query_id", key, doc, F.round(dot("q", "e"), 6).alias("score"))
-    coarse = scored.groupBy("query_id", doc).agg(F.max("score").alias("best"))
-    picked = top(coarse, most_docs, F.desc("best"), F.col(doc)).select("query_id", doc)
-    return top(scored.join(picked, ["query_id", doc], "left_semi"), each, F.desc("score"), F.col(key), by=("query_id", doc))
+    """(query_id, doc, key, score, rank): the `each` best chunks in each of the `most_docs` documents that fit a query best (queries: query_id, embedding).
+
+    The documents are found as cosine() finds chunks; only chunks of those are scored again.
+    """
+    picked = top(nearest(queries, chunks, most_docs, doc).groupBy("query_id", doc).agg(F.max("score").alias("best")), most_docs, F.desc("best"), F.col(doc)).select("query_id", doc)
+    met = picked.join(chunks.select(key, doc, F.col("embedding").alias("e")), doc).join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
+    scored = met.select("query_id", doc, key, F.round(dot("q", "e"), 6).alias("score")).where("score IS NOT NULL")
+    return top(scored, each, F.desc("score"), F.col(key), by=("query_id", doc))

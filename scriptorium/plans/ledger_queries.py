@@ -9,6 +9,7 @@ from ..operators import answer as A
 from ..operators import audit as U
 from ..operators import ledger as L
 from .registry import Tables, query
+from .retrieval_queries import of_items
 
 # ------------------------------------------------------------------ ledgers
 
@@ -231,29 +232,29 @@ def route_tier(t: Tables) -> DataFrame:
 
 @query(
     """
-WITH f AS (SELECT doc_id % 40 AS query_id, doc_id FROM documents WHERE doc_id % 9 = 0 AND doc_id < 160 AND doc_id % 13 <> 0), n AS (SELECT doc_id % 40 AS query_id, doc_id FROM documents WHERE lang = 'fr'),
+WITH d AS (SELECT doc_id % (SELECT count(*) FROM benchmark) AS query_id, doc_id, lang FROM documents), f AS (SELECT query_id, doc_id FROM d WHERE doc_id % 9 = 0 AND query_id % 3 > 0 AND doc_id % 13 <> 0), n AS (SELECT query_id, doc_id FROM d WHERE lang = 'fr'),
 g AS (SELECT query_id, count(*) AS k, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM f GROUP BY 1), m AS (SELECT query_id, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM n GROUP BY 1)
 SELECT item_id AS query_id, CASE WHEN k = 1 THEN 'belge_ici' ELSE 'capraz' END AS category, coalesce(g.ids, m.ids, '') AS doc_ids FROM benchmark LEFT JOIN g ON g.query_id = item_id LEFT JOIN m ON m.query_id = item_id
 """
 )
 def apply_focus(t: Tables) -> DataFrame:
-    docs = t.documents.select((F.col("doc_id") % 40).alias("query_id"), "doc_id", "lang")
+    docs = of_items(t, "lang")
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.lit("capraz").alias("category"))
-    return A.apply_focus(asked, docs.where("lang = 'fr'").select("query_id", "doc_id"), docs.where("doc_id % 9 = 0 AND doc_id < 160").select("query_id", "doc_id"), docs.where("doc_id % 13 <> 0").select("doc_id"))
+    focus = docs.where("doc_id % 9 = 0 AND query_id % 3 > 0").select("query_id", "doc_id")
+    return A.apply_focus(asked, docs.where("lang = 'fr'").select("query_id", "doc_id"), focus, docs.where("doc_id % 13 <> 0").select("doc_id"))
 
 
 @query(
-    """
-WITH r AS (SELECT doc_id, text AS summary FROM documents WHERE doc_id % 13 <> 0), n AS (SELECT item_id AS query_id, doc_id FROM benchmark JOIN documents ON doc_id % 40 = item_id WHERE item_id < 30)
+    r"""
+WITH r AS (SELECT doc_id, text AS summary FROM documents WHERE doc_id % 13 <> 0), n AS (SELECT item_id AS query_id, doc_id FROM benchmark JOIN documents ON doc_id % (SELECT count(*) FROM benchmark) = item_id WHERE item_id % 4 > 0)
 SELECT query_id, doc_id, summary AS shown FROM n JOIN r USING (doc_id) UNION ALL
-SELECT item_id, doc_id, substr(string_split(trim(regexp_replace(regexp_replace(summary, '^\\s+', ''), '\\s+$', '')), chr(10) || chr(10))[1], 1, 320) FROM benchmark CROSS JOIN r WHERE item_id NOT IN (SELECT query_id FROM n)
+SELECT NULL, doc_id, substr(string_split(trim(regexp_replace(regexp_replace(summary, '^\s+', ''), '\s+$', '')), chr(10) || chr(10))[1], 1, 320) FROM r
 """
 )
 def summary_listing(t: Tables) -> DataFrame:
     docs = t.documents.select("doc_id", F.col("text").alias("summary"), F.when(F.col("doc_id") % 13 == 0, "deleted").otherwise("ready").alias("status"))
-    asked = t.benchmark.select(F.col("item_id").alias("query_id"))
-    named = asked.where("query_id < 30").join(t.documents.select("doc_id", (F.col("doc_id") % 40).alias("query_id")), "query_id")
-    return A.summary_listing(asked, named, docs)
+    asked = t.benchmark.where("item_id % 4 > 0").select(F.col("item_id").alias("query_id"))
+    return A.summary_listing(of_items(t).join(asked, "query_id"), docs)
 
 
 @query("SELECT doc_id AS run_id, CASE WHEN quality = 0 OR toxic = 1 OR n_chars > 5000 OR doc_id % 6 < 2 THEN 'low' ELSE 'normal' END AS confidence FROM documents LEFT JOIN labels USING (doc_id)")

@@ -18,7 +18,14 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(df) if name in ("documents", "conversations", "pages", "events") else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores. A table in fewer splits than cores is small enough to be dealt by its first column; a larger one stays where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, df.columns[0])
 
 
 def query(sql: str | None = None):

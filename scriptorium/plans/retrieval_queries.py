@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import retrieve as R
 from ..sources import index as I
+from .corpus_queries import PAGES, pages
 from .registry import Tables, query
 from .text_queries import tokens_sql
 
@@ -194,54 +195,56 @@ def dense_topk(t: Tables) -> DataFrame:
 
 
 # A query's vector is the vector of its number; a document's is that of its id, where there is one.
-BOTH = f"""
-{bm25_sql(20)}, dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
-  SELECT item_id AS query_id, e.vec_id AS doc_id, {DOT} AS score FROM benchmark JOIN embeddings q ON q.vec_id = item_id CROSS JOIN embeddings e JOIN documents d ON d.doc_id = e.vec_id)) WHERE rank <= 20),
+def both_sql(width: int) -> str:
+    """CTEs of both ranked lists of `width` candidates and f(query_id, doc_id, fused, rank_dense, rank_sparse)."""
+    return f"""
+{bm25_sql(width)}, dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+  SELECT item_id AS query_id, e.vec_id AS doc_id, {DOT} AS score FROM benchmark JOIN embeddings q ON q.vec_id = item_id CROSS JOIN embeddings e JOIN documents d ON d.doc_id = e.vec_id)) WHERE rank <= {width}),
 u AS (SELECT query_id, doc_id, rank AS rd, NULL AS rs FROM dense UNION ALL SELECT query_id, doc_id, NULL, rank FROM bm25),
 f AS (SELECT query_id, doc_id, round(coalesce(1 / (60 + min(rd))::DOUBLE, 0) + coalesce(1 / (60 + min(rs))::DOUBLE, 0), 9) AS fused, min(rd) AS rank_dense, min(rs) AS rank_sparse FROM u GROUP BY ALL)
 """
-FUSED_ORDER = "fused DESC, rank_dense NULLS LAST, rank_sparse NULLS LAST, doc_id"
 
 
-def _fused(t: Tables) -> DataFrame:
-    vectors = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
-    probes = t.benchmark.select(F.col("item_id").alias("query_id")).join(vectors.withColumnRenamed("doc_id", "query_id"), "query_id")
-    dense = R.cosine(probes, vectors.join(t.documents.select("doc_id"), "doc_id"), 20, key="doc_id")
-    return R.rrf(dense, R.bm25(_asked(t), t.documents, 20), "doc_id")
-
+COSINE = f"(SELECT {DOT} FROM embeddings q, embeddings e WHERE q.vec_id = h.query_id AND e.vec_id = h.doc_id)"
+FUSED_ORDER = "fused DESC, rank_dense NULLS LAST, rank_sparse NULLS LAST, doc_id"
 
 
-def fused_order() -> tuple:
-    return F.desc("fused"), F.asc_nulls_last("rank_dense"), F.asc_nulls_last("rank_sparse"), F.col("doc_id")
+def _hybrid(t: Tables, top_k: int, mode: str = "hybrid", cap: int = 0) -> DataFrame:
+    """Documents are chunks; their sources stand for documents."""
+    vectors = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
+    asked = _asked(t).join(vectors.withColumnRenamed("doc_id", "query_id"), "query_id", "left")
+    chunks = t.documents.select("doc_id", "source", "text").join(vectors, "doc_id", "left")
+    return R.hybrid_search(asked, chunks, top_k, mode, cap, key="doc_id", doc="source")
 
 
-@query(f"WITH {BOTH} SELECT query_id, doc_id, fused, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {FUSED_ORDER}) AS rank FROM f) WHERE rank <= 8")
+@query(f"WITH {both_sql(32)}, h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {FUSED_ORDER}) AS rank FROM f) WHERE rank <= 8) SELECT query_id, doc_id, fused, {COSINE} AS dense_score, rank::INTEGER AS rank FROM h")
 def hybrid_search(t: Tables) -> DataFrame:
-    return R.top(_fused(t), 8, *fused_order()).select("query_id", "doc_id", "fused", "rank")
+    return _hybrid(t, 8).select("query_id", "doc_id", "fused", "dense_score", "rank")
 
 
 @query(
     f"""
-WITH {BOTH}, c AS (SELECT f.*, source, row_number() OVER (PARTITION BY query_id, source ORDER BY {FUSED_ORDER}) AS own FROM f JOIN documents USING (doc_id))
+WITH {both_sql(32)}, c AS (SELECT f.*, source, row_number() OVER (PARTITION BY query_id, source ORDER BY {FUSED_ORDER}) AS own FROM f JOIN documents USING (doc_id))
 SELECT query_id, doc_id, source, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {FUSED_ORDER}) AS rank FROM c WHERE own <= 1) WHERE rank <= 8
 """
 )
 def capped_topk(t: Tables) -> DataFrame:
-    """Sources stand for documents: at most one hit of each."""
-    return R.capped(_fused(t).join(t.documents.select("doc_id", "source"), "doc_id"), 1, 8, "source", *fused_order()).select("query_id", "doc_id", "source", "rank")
+    """At most one hit of each source."""
+    return _hybrid(t, 8, cap=1).select("query_id", "doc_id", "source", "rank")
 
 
 @query(
     f"""
-WITH {BOTH}, m AS (SELECT 'hybrid' AS mode, query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY {FUSED_ORDER}) AS rank FROM f UNION ALL SELECT 'dense', query_id, doc_id, rank FROM dense UNION ALL SELECT 'bm25', query_id, doc_id, rank FROM bm25)
+WITH {both_sql(20)}, m AS (SELECT 'hybrid' AS mode, query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY {FUSED_ORDER}) AS rank FROM f UNION ALL SELECT 'dense', query_id, doc_id, rank FROM dense UNION ALL SELECT 'bm25', query_id, doc_id, rank FROM bm25)
 SELECT mode, query_id, doc_id FROM m WHERE rank <= 4
 """
 )
 def hybrid_modes(t: Tables) -> DataFrame:
-    both = _fused(t)
-    one = lambda mode, df: df.where("rank <= 4").select(F.lit(mode).alias("mode"), "query_id", "doc_id")
-    hybrid = R.top(both, 4, *fused_order())
-    return one("hybrid", hybrid).unionByName(one("dense", both.where("rank_dense IS NOT NULL").withColumn("rank", F.col("rank_dense")))).unionByName(one("bm25", both.where("rank_sparse IS NOT NULL").withColumn("rank", F.col("rank_sparse"))))
+    out = None
+    for mode in ("hybrid", "dense", "bm25"):
+        one = _hybrid(t, 4, mode).select(F.lit(mode).alias("mode"), "query_id", "doc_id")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 VARIANTS = f"""
@@ -360,15 +363,12 @@ def sufficient(t: Tables) -> DataFrame:
 
 @query(
     f"""
-WITH {BOTH}, b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {FUSED_ORDER}) AS r FROM f)
-SELECT b.query_id, b.doc_id, coalesce({DOT}, -1) >= 0.5 AS rescued FROM b LEFT JOIN embeddings q ON q.vec_id = b.query_id LEFT JOIN embeddings e ON e.vec_id = b.doc_id WHERE r = 1
+WITH {both_sql(32)}, h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {FUSED_ORDER}) AS r FROM f)
+SELECT query_id, coalesce(max({COSINE}), -1) >= 0.5 AS rescued FROM h WHERE r <= 8 GROUP BY 1
 """
 )
 def scope_rescue(t: Tables) -> DataFrame:
-    best = R.top(_fused(t), 1, *fused_order())
-    v = t.embeddings
-    met = best.join(v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id", "left").join(v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("e")), "doc_id", "left")
-    return met.select("query_id", "doc_id", (F.coalesce(F.round(R.dot("q", "e"), 6), F.lit(-1.0)) >= 0.5).alias("rescued"))
+    return R.rescue(_hybrid(t, 8))
 
 
 @query(
@@ -390,29 +390,44 @@ def fewshot(t: Tables) -> DataFrame:
 
 # ------------------------------------------------------------------ scope, neighbours, budgets
 
-VISIBLE = "visible AS (SELECT source AS user_id, doc_id FROM documents WHERE doc_id % 13 <> 0 UNION SELECT u.source, doc_id FROM (SELECT DISTINCT source FROM documents) u CROSS JOIN documents d WHERE d.lang = 'es' AND doc_id % 13 <> 0)"
+LIVE = "live AS (SELECT doc_id, source AS owner_id, lang = 'es' AS shared FROM documents WHERE doc_id % 13 <> 0)"
+NAMED = "named AS (SELECT item_id AS query_id, doc_id FROM benchmark JOIN documents ON doc_id % (SELECT count(*) FROM benchmark) = item_id WHERE item_id % 2 = 0)"
+
 
+def _acl(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.col("source").alias("owner_id"), F.when(F.col("lang") == "es", "ortak").otherwise("ozel").alias("visibility"), F.when(F.col("doc_id") % 13 == 0, "deleted").otherwise("ready").alias("status"))
 
-def _visible(t: Tables) -> DataFrame:
-    docs = t.documents.select("doc_id", F.col("source").alias("owner_id"), F.when(F.col("lang") == "es", "ortak").otherwise("ozel").alias("visibility"), F.when(F.col("doc_id") % 13 == 0, "deleted").otherwise("ready").alias("status"))
-    return R.visible(docs, t.documents.select(F.col("source").alias("user_id")).distinct())
 
+def of_items(t: Tables, *columns: str) -> DataFrame:
+    """(query_id, doc_id, …): documents dealt over the benchmark's items by the rest of their id."""
+    return t.documents.select((F.col("doc_id") % t.benchmark.count()).alias("query_id"), "doc_id", *columns)
 
-@query(f"WITH {VISIBLE} SELECT user_id, doc_id FROM visible")
+
+@query(f"WITH {LIVE} SELECT doc_id, owner_id, shared FROM live")
 def visible_docs(t: Tables) -> DataFrame:
-    return _visible(t)
+    return R.permitted(_acl(t))
+
+
+@query(
+    f"""
+WITH {LIVE}, u AS (SELECT DISTINCT source AS user_id FROM documents), v AS (SELECT user_id, doc_id, CASE WHEN owner_id = user_id THEN 'own' ELSE 'shared' END AS kind FROM u JOIN live ON owner_id = user_id OR shared)
+SELECT user_id, doc_id, kind, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY doc_id DESC) AS rank FROM v) WHERE rank <= 60
+"""
+)
+def document_list(t: Tables) -> DataFrame:
+    return R.document_list(_acl(t), t.documents.select(F.col("source").alias("user_id")).distinct())
 
 
 @query(
     f"""
-WITH {VISIBLE}, q AS (SELECT item_id AS query_id, 'src' || item_id % 20 AS user_id FROM benchmark), named AS (SELECT item_id AS query_id, doc_id FROM benchmark JOIN documents ON doc_id % 40 = item_id WHERE item_id % 2 = 0)
-SELECT query_id, doc_id FROM q JOIN visible USING (user_id) WHERE query_id NOT IN (SELECT query_id FROM named) UNION ALL SELECT query_id, doc_id FROM q JOIN visible USING (user_id) JOIN named USING (query_id, doc_id)
+WITH {LIVE}, {NAMED}, q AS (SELECT item_id AS query_id, 'src' || item_id % 20 AS user_id FROM benchmark)
+SELECT query_id, doc_id FROM q JOIN live ON shared OR owner_id = user_id WHERE query_id NOT IN (SELECT query_id FROM named) UNION ALL SELECT query_id, doc_id FROM q JOIN named USING (query_id) JOIN live USING (doc_id) WHERE shared OR owner_id = user_id
 """
 )
 def scope_filter(t: Tables) -> DataFrame:
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("user_id"))
-    named = t.benchmark.where("item_id % 2 = 0").select(F.col("item_id").alias("query_id")).join(t.documents.select("doc_id", (F.col("doc_id") % 40).alias("query_id")), "query_id").select("query_id", "doc_id")
-    return R.scoped(asked, named, _visible(t))
+    named = of_items(t).join(t.benchmark.where("item_id % 2 = 0").select(F.col("item_id").alias("query_id")), "query_id").select("query_id", "doc_id")
+    return R.scoped(asked, named, R.permitted(_acl(t)))
 
 
 @query(
@@ -507,14 +522,15 @@ def query_variants(t: Tables) -> DataFrame:
 
 @query(
     rf"""
-WITH w AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(text, '([\p{{L}}\p{{N}}_/-]+)', 1))) AS term FROM benchmark),
+WITH {PAGES}, w AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(text, '([\p{{L}}\p{{N}}_/-]+)', 1))) AS term FROM benchmark),
 s AS (SELECT *, list_distinct({tokens_sql('term')}) AS ts FROM w WHERE length(term) >= 2 AND regexp_matches(term, '^\p{{Lu}}|\p{{Nd}}') AND NOT regexp_matches(term, '^\p{{Nd}}+$')),
-p AS (SELECT query_id, term, len(ts) AS need, unnest(ts) AS token FROM s), {TERMS}, h AS (SELECT DISTINCT doc_id, token FROM terms),
-d AS (SELECT query_id, term, doc_id FROM p JOIN h USING (token) GROUP BY query_id, term, need, doc_id HAVING count(*) = need),
-c AS (SELECT DISTINCT query_id, term FROM d WHERE doc_id % 40 = query_id)
-SELECT query_id, term, doc_id FROM d WHERE (query_id, term) NOT IN (SELECT (query_id, term) FROM c)
+p AS (SELECT query_id, term, len(ts) AS need, unnest(ts) AS token FROM s), h AS (SELECT doc_id, page_no, unnest(list_distinct({tokens_sql('text')})) AS token FROM pages),
+g AS (SELECT query_id, term, doc_id, page_no FROM p JOIN h USING (token) GROUP BY query_id, term, need, doc_id, page_no HAVING count(*) = need),
+d AS (SELECT query_id, term, doc_id, string_agg(page_no::VARCHAR, ',' ORDER BY page_no) AS pages FROM g GROUP BY ALL),
+c AS (SELECT DISTINCT query_id, term FROM d WHERE doc_id % (SELECT count(*) FROM benchmark) = query_id)
+SELECT query_id, term, doc_id, pages FROM d WHERE (query_id, term) NOT IN (SELECT (query_id, term) FROM c)
 """
 )
 def term_hints(t: Tables) -> DataFrame:
-    targets = t.documents.select((F.col("doc_id") % 40).alias("query_id"), "doc_id")
-    return R.term_hints(_asked(t), targets, t.documents)
+    hints = R.term_hints(_asked(t), of_items(t), pages(t))
+    return hints.select("query_id", "term", "doc_id", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
