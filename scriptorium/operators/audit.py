@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 NUMBER = "decimal(38,10)"
 DIACRITICS = "çğıöşüÇĞİÖŞÜ"
+# What a calculation line, and a number or sign in it, look like. Answers are audited as they are written.
 CALC_LINE = r"(?iumU)^[\s>*_\-•]*hesap\s*[:：]\s*(.+)$"
 TOKEN = r"([‰%]?\d[\d.,]*[‰%]?|[×x*·/÷+\-−()])"
+#: A value that stands for a bracket, between marks; brackets in brackets are followed this deep.
+VALUE, DEPTH = "¤", 4
 
 
 def plain_number(c: Column) -> Column:
@@ -44,40 +47,68 @@ def calc_lines(answers: DataFrame) -> DataFrame:
     return rows.select("run_id", "pos", "line", F.filter(cut, lambda p: F.trim(p) != "").alias("parts")).where(F.size("parts") >= 2)
 
 
-def evaluate(part: Column) -> Column:
-    """struct(value, operations, last): a flat expression; products before sums, signs, percent and per mille.
+def _let(value: Column, use) -> Column:
+    """use(value), evaluated once however often it stands in it."""
+    return F.transform(F.array(value), use)[0]
 
-    value is null where the text is no such expression, or has brackets with something in them.
-    """
-    worded = F.regexp_replace(F.regexp_replace(F.lower(part), "binde", "‰"), "yüzde", "%")
-    bare = F.regexp_replace(worded, r"\([^\d()]*\)", "")
-    tokens = F.regexp_extract_all(F.regexp_replace(bare, r"([‰%])\s+(?=\d)", "$1"), F.lit(TOKEN), F.lit(1))
+
+def _flat(text: Column) -> Column:
+    """struct(value, last) of an expression without brackets: products before sums, signs, percent and per mille; value is null for other texts."""
     dec = lambda x: F.lit(x).cast(NUMBER)
-    state = lambda s, t, op, sign, want, ok, n, last: F.struct(s.cast(NUMBER).alias("sum"), t.cast(NUMBER).alias("term"), op.alias("op"), sign.cast("int").alias("sign"), want.alias("want"), ok.alias("ok"), n.cast("int").alias("n"), last.alias("last"))
-    zero = state(dec(0), dec(0), F.lit("+"), F.lit(1), F.lit(True), F.lit(True), F.lit(0), F.lit(""))
+    state = lambda s, t, op, sign, want, ok, last: F.struct(s.cast(NUMBER).alias("sum"), t.cast(NUMBER).alias("term"), op.alias("op"), sign.cast("int").alias("sign"), want.alias("want"), ok.alias("ok"), last.alias("last"))
+    zero = state(dec(0), dec(0), F.lit("+"), F.lit(1), F.lit(True), F.lit(True), F.lit(""))
 
     def add(s: Column, tok: Column) -> Column:
         number = tok.rlike(r"\d")
         minus, plus, times, over = tok.rlike("^[-−]$"), tok == "+", tok.rlike("^[×x*·]$"), tok.rlike("^[/÷]$")
-        raw = plain_number(F.translate(tok, "‰%", ""))
+        raw = F.when(tok.contains(VALUE), F.translate(tok, VALUE, "")).otherwise(plain_number(F.translate(tok, "‰%", "")))
         unit = F.when(tok.contains("‰"), dec("0.001")).when(tok.contains("%"), dec("0.01")).otherwise(dec(1))
         x = (raw.try_cast(NUMBER) * unit).cast(NUMBER) * s["sign"]
         term = F.when(s["op"] == "*", (s["term"] * x).cast(NUMBER)).when(s["op"] == "/", F.try_divide(s["term"], x).cast(NUMBER)).otherwise(x.cast(NUMBER))
         base = F.when(s["op"] == "+", (s["sum"] + s["term"]).cast(NUMBER)).when(s["op"] == "-", (s["sum"] + s["term"]).cast(NUMBER)).otherwise(s["sum"])
         term = F.when(s["op"] == "-", -term).otherwise(term)
-        took = state(base, term, F.lit(""), F.lit(1), F.lit(False), s["ok"] & s["want"] & x.isNotNull(), s["n"], raw)
-        sign = state(s["sum"], s["term"], s["op"], -s["sign"], F.lit(True), s["ok"], s["n"], s["last"])
+        took = state(base, term, F.lit(""), F.lit(1), F.lit(False), s["ok"] & s["want"] & x.isNotNull(), raw)
+        sign = state(s["sum"], s["term"], s["op"], -s["sign"], F.lit(True), s["ok"], s["last"])
         op = F.when(plus, "+").when(minus, "-").when(times, "*").otherwise("/")
-        chose = state(s["sum"], s["term"], op, F.lit(1), F.lit(True), s["ok"] & (plus | minus | times | over), s["n"] + 1, s["last"])
-        failed = state(s["sum"], s["term"], s["op"], s["sign"], s["want"], F.lit(False), s["n"], s["last"])
+        chose = state(s["sum"], s["term"], op, F.lit(1), F.lit(True), s["ok"] & (plus | minus | times | over), s["last"])
+        failed = state(s["sum"], s["term"], s["op"], s["sign"], s["want"], F.lit(False), s["last"])
         return F.when(number, took).when(s["want"] & minus, sign).when(~s["want"], chose).otherwise(failed)
 
     def finish(s: Column) -> Column:
-        return F.struct(F.when(s["ok"] & ~s["want"], (s["sum"] + s["term"]).cast(NUMBER)).alias("value"), s["n"].alias("operations"), s["last"].alias("last"))
+        return F.struct(F.when(s["ok"] & ~s["want"], (s["sum"] + s["term"]).cast(NUMBER)).alias("value"), s["last"].alias("last"))
 
+    tokens = F.regexp_extract_all(text, F.lit(rf"({VALUE}-?[\d.]+{VALUE}|{TOKEN[1:-1]})"), F.lit(1))
     return F.aggregate(tokens, zero, add, finish)
 
 
+def _open_brackets(text: Column) -> Column:
+    """The expression with each innermost bracket replaced by its value; one that can't be read leaves a bracket, which no flat expression has."""
+    values = F.transform(F.regexp_extract_all(text, F.lit(r"\(([^()]*)\)"), F.lit(1)), lambda x: F.coalesce(F.concat(F.lit(VALUE), F.regexp_replace(_flat(x)["value"].cast("string"), r"\.?0+$", ""), F.lit(VALUE)), F.lit("(")))
+    filled = F.array_join(F.zip_with(F.split(text, r"\([^()]*\)"), values, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.when(text.contains("("), filled).otherwise(text)
+
+
+def evaluate(part: Column) -> Column:
+    """struct(value, operations, last): an expression; brackets, products, sums, signs, percent and per mille.
+
+    Units and remarks are left out. value is null where what is left is no expression, or has
+    brackets deeper than DEPTH; operations counts all signs; last is the last number as written.
+    """
+    worded = F.regexp_replace(F.regexp_replace(F.lower(part), r"binde\s*", "‰"), r"yüzde\s*", "%")
+    timed = F.regexp_replace(worded, r"(?<=[\d\s])x(?=[\s\d])", "×")
+    bare = F.regexp_replace(F.regexp_replace(timed, r"[^\d.,‰%×*·/÷+\-−()\s]", " "), r"\([\s.,]*\)", " ")
+
+    def whole(text: Column) -> Column:
+        opened = text
+        for _ in range(DEPTH):
+            opened = _let(opened, _open_brackets)
+        found = _flat(F.when(text.contains("("), opened).otherwise(text))
+        operations = F.size(F.regexp_extract_all(text, F.lit(r"([×*·/÷+\-−])"), F.lit(1)))
+        return _let(found, lambda f: F.struct(f["value"].alias("value"), operations.alias("operations"), f["last"].alias("last")))
+
+    return _let(bare, whole)
+
+
 def equal_as_written(expected: Column, written: Column, last: Column) -> Column:
     """Within one unit of the last written place after rounding to it."""
     unit = F.pow(F.lit(10.0), -scale_of(last)).cast(NUMBER)
@@ -119,20 +150,28 @@ def calc_missing(answers: DataFrame, audit: DataFrame) -> DataFrame:
     return met.select("run_id", (F.lower(first).contains("kısa cevap") & ~F.coalesce(F.arrays_overlap(said, F.col("written")), F.lit(False))).alias("missing"))
 
 
-def _flat(c: str) -> Column:
+def _single(c: str) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
 def char_error(truth: str, read: str) -> Column:
-    return F.levenshtein(_flat(truth), _flat(read)) / F.greatest(F.lit(1), F.length(_flat(truth)))
+    return F.levenshtein(_single(truth), _single(read)) / F.greatest(F.lit(1), F.length(_single(truth)))
 
 
 def word_error(truth: str, read: str) -> Column:
-    """Levenshtein over words: each distinct word becomes one private character."""
-    a, b = F.split(_flat(truth), " "), F.split(_flat(read), " ")
-    both = F.array_distinct(F.concat(a, b))
-    code = lambda ws: F.decode(F.unhex(F.array_join(F.transform(ws, lambda w: F.lpad(F.hex(F.array_position(both, w) + 0xE000 - 1), 4, "0")), "")), "UTF-16BE")
-    return F.levenshtein(code(a), code(b)) / F.greatest(F.lit(1), F.size(a))
+    """Levenshtein over words: each distinct word of a pair becomes one character, of the 1,114,112 there are without those that stand for halves."""
+
+    def rate(pair: Column) -> Column:
+        def code(words: Column) -> Column:
+            at = F.transform(words, lambda w: F.array_position(pair["both"], w))
+            shown = F.transform(at, lambda n: F.lpad(F.hex(n + F.when(n < 0xD700, 0x100).otherwise(0x1000)), 8, "0"))  # clear of surrogates
+            return F.decode(F.unhex(F.array_join(shown, "")), "UTF-32")
+
+        return F.levenshtein(code(pair["a"]), code(pair["b"])) / F.greatest(F.lit(1), F.size(pair["a"]))
+
+    words = F.struct(F.split(_single(truth), " ").alias("a"), F.split(_single(read), " ").alias("b"))
+    both = _let(words, lambda w: F.struct(w["a"].alias("a"), w["b"].alias("b"), F.array_distinct(F.concat(w["a"], w["b"])).alias("both")))
+    return _let(both, rate)
 
 
 def diacritic_loss(truth: str, read: str, letters: str = DIACRITICS) -> Column:

@@ -285,21 +285,22 @@ def _answers(t: Tables) -> DataFrame:
     p = F.col("v") * F.col("k") + F.when(F.col("event_id") % 5 == 0, 7).otherwise(0)
     said = F.when(F.col("event_id") % 3 == 0, p.cast("string")).otherwise("yok")
     line = F.concat(F.lit("- **Hesap:** "), "v", F.lit(" × "), "k", F.lit(" = "), p, F.lit(" = "), p - 1, F.lit(" + 1 → sonuç"))
-    extra = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("\nHesap: 2 + 3 × 4 − 6 / 3 = 12\nhesap: % 50 × "), "k", F.lit(" x = bilinmez\nHesap: "), "k", F.lit(" = "), "k")).otherwise("")
+    extra = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("\nHesap: 2 + 3 × 4 − 6 / 3 = 12\nhesap: % 50 × "), "k", F.lit(" x = bilinmez\nHesap: "), "k", F.lit(" = "), "k", F.lit("\nHesap: ("), "v", F.lit(" + 3 TL) × 2 − ("), "k", F.lit(" − (1 + 1)) = "), (F.col("v") + 3) * 2 - (F.col("k") - 2))).otherwise("")
     return e.select(F.col("event_id").alias("run_id"), "v", "k", F.concat(F.lit("**Kısa cevap:** "), said, F.lit("\n\n"), line, extra).alias("answer"))
 
 
 BASE = "e AS (SELECT event_id AS run_id, floor(value)::BIGINT AS v, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE WHEN event_id % 5 = 0 THEN 7 ELSE 0 END AS off FROM events)"
 
 
-@query(f"WITH {BASE} SELECT run_id, 0 AS pos, v || ' × ' || k || ' = ' || (v * k + off) || ' = ' || (v * k + off - 1) || ' + 1 → sonuç' AS line, 3 AS parts FROM e UNION ALL SELECT run_id, u.pos, CASE u.pos WHEN 1 THEN '2 + 3 × 4 − 6 / 3 = 12' WHEN 2 THEN '% 50 × ' || k || ' x = bilinmez' ELSE k || ' = ' || k END, 2 FROM e CROSS JOIN (VALUES (1), (2), (3)) u(pos) WHERE run_id % 4 = 0")
+@query(f"WITH {BASE} SELECT run_id, 0 AS pos, v || ' × ' || k || ' = ' || (v * k + off) || ' = ' || (v * k + off - 1) || ' + 1 → sonuç' AS line, 3 AS parts FROM e UNION ALL SELECT run_id, u.pos, CASE u.pos WHEN 1 THEN '2 + 3 × 4 − 6 / 3 = 12' WHEN 2 THEN '% 50 × ' || k || ' x = bilinmez' WHEN 3 THEN k || ' = ' || k ELSE '(' || v || ' + 3 TL) × 2 − (' || k || ' − (1 + 1)) = ' || ((v + 3) * 2 - (k - 2)) END, 2 FROM e CROSS JOIN (VALUES (1), (2), (3), (4)) u(pos) WHERE run_id % 4 = 0")
 def calc_lines(t: Tables) -> DataFrame:
     return U.calc_lines(_answers(t)).select("run_id", "pos", "line", F.size("parts").alias("parts"))
 
 
 AUDIT = f"""
 {BASE}, a AS (SELECT run_id, 0 AS pos, 0 AS link, (v * k)::DOUBLE AS expected, (v * k + off)::DOUBLE AS written, off <= 1 AS ok FROM e
-UNION ALL SELECT run_id, 0, 1, (v * k)::DOUBLE, (v * k + off)::DOUBLE, off <= 1 FROM e UNION ALL SELECT run_id, 1, 0, 12, 12, TRUE FROM e WHERE run_id % 4 = 0)
+UNION ALL SELECT run_id, 0, 1, (v * k)::DOUBLE, (v * k + off)::DOUBLE, off <= 1 FROM e UNION ALL SELECT run_id, 1, 0, 12, 12, TRUE FROM e WHERE run_id % 4 = 0
+UNION ALL SELECT run_id, 4, 0, ((v + 3) * 2 - (k - 2))::DOUBLE, ((v + 3) * 2 - (k - 2))::DOUBLE, TRUE FROM e WHERE run_id % 4 = 0)
 """
 
 
