@@ -46,6 +46,7 @@ def page_lines(t: Tables) -> DataFrame:
 
 HEAD = r"""
 CASE WHEN length(s) <= 2 OR length(s) >= 90 OR regexp_matches(s, '(?i)(tablo\s*\d|şekil\s*\d|sayfa\s*\d|http|www\.|@|©|tel:|faks|e-posta)') OR regexp_matches(s, '[,;]$') THEN NULL
+WHEN regexp_matches(s, '(?i)^\s*(madde|md\.)\s*\d+') THEN list_aggregate(w, 'string_agg', ' ')
 WHEN len(w) > 10 THEN NULL
 WHEN n <> '' AND NOT s LIKE '%.' THEN CASE WHEN regexp_matches(n, '^\p{L}') AND length(regexp_replace(n, '\P{Nd}+', '', 'g'))::DOUBLE / length(n) < 0.15 THEN list_aggregate(w, 'string_agg', ' ') END
 WHEN length(regexp_replace(s, '\P{L}+', '', 'g')) >= 4 AND regexp_matches(s, '\p{Lu}') AND NOT regexp_matches(s, '\p{Ll}') AND len(w) <= 8 AND NOT regexp_matches(s, '[,;/]') AND length(regexp_replace(s, '\P{Nd}+', '', 'g'))::DOUBLE / length(s) < 0.2 THEN list_aggregate(w, 'string_agg', ' ') END
@@ -55,23 +56,22 @@ cut AS (SELECT *, regexp_split_to_array(s, '\s+') AS w, coalesce(regexp_extract(
 """
 
 
-def _short_lines(t: Tables) -> DataFrame:
-    """Lines with a numbered and a capital form of their first words."""
+def _marked_lines(t: Tables) -> DataFrame:
+    """All lines, whole; those of some remainders are numbered, set in capitals or made an article."""
     lines = L.page_lines(pages(t))
-    words = F.array_join(F.slice(F.split("line", " "), 1, 4), " ")
-    kind = F.col("line_no") % 4
-    return lines.withColumn("line", F.when(kind == 1, F.concat(F.col("page_no"), F.lit(".2 "), words)).when(kind == 2, F.upper(F.replace(words, F.lit("ß"), F.lit("ss")))).when(kind == 3, F.concat(F.lit("7 "), words, F.lit(" 12345678"))).otherwise(F.col("line")))
+    kind = F.col("line_no") % 5
+    marked = F.when(kind == 1, F.concat(F.col("page_no"), F.lit(".2 "), "line")).when(kind == 2, F.upper(F.replace("line", F.lit("ß"), F.lit("ss")))).when(kind == 3, F.concat(F.lit("7 "), "line", F.lit(" 12345678"))).when(kind == 4, F.concat(F.lit("Madde "), "line_no", F.lit(" "), "line"))
+    return lines.withColumn("line", X.strip(F.coalesce(marked, F.col("line"))))
 
 
 @query(
     rf"""
-WITH {PAGES}, w4 AS (SELECT *, list_aggregate(string_split(line, ' ')[1:4], 'string_agg', ' ') AS q FROM raw),
-src AS (SELECT doc_id, page_no, line_no, trim(CASE line_no % 4 WHEN 1 THEN page_no || '.2 ' || q WHEN 2 THEN upper(replace(q, 'ß', 'ss')) WHEN 3 THEN '7 ' || q || ' 12345678' ELSE line END) AS s FROM w4), {CUT}
+WITH {PAGES}, src AS (SELECT doc_id, page_no, line_no, trim(CASE line_no % 5 WHEN 1 THEN page_no || '.2 ' || line WHEN 2 THEN upper(replace(line, 'ß', 'ss')) WHEN 3 THEN '7 ' || line || ' 12345678' WHEN 4 THEN 'Madde ' || line_no || ' ' || line ELSE line END) AS s FROM raw), {CUT}
 SELECT doc_id, page_no::INTEGER AS page_no, line_no::INTEGER AS line_no, {HEAD} AS heading FROM cut
 """
 )
 def headings(t: Tables) -> DataFrame:
-    return L.headings(_short_lines(t).withColumn("line", X.strip(F.col("line")))).select("doc_id", "page_no", "line_no", "heading")
+    return L.headings(_marked_lines(t)).select("doc_id", "page_no", "line_no", "heading")
 
 
 @query(f"WITH {PAGES}, {EDGES} SELECT doc_id, key, pages FROM r")
@@ -79,12 +79,24 @@ def repeated_edges(t: Tables) -> DataFrame:
     return L.repeated_edges(pages(t))
 
 
-@query(rf"WITH {PAGES}, {EDGES} SELECT e.doc_id, page_no::INTEGER AS page_no, line_no::INTEGER AS line_no, line FROM e LEFT JOIN r ON e.doc_id = r.doc_id AND e.key = r.key WHERE NOT (edge AND (r.key IS NOT NULL OR regexp_matches(line, '(?i)^[^\p{{L}}\p{{N}}_]*(sayfa|page)?\s*\d{{1,4}}(\s*(/|of|-)\s*\d{{1,4}})?[^\p{{L}}\p{{N}}_]*$')))")
+STRIPPED = rf"stripped AS (SELECT e.doc_id, page_no::INTEGER AS page_no, line_no::INTEGER AS line_no, line FROM e LEFT JOIN r ON e.doc_id = r.doc_id AND e.key = r.key WHERE NOT (edge AND (r.key IS NOT NULL OR regexp_matches(line, '(?i)^[^\p{{L}}\p{{N}}_]*(sayfa|page)?\s*\d{{1,4}}(\s*(/|of|-)\s*\d{{1,4}})?[^\p{{L}}\p{{N}}_]*$'))))"
+
+
+@query(f"WITH {PAGES}, {EDGES}, {STRIPPED} SELECT * FROM stripped")
 def strip_edges(t: Tables) -> DataFrame:
     return L.strip_edges(pages(t))
 
 
-@query()
+def split_sql(text: str, most: int) -> str:
+    """Words of a text folded into pieces: {{done, now}}, then the list of both."""
+    words = f"list_filter(regexp_split_to_array({text}, '\\s+'), lambda w: w <> '')"
+    start = f"list_transform({words}, lambda w: {{'done': []::VARCHAR[], 'now': w}})"
+    grown = f"length(a.now) + length(x.now) + 1 <= {most}"
+    fold = f"list_reduce({start}, lambda a, x: CASE WHEN {grown} THEN {{'done': a.done, 'now': a.now || ' ' || x.now}} ELSE {{'done': list_append(a.done, a.now), 'now': x.now}} END)"
+    return f"CASE WHEN len({words}) = 0 THEN []::VARCHAR[] ELSE list_transform([{fold}], lambda f: list_append(f.done, f.now))[1] END"
+
+
+@query(f"WITH p AS (SELECT doc_id, {split_sql('text', 400)} AS ps FROM documents) SELECT doc_id, (generate_subscripts(ps, 1) - 1)::INTEGER AS part, unnest(ps) AS piece FROM p")
 def hard_split(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.posexplode(L.hard_split(F.col("text"), 400)).alias("part", "piece"))
 
@@ -93,7 +105,15 @@ def _units(t: Tables) -> DataFrame:
     return L.units(L.strip_edges(pages(t)), 1200)
 
 
-@query()
+UNITS = rf"""
+{PAGES}, {EDGES}, {STRIPPED}, src AS (SELECT *, line AS s FROM stripped), {CUT}, h AS (SELECT doc_id, page_no, line_no, line, {HEAD} AS heading FROM cut),
+sent AS (SELECT *, CASE WHEN heading IS NOT NULL OR length(line) <= 1200 THEN [line] ELSE string_split(regexp_replace(line, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) END AS ss FROM h),
+piece AS (SELECT doc_id, page_no, line_no, heading, flatten(list_transform(ss, lambda s: CASE WHEN heading IS NOT NULL OR length(s) <= 1200 THEN [s] ELSE {split_sql('s', 1200)} END)) AS ps FROM sent),
+units AS (SELECT doc_id, page_no, line_no, heading, (generate_subscripts(ps, 1) - 1)::INTEGER AS part, unnest(ps) AS text FROM piece)
+"""
+
+
+@query(f"WITH {UNITS} SELECT doc_id, page_no, line_no, part, text, heading FROM units")
 def units(t: Tables) -> DataFrame:
     return _units(t)
 
@@ -111,34 +131,82 @@ def label_runs(t: Tables) -> DataFrame:
     return L.label_runs(rows).where(F.col("text").startswith("[şema")).select(F.col("doc_id").alias("user_id"), F.col("line_no").alias("first"), "text")
 
 
-@query()
+TAIL = "CASE WHEN length(a.now) <= 300 THEN a.now WHEN instr(right(a.now, 300), ' ') > 0 THEN substr(right(a.now, 300), instr(right(a.now, 300), ' ') + 1) ELSE right(a.now, 300) END"
+FULL = "length(a.now) + length(x.now) > 2400"
+CHUNK = "{'section': f.section, 'text': f.now, 'page_start': f.a, 'page_end': f.b}"
+LAST = "f.done[len(f.done)]"
+ENDED = f"CASE WHEN len(f.done) > 0 AND length(f.now) < 200 THEN list_append(f.done[1:len(f.done) - 1], {{'section': {LAST}.section, 'text': {LAST}.text || ' ' || f.now, 'page_start': {LAST}.page_start, 'page_end': f.b}}) ELSE list_append(f.done, {CHUNK}) END"
+NAMES = "list_filter(list_concat(string_split(coalesce(a[len(a)].section, ''), ' · '), string_split(coalesce(x[1].section, ''), ' · ')), lambda n: n <> '')"
+OWN = f"list_filter({NAMES}, lambda n, i: list_position({NAMES}, n) = i)"
+SECTION = f"coalesce(list_aggregate({OWN}[1:3], 'string_agg', ' · '), '') || CASE WHEN len({OWN}) > 3 THEN ' …' ELSE '' END"
+LEADING = "(len(a) = 1 AND length(a[1].text) <= 40)"
+PACKED = f"""
+{UNITS}, numbered AS (SELECT *, sum((heading IS NOT NULL)::INTEGER) OVER (PARTITION BY doc_id ORDER BY page_no, line_no, part) AS s FROM units),
+packed AS (SELECT doc_id, s, list_reduce(list({{'done': []::STRUCT(section VARCHAR, text VARCHAR, page_start INTEGER, page_end INTEGER)[], 'now': text, 'a': page_no, 'b': page_no, 'section': heading}} ORDER BY page_no, line_no, part),
+  lambda a, x: {{'done': CASE WHEN {FULL} THEN list_append(a.done, {{'section': a.section, 'text': a.now, 'page_start': a.a, 'page_end': a.b}}) ELSE a.done END,
+    'now': CASE WHEN {FULL} THEN {TAIL} ELSE a.now END || ' ' || x.now, 'a': CASE WHEN {FULL} THEN a.b ELSE a.a END, 'b': x.b, 'section': coalesce(a.section, x.section)}}) AS f FROM numbered GROUP BY doc_id, s),
+sections AS (SELECT doc_id, flatten(list({ENDED} ORDER BY s)) AS cs FROM packed GROUP BY doc_id)
+"""
+CRUMBS = f"""
+list_reduce(list_transform(cs, lambda c: [c]), lambda a, x: CASE WHEN length(x[1].text) <= 40 OR {LEADING}
+  THEN list_append(a[1:len(a) - 1], {{'section': CASE WHEN {LEADING} THEN x[1].section ELSE a[len(a)].section END, 'text': a[len(a)].text || chr(10) || x[1].text, 'page_start': a[len(a)].page_start, 'page_end': x[1].page_end}}) ELSE list_append(a, x[1]) END)
+"""
+MERGED = f"""
+list_reduce(list_transform(cs, lambda c: [c]), lambda a, x: CASE WHEN (length(a[len(a)].text) < 200 OR length(x[1].text) < 200) AND length(a[len(a)].text) + length(x[1].text) + 1 <= 2400
+  THEN list_append(a[1:len(a) - 1], {{'section': {SECTION}, 'text': a[len(a)].text || chr(10) || x[1].text, 'page_start': a[len(a)].page_start, 'page_end': x[1].page_end}}) ELSE list_append(a, x[1]) END)
+"""
+
+
+def chunks_sql(cs: str) -> str:
+    return f"SELECT doc_id, (generate_subscripts({cs}, 1) - 1)::INTEGER AS ordinal, unnest({cs}).section AS section, unnest({cs}).text AS text, unnest({cs}).page_start AS page_start, unnest({cs}).page_end AS page_end"
+
+
+def _sections(t: Tables) -> DataFrame:
+    return D.sections(_units(t))
+
+
+def _exploded(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", F.posexplode("cs").alias("ordinal", "c")).select("doc_id", "ordinal", "c.*")
+
+
+@query(f"WITH {PACKED}, q AS (SELECT doc_id, {CRUMBS} AS cs FROM sections) {chunks_sql('cs')} FROM q")
+def chunk_crumbs(t: Tables) -> DataFrame:
+    """Packed sections whose crumbs have gone to their neighbours."""
+    return _exploded(_sections(t).select("doc_id", D.absorb_crumbs(F.col("cs")).alias("cs")))
+
+
+@query(f"WITH {PACKED}, q AS (SELECT doc_id, {MERGED} AS cs FROM sections) {chunks_sql('cs')} FROM q")
+def chunk_merge(t: Tables) -> DataFrame:
+    """Packed sections of which short ones are joined."""
+    return _exploded(_sections(t).select("doc_id", D.merge_short(F.col("cs"), 200, 2400).alias("cs")))
+
+
+@query(f"WITH {PACKED}, p AS (SELECT doc_id, {CRUMBS} AS cs FROM sections), q AS (SELECT doc_id, {MERGED} AS cs FROM p) {chunks_sql('cs')} FROM q")
 def chunk_pack(t: Tables) -> DataFrame:
     return D.chunk(_units(t))
 
 
-@query(
-    """
-WITH RECURSIVE p AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page_no, length(text) AS n FROM documents),
-w AS (SELECT source, page_no, n AS size, 0 AS w FROM p WHERE page_no = 1
-  UNION ALL SELECT p.source, p.page_no, CASE WHEN w.size > 0 AND w.size + p.n > 24000 THEN p.n ELSE w.size + p.n END, CASE WHEN w.size > 0 AND w.size + p.n > 24000 THEN w.w + 1 ELSE w.w END FROM w JOIN p ON p.source = w.source AND p.page_no = w.page_no + 1)
-SELECT source, w::INTEGER AS "window", count(*) AS pages, min(page_no)::INTEGER AS first FROM w GROUP BY ALL
+WINDOWS = f"""
+{PAGES}, p AS (SELECT doc_id, page_no, length(text) AS n FROM pages),
+w AS (SELECT doc_id, page_no, n AS size, 0 AS w FROM p WHERE page_no = 1
+  UNION ALL SELECT p.doc_id, p.page_no, CASE WHEN w.size > 0 AND w.size + p.n > 3000 THEN p.n ELSE w.size + p.n END, CASE WHEN w.size > 0 AND w.size + p.n > 3000 THEN w.w + 1 ELSE w.w END FROM w JOIN p ON p.doc_id = w.doc_id AND p.page_no = w.page_no + 1)
 """
-)
-def page_windows(t: Tables) -> DataFrame:
-    """Documents of a source, in order, stand for the pages of one document."""
-    return D.page_windows(_source_pages(t)).groupBy(F.col("doc_id").alias("source"), "window").agg(F.count(F.lit(1)).alias("pages"), F.min("page_no").alias("first"))
-
 
-def _source_pages(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
 
-    return t.documents.select(F.col("source").alias("doc_id"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("page_no"), "text")
+@query(f'WITH RECURSIVE {WINDOWS} SELECT doc_id, w::INTEGER AS "window", count(*) AS pages, min(page_no)::INTEGER AS first FROM w GROUP BY ALL')
+def page_windows(t: Tables) -> DataFrame:
+    return D.page_windows(pages(t), 3000).groupBy("doc_id", "window").agg(F.count(F.lit(1)).alias("pages"), F.min("page_no").alias("first"))
 
 
-@query()
+@query(
+    f"""
+WITH RECURSIVE {WINDOWS}, m AS (SELECT doc_id, w, string_agg('=== Sayfa ' || page_no || ' ===' || chr(10) || text, chr(10) || chr(10) ORDER BY page_no) AS material FROM w JOIN pages USING (doc_id, page_no) GROUP BY ALL)
+SELECT doc_id, w::INTEGER AS "window", length(material)::INTEGER AS chars, sha256(material) AS digest FROM m
+"""
+)
 def window_material(t: Tables) -> DataFrame:
-    pages_ = _source_pages(t)
-    return D.window_material(pages_, D.page_windows(pages_)).select(F.col("doc_id").alias("source"), "window", F.length("material").alias("chars"), F.sha2("material", 256).alias("digest"))
+    pages_ = pages(t)
+    return D.window_material(pages_, D.page_windows(pages_, 3000)).select("doc_id", "window", F.length("material").alias("chars"), F.sha2("material", 256).alias("digest"))
 
 
 @query(
@@ -155,7 +223,7 @@ def section_name(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, source || ' — ' || lang || chr(10) || chr(10) || text AS contextual FROM documents")
 def chunk_document(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.concat(F.concat_ws(" — ", "source", "lang"), F.lit("\n\n"), F.col("text")).alias("contextual"))
+    return t.documents.select("doc_id", D.contextual(F.col("source"), F.col("lang"), F.col("text")).alias("contextual"))
 
 
 @query(
