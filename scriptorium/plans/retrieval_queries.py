@@ -115,6 +115,15 @@ def table_counts(t: Tables) -> DataFrame:
     return I.table_counts({n: getattr(t, n) for n in TABLES})
 
 
+EMPTIED = ["conversations", "events", "labels"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS table_name, {'0::BIGINT' if n in EMPTIED else 'count(*)'} AS n FROM {n if n not in EMPTIED else '(SELECT 1)'}" for n in TABLES))
+def reset_memory(t: Tables) -> DataFrame:
+    """What is left when conversations, traces and votes are forgotten and documents are kept."""
+    return I.table_counts(I.reset({n: getattr(t, n) for n in TABLES}, EMPTIED))
+
+
 @query("SELECT doc_id, quality, NULL::VARCHAR AS lang FROM labels UNION ALL SELECT doc_id, NULL, lang FROM documents")
 def schema_merge(t: Tables) -> DataFrame:
     return I.merge_schema(t.labels.select("doc_id", "quality"), t.documents.select("doc_id", "lang"))

@@ -12,14 +12,18 @@ from ..operators import chunking as D
 from ..operators import layout as L
 from ..sources import index as I
 from ..streaming import jobs as S
-from .corpus_queries import pages
+from .corpus_queries import PAGES, pages
 from .registry import Tables, query
 
 
 def _scratch(t: Tables) -> str:
-    """A new folder in the shared one."""
+    """A new folder in the shared one; only where driver and executors are one process, one of this machine will do."""
     sc = t.spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-scriptorium-")
+    root = sc.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-scriptorium-")
     return f"{root}/streams/{uuid.uuid4().hex}"
 
 
@@ -52,8 +56,7 @@ def _event_stream(t: Tables, folder: str) -> DataFrame:
 def stream_trace_summary(t: Tables) -> DataFrame:
     folder = _scratch(t)
     totals = S.running_totals(_event_stream(t, folder))
-    name = "totals_" + uuid.uuid4().hex
-    return S.run_to_table(totals, name, "complete", f"{folder}/state").select("user_id", "runs", F.round("cost", 4).alias("cost"))
+    return S.run_to_folder(totals, f"{folder}/totals", f"{folder}/state").select("user_id", "runs", F.round("cost", 4).alias("cost"))
 
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
@@ -61,6 +64,14 @@ def hourly_totals(t: Tables) -> DataFrame:
     return S.hourly_totals(t.events)
 
 
+@query(f"WITH {PAGES} SELECT doc_id, page_no::INTEGER AS page_no, text FROM pages")
+def stored_pages(t: Tables) -> DataFrame:
+    """Pages as they come back from their store."""
+    folder = _scratch(t)
+    I.write_pages(pages(t), f"{folder}/pages")
+    return t.spark.read.parquet(f"{folder}/pages").select("doc_id", "page_no", "text")
+
+
 def _chunked(p: DataFrame) -> DataFrame:
     return D.chunk(L.label_runs(L.units(L.strip_edges(p), 1200)))
 
