@@ -34,15 +34,15 @@ def test_alternating_headings_and_letters_stay(spark):
 
 
 def test_repeated_edges_spare_articles(spark):
-    got = L.strip_edges(pages(spark, "Acme Data Sheet\nMADDE 4\ngövde bir\nson\nx\ny\n1", "Acme Data Sheet\nMADDE 7\ngövde iki\nz\nw\nv\n2")).collect()
+    got = L.strip_edges(pages(spark, "Depo El Kitabı\nmd. 12 raflar\nüst raf boş\norta\np\nr\n31", "Depo El Kitabı\nmd. 13 raflar\nalt raf dolu\ns\nt\nu\n32")).collect()
     lines = [r.line for r in got]
-    assert "MADDE 4" in lines and "MADDE 7" in lines and "Acme Data Sheet" not in lines and "1" not in lines
+    assert "md. 12 raflar" in lines and "md. 13 raflar" in lines and "Depo El Kitabı" not in lines and "31" not in lines
 
 
 def test_label_runs(spark):
-    units = L.label_runs(L.units(L.page_lines(pages(spark, "GENEL BAKIŞ\nMODEL ALFA\nSABİT SES\nDüz metin burada.\nKAPSAM DIŞI\nSON SÖZ\nDüz.")), 100)).orderBy("line_no").collect()
-    assert [(u.text, u.heading) for u in units][:2] == [("[şema/kutu etiketleri: GENEL BAKIŞ · MODEL ALFA · SABİT SES]", None), ("Düz metin burada.", None)]
-    assert [u.heading for u in units][2:4] == ["KAPSAM DIŞI", "SON SÖZ"]
+    units = L.label_runs(L.units(L.page_lines(pages(spark, "GİRİŞ VANASI\nANA TANK\nÇIKIŞ HATTI\nTank her sabah ölçülür.\nYEDEK PARÇA\nEK BİLGİ\nSon.")), 100)).orderBy("line_no").collect()
+    assert [(u.text, u.heading) for u in units][:2] == [("[şema/kutu etiketleri: GİRİŞ VANASI · ANA TANK · ÇIKIŞ HATTI]", None), ("Tank her sabah ölçülür.", None)]
+    assert [u.heading for u in units][2:4] == ["YEDEK PARÇA", "EK BİLGİ"]
 
 
 def test_section_names(spark):
@@ -55,13 +55,15 @@ def words(spark, rows):
 
 
 def test_two_columns(spark):
-    rows = [w for i in range(10) for w in ((f"sol{i}", 60, 290, 100 + i * 12), (f"sag{i}", 320, 560, 100 + i * 12))] + [("altbilgi", 60, 560, 400)]
-    df, size = words(spark, rows), spark.createDataFrame([(1, 612.0)], "page_id long, width double")
+    rows = [("title", 70, 430, 20)]
+    for i in range(14):  # uneven lines of two words a column
+        rows += [(f"a{i}", 40, 120, 50 + i * 15), (f"b{i}", 130, 200 + i % 3, 50 + i * 15), (f"c{i}", 260 - i % 2, 330, 50 + i * 15), (f"d{i}", 340, 450, 50 + i * 15)]
+    df, size = words(spark, rows), spark.createDataFrame([(1, 500.0)], "page_id long, width double")
     bounds = L.column_boundary(df, size)
-    assert 290 < bounds.first().boundary < 320
+    assert 202 <= bounds.first().boundary <= 259
     lines = L.reading_order(df, bounds).first().text.split("\n")
-    assert lines == [f"sol{i}" for i in range(10)] + [f"sag{i}" for i in range(10)] + ["altbilgi"]
-    single = words(spark, [(f"s{i}", 60, 550, 100 + i * 12) for i in range(20)])
+    assert lines == ["title"] + [f"a{i} b{i}" for i in range(14)] + [f"c{i} d{i}" for i in range(14)]
+    single = words(spark, [(f"s{i}", 40 + i, 460, 50 + i * 15) for i in range(25)])
     assert L.column_boundary(single, size).count() == 0
 
 
