@@ -9,12 +9,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Ligatures, punctuation variants, stop words, language markers.
+# Characters that extraction leaves behind and what readers type for them.
 LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl"}
 VARIANTS, STRAIGHT = "‐‑‒–—‘’“”", "-----''\"\""
+# Words that the index leaves out; scores depend on each of them.
 STOP_WORDS = "ve veya ile bir bu şu o için olarak da de ki mi mı mu mü ne nedir nasıl hangi gibi daha en çok her tüm olan olup ise ya hem the a an of and or to in is".split()
+# Letters and words by which a question is taken for Turkish.
 MARKER_LETTERS = "çğıöşüÇĞİÖŞÜ"
 MARKER_WORDS = "hakkında nedir nasıl nerede kaç mı mi mu mü ne ver anlat açıkla özetle göre için ile var yok midir bu şu hangi kadar olur belge belgede sözleşme sözleşmede madde sayfa bana söyle yaz".split()
+# Soft hyphen, and the mark that a PDF reader leaves for one.
 SOFT_BREAKS = "­￾"
 
 
@@ -179,7 +182,7 @@ def page_label(section: Column, kind: Column, start: Column, end: Column) -> Col
     return F.concat_ws(" · ", F.nullif(section, F.lit("")), pages)
 
 
-# Patterns of headings, of lines that are none, and of page numbers.
+# What counts as a heading, a line that is none, and a page number; chunks and their sections depend on it.
 ARTICLE = r"(?iuU)^\s*(madde|md\.)\s*\d+"
 PART = r"(?iuU)^\s*((birinci|ikinci|üçüncü|dördüncü|beşinci|altıncı|yedinci|sekizinci|dokuzuncu|onuncu)\s+bölüm|bölüm\s+[\divxlc]+|kısım\s+[\divxlc]+)\b"
 NUMBERED = r"(?U)^\s*(\d+(?:\.\d+){0,3})[.)]?\s+(\S.{1,70})$"
