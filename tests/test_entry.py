@@ -1,4 +1,5 @@
 import re
+import sys
 from pathlib import Path
 
 import __spark_entry__ as entry
@@ -19,3 +20,9 @@ def test_only_the_entry_knows_the_training_operators():
     for p in (ROOT / "scriptorium").rglob("*.py"):
         if "llm" not in p.parts:
             assert not re.search(r"import.*\bllm\b|\.llm", p.read_text()), p
+
+
+def test_without_the_training_operators(monkeypatch):
+    monkeypatch.setitem(sys.modules, "scriptorium.llm.queries", None)  # as if a library they need were missing
+    assert len(entry.queries()) > 100 and not any(n.startswith("op1_") or n == "pipeline" for n in entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
