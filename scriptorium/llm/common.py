@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,20 @@ def materialize(df: DataFrame, name: str, *spent: DataFrame) -> DataFrame:
     return out
 
 
+@contextmanager
+def arrow_limits(spark: SparkSession, rows: int = 2000, size: str = "8m") -> Iterator[None]:
+    """Bounds what Spark puts into one Arrow batch while the block runs an action; afterwards the session is as it was."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {name: spark.conf.get(name, None) for name in names}
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.RecordBatch]:
     """Batches of at most `rows` rows and about `size` bytes. Spark bounds what it sends by its own settings, which stay as the session has them."""
     for batch in batches:

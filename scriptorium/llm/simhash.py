@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import arrow_limits, materialize
 from .graph import connected_components
 
 SEED = 42
@@ -221,7 +221,8 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
     """(doc_id, mark, fp, root, component_id) of every row: a hash of its text, its fingerprint, and that of its group's root. See near_duplicates()."""
-    marked = materialize(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), fingerprint(F.col(text_col)).alias("fp")), "fingerprints")
+    with arrow_limits(docs.sparkSession):
+        marked = materialize(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), fingerprint(F.col(text_col)).alias("fp")), "fingerprints")
     fps = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = connected_components(links(fps.select("fp"), radius))
     linked = fps.join(roots.selectExpr("node AS fp", "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import arrow_batches, shared_dir
+from .common import arrow_batches, arrow_limits, materialize, shared_dir
 
 MAGIC = b"PLN1"
 #: Ids of one block (transposed and compressed plane by plane) and of one chunk (a row of the files).
@@ -25,7 +25,7 @@ BLOCK_IDS, CHUNK_IDS = 1 << 16, 1 << 19
 #: Stretches of ascending ids that the files are dealt into, at most.
 MOST_PARTS = 100_000
 #: Words that a worker remembers the ids of, and those that one call of the tokenizer is given at a time.
-CACHE_WORDS, CALL_WORDS = 500_000, 500
+CACHE_WORDS, CALL_WORDS = 300_000, 500
 #: Every kind of white space that a pre-tokenizer may know, as a class of RE2 (fixed values).
 SPACES = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: A character that parts pieces; texts that hold it are encoded whole.
@@ -284,7 +284,8 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2, pla
     apart = max(1, parts * (rows - named) // max(1, rows))
     shared = spark.sparkContext.broadcast(np.array(edges or [], np.int64))
     encoded = arrow_batches(docs.select("doc_id", F.xxhash64("text").alias("mark"), "text"), _encode(tokenizer, shared, apart), "part int, doc_id long, mark long, width int, ids binary")
-    encoded.repartition("part").sortWithinPartitions("part", "doc_id", "mark").mapInArrow(_write(end_id, planes), CHUNKS).write.parquet(out)
+    with arrow_limits(spark):
+        encoded.repartition("part").sortWithinPartitions("part", "doc_id", "mark").mapInArrow(_write(end_id, planes), CHUNKS).write.parquet(out)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,4 +334,6 @@ def tokenized(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     out = f"{shared_dir(spark)}/tables/token-files-{uuid.uuid4().hex}"
     write_tokens(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), out, tokenizer, end_id, planes)
-    return token_digest(spark, out).withColumnRenamed("doc_id", id_col)
+    with arrow_limits(spark, 8):
+        digest = materialize(token_digest(spark, out), "token-digest")  # narrow rows
+    return digest.withColumnRenamed("doc_id", id_col)

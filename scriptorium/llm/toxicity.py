@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_words, materialize
+from .common import arrow_limits, cut_words, materialize
 
 #: Rows of the embedding table, its width, filters of each width, the filter widths, and how many of a filter's highest activations are pooled.
 BUCKETS, DIMS, FILTERS, WIDTHS, TOP = 1 << 18, 12, 8, (1, 2, 3), 3
@@ -386,7 +386,8 @@ def scored(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, ke
     model, left, marked = train(docs, labels, allowed)
     row = F.struct(*[docs[f"`{c}`"] for c in (docs.columns if keep is None else keep)])
     judged = docs.select(row.alias("row"), F.col("doc_id").alias("id"), judge(spark, model)("text").alias("j"))
-    judged = materialize(judged.select("row", "id", F.col("j.logit").alias("logit"), F.col("j.language").alias("language")), "judged")
+    with arrow_limits(spark):
+        judged = materialize(judged.select("row", "id", F.col("j.logit").alias("logit"), F.col("j.language").alias("language")), "judged")
     model = calibrated(judged.select(F.col("id").alias("doc_id"), "logit", "language"), left, marked, model)
     threshold = F.element_at(F.array(*map(F.lit, model.thresholds.tolist())), F.col("language") + 1)
     shifted = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("logit") - threshold + math.log(CUT / (1 - CUT))))
