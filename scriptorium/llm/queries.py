@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language, lines, mixing, simhash, tokens, topk, toxicity, urls
+from . import decontaminate, html_text, language, lines, minhash, mixing, simhash, tokens, topk, toxicity, urls
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,7 +57,11 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_decontamination, op3_mixing, op4_url_filter, op5_line_dedup, op6_topk, op7_tokens, op8_toxicity, op9_language, op10_html)}
+def op11_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_decontamination, op3_mixing, op4_url_filter, op5_line_dedup, op6_topk, op7_tokens, op8_toxicity, op9_language, op10_html, op11_hyperminhash)}
 
 ORACLES = {
     "op5_line_dedup": r"""
