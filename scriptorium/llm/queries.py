@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language, lines, minhash, mixing, simhash, tokens, topk, toxicity, urls
+from . import centroids, decontaminate, html_text, language, lines, minhash, mixing, simhash, tokens, topk, toxicity, urls
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -61,7 +61,24 @@ def op11_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_decontamination, op3_mixing, op4_url_filter, op5_line_dedup, op6_topk, op7_tokens, op8_toxicity, op9_language, op10_html, op11_hyperminhash)}
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def _rounds_sql(rounds: int = 5) -> str:
+    """CTEs a0, c1, a1, … of assignments (rid, m: 64 * distance + centroid) and centroids; v and c0 are given."""
+    out = []
+    for r in range(rounds + 1):
+        out.append(f"a{r} AS MATERIALIZED (SELECT v.rid, min(64 * (v.sq + c.sq - 2 * list_dot_product(v.q, c.q))::BIGINT + c.c) AS m FROM v CROSS JOIN c{r} c GROUP BY 1)")
+        if r < rounds:
+            out.append(
+                f"m{r} AS (SELECT c, list(x ORDER BY i) AS q FROM (SELECT c, i, floor(sum(x) / count(*)) AS x FROM (SELECT m % 64 AS c, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM a{r} JOIN v USING (rid)) GROUP BY ALL) GROUP BY 1),\n"
+                f"c{r + 1} AS MATERIALIZED (SELECT c, q, list_dot_product(q, q) AS sq FROM (SELECT o.c, coalesce(n.q, o.q) AS q FROM c{r} o LEFT JOIN m{r} n ON o.c = n.c))"
+            )
+    return ",\n".join(out)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_decontamination, op3_mixing, op4_url_filter, op5_line_dedup, op6_topk, op7_tokens, op8_toxicity, op9_language, op10_html, op11_hyperminhash, op12_centroids)}
 
 ORACLES = {
     "op5_line_dedup": r"""
@@ -88,5 +105,16 @@ WITH v AS (
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p
 ) WHERE rank <= 20
+""",
+    "op12_centroids": f"""
+WITH u AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), v AS MATERIALIZED (SELECT *, list_dot_product(q, q) AS sq FROM u),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('2:' || vec_id), q) - 1) AS c, q, sq FROM v ORDER BY 1 LIMIT 40),
+{_rounds_sql()},
+f AS (SELECT vec_id, m % 64 AS c, m // 64 AS distance FROM a5 JOIN v USING (rid))
+SELECT vec_id, f.c::INTEGER AS cluster, distance::BIGINT AS distance, sum(distance) OVER (PARTITION BY f.c)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(c5.q::BIGINT[], ',')) AS centroid_sha256 FROM f JOIN c5 ON c5.c = f.c
 """,
 }
