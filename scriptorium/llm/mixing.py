@@ -81,23 +81,27 @@ def tilts(cells: DataFrame, targets: DataFrame, tolerance: float = 1e-7) -> Data
 
 
 def _rounded(docs: DataFrame) -> DataFrame:
-    """Copies of each row, from its rate; docs: id, mark, source, size, group, rate.
+    """Copies of each row, from its rate; docs: doc_id, mark, source, size, rows (how many are alike in all of these), group, rate.
 
     Within a group of about GROUP_ROWS rows, from the longest to the shortest, each document
     takes the number of copies that brings the words taken so far nearest to those expected:
-    shorter documents make up for what longer ones leave.
+    shorter documents make up for what longer ones leave. Rows that are alike take theirs at
+    once, and share them as evenly as whole copies allow.
     """
-    own = F.struct((-F.col("size")).alias("order"), F.xxhash64("doc_id", "mark").alias("tie"), "doc_id", "mark", "size", "rate")
-    groups = docs.groupBy("source", "group").agg(F.sort_array(F.collect_list(own)).alias("rows"))
-    zero = F.struct(F.lit(0.0).alias("due"), F.array().cast("array<int>").alias("copies"))
+    own = F.struct((-F.col("size")).alias("order"), F.xxhash64("doc_id", "mark").alias("tie"), "doc_id", "mark", "size", "rate", "rows")
+    groups = docs.groupBy("source", "group").agg(F.sort_array(F.collect_list(own)).alias("all"))
+    zero = F.struct(F.lit(0.0).alias("due"), F.array().cast("array<long>").alias("copies"))
 
     def take(state: Column, row: Column) -> Column:
-        due = state["due"] + row["rate"] * row["size"]
-        copies = F.when(row["size"] > 0, F.greatest(F.lit(0), F.least(F.lit(MOST), F.floor(due / row["size"] + 0.5).cast("int")))).otherwise(F.lit(1))
+        due = state["due"] + row["rate"] * row["size"] * row["rows"]
+        copies = F.when(row["size"] > 0, F.greatest(F.lit(0), F.least(MOST * row["rows"], F.floor(due / row["size"] + 0.5)))).otherwise(row["rows"])
         return F.struct((due - copies * row["size"]).alias("due"), F.concat(state["copies"], F.array(copies)).alias("copies"))
 
-    folded = groups.withColumn("copies", F.aggregate("rows", zero, take)["copies"])
-    return folded.select("source", F.explode(F.arrays_zip("rows", "copies")).alias("z")).select("source", "z.rows.doc_id", "z.rows.mark", "z.rows.size", "z.copies")
+    folded = groups.withColumn("copies", F.aggregate("all", zero, take)["copies"])
+    each = folded.select("source", F.explode(F.arrays_zip("all", "copies")).alias("z")).select("source", "z.all.doc_id", "z.all.mark", "z.all.size", "z.all.rows", "z.copies")
+    even, more = F.floor(F.col("copies") / F.col("rows")), F.pmod("copies", "rows")
+    shared = each.withColumn("even", even).withColumn("more", more).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    return shared.select("source", "doc_id", "mark", "size", (F.col("even") + (F.col("nth") <= F.col("more")).cast("long")).cast("int").alias("copies"))
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -109,7 +113,8 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     not read. Reruns agree: ties are settled by hashes of a row's own values.
 
     A source's documents are dealt into groups of about GROUP_ROWS by a hash, so the largest
-    source is shared by all tasks; only sums of its words leave them.
+    source is shared by all tasks; only sums of its words leave them. Rows that repeat both id and
+    text are counted first, and each GROUP_ROWS of them are dealt as one.
     """
     text = F.col(text_col)
     sized = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(source_col).alias("source"), words_in(text).alias("size"))
@@ -124,8 +129,11 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     plan = plan.join(sums.select(F.col("source").alias("of"), "docs"), same).drop("of")
     plan = materialize(plan.select(F.col("source").alias("of"), "source_size", "target", "tilt", "mean", F.ceil(F.col("docs") / GROUP_ROWS).alias("groups")), "mix-plan")
     met = sized.join(plan.select("of", "tilt", "mean", "groups"), same).drop("of")
-    group = F.pmod(F.xxhash64("doc_id", "mark"), F.col("groups"))
-    rated = met.select("doc_id", "mark", "source", "size", group.alias("group"), F.coalesce(_rate("tilt"), F.lit(0.0)).alias("rate"))
+    alike = met.groupBy("doc_id", "mark", "source", "size", "tilt", "mean", "groups").agg(F.count(F.lit(1)).alias("n"))
+    parts = alike.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / GROUP_ROWS))))
+    rows = F.least(F.lit(GROUP_ROWS).cast("long"), F.col("n") - F.col("part") * GROUP_ROWS)
+    group = F.pmod(F.xxhash64("doc_id", "mark", "part"), F.col("groups"))
+    rated = parts.select("doc_id", "mark", "source", "size", rows.alias("rows"), group.alias("group"), F.coalesce(_rate("tilt"), F.lit(0.0)).alias("rate"))
     return _rounded(rated).join(plan.select("of", "source_size", "target"), same).drop("of")
 
 

@@ -2,6 +2,7 @@ import math
 import random
 from collections import defaultdict
 
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptorium.llm import mixing as M
@@ -121,3 +122,16 @@ def test_mixed_keeps_columns_of_any_name(spark):
     assert got.columns == names
     rows = got.collect()
     assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names[3:])
+
+
+def test_many_equal_rows_take_their_share(spark):
+    equal = spark.range(300_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("big").alias("source"))
+    bare = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit("big").alias("source"))
+    other = spark.range(500).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 40 + 1).cast("int")).alias("text"), F.lit("small").alias("source"))
+    got = M.mixture(equal.unionByName(bare).unionByName(other))
+    rows = got.groupBy("target").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("n"), F.max(F.col("taken") - 2 * F.col("size")).alias("over")).collect()
+    assert sorted(r.n for r in rows) == [500, 320_000]
+    assert all(abs(r.taken - r.target) <= 0.01 * r.target and r.over <= 0 for r in rows)
+    again = M.mixture(equal.unionByName(bare).unionByName(other).repartition(7))
+    count = lambda df: sorted(df.groupBy("doc_id", "size", "taken").count().collect(), key=str)
+    assert count(got) == count(again)
