@@ -8,13 +8,24 @@ from pyspark.sql import functions as F
 from ..config import LIMITS
 
 
+def exact_sum(amount: str | Column, digits: int = 4) -> Column:
+    """Sum of amounts of up to nine decimals, rounded; the order in which they are added doesn't matter."""
+    amount = F.col(amount) if isinstance(amount, str) else amount
+    return F.round(F.sum(amount.cast("decimal(28,9)")), digits).cast("double")
+
+
+def exact_mean(amount: str, digits: int = 6) -> Column:
+    total = F.sum(F.col(amount).cast("decimal(18,9)")).cast("decimal(26,9)")
+    return F.round(total / F.count(amount).cast("decimal(12,0)"), digits).cast("double")
+
+
 def active_sessions(sessions: DataFrame, users: DataFrame) -> DataFrame:
     return sessions.join(users.where("active"), "user_id")
 
 
 def user_usage(users: DataFrame, traces: DataFrame, docs: DataFrame, convs: DataFrame) -> DataFrame:
     """One row a user with runs, cost and last run, documents and conversations; each side is summed before it is joined."""
-    runs = traces.groupBy("user_id").agg(F.count(F.lit(1)).alias("runs"), F.round(F.sum("cost"), 4).alias("cost"), F.max("at").alias("last_at"))
+    runs = traces.groupBy("user_id").agg(F.count(F.lit(1)).alias("runs"), exact_sum("cost").alias("cost"), F.max("at").alias("last_at"))
     n = lambda df, name: df.groupBy("user_id").agg(F.count(F.lit(1)).alias(name))
     met = users.join(runs, "user_id", "left").join(n(docs, "docs"), "user_id", "left").join(n(convs, "convs"), "user_id", "left")
     return met.fillna({"runs": 0, "cost": 0.0, "docs": 0, "convs": 0})
@@ -33,7 +44,7 @@ def conversation_list(messages: DataFrame, limit: int = 60) -> DataFrame:
 
 def trace_summary(traces: DataFrame, *by: str) -> DataFrame:
     """Runs, cost and latency (cost, ms), in all or by columns; an empty ledger has zeros."""
-    return traces.groupBy(*by).agg(F.count(F.lit(1)).alias("runs"), F.round(F.coalesce(F.sum("cost"), F.lit(0.0)), 4).alias("cost"), F.round(F.coalesce(F.avg("cost"), F.lit(0.0)), 6).alias("mean_cost"), F.round(F.coalesce(F.avg("ms"), F.lit(0.0)), 6).alias("mean_ms"))
+    return traces.groupBy(*by).agg(F.count(F.lit(1)).alias("runs"), *(F.coalesce(c, F.lit(0.0)).alias(name) for c, name in ((exact_sum("cost"), "cost"), (exact_mean("cost"), "mean_cost"), (exact_mean("ms"), "mean_ms"))))
 
 
 def trace_by(traces: DataFrame, *columns: str) -> DataFrame:
@@ -52,7 +63,7 @@ def feedback_stats(votes: DataFrame) -> DataFrame:
 
 def node_profile(steps: DataFrame) -> DataFrame:
     """steps (node, ms, cost, tokens, error) by node."""
-    return steps.groupBy("node").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("cost"), 4).alias("cost"), F.sum("tokens").alias("tokens"), F.round(F.median("ms"), 6).alias("median_ms"), F.max("ms").alias("max_ms"), F.count("error").alias("errors"))
+    return steps.groupBy("node").agg(F.count(F.lit(1)).alias("calls"), exact_sum("cost").alias("cost"), F.sum("tokens").alias("tokens"), F.round(F.median("ms"), 6).alias("median_ms"), F.max("ms").alias("max_ms"), F.count("error").alias("errors"))
 
 
 def step_share(steps: DataFrame, least: float = 2.0) -> DataFrame:
@@ -64,7 +75,7 @@ def step_share(steps: DataFrame, least: float = 2.0) -> DataFrame:
 def run_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """calls (run_id, tier, tokens_in, tokens_out) at prices a million tokens (tier, price_in, price_out)."""
     cost = (F.col("tokens_in") * F.col("price_in") + F.col("tokens_out") * F.col("price_out")) / 1e6
-    return calls.join(F.broadcast(prices), "tier").groupBy("run_id").agg(F.round(F.sum(cost), 8).alias("cost"), F.count(F.lit(1)).alias("calls"))  # prices: a row a tier
+    return calls.join(F.broadcast(prices), "tier").groupBy("run_id").agg(exact_sum(cost, 8).alias("cost"), F.count(F.lit(1)).alias("calls"))  # prices: a row a tier
 
 
 def budget_breach(steps: DataFrame, cost: float = LIMITS.run_cost, seconds: float = LIMITS.run_seconds) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,10 +14,27 @@ from ..functions import text as X
 from .vectors import nearest
 
 
-def postings(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, token, tf, length) of chunks (key, text): one pass, terms counted map-side."""
-    terms = chunks.select(key, X.tokenize(F.col("text")).alias("ts")).withColumn("length", F.size("ts"))
-    return terms.select(key, "length", F.explode("ts").alias("token")).groupBy(key, "length", "token").agg(F.count(F.lit(1)).alias("tf"))
+def _count(empty: bool):
+    """Rows (key, terms) to (key, length, token, tf); empty: a row without token for those that have no terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            lengths, words = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().dictionary_encode()
+            size = max(1, len(words.dictionary))
+            found, tf = np.unique(np.repeat(np.arange(len(lengths)), lengths) * size + words.indices.to_numpy(), return_counts=True)
+            row, token = found // size, words.dictionary.take(pa.array(found % size))
+            if empty and (bare := np.flatnonzero(lengths == 0)).size:
+                row, tf, token = np.r_[row, bare], np.r_[tf, np.zeros(len(bare), tf.dtype)], pa.concat_arrays([token, pa.nulls(len(bare), token.type)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(lengths[row]), token, pa.array(tf, pa.int64())], names=["key", "length", "token", "tf"])
+
+    return run
+
+
+def postings(chunks: DataFrame, key: str = "doc_id", empty: bool = False) -> DataFrame:
+    """(key, length, token, tf) of chunks (key, text): counted where the text is read, nothing moves. empty: chunks without terms have a row without token."""
+    cut = chunks.select(key, X.tokenize(F.col("text")).alias("ts"))
+    return cut.mapInArrow(_count(empty), f"key {dict(cut.dtypes)[key]}, length long, token string, tf long").withColumnRenamed("key", key)
 
 
 def token_df(chunks: DataFrame, key: str = "doc_id") -> DataFrame:

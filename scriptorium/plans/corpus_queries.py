@@ -13,15 +13,20 @@ from .registry import Tables, query
 PAGE_LINES = 10
 
 
-def pages(t: Tables) -> DataFrame:
+def cut_pages(docs: DataFrame) -> DataFrame:
+    """(doc_id, page_no, text) of documents (doc_id, source, text): ten lines a page, with a head and a foot."""
     lines = F.split("text", "\n")
     block = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / PAGE_LINES).cast("int")), lambda i: F.array_join(F.slice(lines, i * PAGE_LINES + 1, F.lit(PAGE_LINES)), "\n"))
     head = F.concat(F.lit("Corpus of "), "source", F.lit("\n"))
     foot = F.concat(F.lit("\nsayfa "), (F.col("i") + 1).cast("string"))
-    cut = t.documents.select("doc_id", "source", F.posexplode(block).alias("i", "text"))
+    cut = docs.select("doc_id", "source", F.posexplode(block).alias("i", "text"))
     return cut.select("doc_id", (F.col("i") + 1).alias("page_no"), F.concat(head, "text", foot).alias("text"))
 
 
+def pages(t: Tables) -> DataFrame:
+    return cut_pages(t.documents)
+
+
 PAGES = f"""
 b AS (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents),
 pages AS (SELECT doc_id, i + 1 AS page_no, 'Corpus of ' || source || chr(10) || list_aggregate(ls[i * {PAGE_LINES} + 1:i * {PAGE_LINES} + {PAGE_LINES}], 'string_agg', chr(10)) || chr(10) || 'sayfa ' || (i + 1) AS text

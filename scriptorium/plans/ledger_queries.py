@@ -23,7 +23,7 @@ def active_sessions(t: Tables) -> DataFrame:
 @query(
     """
 SELECT c_custkey AS user_id, coalesce(runs, 0) AS runs, coalesce(cost, 0) AS cost, last_at, coalesce(docs, 0) AS docs, coalesce(convs, 0) AS convs FROM customer
-LEFT JOIN (SELECT o_custkey, count(*) AS runs, round(sum(o_totalprice), 4) AS cost, max(o_orderdate) AS last_at FROM orders GROUP BY 1) ON o_custkey = c_custkey
+LEFT JOIN (SELECT o_custkey, count(*) AS runs, round(sum(o_totalprice::DECIMAL(28, 9)), 4)::DOUBLE AS cost, max(o_orderdate) AS last_at FROM orders GROUP BY 1) ON o_custkey = c_custkey
 LEFT JOIN (SELECT user_id, count(*) AS docs FROM events GROUP BY 1) e ON e.user_id = c_custkey LEFT JOIN (SELECT conv_id, count(*) AS convs FROM conversations GROUP BY 1) v ON v.conv_id = c_custkey
 """
 )
@@ -47,7 +47,13 @@ def _traces(t: Tables) -> DataFrame:
     return t.events.select("event_id", "user_id", "event_type", (F.col("value") / 1000).alias("cost"), F.col("value").alias("ms"), F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-SUMMARY = "count(*) AS runs, round(coalesce(sum(value / 1000), 0), 4) AS cost, round(coalesce(avg(value / 1000), 0), 6) AS mean_cost, round(coalesce(avg(value), 0), 6) AS mean_ms"
+# Sums and means of decimals: a mean is rounded half up in whole numbers of billionths.
+def mean_sql(amount: str) -> str:
+    units, n = f"sum(round({amount} * 1000000000)::HUGEINT)", "count(*)"
+    return f"coalesce(((2 * {units} + 1000 * {n}) // (2000 * {n}))::DOUBLE / 1000000, 0)"
+
+
+SUMMARY = f"count(*) AS runs, coalesce(round(sum((value / 1000)::DECIMAL(28, 9)), 4)::DOUBLE, 0) AS cost, {mean_sql('value / 1000')} AS mean_cost, {mean_sql('value')} AS mean_ms"
 
 
 @query(f"SELECT user_id, {SUMMARY} FROM events GROUP BY 1 UNION ALL SELECT NULL, {SUMMARY} FROM events")
@@ -77,7 +83,7 @@ def _steps(t: Tables) -> DataFrame:
     return e.select(F.floor(F.col("event_id") / 10).alias("run_id"), (F.col("event_id") % 10).alias("step"), F.col("event_type").alias("node"), "ms", "cost", F.col("k").alias("tokens"), error.alias("error"))
 
 
-@query("SELECT event_type AS node, count(*) AS calls, round(sum(value / 1000), 4) AS cost, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS tokens, round(median(value), 6) AS median_ms, max(value) AS max_ms, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1")
+@query("SELECT event_type AS node, count(*) AS calls, round(sum((value / 1000)::DECIMAL(28, 9)), 4)::DOUBLE AS cost, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS tokens, round(median(value), 6) AS median_ms, max(value) AS max_ms, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1")
 def node_profile(t: Tables) -> DataFrame:
     return L.node_profile(_steps(t))
 
@@ -90,7 +96,7 @@ def step_share(t: Tables) -> DataFrame:
 @query(
     """
 WITH p AS (SELECT * FROM (VALUES ('A', 3.0::DOUBLE, 15.0::DOUBLE), ('N', 0.25::DOUBLE, 1.25::DOUBLE), ('R', 1.0::DOUBLE, 5.0::DOUBLE)) v(tier, price_in, price_out))
-SELECT l_orderkey AS run_id, round(sum((l_quantity * 100 * price_in + l_linenumber * 50 * price_out) / 1000000.0::DOUBLE), 8) AS cost, count(*) AS calls FROM lineitem JOIN p ON tier = l_returnflag GROUP BY 1
+SELECT l_orderkey AS run_id, round(sum(((l_quantity * 100 * price_in + l_linenumber * 50 * price_out) / 1000000.0::DOUBLE)::DECIMAL(28, 9)), 8)::DOUBLE AS cost, count(*) AS calls FROM lineitem JOIN p ON tier = l_returnflag GROUP BY 1
 """
 )
 def run_cost(t: Tables) -> DataFrame:

@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from ..operators import chunking as D
 from ..operators import layout as L
 from ..sources import index as I
+from ..sources.search_index import SearchIndex
 from ..streaming import jobs as S
-from .corpus_queries import PAGES, pages
+from ..streaming.ingest import CHUNKS, UPLOADS, Corpus
+from .corpus_queries import CRUMBS, MERGED, PACKED, PAGES, chunks_sql, cut_pages, pages
 from .registry import Tables, query
+from .retrieval_queries import asked, bm25_sql
 
 
-def _scratch(t: Tables) -> str:
+def scratch(t: Tables) -> str:
     """A new folder in the shared one; only where driver and executors are one process, one of this machine will do."""
     sc = t.spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir")
@@ -39,7 +42,7 @@ SELECT owner_id, sha256(text) AS sha256, CASE WHEN trim(text) = '' THEN 'failed'
 """
 )
 def stream_ingest(t: Tables) -> DataFrame:
-    folder = _scratch(t)
+    folder = scratch(t)
     uploads = _uploads(t)
     uploads.repartition(3, "doc_id").write.parquet(f"{folder}/in")
     S.stream_ingest(S.read_folder(t.spark, f"{folder}/in", uploads.schema), f"{folder}/store", f"{folder}/state").awaitTermination()
@@ -52,14 +55,14 @@ def _event_stream(t: Tables, folder: str) -> DataFrame:
     return S.read_folder(t.spark, f"{folder}/in", events.schema)
 
 
-@query("SELECT user_id, count(*) AS runs, round(sum(value), 4) AS cost FROM events GROUP BY 1")
+@query("SELECT user_id, count(*) AS runs, round(sum(value::DECIMAL(28, 9)), 4)::DOUBLE AS cost FROM events GROUP BY 1")
 def stream_trace_summary(t: Tables) -> DataFrame:
-    folder = _scratch(t)
+    folder = scratch(t)
     totals = S.running_totals(_event_stream(t, folder))
-    return S.run_to_folder(totals, f"{folder}/totals", f"{folder}/state").select("user_id", "runs", F.round("cost", 4).alias("cost"))
+    return S.run_to_folder(totals, f"{folder}/totals", f"{folder}/state").select("user_id", "runs", F.round("cost", 4).cast("double").alias("cost"))
 
 
-@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value::DECIMAL(28, 9)), 4)::DOUBLE AS value FROM events GROUP BY ALL")
 def hourly_totals(t: Tables) -> DataFrame:
     return S.hourly_totals(t.events)
 
@@ -67,7 +70,7 @@ def hourly_totals(t: Tables) -> DataFrame:
 @query(f"WITH {PAGES} SELECT doc_id, page_no::INTEGER AS page_no, text FROM pages")
 def stored_pages(t: Tables) -> DataFrame:
     """Pages as they come back from their store."""
-    folder = _scratch(t)
+    folder = scratch(t)
     I.write_pages(pages(t), f"{folder}/pages")
     return t.spark.read.parquet(f"{folder}/pages").select("doc_id", "page_no", "text")
 
@@ -79,9 +82,92 @@ def _chunked(p: DataFrame) -> DataFrame:
 @query("SELECT doc_id, 0::BIGINT AS changed FROM documents WHERE length(trim(text)) > 0")
 def rechunk_idempotent(t: Tables) -> DataFrame:
     """Chunks of stored pages, cut twice from them: how many chunks of each document differ."""
-    folder = _scratch(t)
+    folder = scratch(t)
     I.write_pages(pages(t), f"{folder}/pages")
     stored = t.spark.read.parquet(f"{folder}/pages").select("doc_id", "page_no", "text")
     digest = lambda df: df.groupBy("doc_id").agg(F.sum(F.xxhash64("ordinal", "text").cast("decimal(38,0)")).alias("digest"), F.count(F.lit(1)).alias("n"))
     once, again = digest(_chunked(stored)), digest(_chunked(pages(t)))
     return once.join(again.withColumnsRenamed({"digest": "digest2", "n": "n2"}), "doc_id").select("doc_id", F.when((F.col("digest") == F.col("digest2")) & (F.col("n") == F.col("n2")), 0).otherwise(F.col("n")).cast("long").alias("changed"))
+
+
+def corpus_sql(kept: str, k: int) -> str:
+    """BM25 hits over the documents that a condition keeps."""
+    return f"WITH documents AS (SELECT * FROM documents WHERE regexp_matches(text, '\\S') AND {kept}), {bm25_sql(k)} SELECT query_id, doc_id, score, rank::INTEGER AS rank FROM bm25"
+
+
+@query(corpus_sql("true", 5))
+def bm25_indexed(t: Tables) -> DataFrame:
+    """The best documents of each benchmark text, from a stored index."""
+    index = SearchIndex(t.spark, scratch(t))
+    index.append(t.documents.select("doc_id", "text"), 0)
+    return index.search(asked(t), 5)
+
+
+@query(corpus_sql("(doc_id % 7 <> 0 OR doc_id % 14 = 0)", 5))
+def bm25_index_changed(t: Tables) -> DataFrame:
+    """The same after two appends, one of them made twice, a deletion, and an append of some of the deleted documents and of live ones, which stay as they are."""
+    docs, index = t.documents.select("doc_id", "text"), SearchIndex(t.spark, scratch(t))
+    index.append(docs.where("doc_id % 3 = 0"), 0)
+    index.append(docs.where("doc_id % 3 <> 0"), 1)
+    index.append(docs.where("doc_id % 3 <> 0"), 1)
+    index.delete(docs.where("doc_id % 7 = 0"), 2)
+    index.append(docs.where("doc_id % 2 = 0"), 3)
+    return index.search(asked(t), 5)
+
+
+def _arrivals(t: Tables, folder: str) -> DataFrame:
+    """Documents as uploads that arrive in three files, by their id modulo 3; some are blank or too large."""
+    text = F.when(F.col("doc_id") % 17 == 0, " \t").otherwise(F.col("text"))
+    size = F.when(F.col("doc_id") % 19 == 0, 200_000_000).otherwise(F.col("n_chars")).cast("long")
+    rows = t.documents.select("doc_id", F.col("lang").alias("owner_id"), "source", text.alias("text"), size.alias("bytes"), F.lit(1).alias("page_count"))
+    for k in range(3):  # one after the other, so that their order is known
+        rows.where(F.col("doc_id") % 3 == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return S.read_folder(t.spark, f"{folder}/in", rows.schema)
+
+
+ARRIVED = """
+arrived AS (SELECT doc_id, lang AS owner_id, source, n_chars, CASE WHEN doc_id % 17 = 0 THEN ' ' || chr(9) ELSE text END AS text, CASE WHEN doc_id % 19 = 0 THEN 'too large' WHEN doc_id % 17 = 0 OR NOT regexp_matches(text, '\\S') THEN 'no text' END AS error FROM documents),
+told AS (SELECT *, CASE WHEN error IS NOT NULL THEN 'failed' WHEN row_number() OVER (PARTITION BY owner_id, text, error IS NULL ORDER BY doc_id % 3, doc_id) = 1 THEN 'ready' ELSE 'duplicate' END AS status FROM arrived)
+"""
+
+
+@query(
+    f"""
+WITH {ARRIVED}, documents AS (SELECT doc_id, source, text FROM told WHERE status = 'ready'), {PACKED}, p AS (SELECT doc_id, {CRUMBS} AS cs FROM sections), q AS (SELECT doc_id, {MERGED} AS cs FROM p), chunks AS ({chunks_sql('cs')} FROM q)
+SELECT 'upload' AS kind, doc_id, NULL::INTEGER AS n, sha256(coalesce(text, '')) AS digest, status, error FROM told
+UNION ALL SELECT 'page', doc_id, page_no::INTEGER, sha256(text), NULL, NULL FROM pages
+UNION ALL SELECT 'chunk', doc_id, ordinal, sha256(text), NULL, NULL FROM chunks
+"""
+)
+def stream_corpus(t: Tables) -> DataFrame:
+    """All that is stored after three batches, of which the second comes twice."""
+    folder = scratch(t)
+    corpus = _streamed(t, folder)
+    uploads = corpus.table("uploads", UPLOADS).select(F.lit("upload").alias("kind"), "doc_id", F.lit(None).cast("int").alias("n"), F.col("sha256").alias("digest"), "status", "error")
+    none = [F.lit(None).cast("string").alias(c) for c in ("status", "error")]
+    of = lambda name, number: corpus.table(name, f"doc_id long, {number} int, text string, batch int").select(F.lit(name[:-1]).alias("kind"), "doc_id", F.col(number).alias("n"), F.sha2("text", 256).alias("digest"), *none)
+    return uploads.unionByName(of("pages", "page_no")).unionByName(of("chunks", "ordinal"))
+
+
+def _streamed(t: Tables, folder: str) -> Corpus:
+    corpus = Corpus(t.spark, f"{folder}/corpus", cut_pages)
+    stream = _arrivals(t, folder)
+    corpus.follow(stream, f"{folder}/state").awaitTermination()
+    again = t.spark.read.schema(stream.schema).parquet(f"{folder}/in").where("doc_id % 3 = 1")
+    corpus.ingest(again, 1)  # as if the second batch had failed at its end
+    return corpus
+
+
+@query(
+    f"""
+WITH {ARRIVED}, {{chunks}}
+SELECT query_id, doc_id // {1 << 20} AS doc_id, (doc_id % {1 << 20})::INTEGER AS ordinal, score, rank::INTEGER AS rank FROM bm25
+""".replace(
+        "{chunks}",
+        f"documents AS (SELECT doc_id * {1 << 20} + ordinal AS doc_id, text FROM (WITH documents AS (SELECT doc_id, source, text FROM told WHERE status = 'ready'), {PACKED}, p AS (SELECT doc_id, {CRUMBS} AS cs FROM sections), q AS (SELECT doc_id, {MERGED} AS cs FROM p) {chunks_sql('cs')} FROM q) WHERE regexp_matches(text, '\\S')), {bm25_sql(5)}",
+    )
+)
+def stream_corpus_search(t: Tables) -> DataFrame:
+    """The best chunks of each benchmark text in the index that the batches have left."""
+    hits = _streamed(t, scratch(t)).index.search(asked(t), 5)
+    return hits.select("query_id", F.floor(F.col("doc_id") / CHUNKS).alias("doc_id"), F.pmod("doc_id", F.lit(CHUNKS)).cast("int").alias("ordinal"), "score", "rank")
