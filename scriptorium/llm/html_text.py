@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,8 +32,8 @@ CLOSES = {
     "td": ({"td", "th", "caption"}, {"tr", "table"}), "th": ({"td", "th", "caption"}, {"tr", "table"}), "tr": ({"tr", "td", "th", "caption"}, {"table"}),
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
 }
-#: Open elements beyond which a new one becomes a sibling of the innermost; columns are aligned up to this width, and up to this one in all.
-MOST_OPEN, MOST_WIDTH, MOST_INDENT = 200, 60, 400
+#: Depth of the tree: what is opened deeper hangs at this depth, in order, seen as far as its true parent is. Columns are aligned up to this width, and up to this one in all; blocks within blocks are indented up to the last.
+MOST_OPEN, MOST_WIDTH, MOST_INDENT, MOST_MARGIN = 200, 60, 400, 24
 #: Columns and rows that a cell reaches over at most; columns beyond the first of these don't reach into later rows.
 MOST_COLUMNS, MOST_ROWS = 100, 1000
 
@@ -41,19 +43,46 @@ class Node:
     tag: str
     attrs: dict[str, str] = field(default_factory=dict)
     children: list[Node | str] = field(default_factory=list)
+    under: Node | None = None  # the true parent of what hangs at the depth of the tree
+    goes_on: bool = False  # whether this is more text of that parent
+    shown: bool = True  # whether anything of it may be seen, and whether text in it is, once it has been walked
+    sees: bool = True
 
 
 def build(source: str) -> tuple[Node, list[str]]:
     """(tree, style sheets) of a page; missing start and end tags are implied."""
     root = Node("html")
     stack, sheets = [root], []
+    opened: Counter[str] = Counter()
+
+    def place(x: Node | str) -> None:
+        parent = stack[-1]
+        if len(stack) <= MOST_OPEN:
+            parent.children.append(x)
+            return
+        host = stack[MOST_OPEN - 1].children
+        if isinstance(x, Node):
+            x.under = parent
+            host.append(x)
+            return
+        last = host[-1]
+        if last is not parent and not (isinstance(last, Node) and last.goes_on and last.under is parent):
+            last = Node("div" if parent.tag in BLOCK else "span", under=parent, goes_on=True)
+            host.append(last)
+        last.children.append(x)
+
+    def cut(at: int) -> None:
+        opened.subtract(x.tag for x in stack[at:])
+        del stack[at:]
 
     def text(s: str) -> None:
         if s:
-            stack[-1].children.append(html.unescape(s))
+            place(html.unescape(s))
 
     def close(tags: set[str] | frozenset[str], until: set[str] | frozenset[str]) -> None:
         """Closes the outermost open element of `tags` inside the innermost of `until`."""
+        if not any(opened[t] for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in until:
                 break
@@ -61,7 +90,7 @@ def build(source: str) -> tuple[Node, list[str]]:
                 last = i
                 while last > 1 and stack[last - 1].tag in tags:
                     last -= 1
-                del stack[last:]
+                cut(last)
                 return
 
     def open_(tag: str, attrs: dict[str, str]) -> None:
@@ -72,16 +101,15 @@ def build(source: str) -> tuple[Node, list[str]]:
         if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
             open_("tr", {})
         if tag in ("h1", "h2", "h3", "h4", "h5", "h6") and stack[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            stack.pop()
+            cut(len(stack) - 1)
         if tag in BLOCK and tag not in ("html", "body") and len(stack) > 1 and stack[-1].tag == "head":
-            stack.pop()
-        if len(stack) >= MOST_OPEN and tag not in VOID:
-            stack.pop()
+            cut(len(stack) - 1)
         node = Node(tag, attrs)
         empty = tag in VOID or tag == "form" and stack[-1].tag in ("table", "tbody", "thead", "tfoot", "tr")  # a form between cells holds nothing
-        stack[-1].children.append(node)
+        place(node)
         if not empty:
             stack.append(node)
+            opened[tag] += 1
 
     for kind, name, attrs in Scanner(source).tokens():
         if kind == TEXT:
@@ -91,15 +119,15 @@ def build(source: str) -> tuple[Node, list[str]]:
                 sheets.append(name)
             stack[-1].children.append(html.unescape(name) if stack[-1].tag in ("textarea", "title") else name)
         elif kind == END:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1 if opened[name] else 0, 0, -1):
                 if stack[i].tag == name:
-                    del stack[i:]
+                    cut(i)
                     break
                 if stack[i].tag in ("td", "th", "table") and name not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th"):
                     break
         elif name in ("html", "body"):
             if stack[1:] and stack[-1].tag == "head":
-                stack.pop()
+                cut(len(stack) - 1)
             root.attrs = attrs | root.attrs
         else:
             open_(name, attrs)
@@ -117,12 +145,36 @@ def _declared(text: str, order: int) -> Iterator[tuple[str, tuple[bool, int, str
         yield name.lower(), (bool(important), order, value.lower())
 
 
-#: By property, for a plain selector (tag, .class, #id): its last declaration.
-Rules = dict[str, dict[str, tuple[bool, int, str]]]
+@dataclass(frozen=True)
+class Simple:
+    """A tag, an id and classes that an element must all have."""
+
+    tag: str
+    ids: frozenset[str]
+    classes: frozenset[str]
+
+    def fits(self, node: Node) -> bool:
+        return (not self.tag or node.tag == self.tag) and (not self.ids or self.ids == {node.attrs.get("id", "").lower()}) and self.classes <= set(node.attrs.get("class", "").lower().split())
+
+
+#: By id, class or tag of an element: (ancestors, the element, weight, property, declaration) of each rule for it.
+Rules = dict[str, list[tuple[list[Simple], Simple, tuple[int, int, int], str, tuple[bool, int, str]]]]
+_SIMPLE = re.compile(r"[\w-]*(?:[.#][\w-]+)*")
+
+
+def selector_of(text: str) -> list[Simple] | None:
+    """Of `tag.class#id` and such inside one another; null for other selectors."""
+    out = []
+    for part in text.lower().split():
+        if not _SIMPLE.fullmatch(part):
+            return None
+        names = re.findall(r"[.#]?[\w-]+", part)
+        out.append(Simple("".join(x for x in names if x[0] not in ".#"), frozenset(x[1:] for x in names if x[0] == "#"), frozenset(x[1:] for x in names if x[0] == ".")))
+    return out or None
 
 
 def rules_of(sheets: list[str]) -> Rules:
-    """What style sheets say of display and visibility, whatever the screen, by plain selectors. Nested rules depend on their parents and don't count."""
+    """What style sheets say of display and visibility, whatever the screen, by tags, classes, ids and what they stand in. Nested rules depend on their parents and don't count."""
     out: Rules = {}
     order = 0
     for sheet in sheets:
@@ -136,9 +188,11 @@ def rules_of(sheets: list[str]) -> Rules:
                 order += 1
                 for name, said in _declared("".join(words), order):
                     for selector in opened[-1].split(","):
-                        if re.fullmatch(r"[.#]?[\w-]+", selector.strip()):
-                            own = out.setdefault(selector.strip().lower(), {})
-                            own[name] = max(own.get(name, said), said, key=lambda x: x[:2])
+                        if chain := selector_of(selector):
+                            *outer, own = chain
+                            weight = tuple(sum(x) for x in zip(*((len(c.ids), len(c.classes), bool(c.tag)) for c in chain), strict=True))
+                            key = "#" + min(own.ids) if own.ids else "." + min(own.classes) if own.classes else own.tag
+                            out.setdefault(key, []).append((outer, own, weight, name, said))
             words.clear()
 
         for m in _CSS.finditer(sheet):
@@ -173,25 +227,39 @@ class Page:
     def __init__(self, rules: Rules):
         self.rules = rules
         self.visible = True  # whether text is seen where the walk is
+        self.path: list[Node] = []  # elements that it is in
+        self.margin = 0
 
     def _style(self, node: Node) -> dict[str, tuple]:
-        """What the strongest declaration says: important ones first, then by selector (tag, class, id, the element's own), then the last."""
+        """What the strongest declaration says: important ones first, then by selector (tags, classes, ids, the element's own), then the last."""
         out: dict[str, tuple] = {}
         style = node.attrs.get("style", "")
         if self.rules:
-            names = [(0, node.tag), *((1, "." + c) for c in node.attrs.get("class", "").lower().split()), (2, "#" + node.attrs.get("id", "").lower())]
-            for weight, name in names:
-                for prop, (important, order, value) in self.rules.get(name, {}).items():
-                    out[prop] = max(out.get(prop, (False, -1, 0, "")), (important, weight, order, value))
-        if style:
-            for prop, (important, order, value) in _declared(style, 0):
-                said = (important, 3, order, value)
-                if prop not in out or said[:3] >= out[prop][:3]:
+            keys = [node.tag, *("." + c for c in node.attrs.get("class", "").lower().split()), "#" + node.attrs.get("id", "").lower()]
+            for outer, own, weight, prop, (important, order, value) in (rule for key in keys for rule in self.rules.get(key, ())):
+                said = (important, weight, order, value)
+                if (prop not in out or said > out[prop]) and own.fits(node) and (not outer or self.inside(outer)):
                     out[prop] = said
+        for prop, (important, order, value) in _declared(style, 0) if style else ():
+            said = (important, (math.inf,), order, value)
+            if prop not in out or said[:3] >= out[prop][:3]:
+                out[prop] = said
         return out
 
+    def inside(self, outer: list[Simple]) -> bool:
+        """Whether elements that fit lie around the walk, in this order."""
+        left = len(outer)
+        for node in reversed(self.path):
+            if left and outer[left - 1].fits(node):
+                left -= 1
+        return not left
+
     def seen(self, node: Node) -> bool:
         """Whether anything of an element may be seen; its visibility is looked at where its text is."""
+        node.shown = (node.under is None or node.under.shown) and self._seen(node)
+        return node.shown
+
+    def _seen(self, node: Node) -> bool:
         if node.tag in UNSEEN or node.tag == "input" or node.tag == "dialog" and "open" not in node.attrs:
             return False
         if not self.rules and "style" not in node.attrs:
@@ -200,8 +268,10 @@ class Page:
         return "hidden" not in node.attrs if display is None else display[-1] != "none"
 
     def enter(self, node: Node) -> bool:
-        """Takes over the visibility of an element; returns the one before."""
+        """Takes over the visibility of an element; returns the one before, for leave()."""
         before = self.visible
+        if node.under is not None:
+            self.visible = node.under.sees
         if self.rules or "style" in node.attrs:
             said = self._style(node).get("visibility")
             if said and said[-1] in ("hidden", "collapse", "visible"):
@@ -210,8 +280,14 @@ class Page:
             self.visible = False  # of a drawing only its texts
         elif node.tag in ("text", "foreignobject"):
             self.visible = True
+        node.sees = self.visible
+        self.path.append(node)
         return before
 
+    def leave(self, before: bool) -> None:
+        self.visible = before
+        self.path.pop()
+
     def lines(self, node: Node, kept: bool = False) -> list[str]:
         """Lines of what a node holds. Empty lines stand between blocks that are spaced."""
         out: list[str] = []
@@ -259,7 +335,7 @@ class Page:
                         gap = x.tag in SPACED
                 else:
                     walk(x.children)
-                self.visible = before
+                self.leave(before)
 
         walk(node.children)
         flush()
@@ -268,19 +344,24 @@ class Page:
     def block(self, node: Node, parent: Node, number: int, kept: bool) -> list[str]:
         if node.tag == "table":
             return self.table(node)
+        mark = ""
+        if node.tag == "li":
+            first = parent.attrs.get("start", "1") if parent.tag == "ol" else ""
+            mark = f"{(int(first) if first.isdecimal() and len(first) < 9 else 1) + number - 1}. " if parent.tag == "ol" else "- "
+        indent = " " * (len(mark) if mark else 4 if node.tag in ("dd", "blockquote") else 0)
+        if self.margin + len(indent) > MOST_MARGIN:
+            indent = ""
+        self.margin += len(indent)
         found = self.lines(node, kept)
+        self.margin -= len(indent)
         if node.tag == "pre":
             while found and not found[0].strip():
                 found.pop(0)
             while found and not found[-1].strip():
                 found.pop()
-        if node.tag == "li" and found:
-            first = parent.attrs.get("start", "1") if parent.tag == "ol" else ""
-            mark = f"{(int(first) if first.isdecimal() and len(first) < 9 else 1) + number - 1}. " if parent.tag == "ol" else "- "
-            return [mark + found[0], *((" " * len(mark) + x) if x else x for x in found[1:])]
-        if node.tag in ("dd", "blockquote"):
-            return [("    " + x) if x else x for x in found]
-        return found
+        if mark and found:
+            return [mark + found[0], *((indent + x) if x else x for x in found[1:])]
+        return [(indent + x) if x else x for x in found] if indent else found
 
     def parts(self, node: Node) -> tuple[list[Node | str], list[Node]]:
         """(loose content, rows) of a table; rows count wherever they stand outside a table of their own."""
@@ -293,8 +374,12 @@ class Page:
                 if x.tag == "tr":
                     rows.append(x)
                 else:
+                    self.path.append(x)
                     own, inner = self.parts(x)
-                    loose.append(Node(x.tag, x.attrs, own) if inner else x)
+                    self.path.pop()
+                    if inner:
+                        x.children = own
+                    loose.append(x)
                     rows += inner
         return loose, rows
 
@@ -315,7 +400,7 @@ class Page:
                     across, down = (_span(cell, name, most) for name, most in (("colspan", MOST_COLUMNS), ("rowspan", MOST_ROWS)))
                     outer = self.enter(cell)
                     found = self.lines(cell)
-                    self.visible = outer
+                    self.leave(outer)
                 else:
                     across, down, found = 1, 1, self.lines(Node("td", {}, [cell]))
                 while held.get(column, 0) > number:
@@ -325,7 +410,7 @@ class Page:
                 if down > 1:
                     taken |= dict.fromkeys(range(column, min(column + across, MOST_COLUMNS)), number + down)
                 column += across
-            self.visible = before
+            self.leave(before)
             held |= taken
             if row:
                 grid.append(row)
@@ -373,7 +458,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
     """(id, text): all visible text of each page.
 
     A tree is built with implied tags; elements that are never shown, that carry `hidden` or an
-    inline or plain style rule that hides them on any screen, are left out with all they hold. Blocks begin
+    inline style or a rule of tags, classes and ids that hides them on any screen, are left out with all they hold. Blocks begin
     new lines, and paragraphs, headings, lists and tables stand apart by a blank line; lists
     have marks and indents; table columns are aligned. A null or empty page has an empty text.
     Rows that repeat an id all stay; an empty table gives no rows; other columns are not read.

@@ -182,3 +182,26 @@ def test_a_megabyte_of_broken_markup(part):
     rendered = time.process_time()
     L.read_page(page)
     assert rendered - began < 20 and time.process_time() - rendered < 10  # generous on a loaded machine; what it forbids takes hours
+
+
+def test_hidden_text_stays_hidden_however_deep():
+    for depth in (5, 198, 199, 200, 201, 400):
+        deep = "<div>" * depth
+        assert H.render(f"{deep}<div hidden><p>secret<b>more</b></p>secret</div>after{'</div>' * depth}end") == "after\nend"
+        assert H.render(f"{deep}<div style='visibility:hidden'><p>secret<b style='visibility:visible'>seen</b></p>secret</div>after") == "seen\nafter"
+        assert H.render(f"{deep}one<div>two<div>three</div>four</div>five") == "one\ntwo\nthree\nfour\nfive"
+
+
+def test_rules_of_several_names_and_of_places():
+    page = "<style>p.x{{display:none}} .a.b{{display:none}} div.menu span, #top p{{display:none}} p.x.y{{display:block}} b > i{{display:none}}</style>{}"
+    assert H.render(page.format("<p class=x>no<p class='x y'>yes<div class=x>yes</div>")) == "yes\n\nyes"
+    assert H.render(page.format("<i class=a>1</i><i class='b c a'>2</i><i class=b>3</i>")) == "13"
+    assert H.render(page.format("<div class='menu main'><b><span>no</span></b>yes</div><span>yes</span>")) == "yes\nyes"
+    assert H.render(page.format("<div id=top><div><p>no</div></div><p>yes<b><i>yes</i></b>")) == "yesyes"
+
+
+def test_indents_are_bounded():
+    page = "<blockquote>" * 180 + "<p>x" * 20_000
+    assert len(H.render(page)) < 10 * len(page)
+    page = "".join("<ul><li>a" for _ in range(60)) + "<li>b" * 40_000
+    assert len(H.render(page)) < 10 * len(page)
