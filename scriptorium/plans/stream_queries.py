@@ -59,7 +59,55 @@ def _event_stream(t: Tables, folder: str) -> DataFrame:
 def stream_trace_summary(t: Tables) -> DataFrame:
     folder = scratch(t)
     totals = S.running_totals(_event_stream(t, folder))
-    return S.run_to_folder(totals, f"{folder}/totals", f"{folder}/state").select("user_id", "runs", F.round("cost", 4).cast("double").alias("cost"))
+    return S.run_latest(totals, ["user_id"], f"{folder}/totals", f"{folder}/state").select("user_id", "runs", F.round("cost", 4).cast("double").alias("cost"))
+
+
+# Files in which events arrive: thirds of the time, but each fiftieth event comes with the last.
+FILES = "files AS (SELECT e.*, CASE WHEN event_id % 50 = 0 THEN 2 ELSE least(2, floor(3 * (epoch(ts) - lo) / (hi - lo + 1)))::INTEGER END AS file FROM events e CROSS JOIN (SELECT epoch(min(ts)) AS lo, epoch(max(ts)) AS hi FROM events))"
+
+
+def _late_events(t: Tables, folder: str) -> DataFrame:
+    events = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    bounds = events.agg(F.unix_micros(F.min("ts")).alias("lo"), F.unix_micros(F.max("ts")).alias("hi"))
+    third = F.floor(3 * (F.unix_micros("ts") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1_000_000))
+    file = F.when(F.col("event_id") % 50 == 0, 2).otherwise(F.least(F.lit(2), third)).cast("int")
+    rows = events.crossJoin(F.broadcast(bounds)).select("ts", "user_id", "event_type", "value", file.alias("file"))  # bounds is one row
+    for k in range(3):  # one after the other, so that their order is known
+        rows.where(F.col("file") == k).drop("file").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return S.read_folder(t.spark, f"{folder}/in", rows.drop("file").schema)
+
+
+@query(
+    f"""
+WITH {FILES}, front AS (SELECT max(ts) FILTER (file = 0) - INTERVAL 10 MINUTE AS early, max(ts) - INTERVAL 10 MINUTE AS last FROM files)
+SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value::DECIMAL(28, 9)), 4)::DOUBLE AS value FROM files CROSS JOIN front
+WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= last AND (file < 2 OR date_trunc('hour', ts) + INTERVAL 1 HOUR > early) GROUP BY ALL
+"""
+)
+def stream_hourly_totals(t: Tables) -> DataFrame:
+    """Whole hours as the stream leaves them: events of the last file whose hour was over, by ten minutes, when the first file ended don't count; hours that aren't over at the end aren't there."""
+    folder = scratch(t)
+    return S.run_final(S.hourly_totals(_late_events(t, folder)), f"{folder}/hours", f"{folder}/state").withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+SESSIONS = """
+e AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM e)
+"""
+
+
+@query(f"WITH {SESSIONS} SELECT user_id, min(ts) AS started, max(ts) AS last_seen, count(*) AS n FROM s GROUP BY user_id, k")
+def stream_sessions(t: Tables) -> DataFrame:
+    """Sessions of events that arrive in files without any order; a last event of no user, far behind, makes all of them final."""
+    folder = scratch(t)
+    rows = t.events.select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    last = rows.agg((F.max("ts") + F.expr("INTERVAL 90 DAYS")).alias("ts")).select("ts", F.lit(None).cast("long").alias("user_id"))
+    for k in range(3):
+        rows.where(F.pmod(F.xxhash64("ts", "user_id"), F.lit(3)) == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    last.write.mode("append").parquet(f"{folder}/in")
+    found = S.sessions(S.read_folder(t.spark, f"{folder}/in", rows.schema), late="40 days")
+    final = S.run_final(found, f"{folder}/sessions", f"{folder}/state").where("user_id IS NOT NULL")
+    return final.select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("started", "last_seen")), "n")
 
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value::DECIMAL(28, 9)), 4)::DOUBLE AS value FROM events GROUP BY ALL")
