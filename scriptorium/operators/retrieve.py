@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import LIMITS
 from ..functions import text as X
+from .scope import Scopes
 from .vectors import nearest
 
 
@@ -49,10 +50,10 @@ def top(scored: DataFrame, k: int, *order: Column, by: tuple[str, ...] = ("query
     return scored.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int, scope: DataFrame | None = None, idf_scope: str = "scope", key: str = "doc_id") -> DataFrame:
+def bm25(queries: DataFrame, chunks: DataFrame, k: int, scope: DataFrame | Scopes | None = None, idf_scope: str = "scope", key: str = "doc_id") -> DataFrame:
     """(query_id, key, score, rank): the k best chunks of each query (query_id, text).
 
-    scope: (query_id, key), the chunks a query may see, applied before anything is ranked. As
+    scope: (query_id, key), or Scopes of keys, the chunks a query may see, applied before anything is ranked. As
     with the default idf_scope, the idf counts the chunks in scope against document frequencies
     of the whole corpus, so it can be negative; scores of zero or less don't rank. Postings are
     cut to the query's tokens before they are counted; a second pass gives the corpus sums.
@@ -64,9 +65,11 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int, scope: DataFrame | None
     df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     met = asked.join(df, "token").join(hits, "token").crossJoin(F.broadcast(sizes))  # sizes is one row
     if scope is not None:
-        met = met.join(scope, ["query_id", key], "left_semi")
+        sets = isinstance(scope, Scopes)
+        met = scope.keep(met, key) if sets else met.join(scope, ["query_id", key], "left_semi")
         if idf_scope == "scope":
-            met = met.drop("n").join(scope.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id")
+            sizes = scope.sizes().select("query_id", "n") if sets else scope.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+            met = met.drop("n").join(sizes, "query_id")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     k1, b = LIMITS.k1, LIMITS.b
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import retrieve as R
+from ..operators.scope import Scopes, bitmaps, permitted_scopes
 from ..sources import index as I
 from .corpus_queries import PAGES, pages
 from .registry import Tables, query
@@ -175,9 +176,10 @@ def bm25_topk(t: Tables) -> DataFrame:
 SCOPE = "SELECT item_id AS query_id, doc_id FROM benchmark JOIN documents ON CAST(substr(source, 4) AS INTEGER) % 5 = item_id % 5"
 
 
-def _scope(t: Tables) -> DataFrame:
-    sources = t.documents.select("doc_id", (F.substr("source", F.lit(4)).cast("int") % 5).alias("five"))
-    return t.benchmark.select(F.col("item_id").alias("query_id"), (F.col("item_id") % 5).alias("five")).join(sources, "five").select("query_id", "doc_id")
+def _scope(t: Tables) -> Scopes:
+    """Fifths of the sources: five sets, of which each query takes one."""
+    fifth = lambda c: (c % 5).cast("string").alias("scope_id")
+    return Scopes(t.benchmark.select(F.col("item_id").alias("query_id"), fifth(F.col("item_id"))), bitmaps(t.documents.select(fifth(F.substr("source", F.lit(4)).cast("int")), "doc_id")))
 
 
 @query(f"WITH {bm25_sql(8, SCOPE)} SELECT query_id, doc_id, score, rank::INTEGER AS rank FROM bm25")
@@ -434,9 +436,33 @@ SELECT query_id, doc_id FROM q JOIN live ON shared OR owner_id = user_id WHERE q
 """
 )
 def scope_filter(t: Tables) -> DataFrame:
+    return R.scoped(*_permission(t))
+
+
+def _permission(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("user_id"))
     named = of_items(t).join(t.benchmark.where("item_id % 2 = 0").select(F.col("item_id").alias("query_id")), "query_id").select("query_id", "doc_id")
-    return R.scoped(asked, named, R.permitted(_acl(t)))
+    return asked, named, R.permitted(_acl(t))
+
+
+@query(
+    f"""
+WITH {LIVE}, {NAMED}, q AS (SELECT item_id AS query_id, 'src' || item_id % 20 AS user_id FROM benchmark), p AS (
+SELECT query_id, doc_id FROM q JOIN live ON shared OR owner_id = user_id WHERE query_id NOT IN (SELECT query_id FROM named) UNION ALL SELECT query_id, doc_id FROM q JOIN named USING (query_id) JOIN live USING (doc_id) WHERE shared OR owner_id = user_id)
+SELECT query_id, count(*) AS n, sum(doc_id)::BIGINT AS key_sum FROM p GROUP BY 1
+"""
+)
+def scope_sets(t: Tables) -> DataFrame:
+    """How many documents each query's scope holds and the sum of their numbers, from sets that queries share."""
+    return permitted_scopes(*_permission(t)).sizes().select("query_id", "n", F.col("key_sum").cast("long").alias("key_sum"))
+
+
+@query(f"WITH {LIVE}, {NAMED}, q AS (SELECT item_id AS query_id, 'src' || item_id % 20 AS user_id FROM benchmark), h AS (SELECT item_id AS query_id, doc_id FROM benchmark JOIN documents ON doc_id % 3 = item_id % 3) SELECT query_id, count(*) AS n, sum(doc_id)::BIGINT AS key_sum FROM h JOIN q USING (query_id) JOIN live USING (doc_id) WHERE (shared OR owner_id = user_id) AND (query_id NOT IN (SELECT query_id FROM named) OR (query_id, doc_id) IN (SELECT (query_id, doc_id) FROM named)) GROUP BY 1")
+def scope_test(t: Tables) -> DataFrame:
+    """Of each query's third of the documents, those in its scope."""
+    thirds = t.documents.select("doc_id", (F.col("doc_id") % 3).alias("third"))
+    hits = t.benchmark.select(F.col("item_id").alias("query_id"), (F.col("item_id") % 3).alias("third")).join(thirds, "third").select("query_id", "doc_id")
+    return permitted_scopes(*_permission(t)).keep(hits).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("key_sum"))
 
 
 @query(
