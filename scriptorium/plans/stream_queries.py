@@ -12,6 +12,7 @@ from ..operators import chunking as D
 from ..operators import layout as L
 from ..sources import index as I
 from ..sources.search_index import SearchIndex
+from ..sources.snapshots import Buckets, Generations
 from ..streaming import jobs as S
 from ..streaming.ingest import CHUNKS, UPLOADS, Corpus
 from .corpus_queries import CRUMBS, MERGED, PACKED, PAGES, chunks_sql, cut_pages, pages
@@ -219,3 +220,50 @@ def stream_corpus_search(t: Tables) -> DataFrame:
     """The best chunks of each benchmark text in the index that the batches have left."""
     hits = _streamed(t, scratch(t)).index.search(asked(t), 5)
     return hits.select("query_id", F.floor(F.col("doc_id") / CHUNKS).alias("doc_id"), F.pmod("doc_id", F.lit(CHUNKS)).cast("int").alias("ordinal"), "score", "rank")
+
+
+@query(
+    """
+SELECT 'first' AS state, doc_id, lang, NULL AS source FROM documents UNION ALL SELECT 'newest', doc_id, upper(lang), source FROM documents WHERE doc_id % 2 = 0
+UNION ALL SELECT 'latest', doc_id, CASE WHEN doc_id % 2 = 0 THEN upper(lang) ELSE lang END, CASE WHEN doc_id % 2 = 0 THEN source END FROM documents
+"""
+)
+def generations(t: Tables) -> DataFrame:
+    """What readers see before and after a second generation with a column more; a third one was never finished."""
+    store = Generations(t.spark, f"{scratch(t)}/documents")
+    store.write(t.documents.select("doc_id", "lang"), 0)
+    before = store.newest().select(F.lit("first").alias("state"), "doc_id", "lang", F.lit(None).cast("string").alias("source"))
+    store.write(t.documents.where("doc_id % 2 = 0").select("doc_id", F.upper("lang").alias("lang"), "source"), 1)
+    t.documents.select("doc_id", F.lit("lost").alias("lang")).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{store.folder}/generation=2")
+    of = lambda df, state: df.select(F.lit(state).alias("state"), "doc_id", "lang", "source")
+    return before.unionByName(of(store.newest(), "newest")).unionByName(of(store.latest("doc_id"), "latest"))
+
+
+def _digests(packed: str) -> str:
+    return f"WITH {packed}, p AS (SELECT doc_id, {CRUMBS} AS cs FROM sections), q AS (SELECT doc_id, {MERGED} AS cs FROM p) {chunks_sql('cs')} FROM q"
+
+
+@query(
+    f"""
+WITH wide AS ({_digests(PACKED)}), narrow AS ({_digests(PACKED).replace('2400', '1200')}),
+c AS (SELECT * FROM wide WHERE doc_id % 32 >= 10 UNION ALL SELECT * FROM narrow WHERE doc_id % 32 < 10)
+SELECT doc_id, count(*) AS chunks, sha256(string_agg(text, '|' ORDER BY ordinal)) AS digest, doc_id % 32 >= 10 AS untouched FROM c GROUP BY doc_id
+"""
+)
+def rechunk_replaced(t: Tables) -> DataFrame:
+    """Chunks after a third of the documents has been cut again with another limit; untouched: whether a document's chunks are in the file that they were in."""
+    folder = scratch(t)
+    I.write_pages(pages(t), f"{folder}/pages")
+    stored = t.spark.read.parquet(f"{folder}/pages").select("doc_id", "page_no", "text")
+    cut = lambda p, most: D.chunk(L.label_runs(L.units(L.strip_edges(p), 1200)), most)
+    store = Buckets(t.spark, f"{folder}/chunks")
+    store.write(cut(stored, 2400))
+    place = F.concat_ws("@", "_metadata.file_path", "_metadata.file_modification_time")
+    files = lambda name: store.read().select("doc_id", place.alias("f")).groupBy("doc_id").agg(F.max("f").alias(name))
+    files("was").write.parquet(f"{folder}/before")
+    again = stored.where("doc_id % 32 < 10")
+    store.replace(again.select("doc_id"), cut(again, 1200))
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "|")
+    now = store.read().groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sha2(texts, 256).alias("digest"))
+    met = now.join(files("now"), "doc_id").join(t.spark.read.parquet(f"{folder}/before"), "doc_id")
+    return met.select("doc_id", "chunks", "digest", (F.col("was") == F.col("now")).alias("untouched"))
