@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .edits import char_distance, word_distance
+
 NUMBER = "decimal(38,10)"
 DIACRITICS = "çğıöşüÇĞİÖŞÜ"
 # What a calculation line, and a number or sign in it, look like. Answers are audited as they are written.
@@ -150,28 +152,26 @@ def calc_missing(answers: DataFrame, audit: DataFrame) -> DataFrame:
     return met.select("run_id", (F.lower(first).contains("kısa cevap") & ~F.coalesce(F.arrays_overlap(said, F.col("written")), F.lit(False))).alias("missing"))
 
 
+#: Cells of a table of edits up to which it is filled one by one.
+SHORT = 1 << 20
+
+
 def _single(c: str) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
 def char_error(truth: str, read: str) -> Column:
-    return F.levenshtein(_single(truth), _single(read)) / F.greatest(F.lit(1), F.length(_single(truth)))
+    """Edits a character. Short pairs are measured in place, where the quadratic table is small."""
+    a, b = _single(truth), _single(read)
+    short = F.length(a) * F.length(b).cast("long") <= SHORT
+    far = char_distance(F.when(~short, a), F.when(~short, b))
+    return F.when(short, F.levenshtein(F.when(short, a), F.when(short, b))).otherwise(far) / F.greatest(F.lit(1), F.length(a))
 
 
 def word_error(truth: str, read: str) -> Column:
-    """Levenshtein over words: each distinct word of a pair becomes one character, of the 1,114,112 there are without those that stand for halves."""
-
-    def rate(pair: Column) -> Column:
-        def code(words: Column) -> Column:
-            at = F.transform(words, lambda w: F.array_position(pair["both"], w))
-            shown = F.transform(at, lambda n: F.lpad(F.hex(n + F.when(n < 0xD700, 0x100).otherwise(0x1000)), 8, "0"))  # clear of surrogates
-            return F.decode(F.unhex(F.array_join(shown, "")), "UTF-32")
-
-        return F.levenshtein(code(pair["a"]), code(pair["b"])) / F.greatest(F.lit(1), F.size(pair["a"]))
-
-    words = F.struct(F.split(_single(truth), " ").alias("a"), F.split(_single(read), " ").alias("b"))
-    both = _let(words, lambda w: F.struct(w["a"].alias("a"), w["b"].alias("b"), F.array_distinct(F.concat(w["a"], w["b"])).alias("both")))
-    return _let(both, rate)
+    """Edits a word."""
+    a, b = _single(truth), _single(read)
+    return word_distance(a, b) / F.greatest(F.lit(1), F.size(F.split(a, " ")))
 
 
 def diacritic_loss(truth: str, read: str, letters: str = DIACRITICS) -> Column:

@@ -280,7 +280,9 @@ def term_hints(queries: DataFrame, targets: DataFrame, chunks: DataFrame) -> Dat
     chunks: doc_id, page_no, text.
     """
     words = F.transform(F.regexp_extract_all("text", F.lit(r"(?U)([\w/-]+(?:['’]\w+)?)"), F.lit(1)), lambda w: F.regexp_extract(w, "^([^'’]*)", 1))
-    terms = queries.select("query_id", F.explode(F.array_distinct(words)).alias("term")).where((F.length("term") >= 2) & F.col("term").rlike(r"^\p{Lu}|\p{Nd}") & ~F.col("term").rlike(r"^\p{Nd}+$"))
+    low = F.transform("words", F.lower)
+    first = F.filter("words", lambda w, i: F.array_position(low, F.lower(w)) == i + 1)  # the first spelling of a term counts
+    terms = queries.select("query_id", words.alias("words")).select("query_id", F.explode(first).alias("term")).where((F.length("term") >= 2) & F.col("term").rlike(r"^\p{Lu}|\p{Nd}") & ~F.col("term").rlike(r"^\p{Nd}+$"))
     parts = terms.withColumn("ts", F.array_distinct(X.tokenize(F.col("term")))).where(F.size("ts") > 0).select("query_id", "term", F.size("ts").alias("need"), F.explode("ts").alias("token"))
     held = chunks.select("doc_id", "page_no", F.explode(F.array_distinct(X.tokenize(F.col("text")))).alias("token"))
     held = held.join(parts.select("token").distinct(), "token", "left_semi")

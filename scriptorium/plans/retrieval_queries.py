@@ -557,7 +557,8 @@ def query_variants(t: Tables) -> DataFrame:
 
 @query(
     rf"""
-WITH {PAGES}, w AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(text, '([\p{{L}}\p{{N}}_/-]+)', 1))) AS term FROM benchmark),
+WITH {PAGES}, o AS (SELECT item_id AS query_id, unnest(regexp_extract_all(text, '([\p{{L}}\p{{N}}_/-]+)', 1)) AS term, generate_subscripts(regexp_extract_all(text, '([\p{{L}}\p{{N}}_/-]+)', 1), 1) AS pos FROM benchmark),
+w AS (SELECT query_id, arg_min(term, pos) AS term FROM o GROUP BY query_id, lower(term)),
 s AS (SELECT *, list_distinct({tokens_sql('term')}) AS ts FROM w WHERE length(term) >= 2 AND regexp_matches(term, '^\p{{Lu}}|\p{{Nd}}') AND NOT regexp_matches(term, '^\p{{Nd}}+$')),
 p AS (SELECT query_id, term, len(ts) AS need, unnest(ts) AS token FROM s), h AS (SELECT doc_id, page_no, unnest(list_distinct({tokens_sql('text')})) AS token FROM pages),
 g AS (SELECT query_id, term, doc_id, page_no FROM p JOIN h USING (token) GROUP BY query_id, term, need, doc_id, page_no HAVING count(*) = need),
