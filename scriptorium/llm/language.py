@@ -58,6 +58,10 @@ def read_page(source: str | None) -> tuple[str, str | None]:
     return html.unescape("".join(parts)), declared
 
 
+#: Languages that have a class of their own, and the name of the class of all others.
+MOST_LANGUAGES, OTHER = 255, "other"
+
+
 def plain_text(source: str | None) -> str:
     return read_page(source)[0]
 
@@ -81,10 +85,14 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
     Learnt from at most SAMPLE different texts a language, the first by a hash, of up to
     SAMPLE_CHARS.
-    There are as many languages as docs names.
+    Languages are the MOST_LANGUAGES that docs names most often; where it names more, all the
+    others are one class, OTHER, so that the tables stay bounded.
     """
     rows = docs.select("lang", "text").where("lang IS NOT NULL")
-    languages = sorted(r.lang for r in rows.select("lang").distinct().collect())
+    named = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()
+    languages = sorted({r.lang for r in named[:MOST_LANGUAGES]} | ({OTHER} if len(named) > MOST_LANGUAGES else set()))
+    if len(named) > MOST_LANGUAGES:
+        rows = rows.withColumn("lang", F.when(F.col("lang").isin(languages), F.col("lang")).otherwise(OTHER))
     short = rows.where(F.char_length("text") <= SAMPLE_CHARS).withColumn("h", F.xxhash64("text"))
     first = Window.partitionBy("lang").orderBy("h")  # only hashes are ordered, and each task keeps its first of a language
     last = short.select("lang", "h").distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= SAMPLE).groupBy("lang").agg(F.max("h").alias("last"))
@@ -127,7 +135,7 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", html_co
     texts say), and the host's prior, smoothed towards its suffix's and that towards all
     pages'. All counts are grouped sums over all pages; a page doesn't vote for itself. A page
     without text, markup or address falls back on the prior; null values are such. Without a
-    labelled text, lang is null. Rows that repeat an id all stay; an empty table gives no rows.
+    labelled text, lang is null; beyond MOST_LANGUAGES languages, the rest are one class. Rows that repeat an id all stay; an empty table gives no rows.
     """
     spark = pages.sparkSession
     languages, logs = train(docs)

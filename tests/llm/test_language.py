@@ -86,3 +86,13 @@ def test_declared_language():
     ]:
         assert L.declared_of(page) == lang, page
     assert L.plain_text("a<script>b</script><template><p>c</template>d &amp; e<noscript>f</noscript>").split() == ["a", "d", "&", "e"]
+
+
+def test_rare_languages_are_one_class(spark, monkeypatch):
+    monkeypatch.setattr(L, "MOST_LANGUAGES", 2)
+    texts = {"aa": "lorem ipsum dolor sit amet ", "bb": "xyzzy plugh quux frob ", "cc": "tik tak tok tuk ", "dd": "tik tak tik tak "}
+    docs = spark.createDataFrame([(t * 5 + str(i), k) for k, t in texts.items() for i in range(9 if k < "cc" else 2)] + [(f"stray {i}", f"l{i}") for i in range(40)], "text string, lang string")
+    languages, logs = L.train(docs)
+    assert languages == ["aa", "bb", "other"] and logs.shape == (3, L.BUCKETS)
+    pages = spark.createDataFrame([(i, f"<p>{t * 20}", None) for i, t in enumerate(texts.values())], "page_id long, html string, url string")
+    assert [r.lang for r in L.identify(pages, docs).orderBy("page_id").collect()] == ["aa", "bb", "other", "other"]
