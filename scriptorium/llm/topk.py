@@ -148,9 +148,9 @@ class Best:
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
 
-    def add(self, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray, own: np.ndarray) -> None:
-        """scores: a row for each of queries, a column for each of ids; own: ids of the queries, which aren't their own candidates."""
-        good = (scores >= self.floors[queries, None]) & (ids[None, :] != own[:, None])
+    def add(self, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """scores: a row for each of queries, a column for each of ids."""
+        good = scores >= self.floors[queries, None]
         hot = np.flatnonzero(good.any(axis=1))
         if not len(hot):
             return
@@ -179,7 +179,7 @@ class Best:
         return q[keep], s[keep], i[keep]
 
 
-def search(trees: list[Tree], queries: np.ndarray, own: np.ndarray, best: Best, peak: int, homes: np.ndarray | None = None) -> None:
+def search(trees: list[Tree], queries: np.ndarray, best: Best, peak: int, homes: np.ndarray | None = None) -> None:
     """Best-first over the nodes of all trees for a batch of queries at once.
 
     A node waits under the least distance that it may hold for any of the queries that can't
@@ -222,7 +222,7 @@ def search(trees: list[Tree], queries: np.ndarray, own: np.ndarray, best: Best,
             if a < b:
                 at = slice(-1 - first + a, -1 - first + b)
                 scores = q[some, :-1] @ tree.vectors[at].T if tree.vectors.dtype == np.float64 else (queries[some] @ tree.vectors[at].T).astype(np.float64)
-                best.add(some, scores, tree.ids[at], own[some])
+                best.add(some, scores, tree.ids[at])
             continue
         children = np.arange(first, first + count)
         may = np.abs(d[:, None] - tree.to_parent[children]) - tree.radius[children] <= limit[:, None]
@@ -231,11 +231,11 @@ def search(trees: list[Tree], queries: np.ndarray, own: np.ndarray, best: Best,
             push(tree, child, some[close], _distances(q[some[close]], tree.centres[child : child + 1])[:, 0])
 
 
-FOUND = "query_id long, vec_id long, score long"
+FOUND = "query long, vec_id long, score long"
 
 
 def _ask(queries, dims: int, peak: int, k: int, at_home: bool):
-    """queries: broadcast (ids, vectors, home pivots, floors)."""
+    """queries: broadcast (numbers, vectors, home pivots, floors)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors, homes, floors = queries.value
@@ -246,11 +246,11 @@ def _ask(queries, dims: int, peak: int, k: int, at_home: bool):
             for at in range(0, len(ids), QUERY_BATCH):
                 some = slice(at, at + QUERY_BATCH)
                 best = Best(len(ids[some]), k, floors[some])
-                search(trees, vectors[some], ids[some], best, peak, homes[some] if at_home else None)
+                search(trees, vectors[some], best, peak, homes[some] if at_home else None)
                 floors[some] = best.floors
                 q, s, i = best.result()
                 if len(q):
-                    yield pa.RecordBatch.from_pydict({"query_id": ids[some][q], "vec_id": i, "score": s.astype(np.int64)})
+                    yield pa.RecordBatch.from_pydict({"query": ids[some][q], "vec_id": i, "score": s.astype(np.int64)})
 
         trees: list[Tree] = []
         held = 0
@@ -268,7 +268,7 @@ def _ask(queries, dims: int, peak: int, k: int, at_home: bool):
 
 
 def _cut(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -306,14 +306,15 @@ def build_index(vectors: DataFrame) -> tuple[DataFrame, np.ndarray, int, int] |
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest integer inner products, smaller vec_id first on ties.
 
-    vectors and queries: (vec_id long, vector array<long>). A query's candidates are all rows of
-    another id; a query with fewer candidates than k gets them all. Rows that repeat an id or a
-    vector are all candidates; of queries that repeat an id the least vector counts. Shorter
-    vectors are filled up with zeros. Rows with a null id or vector take no part; an empty table
-    gives no rows. Other columns are not read.
+    vectors and queries: (vec_id long, vector array<long>), queries being rows of vectors. A query's
+    candidates are all rows but its own; a query with fewer candidates than k gets them all. Rows
+    that repeat an id or a vector are all candidates and, among queries, all asked: then an id has
+    several lists. Shorter vectors are filled up with zeros. Rows with a null id or vector take
+    no part; an empty table gives no rows. Other columns are not read.
 
-    Queries go out in blocks of about QUERY_BYTES. A first pass looks only into each query's
-    home trees; the k-th score found there is a floor for the pass over all trees.
+    Queries go out in blocks of about QUERY_BYTES, and k + 1 rows are searched for: of those that
+    have a query's id and its product with itself, one is the query. A first pass looks only into
+    each query's home trees; the last score found there is a floor for the pass over all trees.
     """
     spark = vectors.sparkSession
     vectors = vectors.select("vec_id", "vector").where("vec_id IS NOT NULL AND vector IS NOT NULL")
@@ -322,21 +323,26 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     if built is None:
         return none
     trees, pivots, dims, peak = built
-    asked = queries.where("vec_id IS NOT NULL AND vector IS NOT NULL").groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    own = F.aggregate("vector", F.lit(0).cast("long"), lambda a, x: a + x * x)
+    asked = queries.where("vec_id IS NOT NULL AND vector IS NOT NULL").select(F.monotonically_increasing_id().alias("query"), "vec_id", "vector", own.alias("own"))
     asked = materialize(asked, "queries")
     blocks = max(1, -(-asked.count() * 8 * dims // QUERY_BYTES))
     results = []
     for b in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow().combine_chunks()  # about QUERY_BYTES
+        block = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
+        rows = block.select("query", "vector").toArrow().combine_chunks()  # about QUERY_BYTES
         if not rows.num_rows:
             continue
-        ids, mine = rows["vec_id"].to_numpy().astype(np.int64), _matrix(rows["vector"].chunk(0), dims)
+        ids, mine = rows["query"].to_numpy().astype(np.int64), _matrix(rows["vector"].chunk(0), dims)
         homes = _distances(np.c_[mine.astype(np.float64), np.zeros(len(mine))], pivots).argmin(axis=1)
         first = spark.sparkContext.broadcast((ids, mine, homes, np.full(len(ids), -np.inf)))
-        near = _cut(trees.mapInArrow(_ask(first, dims, peak, k, True), FOUND), k)
-        floors = {r.query_id: float(r.score) for r in near.where(F.col("rank") == k).select("query_id", "score").collect()}  # a row a query of the block
+        near = _cut(trees.mapInArrow(_ask(first, dims, peak, k + 1, True), FOUND), k + 1)
+        floors = {r.query: float(r.score) for r in near.where(F.col("rank") == k + 1).select("query", "score").collect()}  # a row a query of the block
         second = spark.sparkContext.broadcast((ids, mine, homes, np.array([floors.get(i, -np.inf) for i in ids.tolist()])))
-        best = _cut(trees.mapInArrow(_ask(second, dims, peak, k, False), FOUND), k).select("query_id", "rank", "vec_id", "score")
+        best = _cut(trees.mapInArrow(_ask(second, dims, peak, k + 1, False), FOUND), k + 1).join(block.select("query", F.col("vec_id").alias("query_id"), "own"), "query")
+        self_at = F.min(F.when((F.col("vec_id") == F.col("query_id")) & (F.col("score") == F.col("own")), F.col("rank"))).over(Window.partitionBy("query"))
+        best = best.withColumn("self", F.coalesce(self_at, F.lit(k + 2))).where("rank <> self").withColumn("rank", F.col("rank") - (F.col("rank") > F.col("self")).cast("int")).where(F.col("rank") <= k)
+        best = best.select("query_id", "rank", "vec_id", "score")
         results.append(materialize(best, "top-k") if blocks > 1 else best)
     out = results[0] if results else none
     for more in results[1:]:

@@ -12,11 +12,11 @@ def brute(rows, k):
     dims = max((len(v) for _, v in clean), default=0)
     clean = [(i, np.r_[v, np.zeros(dims - len(v), np.int64)]) for i, v in clean]
     out = []
-    for q in sorted({i for i, _ in clean if i % 20 == 0}):
-        own = min((v.tolist() for i, v in clean if i == q))
-        found = sorted(((-int(np.dot(own, v)), i) for i, v in clean if i != q))[:k]
-        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found)]
-    return out
+    for n, (q, own) in enumerate(clean):
+        if q % 20 == 0:
+            found = sorted(((-int(np.dot(own, v)), i) for m, (i, v) in enumerate(clean) if m != n))[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found)]
+    return sorted(out)
 
 
 def run(spark, rows, k=20):
@@ -47,3 +47,9 @@ def test_blocks_of_queries(spark, monkeypatch):
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(size=5).astype(np.float32).tolist()) for i in range(300)]
     assert run(spark, rows, 3) == brute(rows, 3)
+
+
+def test_rows_that_repeat_an_id_are_candidates_of_each_other(spark):
+    rows = [(20, [1.0, 0.5]), (20, [1.0, 0.25]), (20, [1.0, 0.25]), (1, [0.5, 0.5]), (2, [2.0, 2.0])]
+    got = run(spark, rows, 2)
+    assert got == brute(rows, 2) and len(got) == 6
