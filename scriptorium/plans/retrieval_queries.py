@@ -164,13 +164,13 @@ bm25 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 """
 
 
-def asked(t: Tables) -> DataFrame:
+def questions(t: Tables) -> DataFrame:
     return t.benchmark.select(F.col("item_id").alias("query_id"), "text")
 
 
 @query(f"WITH {bm25_sql(5)} SELECT query_id, doc_id, score, rank::INTEGER AS rank FROM bm25")
 def bm25_topk(t: Tables) -> DataFrame:
-    return R.bm25(asked(t), t.documents, 5)
+    return R.bm25(questions(t), t.documents, 5)
 
 
 SCOPE = "SELECT item_id AS query_id, doc_id FROM benchmark JOIN documents ON CAST(substr(source, 4) AS INTEGER) % 5 = item_id % 5"
@@ -184,7 +184,7 @@ def _scope(t: Tables) -> Scopes:
 
 @query(f"WITH {bm25_sql(8, SCOPE)} SELECT query_id, doc_id, score, rank::INTEGER AS rank FROM bm25")
 def scoped_search(t: Tables) -> DataFrame:
-    return R.bm25(asked(t), t.documents, 8, scope=_scope(t))
+    return R.bm25(questions(t), t.documents, 8, scope=_scope(t))
 
 
 DOT = "round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6)"
@@ -223,7 +223,7 @@ FUSED_ORDER = "fused DESC, rank_dense NULLS LAST, rank_sparse NULLS LAST, doc_id
 def _hybrid(t: Tables, top_k: int, mode: str = "hybrid", cap: int = 0) -> DataFrame:
     """Documents are chunks; their sources stand for documents."""
     vectors = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
-    asked = asked(t).join(vectors.withColumnRenamed("doc_id", "query_id"), "query_id", "left")
+    asked = questions(t).join(vectors.withColumnRenamed("doc_id", "query_id"), "query_id", "left")
     chunks = t.documents.select("doc_id", "source", "text").join(vectors, "doc_id", "left")
     return R.hybrid_search(asked, chunks, top_k, mode, cap, key="doc_id", doc="source")
 
@@ -568,5 +568,5 @@ SELECT query_id, term, doc_id, pages FROM d WHERE (query_id, term) NOT IN (SELEC
 """
 )
 def term_hints(t: Tables) -> DataFrame:
-    hints = R.term_hints(asked(t), of_items(t), pages(t))
+    hints = R.term_hints(questions(t), of_items(t), pages(t))
     return hints.select("query_id", "term", "doc_id", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))

@@ -17,7 +17,7 @@ from ..streaming import jobs as S
 from ..streaming.ingest import CHUNKS, UPLOADS, Corpus
 from .corpus_queries import CRUMBS, MERGED, PACKED, PAGES, chunks_sql, cut_pages, pages
 from .registry import Tables, query
-from .retrieval_queries import asked, bm25_sql
+from .retrieval_queries import bm25_sql, questions
 
 
 def scratch(t: Tables) -> str:
@@ -149,7 +149,7 @@ def bm25_indexed(t: Tables) -> DataFrame:
     """The best documents of each benchmark text, from a stored index."""
     index = SearchIndex(t.spark, scratch(t))
     index.append(t.documents.select("doc_id", "text"), 0)
-    return index.search(asked(t), 5)
+    return index.search(questions(t), 5)
 
 
 @query(corpus_sql("(doc_id % 7 <> 0 OR doc_id % 14 = 0)", 5))
@@ -161,7 +161,7 @@ def bm25_index_changed(t: Tables) -> DataFrame:
     index.append(docs.where("doc_id % 3 <> 0"), 1)
     index.delete(docs.where("doc_id % 7 = 0"), 2)
     index.append(docs.where("doc_id % 2 = 0"), 3)
-    return index.search(asked(t), 5)
+    return index.search(questions(t), 5)
 
 
 def _arrivals(t: Tables, folder: str) -> DataFrame:
@@ -218,7 +218,7 @@ SELECT query_id, doc_id // {1 << 20} AS doc_id, (doc_id % {1 << 20})::INTEGER AS
 )
 def stream_corpus_search(t: Tables) -> DataFrame:
     """The best chunks of each benchmark text in the index that the batches have left."""
-    hits = _streamed(t, scratch(t)).index.search(asked(t), 5)
+    hits = _streamed(t, scratch(t)).index.search(questions(t), 5)
     return hits.select("query_id", F.floor(F.col("doc_id") / CHUNKS).alias("doc_id"), F.pmod("doc_id", F.lit(CHUNKS)).cast("int").alias("ordinal"), "score", "rank")
 
 
