@@ -51,7 +51,8 @@ ORACLE_SQL = None  # hashing, alignment, training and tokenization have no SQL f
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, spent = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}", *spent)  # what the stage before has left isn't read again
+        spent = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
