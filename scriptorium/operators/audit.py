@@ -12,8 +12,8 @@ DIACRITICS = "çğıöşüÇĞİÖŞÜ"
 # What a calculation line, and a number or sign in it, look like. Answers are audited as they are written.
 CALC_LINE = r"(?iumU)^[\s>*_\-•]*hesap\s*[:：]\s*(.+)$"
 TOKEN = r"([‰%]?\d[\d.,]*[‰%]?|[×x*·/÷+\-−()])"
-#: A value that stands for a bracket, between marks; brackets in brackets are followed this deep.
-VALUE, DEPTH = "¤", 4
+#: Marks between which a value stands for a bracket.
+VALUE = "¤"
 
 
 def plain_number(c: Column) -> Column:
@@ -93,18 +93,17 @@ def _open_brackets(text: Column) -> Column:
 def evaluate(part: Column) -> Column:
     """struct(value, operations, last): an expression; brackets, products, sums, signs, percent and per mille.
 
-    Units and remarks are left out. value is null where what is left is no expression, or has
-    brackets deeper than DEPTH; operations counts all signs; last is the last number as written.
+    Units and remarks are left out. value is null where what is left is no expression;
+    operations counts all signs; last is the last number as written.
     """
     worded = F.regexp_replace(F.regexp_replace(F.lower(part), r"binde\s*", "‰"), r"yüzde\s*", "%")
     timed = F.regexp_replace(worded, r"(?<=[\d\s])x(?=[\s\d])", "×")
     bare = F.regexp_replace(F.regexp_replace(timed, r"[^\d.,‰%×*·/÷+\-−()\s]", " "), r"\([\s.,]*\)", " ")
 
     def whole(text: Column) -> Column:
-        opened = text
-        for _ in range(DEPTH):
-            opened = _let(opened, _open_brackets)
-        found = _flat(F.when(text.contains("("), opened).otherwise(text))
+        brackets = F.length(text) - F.length(F.replace(text, F.lit("("), F.lit("")))  # each round opens one level at least
+        opened = F.when(brackets > 0, F.aggregate(F.sequence(F.lit(1), brackets), text, lambda now, _: _open_brackets(now))).otherwise(text)
+        found = _flat(opened)
         operations = F.size(F.regexp_extract_all(text, F.lit(r"([×*·/÷+\-−])"), F.lit(1)))
         return _let(found, lambda f: F.struct(f["value"].alias("value"), operations.alias("operations"), f["last"].alias("last")))
 

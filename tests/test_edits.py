@@ -49,3 +49,10 @@ def test_rates_agree_on_both_paths(spark, monkeypatch):
     assert [r.r for r in df.select(U.char_error("a", "b").alias("r")).collect()] == short
     assert short[3] == 3 / 6 and short[4] is None and short[2] == 1
     assert [r.r for r in df.select(F.round(U.word_error("a", "b"), 6).alias("r")).collect()][5] == 0.75
+
+
+def test_brackets_of_any_depth(spark):
+    lines = [("(" * d + "1+1" + ")" * d + "*2", 4) for d in (1, 3, 5, 6, 20)] + [("2*(3+(4-(5*(6-(7/(1+(0,5*2)))))))", 2 * (3 + (4 - (5 * (6 - 3.5))))), ("((1+1)", None), ("(((1+)))*2", None), ("-(2+3)*(4-(1))", -15), ("7", 7)]
+    df = spark.createDataFrame([(x,) for x, _ in lines], "x string")
+    got = [None if r.v is None else float(r.v) for r in df.select(U.evaluate(F.col("x"))["value"].alias("v")).collect()]
+    assert got == [None if v is None else float(v) for _, v in lines]
