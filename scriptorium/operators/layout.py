@@ -5,10 +5,11 @@ Pages are rows (doc_id, page_no, text); lines are rows (doc_id, page_no, line_no
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import folds as Z
 
 EDGE = 3
 LABEL_RUN, LABEL_CHARS = 3, 40
@@ -61,18 +62,14 @@ def strip_edges(pages: DataFrame) -> DataFrame:
 
 
 def hard_split(c, most: int):
-    """Pieces of at most `most` characters, cut between words; a longer word is a piece of its own."""
-    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+    """Pieces of at most `most` characters, cut between words; a longer word is a piece of its own.
 
-    def add(state, word):
-        grown = F.length(state["now"]) + F.length(word) + 1 <= most
-        first = state["now"] == ""
-        done = F.when(first | grown, state["done"]).otherwise(F.concat(state["done"], F.array(state["now"])))
-        now = F.when(first, word).when(grown, F.concat(state["now"], F.lit(" "), word)).otherwise(word)
-        return F.struct(done.alias("done"), now.alias("now"))
-
-    words = F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
-    return F.aggregate(words, zero, add, lambda s: F.filter(F.concat(s["done"], F.array(s["now"])), lambda x: x != ""))
+    A piece is the longest stretch from one word's begin to another's end that fits, so the
+    expression engine finds all pieces in one pass.
+    """
+    words = F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    piece = rf"[^ ](?:.{{0,{most - 2}}}[^ ])?(?![^ ])|[^ ]+" if most > 1 else "[^ ]+"
+    return F.regexp_extract_all(words, F.lit(f"(?s){piece}"), F.lit(0))
 
 
 def units(lines: DataFrame, most: int) -> DataFrame:
@@ -104,19 +101,38 @@ def label_runs(units: DataFrame, run: int = LABEL_RUN, chars: int = LABEL_CHARS)
 def column_boundary(words: DataFrame, sizes: DataFrame) -> DataFrame:
     """(page_id, boundary): x of the gutter of two-column pages. words: (page_id, text, x0, x1, top, bottom); sizes: (page_id, width).
 
-    Candidates are tried every max(2, width / 150) between 30 and 70 % of the width; a word
-    meets only the candidates of its own page.
+    Candidates stand every max(2, width / 150) between 30 and 70 % of the width. What a candidate
+    sees changes only at the first one right of a word's begin and at the first one not left of
+    its end, so each word gives these two events; running sums over a page's events say how many
+    words began, ended and lie open. Between events nothing changes, and of equal candidates the
+    leftmost wins, so no other candidate is looked at. Words without edges count for nothing.
     """
-    page = words.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 20").join(sizes, "page_id")
     step = F.greatest(F.lit(2.0), F.col("width") / 150)
-    tried = page.select("page_id", "n", F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.col("width") * 0.4 / step).cast("int")), lambda i: F.col("width") * 0.3 + i * step)).alias("x"))
-    met = tried.join(words, "page_id").groupBy("page_id", "n", "x").agg(
-        F.count_if((F.col("x0") < F.col("x")) & (F.col("x1") > F.col("x"))).alias("crossing"),
-        F.count_if(F.col("x1") <= F.col("x")).alias("left"), F.count_if(F.col("x0") >= F.col("x")).alias("right"),
-        F.max(F.when(F.col("x1") <= F.col("x"), F.col("x1"))).alias("l"), F.min(F.when(F.col("x0") >= F.col("x"), F.col("x0"))).alias("r"),
+    last = F.floor(F.col("width") * 0.4 / step).cast("int")
+    at = lambda i: F.col("width") * 0.3 + i * step
+
+    def first(edge: str, beyond) -> Column:
+        """The first candidate that is beyond an edge; the division finds it but for rounding."""
+        guess = F.greatest(F.lit(-1), F.least(last, F.floor((F.col(edge) - F.col("width") * 0.3) / step).cast("int")))
+        near = F.when(beyond(at(guess)), guess).when(beyond(at(guess + 1)), guess + 1).otherwise(guess + 2)
+        return F.greatest(F.lit(0), F.least(last + 1, near))
+
+    begun, ended = first("x0", lambda x: x > F.col("x0")), first("x1", lambda x: x >= F.col("x1"))
+    placed = words.where("x0 IS NOT NULL AND x1 IS NOT NULL").join(sizes, "page_id").select("page_id", "width", "x0", "x1", begun.alias("a"), ended.alias("b"))
+    opens, none = (F.col("a") < F.col("b")).cast("int"), F.lit(None).cast("double")
+    event = lambda i, start, end, change, l, r: F.struct(F.col(i).alias("i"), F.lit(start).alias("begun"), F.lit(end).alias("ended"), change.alias("open"), l.alias("l"), r.alias("r"))
+    both = F.array(event("a", 1, 0, opens, none, F.col("x0")), event("b", 0, 1, -opens, F.col("x1"), none))
+    events = placed.select("page_id", "width", F.explode(both).alias("e")).groupBy("page_id", "width", "e.i")
+    summed = events.agg(F.sum("e.begun").alias("begun"), F.sum("e.ended").alias("ended"), F.sum("e.open").alias("open"), F.max("e.l").alias("l"), F.min("e.r").alias("r"))
+    page = Window.partitionBy("page_id")
+    sofar, later = page.orderBy("i").rowsBetween(Window.unboundedPreceding, 0), page.orderBy("i").rowsBetween(1, Window.unboundedFollowing)
+    n = F.sum("begun").over(page)
+    seen = summed.select(
+        "page_id", "i", last.alias("last"), at(F.col("i")).alias("x"), n.alias("n"), F.sum("open").over(sofar).alias("crossing"), F.sum("ended").over(sofar).alias("left"),
+        (n - F.sum("begun").over(sofar)).alias("right"), (F.min("r").over(later) - F.max("l").over(sofar)).alias("gap"),
     )
-    fits = (F.col("crossing") <= F.greatest(F.lit(2.0), F.col("n") * 0.02)) & (F.least("left", "right") >= F.col("n") * 0.15) & (F.col("r") - F.col("l") >= 12)
-    return met.where(fits).groupBy("page_id").agg(F.max_by("x", F.struct(F.round(F.col("r") - F.col("l"), 6), -F.col("x"))).alias("boundary"))
+    fits = (F.col("n") >= 20) & (F.col("i") <= F.col("last")) & (F.col("crossing") <= F.greatest(F.lit(2.0), F.col("n") * 0.02)) & (F.least("left", "right") >= F.col("n") * 0.15) & (F.col("gap") >= 12)
+    return seen.where(fits).groupBy("page_id").agg(F.max_by("x", F.struct(F.round("gap", 6), -F.col("x"))).alias("boundary"))
 
 
 def reading_order(words: DataFrame, bounds: DataFrame, near: float = 3.0) -> DataFrame:
@@ -125,22 +141,8 @@ def reading_order(words: DataFrame, bounds: DataFrame, near: float = 3.0) -> Dat
     order = Window.partitionBy("page_id").orderBy("top", "x0").rowsBetween(Window.unboundedPreceding, 0)
     cut = F.max(F.when(F.col("wide"), F.round("top"))).over(order)
     banded = met.withColumn("band", F.coalesce(cut, F.lit(-1.0))).withColumn("side", F.when(F.col("wide"), 0).when(F.col("x1") <= F.col("boundary"), 1).otherwise(2))
-    zero = F.struct(F.lit(None).cast("double").alias("anchor"), F.array().cast("array<struct<line:double,x0:double,text:string>>").alias("out"))
-
-    def place(state, w):
-        anchor = F.when(state["anchor"].isNotNull() & (w["top"] - state["anchor"] <= near), state["anchor"]).otherwise(w["top"])
-        return F.struct(anchor.alias("anchor"), F.concat(state["out"], F.array(F.struct(anchor.alias("line"), w["x0"].alias("x0"), w["text"].alias("text")))).alias("out"))
-
-    column = banded.groupBy("page_id", "band", "side").agg(F.array_sort(F.collect_list(F.struct("top", "x0", "text"))).alias("ws"))
-    lined = column.select("page_id", "band", "side", F.array_sort(F.aggregate("ws", zero, place)["out"]).alias("out"))
-    blank = F.struct(F.lit(None).cast("double").alias("line"), F.lit("").alias("t"))
-
-    def join(s, w):
-        gap = F.when(s["t"] == "", "").when(s["line"] == w["line"], " ").otherwise("\n")
-        return F.struct(w["line"].alias("line"), F.concat(s["t"], gap, w["text"]).alias("t"))
-
-    text = F.aggregate("out", blank, join, lambda s: s["t"])
-    return lined.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("band", "side", text.alias("t")))), lambda c: c["t"]), "\n").alias("text"))
+    column = banded.groupBy("page_id", "band", "side").agg(F.collect_list(F.struct("top", "x0", "text")).alias("ws")).withColumn("t", Z.lines(F.col("ws"), near))
+    return column.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("band", "side", "t"))), lambda c: c["t"]), "\n").alias("text"))
 
 
 def outside_tables(words: DataFrame, boxes: DataFrame) -> DataFrame:

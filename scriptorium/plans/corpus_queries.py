@@ -280,22 +280,36 @@ words AS (SELECT page_id, text, x0, x0 + CASE WHEN i < 4 THEN 105 ELSE 50 END AS
 """
 
 
-@query(
-    f"""
-WITH {WORDS}, n AS (SELECT page_id, count(*) AS n FROM words GROUP BY 1 HAVING count(*) >= 20), x AS (SELECT page_id, n, 180.0::DOUBLE + unnest(range(61)) * 4.0::DOUBLE AS x FROM n),
-m AS (SELECT x.page_id, n, x, count(*) FILTER (x0 < x AND x1 > x) AS c, count(*) FILTER (x1 <= x) AS l, count(*) FILTER (x0 >= x) AS r, min(x0) FILTER (x0 >= x) - max(x1) FILTER (x1 <= x) AS gap FROM x JOIN words USING (page_id) GROUP BY ALL)
-SELECT page_id, arg_max(x, (round(gap, 6), -x)) AS boundary FROM m WHERE c <= greatest(2, n * 0.02) AND least(l, r) >= n * 0.15 AND gap >= 12 GROUP BY 1
+BOUNDS = """
+n AS (SELECT page_id, count(*) AS n FROM words GROUP BY 1 HAVING count(*) >= 20), x AS (SELECT page_id, n, 180.0::DOUBLE + unnest(range(61)) * 4.0::DOUBLE AS x FROM n),
+m AS (SELECT x.page_id, n, x, count(*) FILTER (x0 < x AND x1 > x) AS c, count(*) FILTER (x1 <= x) AS l, count(*) FILTER (x0 >= x) AS r, min(x0) FILTER (x0 >= x) - max(x1) FILTER (x1 <= x) AS gap FROM x JOIN words USING (page_id) GROUP BY ALL),
+bounds AS (SELECT page_id, arg_max(x, (round(gap, 6), -x)) AS boundary FROM m WHERE c <= greatest(2, n * 0.02) AND least(l, r) >= n * 0.15 AND gap >= 12 GROUP BY 1)
 """
-)
-def column_boundary(t: Tables) -> DataFrame:
-    words = _words(t)
+
+
+def _bounds(words: DataFrame) -> DataFrame:
     return L.column_boundary(words, words.select("page_id").distinct().withColumn("width", F.lit(600.0)))
 
 
-@query()
+@query(f"WITH {WORDS}, {BOUNDS} SELECT * FROM bounds")
+def column_boundary(t: Tables) -> DataFrame:
+    return _bounds(_words(t))
+
+
+@query(
+    f"""
+WITH {WORDS}, {BOUNDS}, met AS (SELECT words.*, boundary, x0 < boundary AND x1 > boundary AS wide FROM words JOIN bounds USING (page_id)),
+banded AS (SELECT *, coalesce(max(CASE WHEN wide THEN round(top) END) OVER (PARTITION BY page_id ORDER BY top, x0 ROWS UNBOUNDED PRECEDING), -1) AS band, CASE WHEN wide THEN 0 WHEN x1 <= boundary THEN 1 ELSE 2 END AS side FROM met),
+folded AS (SELECT page_id, band, side, list_reduce(list({{'anchor': top, 'out': [{{'l': top, 'x': x0, 't': text}}]}} ORDER BY top, x0, text),
+  lambda a, w: CASE WHEN w.anchor - a.anchor <= 3 THEN {{'anchor': a.anchor, 'out': list_append(a.out, {{'l': a.anchor, 'x': w.out[1].x, 't': w.out[1].t}})}} ELSE {{'anchor': w.anchor, 'out': list_concat(a.out, w.out)}} END).out AS us FROM banded GROUP BY ALL),
+placed AS (SELECT page_id, band, side, unnest(us) AS u FROM folded),
+lined AS (SELECT page_id, band, side, u.l AS l, string_agg(u.t, ' ' ORDER BY u.x, u.t) AS line FROM placed GROUP BY ALL)
+SELECT page_id, string_agg(line, chr(10) ORDER BY band, side, l) AS text FROM lined GROUP BY 1
+"""
+)
 def reading_order(t: Tables) -> DataFrame:
     words = _words(t)
-    return L.reading_order(words, L.column_boundary(words, words.select("page_id").distinct().withColumn("width", F.lit(600.0))))
+    return L.reading_order(words, _bounds(words))
 
 
 @query(f"WITH {WORDS} SELECT page_id, count(*) AS n, min(text) AS least FROM words WHERE NOT ((x0 + x1) / 2 BETWEEN 100 AND 300 AND (top + bottom) / 2 BETWEEN 60 + page_id % 3 * 20 AND 120) GROUP BY 1")
