@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from .common import arrow_batches, cut_words, materialize, words_of
 
-#: Words of an item at least.
+#: Words of an item from which on it makes a document a contaminated one; pairs with shorter ones are told, but are no reason to drop a document.
 LEAST_WORDS = 4
 #: Words of benchmark items that one pass over the corpus looks for.
 PASS_WORDS = 1_000_000
+#: Words of an item beyond which its pieces of as many words are looked for one by one.
+PIECE_WORDS = 10_000
 MATCH, MISMATCH, GAP = 2, 1, 1
 LEAST_SCORE = 0.5
 #: Words between those of an n-gram, in the item and in the text, at most: two words with none or one left out between them.
@@ -164,6 +166,53 @@ class Watch:
         return bool(np.cumsum(change).max() >= self.need[item])
 
 
+class Whole:
+    """Items of so few words that a part of one reaches the score; they count only where they stand word for word.
+
+    A trie of their words, a level a word: an edge is its node above and its word in one number,
+    and a node is the place of its edge among those of its level. All places of a batch go down
+    the levels at once.
+    """
+
+    def __init__(self, items: list[tuple[int, str]]):
+        cut = [(i, words_of(t)) for i, t in items]
+        numbers: dict[str, int] = {}
+        for _, words in cut:
+            for w in words:
+                numbers.setdefault(w, len(numbers))
+        self.vocabulary = list(numbers)
+        self.edges: list[np.ndarray] = []
+        self.items: list[np.ndarray] = []  # of each node of a level, the item that ends there, or -1
+        alive = [(i, [numbers[w] for w in words], 0) for i, words in cut if words]
+        while alive:
+            level = len(self.edges)
+            keys = np.array([node * len(numbers) + words[level] for _, words, node in alive], np.int64)
+            edges = np.unique(keys)
+            nodes = np.searchsorted(edges, keys).tolist()
+            ends = np.full(len(edges), -1, np.int64)
+            for (i, words, _), node in zip(alive, nodes, strict=True):
+                if len(words) == level + 1:
+                    ends[node] = i
+            self.edges.append(edges)
+            self.items.append(ends)
+            alive = [(i, words, node) for (i, words, _), node in zip(alive, nodes, strict=True) if len(words) > level + 1]
+
+    def places(self, ids: np.ndarray, text: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """(places, items, words) of the items in words numbered by the vocabulary, -1 for others; text: which text a word is of."""
+        at, node = np.arange(len(ids)), np.zeros(len(ids), np.int64)
+        for level, (edges, ends) in enumerate(zip(self.edges, self.items, strict=True)):
+            inside = at + level < len(ids)
+            at, node = at[inside], node[inside]
+            own = (text[at] == text[at + level]) & (ids[at + level] >= 0)
+            at, node = at[own], node[own]
+            key = node * len(self.vocabulary) + ids[at + level]
+            node = np.minimum(np.searchsorted(edges, key), len(edges) - 1)
+            met = edges[node] == key
+            at, node = at[met], node[met]
+            end = ends[node] >= 0
+            yield at[end], ends[node[end]], level + 1
+
+
 def align_numbers(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     """(score, first, end) of the best local alignment of two rows of numbers; memory follows the second only."""
     n = len(b)
@@ -250,33 +299,75 @@ def _find(shared, least: float):
     return run
 
 
-def findings(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
-    """(doc_id, mark, item_id, score, seeds, matched) of every row of docs and item that reach the score; mark is a hash of the row's text. See contamination()."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
+def _find_whole(shared):
+    """(doc_id, text, mark) to pairs with an item that stands in the text word for word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = shared.value
+        vocabulary = pa.array(whole.vocabulary, pa.large_string())
+        for batch in batches:
+            words, ids, lengths = _numbered(batch, 1, vocabulary)
+            text = np.repeat(np.arange(len(lengths)), lengths)
+            for at, items, n in whole.places(ids, text):
+                _, first = np.unique(np.stack([text[at], items]), axis=1, return_index=True)  # one place of a text and item
+                at, items = at[first], items[first]
+                rows = pa.array(text[at])
+                matched = [" ".join(words.slice(a, n).to_pylist()) for a in at.tolist()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(rows), batch.column(2).take(rows), pa.array(items), pa.array(np.ones(len(at))), pa.array(np.full(len(at), n - 1, np.int64)), pa.array(matched, pa.string())],
+                    names=["doc_id", "mark", "item_id", "score", "seeds", "matched"],
+                )
+
+    return run
+
+
+def _pieces(benchmark: DataFrame, item_col: str, item_text: str) -> DataFrame:
+    """(item_id, piece, item, n): items of n words, each sequence of words once, those beyond PIECE_WORDS in pieces."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("item")).where("item_id IS NOT NULL AND item IS NOT NULL")
     norm = F.trim(F.regexp_replace(F.lower("item"), r"(?U)\W+", " "))
-    items = materialize(items.groupBy(norm.alias("norm")).agg(F.min_by("item", "item_id").alias("item"), F.min("item_id").alias("item_id")).select("item_id", "item"), "items")
-    total = items.agg(F.sum(F.size(F.split("item", r"\s+")))).first()[0] or 0
+    once = items.groupBy(F.when(norm != "", norm).otherwise(F.col("item")).alias("norm")).agg(F.min_by("item", "item_id").alias("item"), F.min("item_id").alias("item_id"))
+    words = F.split("norm", " ")
+    counted = once.select("item_id", "item", words.alias("ws"), F.size(words).alias("n"))
+    parts = F.ceil(F.col("n") / PIECE_WORDS).cast("int")  # as even as can be, so that none is short
+    begin = lambda p: F.floor(p * F.col("n") / parts).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.array_join(F.slice("ws", begin(p) + 1, begin(p + 1) - begin(p)), " "))
+    pieces = F.when(F.col("n") > PIECE_WORDS, cut).otherwise(F.array("item"))
+    return counted.select("item_id", F.posexplode(pieces).alias("piece", "item"), F.least("n", F.lit(PIECE_WORDS)).alias("n"))
+
+
+def findings(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = LEAST_SCORE, shortest: int = 1) -> DataFrame:
+    """(doc_id, mark, item_id, score, seeds, matched) of every row of docs and item of at least `shortest` words that reach the score; mark is a hash of the row's text. See contamination()."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
+    items = materialize(_pieces(benchmark, item_col, item_text).where(F.col("n") >= shortest), "items")
+    total = items.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-total // PASS_WORDS))
     found = None
     for b in range(blocks):
-        some = [(r.item_id, r.item) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()]  # about PASS_WORDS words
-        some = sorted((i, t) for i, t in some if len(words_of(t)) >= max(LEAST_WORDS, 1 / least + 1e-9))
-        if not some:
-            continue
-        watch = Watch.of(some, least)
-        sums = arrow_batches(docs, _count(spark.sparkContext.broadcast(watch)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # a row an n-gram of the block at most
-        counts = np.zeros(len(watch.keys), np.int64)
-        counts[sums["gram"].to_numpy()] = sums["n"].to_numpy()
-        hits = arrow_batches(docs, _find(spark.sparkContext.broadcast(watch.rarest(counts)), least), FOUND)
-        found = hits if found is None else found.unionByName(hits)
+        some = sorted((r.item_id, r.item) for r in items.where(F.pmod(F.xxhash64("item_id", "piece"), F.lit(blocks)) == b).collect())  # about PASS_WORDS words
+        scored, short = [], []
+        for item_id, item in some:
+            (scored if len(words_of(item)) * least > 1 + 1e-9 else short).append((item_id, item))
+        hits = []
+        if scored:
+            watch = Watch.of(scored, least)
+            sums = arrow_batches(docs, _count(spark.sparkContext.broadcast(watch)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # a row an n-gram of the block at most
+            counts = np.zeros(len(watch.keys), np.int64)
+            counts[sums["gram"].to_numpy()] = sums["n"].to_numpy()
+            hits.append(arrow_batches(docs, _find(spark.sparkContext.broadcast(watch.rarest(counts)), least), FOUND))
+        if short:
+            hits.append(arrow_batches(docs, _find_whole(spark.sparkContext.broadcast(Whole(short))), FOUND))
+        for h in hits:
+            found = h if found is None else found.unionByName(h)
     return spark.createDataFrame([], FOUND) if found is None else found
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of docs that hold no item; each is judged by its own text, also where ids repeat or are null."""
-    found = materialize(findings(docs, benchmark, id_col, text_col, least=least).select(F.col("doc_id").alias("found"), "mark").distinct(), "contaminated")
+    """The rows of docs that hold no item of LEAST_WORDS words or more; each is judged by its own text, also where ids repeat or are null.
+
+    One to three common words that a short item consists of don't make a document a copy of it.
+    """
+    found = materialize(findings(docs, benchmark, id_col, text_col, least=least, shortest=LEAST_WORDS).select(F.col("doc_id").alias("found"), "mark").distinct(), "contaminated")
     row = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("own"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))  # the caller's names stay inside
     return row.join(found, F.col("id").eqNullSafe(F.col("found")) & (F.col("own") == F.col("mark")), "left_anti").select("row.*")
 
@@ -287,8 +378,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Words are runs of letters and digits, in lower case. score is the alignment's share of a
     perfect one; rows from `least` stay, the best of each document and item. seeds: n-grams that
     the densest stretch shares with the item. No pair that reaches the score is lost: see Watch.
-    Items with the same words are one, under their least id; items under LEAST_WORDS words match
-    nothing. Null ids and texts of items count for nothing; null and empty documents match
+    Items with the same words are one, under their least id. Items of so few words that one of
+    them would reach the score (two words and less) count where they stand whole, word for word.
+    Items beyond PIECE_WORDS words are looked for in pieces, and the best one's score counts: an
+    alignment that reaches the score does so on one of them at least. Null ids and texts of items count for nothing; null and empty documents match
     nothing; rows that repeat a document's id give its pairs once. Other columns are not read.
 
     The benchmark goes out in blocks of about PASS_WORDS words; for each, one pass over the

@@ -22,6 +22,10 @@ def brute_align(a, b):
     return max(map(max, h)) / (2 * len(a))
 
 
+def holds(words, item):
+    return any(words[i : i + len(item)] == item for i in range(len(words)))
+
+
 def test_alignment_matches_brute_force():
     rng = random.Random(1)
     for _ in range(200):
@@ -51,6 +55,7 @@ def test_finds_copies_and_leaves_clean_documents(spark, monkeypatch):
     rows += [(900, None), (901, ""), (902, items[3][1]), (902, items[3][1]), (None, items[4][1]), (903, (prose(rng, 50) + " ") * 300 + items[5][1])]
     want |= {(902, 3), (None, 4), (903, 5)}
     items += [(77, items[6][1].upper()), (80, None), (81, ""), (82, "the of"), (None, "a b c d e")]
+    want |= {(d, 82) for d, t in rows if holds(D.words_of(t), ["the", "of"])}  # an item of two words counts where it stands whole
     got = D.contamination(spark.createDataFrame([(d, t, "") for d, t in rows], DOCS), spark.createDataFrame([(i, t, "") for i, t in items], ITEMS)).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
     assert {r.score for r in got if r.doc_id == 902} == {1.0}
@@ -157,3 +162,43 @@ def test_clean_rows_are_judged_by_their_own_text(spark):
     got = D.clean_rows(df, spark.createDataFrame([(1, item, "")], ITEMS))
     assert got.columns == df.columns
     assert sorted(r.found for r in got.collect()) == ["b", "d", "e", "f"]
+
+
+def test_short_items_equal_brute_force(spark):
+    rng = random.Random(8)
+    some = lambda n: " ".join(rng.choice("abcdefghij") for _ in range(n))
+    texts = [(d, some(rng.randrange(12))) for d in range(60)] + [(90, None), (91, ""), (92, "Here alpha, beta GAMMA stands"), (92, "Here alpha, beta GAMMA stands"), (93, "alpha beta"), (94, "lone" + " x" * 3000 + " zig-zag"), (None, "zig zag")]
+    texts += [(95, "½")]
+    items = {1: "a", 2: "b c", 3: "d e f", 4: "alpha beta gamma", 5: "zig zag", 6: "c c", 7: "g h i j a", 9: "...", 10: "½", 11: "²"}
+    docs = spark.createDataFrame([(d, t, "") for d, t in texts], DOCS)
+    bench = spark.createDataFrame([*[(i, t, "") for i, t in items.items()], (8, "B, c", "")], ITEMS)  # 8 is 2 again
+    for least in (0.5, 0.2):
+        want = set()
+        for d, t in texts:
+            for i, item in items.items():
+                words, own = D.words_of(t), D.words_of(item)
+                if len(own) * least > 1 + 1e-9:
+                    if words and brute_align(own, words) >= least:
+                        want.add((d, i))
+                elif own and holds(words, own):
+                    want.add((d, i))
+        got = D.contamination(docs, bench, least=least).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+        assert {r.matched for r in got if (r.doc_id, r.item_id) == (92, 4)} == {"alpha beta gamma"}
+    kept = {(r.doc_id, r.text) for r in D.clean_rows(docs, bench.where("item_id < 6")).collect()}
+    assert kept == {(d, t) for d, t in texts}  # few words are no reason to drop a document
+
+
+def test_long_items_are_found_in_pieces(spark, monkeypatch):
+    rng = random.Random(9)
+    item = prose(rng, 95).split(" ")
+    edited = ["edited" if k % 9 == 4 else w for k, w in enumerate(item)]
+    docs = spark.createDataFrame([(1, " ".join(["x"] * 20 + edited + ["y"] * 20), ""), (2, prose(rng, 300), ""), (3, " ".join(item), "")], DOCS)
+    bench = spark.createDataFrame([(7, " ".join(item), ""), (8, prose(rng, 12), "")], ITEMS)
+    whole = D.contamination(docs, bench).collect()
+    monkeypatch.setattr(D, "PIECE_WORDS", 30)
+    monkeypatch.setattr(D, "PASS_WORDS", 40)
+    pieces = D._pieces(bench, "item_id", "text").orderBy("item_id", "piece").collect()
+    assert [len(r.item.split(" ")) for r in pieces] == [23, 24, 24, 24, 12] and " ".join(r.item for r in pieces[:4]) == " ".join(item)
+    got = D.contamination(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(r.doc_id, r.item_id) for r in whole} == {(1, 7), (3, 7)} and len(got) == 2
