@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import defaultdict
@@ -113,3 +114,84 @@ def test_rare_and_deep_bad_branches_are_told_apart(spark):
     assert verdicts["spam"] == verdicts["a/b/c/d/e/f/foul"] == {"block"}
     assert len(set.union(*(shapes[k] for k in shapes if k.startswith("section")))) == 1
     assert shapes["g/h/i/j/k/l"].pop().endswith("/{rest}")
+
+
+def plain_templates(pages):
+    """(host, segs) to (template, purity), every level and branch by itself."""
+    sums = {}
+    for host, segs, label in pages:
+        own = sums.setdefault((host, segs), [0, 0, 0])
+        own[0], own[1], own[2] = own[0] + 1, own[1] + (label is not None), own[2] + (label is True)
+    shape = {key: list(key[1]) for key in sums}
+
+    def total(key_of, over=None):
+        out = {}
+        for key, s in sums.items():
+            k = key_of(key)
+            if k is not None and (over is None or over(key)):
+                out[k] = [a + b for a, b in zip(out.get(k, [0, 0, 0]), s, strict=True)]
+        return out
+
+    def away(labelled, good, pool):
+        p = (pool[2] + 1) / (pool[1] + 2)
+        return abs(good - labelled * p) / math.sqrt(max(1e-9, labelled * p * (1 - p)))
+
+    levels = 0
+    while levels < max(map(len, shape.values())):
+        at = lambda key: (key[0], tuple(shape[key][:levels]), shape[key][levels]) if len(shape[key]) > levels else None  # noqa: E731, B023
+        children = total(at)
+        rare = {}
+        for host, node in {c[:2] for c in children}:
+            own = {c: s for c, s in children.items() if c[:2] == (host, node)}
+            if len(own) > U.FANOUT:
+                few = {c: s for c, s in own.items() if s[0] < U.LEAST_SHARE * sum(x[0] for x in own.values())}
+                pool = [sum(x) for x in zip(*few.values(), strict=True)] if few else None
+                rare |= {c: True for c, s in few.items() if s[1] < U.FEW_LABELS or away(s[1], s[2], pool) <= U.ALIKE}
+        for key in shape:
+            if rare.get(at(key)):
+                shape[key] = [*shape[key][:levels], "*", *shape[key][levels + 1 :]]
+        if levels >= U.DEPTH - 2:
+            node = lambda key: (key[0], tuple(shape[key][: levels + 1]))  # noqa: E731, B023
+            deep = {key for key in shape if len(shape[key]) > levels + 2}
+            below = total(node, lambda key: key in deep)  # noqa: B023
+            for key in deep:
+                s = below[node(key)]
+                if s[1] < U.FEW_LABELS or s[2] in (0, s[1]):
+                    shape[key] = [*shape[key][: levels + 1], "{rest}"]
+        levels += 1
+    for level in reversed(range(levels)):
+        wide = lambda t: tuple("*" if i == level else x for i, x in enumerate(t))  # noqa: E731, B023
+        own = total(lambda key: (key[0], tuple(shape[key])), lambda key: len(shape[key]) > level)  # noqa: B023
+        alike = set()
+        for host, w in {(h, wide(t)) for h, t in own}:
+            branches = {t: s for (h, t), s in own.items() if (h, wide(t)) == (host, w)}
+            pool = [sum(x) for x in zip(*branches.values(), strict=True)]
+            if len(branches) > 1:
+                alike |= {(host, t) for t, s in branches.items() if s[1] == 0 or away(s[1], s[2], pool) <= U.ALIKE}
+        shape = {key: list(wide(t)) if (key[0], tuple(t)) in alike else t for key, t in shape.items()}
+    whole = [sum(x) for x in zip(*sums.values(), strict=True)]
+    prior = (whole[2] + 1) / (whole[1] + 2)
+    hosts = {h: (s[2] + U.STRENGTH * prior) / (s[1] + U.STRENGTH) for h, s in total(lambda key: key[0]).items()}
+    pure = {k: (s[2] + U.STRENGTH * hosts[k[0]]) / (s[1] + U.STRENGTH) for k, s in total(lambda key: (key[0], tuple(shape[key]))).items()}
+    return {key: (tuple(t), pure[key[0], tuple(t)]) for key, t in shape.items()}
+
+
+def test_tree_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(U, "FANOUT", 4)
+    monkeypatch.setattr(U, "LEAST_SHARE", 0.08)
+    monkeypatch.setattr(U, "FEW_LABELS", 3)
+    rng = random.Random(3)
+    pages = []
+    for _ in range(1500):
+        host = rng.choice(["big", "big", "big", "small.net", ""])
+        first = rng.choice(["blog", "blog", "spam", "shop", *[f"r{i}" for i in range(12)]])
+        segs = (first, *[rng.choice(["x", "x", "y", f"z{rng.randrange(9)}"]) for _ in range(rng.choice([0, 1, 1, 2, 3, 6]))])
+        bad = first == "spam" or "y" in segs[2:5] or first in ("r1", "r2")
+        pages.append((host, segs if rng.random() < 0.98 else (), None if rng.random() < 0.4 else (rng.random() < (0.1 if bad else 0.9))))
+    rows = spark.createDataFrame([(h, list(s), x) for h, s, x in pages], "host string, segs array<string>, label boolean")
+    got = {(r.host, tuple(r.segs)): (tuple(r.template), r.purity) for r in U.templates(rows).collect()}
+    want = plain_templates(pages)
+    assert {k: t for k, (t, _) in got.items()} == {k: t for k, (t, _) in want.items()}
+    assert all(abs(got[k][1] - p) < 1e-12 for k, (_, p) in want.items())
+    told = [t for t, _ in want.values()]
+    assert any("*" in t for t in told) and any("{rest}" in t for t in told) and any(p < U.LEAST_PURITY for _, p in want.values())
