@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import LIMITS
 from ..functions import text as X
 from .scope import Scopes
-from .vectors import nearest
+from .vectors import nearest, nearest_within
 
 
 def _count(empty: bool):
@@ -302,9 +302,9 @@ def fewshot(queries: DataFrame, feedback: DataFrame, n: int = 5, least: float =
 def per_document(queries: DataFrame, chunks: DataFrame, key: str, doc: str, each: int = 3, most_docs: int = 8) -> DataFrame:
     """(query_id, doc, key, score, rank): the `each` best chunks in each of the `most_docs` documents that fit a query best (queries: query_id, embedding).
 
-    The documents are found as cosine() finds chunks; only chunks of those are scored again.
+    The documents are found as cosine() finds chunks; only chunks of those are scored again,
+    where they lie, and each task keeps its own `each` best of a query and document.
     """
     picked = top(nearest(queries, chunks, most_docs, doc).groupBy("query_id", doc).agg(F.max("score").alias("best")), most_docs, F.desc("best"), F.col(doc)).select("query_id", doc)
-    met = picked.join(chunks.select(key, doc, F.col("embedding").alias("e")), doc).join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
-    scored = met.select("query_id", doc, key, F.round(dot("q", "e"), 6).alias("score")).where("score IS NOT NULL")
+    scored = nearest_within(queries, chunks, picked, each, key, doc)
     return top(scored, each, F.desc("score"), F.col(key), by=("query_id", doc))

@@ -1,6 +1,9 @@
 import random
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +49,40 @@ def test_nearest_by_brute_force(spark, monkeypatch):
     assert R.cosine(asked.limit(0), df, 3).count() == 0 and R.cosine(asked, df.limit(0), 3).count() == 0
 
 
+def test_scores_are_held_in_tiles():
+    """A block of queries against a slice of rows is never held whole: it would be 330 MB here."""
+    rng = np.random.default_rng(4)
+    shared = SimpleNamespace(value=(np.arange(20_000), rng.normal(size=(20_000, 2))))
+    vectors = pa.array(rng.normal(size=(2048, 2)).tolist(), pa.list_(pa.float64()))
+    tracemalloc.start()
+    found = sum(b.num_rows for b in V._ask(shared, 3, pa.int64())(iter([pa.RecordBatch.from_arrays([pa.array(range(2048)), vectors], names=["key", "embedding"])])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 60_000 and most < 120 << 20
+
+
+def test_per_document_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(V, "ROWS", 17)
+    monkeypatch.setattr(V, "TILE", 20)
+    rng = np.random.default_rng(8)
+    rows = [(i, f"d{i % 12}", unit(rng, 6)) for i in range(200)]
+    rows += rows[:30] + [(300, "d1", None), (301, None, unit(rng, 6))]
+    queries = [(i, unit(rng, 6)) for i in range(20)]
+    chunks, asked = spark.createDataFrame(rows, "row_id long, doc string, embedding array<float>").repartition(5), spark.createDataFrame(queries, "query_id long, embedding array<float>")
+    want = []
+    for q, x in queries:
+        score = {}
+        for key, doc, y in rows:
+            if doc and y:
+                score.setdefault(doc, []).append((-round(float(np.dot(np.array(x, float), np.array(y, float))), 6), key))
+        for doc in sorted(score, key=lambda d: (min(score[d])[0], d))[:4]:
+            want += [(q, doc, key, -s, rank) for rank, (s, key) in enumerate(sorted(score[doc])[:3], 1)]
+    found = R.per_document(asked, chunks, "row_id", "doc", 3, 4)
+    assert sorted((r.query_id, r.doc, r.row_id, r.score, r["rank"]) for r in found.collect()) == sorted(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "zip_with" not in plan  # no row is made for a query and a chunk
+
+
 def test_hybrid_search(spark):
     rng = random.Random(5)
     words = [f"kelime{i}" for i in range(30)]
