@@ -16,15 +16,23 @@ TOKEN = r"([‰%]?\d[\d.,]*[‰%]?|[×x*·/÷+\-−()])"
 VALUE = "¤"
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), evaluated once however often it stands in it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def plain_number(c: Column) -> Column:
     """A number of either notation as plain text: the last of two kinds of separators is the decimal one."""
-    t = F.regexp_replace(F.trim(c), r"[.,]+$", "")
+    return _let(F.regexp_replace(F.trim(c), r"[.,]+$", ""), _one_point)
+
+
+def _one_point(t: Column) -> Column:
     dots, commas = F.length(t) - F.length(F.replace(t, F.lit("."), F.lit(""))), F.length(t) - F.length(F.replace(t, F.lit(","), F.lit("")))
     comma_last = F.instr(F.reverse(t), ",") < F.instr(F.reverse(t), ".")
     both = F.when(comma_last, F.translate(t, ",.", ".")).otherwise(F.replace(t, F.lit(","), F.lit("")))
     whole, rest = F.regexp_extract(t, r"^([^.,]*)[.,]", 1), F.regexp_extract(t, r"[.,](.*)$", 1)
     single = F.when((F.length(rest) == 3) & ~whole.isin("", "0"), F.concat(whole, rest)).otherwise(F.concat(whole, F.lit("."), rest))
-    return F.when((dots > 0) & (commas > 0), both).when((dots > 1) | (commas > 1), F.translate(t, ".,", "")).when(dots + commas == 1, single).otherwise(t)
+    return F.when(~t.rlike("[.,]"), t).when((dots > 0) & (commas > 0), both).when((dots > 1) | (commas > 1), F.translate(t, ".,", "")).when(dots + commas == 1, single).otherwise(t)
 
 
 def tr_number(c: Column) -> Column:
@@ -49,11 +57,6 @@ def calc_lines(answers: DataFrame) -> DataFrame:
     return rows.select("run_id", "pos", "line", F.filter(cut, lambda p: F.trim(p) != "").alias("parts")).where(F.size("parts") >= 2)
 
 
-def _let(value: Column, use) -> Column:
-    """use(value), evaluated once however often it stands in it."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _flat(text: Column) -> Column:
     """struct(value, last) of an expression without brackets: products before sums, signs, percent and per mille; value is null for other texts."""
     dec = lambda x: F.lit(x).cast(NUMBER)
@@ -65,11 +68,16 @@ def _flat(text: Column) -> Column:
         minus, plus, times, over = tok.rlike("^[-−]$"), tok == "+", tok.rlike("^[×x*·]$"), tok.rlike("^[/÷]$")
         raw = F.when(tok.contains(VALUE), F.translate(tok, VALUE, "")).otherwise(plain_number(F.translate(tok, "‰%", "")))
         unit = F.when(tok.contains("‰"), dec("0.001")).when(tok.contains("%"), dec("0.01")).otherwise(dec(1))
-        x = (raw.try_cast(NUMBER) * unit).cast(NUMBER) * s["sign"]
-        term = F.when(s["op"] == "*", (s["term"] * x).cast(NUMBER)).when(s["op"] == "/", F.try_divide(s["term"], x).cast(NUMBER)).otherwise(x.cast(NUMBER))
-        base = F.when(s["op"] == "+", (s["sum"] + s["term"]).cast(NUMBER)).when(s["op"] == "-", (s["sum"] + s["term"]).cast(NUMBER)).otherwise(s["sum"])
-        term = F.when(s["op"] == "-", -term).otherwise(term)
-        took = state(base, term, F.lit(""), F.lit(1), F.lit(False), s["ok"] & s["want"] & x.isNotNull(), raw)
+
+        def take(v: Column) -> Column:
+            raw, x = v["raw"], v["x"]
+            term = F.when(s["op"] == "*", (s["term"] * x).cast(NUMBER)).when(s["op"] == "/", F.try_divide(s["term"], x).cast(NUMBER)).otherwise(x.cast(NUMBER))
+            base = F.when(s["op"] == "+", (s["sum"] + s["term"]).cast(NUMBER)).when(s["op"] == "-", (s["sum"] + s["term"]).cast(NUMBER)).otherwise(s["sum"])
+            term = F.when(s["op"] == "-", -term).otherwise(term)
+            return state(base, term, F.lit(""), F.lit(1), F.lit(False), s["ok"] & s["want"] & x.isNotNull(), raw)
+
+        read = lambda raw: F.struct(raw.alias("raw"), ((raw.try_cast(NUMBER) * unit).cast(NUMBER) * s["sign"]).alias("x"))
+        took = _let(_let(raw, read), take)
         sign = state(s["sum"], s["term"], s["op"], -s["sign"], F.lit(True), s["ok"], s["last"])
         op = F.when(plus, "+").when(minus, "-").when(times, "*").otherwise("/")
         chose = state(s["sum"], s["term"], op, F.lit(1), F.lit(True), s["ok"] & (plus | minus | times | over), s["last"])
@@ -112,9 +120,12 @@ def evaluate(part: Column) -> Column:
 
 def equal_as_written(expected: Column, written: Column, last: Column) -> Column:
     """Within one unit of the last written place after rounding to it."""
-    unit = F.pow(F.lit(10.0), -scale_of(last)).cast(NUMBER)
-    rounded = F.floor(expected / unit + F.lit("0.5").cast(NUMBER)).cast(NUMBER) * unit
-    return F.abs(rounded.cast(NUMBER) - written) <= unit
+
+    def near(unit: Column) -> Column:
+        rounded = F.floor(expected / unit + F.lit("0.5").cast(NUMBER)).cast(NUMBER) * unit
+        return F.abs(rounded.cast(NUMBER) - written) <= unit
+
+    return _let(F.pow(F.lit(10.0), -scale_of(last)).cast(NUMBER), near)
 
 
 def calc_audit(lines: DataFrame) -> DataFrame:
@@ -129,10 +140,12 @@ def calc_audit(lines: DataFrame) -> DataFrame:
     none = F.struct(F.col("vs")[0]["value"].alias("expected"), F.lit(True).alias("live"), F.array().cast(f"array<struct<expected:{NUMBER},written:{NUMBER},ok:boolean>>").alias("out"))
 
     def add(s: Column, v: Column) -> Column:
-        live = s["live"] & v["value"].isNotNull()
-        ok = equal_as_written(s["expected"], v["value"], v["last"])
-        row = F.struct(s["expected"].alias("expected"), v["value"].alias("written"), ok.alias("ok"))
-        return F.struct(F.when(live & ok, v["value"]).otherwise(s["expected"]).alias("expected"), live.alias("live"), F.when(live, F.concat(s["out"], F.array(row))).otherwise(s["out"]).alias("out"))
+        def go_on(ok: Column) -> Column:
+            row = F.struct(s["expected"].alias("expected"), v["value"].alias("written"), ok.alias("ok"))
+            return F.struct(F.when(ok, v["value"]).otherwise(s["expected"]).alias("expected"), F.lit(True).alias("live"), F.concat(s["out"], F.array(row)).alias("out"))
+
+        ended = F.struct(s["expected"].alias("expected"), F.lit(False).alias("live"), s["out"].alias("out"))
+        return F.when(s["live"] & v["value"].isNotNull(), _let(equal_as_written(s["expected"], v["value"], v["last"]), go_on)).otherwise(ended)
 
     links = F.aggregate(F.slice("vs", F.lit(2), F.size("vs")), none, add)["out"]
     return valued.select("run_id", "pos", F.posexplode(links).alias("link", "r")).select("run_id", "pos", "link", "r.*")

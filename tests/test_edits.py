@@ -56,3 +56,9 @@ def test_brackets_of_any_depth(spark):
     df = spark.createDataFrame([(x,) for x, _ in lines], "x string")
     got = [None if r.v is None else float(r.v) for r in df.select(U.evaluate(F.col("x"))["value"].alias("v")).collect()]
     assert got == [None if v is None else float(v) for _, v in lines]
+
+
+def test_numbers_are_read_once(spark):
+    """The expression of a step holds a number's reading once, not wherever its value stands."""
+    assert str(U._flat(F.col("x"))._jc if hasattr(F.col("x"), "_jc") else U._flat(F.col("x"))).count("[.,]+$") == 1
+    assert str(U.equal_as_written(F.col("a"), F.col("b"), F.col("c"))).upper().count("POWER") == 1
