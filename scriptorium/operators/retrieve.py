@@ -15,11 +15,25 @@ from .scope import Scopes
 from .vectors import nearest, nearest_within
 
 
+#: Terms that a task counts at a time; a row with more is counted alone.
+TERMS = 1 << 17
+
+
+def _some(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch (key, terms) as slices of about TERMS terms."""
+    ends = np.cumsum(batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TERMS, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _count(empty: bool):
     """Rows (key, terms) to (key, length, token, tf); empty: a row without token for those that have no terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _some(whole)):
             lists = batch.column(1)
             lengths, words = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().dictionary_encode()
             size = max(1, len(words.dictionary))

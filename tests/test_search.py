@@ -61,6 +61,16 @@ def test_scores_are_held_in_tiles():
     assert found == 60_000 and most < 120 << 20
 
 
+def test_terms_are_counted_in_slices(monkeypatch):
+    monkeypatch.setattr(R, "TERMS", 10)
+    texts = [[f"t{(i * j) % 7}" for j in range(i % 9)] for i in range(40)] + [["x"] * 50, None, []]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.list_(pa.string()))], names=["key", "ts"])
+    parts = list(R._count(True)(iter([batch])))
+    got = sorted(((r["key"], r["length"], r["token"] or "", r["tf"]) for p in parts for r in p.to_pylist()))
+    assert got == sorted((i, len(ts or []), t, (ts or []).count(t)) for i, ts in enumerate(texts) for t in set(ts or [""]))
+    assert len(parts) > 10 and all(sum(r["tf"] for r in p.to_pylist()) <= 10 for p in parts if p.to_pylist()[0]["token"] != "x")
+
+
 def test_per_document_by_brute_force(spark, monkeypatch):
     monkeypatch.setattr(V, "ROWS", 17)
     monkeypatch.setattr(V, "TILE", 20)
