@@ -2,7 +2,9 @@
 
 import random
 import time
+import tracemalloc
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -168,3 +170,18 @@ def test_gutter_equals_trying_every_candidate(spark):
     got = {r.page_id: r.boundary for r in L.column_boundary(words, spark.createDataFrame(sizes, "page_id long, width double")).collect()}
     want = {p: plain_gutter([(a, b) for q, a, b in pages if q == p], w) for p, w in sizes}
     assert got == {p: x for p, x in want.items() if x is not None} and len(got) > 10
+
+
+def test_folds_hold_few_documents_as_objects(monkeypatch):
+    """Slices give what the whole batch gives, and a batch of 3,000 documents isn't held as Python objects."""
+    made = []
+    monkeypatch.setattr(Z.F, "arrow_udf", lambda f, kind: made.append(f) or (lambda lists: lists))
+    Z.fold(None, ("text", "page", "section"), lambda rows: Z.packed(rows, 120, 30, 20))
+    units = [[{"text": f"line {i} " * 5, "page": j, "section": f"s{j}" if j % 9 == 0 else None} for j in range(i % 40)] for i in range(3000)] + [None, []]
+    lists = pa.array(units, pa.list_(pa.struct([("text", pa.string()), ("page", pa.int32()), ("section", pa.string())])))
+    tracemalloc.start()
+    got = made[0](lists)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    monkeypatch.setattr(Z, "SLICE", 10_000, raising=False)
+    assert got.equals(made[0](lists)) and most < 4 << 20
