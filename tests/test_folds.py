@@ -187,9 +187,9 @@ def test_folds_hold_few_documents_as_objects(monkeypatch):
     assert got.equals(made[0](lists)) and most < 4 << 20
 
 
-def test_a_long_line_is_looked_at_once_not_for_each_of_its_parts(spark):
-    lines = spark.createDataFrame([(1, 1, 1, "A long line of many words. " * 90), (1, 1, 2, "MADDE 4 Title")], "doc_id long, page_no int, line_no int, line string")
-    cut = L.units(lines, 1200)
+def test_a_long_line_is_looked_at_once_not_for_each_of_its_parts(spark, tmp_path):
+    spark.createDataFrame([(1, 1, 1, ("A long line of many words. " * 90).strip()), (1, 1, 2, "MADDE 4 Title")], "doc_id long, page_no int, line_no int, line string").write.parquet(f"{tmp_path}/lines")
+    cut = L.units(spark.read.parquet(f"{tmp_path}/lines"), 1200)
     plan = cut._jdf.queryExecution().optimizedPlan().toString().split("\n")
     at = next(i for i, line in enumerate(plan) if "Generate" in line)
     assert not any("RLIKE" in line for line in plan[:at]), "\n".join(plan)  # what stands over the explode runs once a part
