@@ -130,3 +130,12 @@ def test_documents_are_replaced_and_other_buckets_stay(spark, tmp_path):
         got = sorted((r.doc_id, r.text) for r in store.read().collect())
         assert got == sorted([(i, f"old{i}") for i in range(12) if i not in (1, 2, 6, 10)] + [(1, "new"), (1, "more")])
     assert files() == before
+
+
+def test_an_arrival_of_many_files_is_one_batch_of_a_stream_that_goes_on(spark, tmp_path):
+    rows, seen = spark.range(40).selectExpr("id", "id % 2 AS part"), []
+    for k in range(2):
+        rows.where(F.col("part") == k).repartition(4).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = S.read_folder(spark, f"file://{tmp_path}/in", rows.schema, None)
+        stream.writeStream.foreachBatch(lambda df, n: seen.append((n, df.count()))).option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert seen == [(0, 20), (1, 20)]
