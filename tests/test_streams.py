@@ -139,3 +139,14 @@ def test_an_arrival_of_many_files_is_one_batch_of_a_stream_that_goes_on(spark, t
         stream = S.read_folder(spark, f"file://{tmp_path}/in", rows.schema, None)
         stream.writeStream.foreachBatch(lambda df, n: seen.append((n, df.count()))).option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     assert seen == [(0, 20), (1, 20)]
+
+
+def test_ids_below_zero_are_replaced_in_buckets_of_their_own(spark, tmp_path):
+    store = Buckets(spark, f"file://{tmp_path}/b", 4)
+    store.write(spark.createDataFrame([(i, f"old{i}") for i in range(-8, 8)], "doc_id long, text string"))
+    files = lambda: {r.f for r in store.read().where("doc_id >= 0").select("_metadata.file_path").toDF("f").collect()}
+    before = files()
+    ids = spark.createDataFrame([(i,) for i in range(-8, 0) if i % 4], "doc_id long")
+    store.replace(ids, ids.select("doc_id", F.lit("new").alias("text")))
+    assert {r.doc_id: r.text for r in store.read().collect()} == {i: "new" if i < 0 and i % 4 else f"old{i}" for i in range(-8, 8)}
+    assert files() == before
