@@ -172,6 +172,16 @@ def test_gutter_equals_trying_every_candidate(spark):
     assert got == {p: x for p, x in want.items() if x is not None} and len(got) > 10
 
 
+def test_pages_are_dealt_over_as_many_tasks_as_their_words_ask_for(spark, monkeypatch):
+    """However small their rows are on the wire, adaptive execution doesn't join what one task can't hold."""
+    words = spark.range(0, 9000, 1, 3).selectExpr("id % 150 AS page_id", "'w' AS text", "IF(id < 4500, 60D, 330D) AS x0", "IF(id < 4500, 110D, 380D) AS x1")
+    sizes = spark.range(150).selectExpr("id AS page_id", "600D AS width")
+    monkeypatch.setattr(L, "WORDS", 500)
+    for tasks in (None, 18):
+        found = L.column_boundary(words, sizes, tasks) if tasks else L.column_boundary(words, sizes)
+        assert found.rdd.getNumPartitions() == 18 and found.count() == 150
+
+
 def test_folds_hold_few_documents_as_objects(monkeypatch):
     """Slices give what the whole batch gives, and a batch of 3,000 documents isn't held as Python objects."""
     made = []
