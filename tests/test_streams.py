@@ -1,12 +1,17 @@
 import datetime as dt
 import random
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from scriptorium.operators import chunking as D
+from scriptorium.operators import layout as L
 from scriptorium.operators import scope as C
 from scriptorium.operators.retrieve import bm25
 from scriptorium.plans import QUERIES
+from scriptorium.sources.files import put
 from scriptorium.sources.snapshots import Buckets, Generations
 from scriptorium.streaming import jobs as S
 from scriptorium.streaming.ingest import UPLOADS, Corpus
@@ -159,3 +164,57 @@ def test_uploads_with_ids_below_zero_arrive(spark, tmp_path):
     rows = QUERIES["stream_corpus"](spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.status) for r in rows if r.kind == "upload") == [(-5, "ready"), (-4, "ready"), (-2, "duplicate"), (1, "ready"), (3, "ready")]
     assert {r.doc_id for r in rows if r.kind == "chunk"} == {-5, -4, 1, 3}
+
+
+SENTENCE = "A plain sentence about ships and harbours that goes on for a while."
+
+
+def test_texts_move_once_on_their_way_to_chunks(spark, tmp_path):
+    spark.createDataFrame([(i, p, f"Head\n{SENTENCE} {i}\nsayfa {p}") for i in range(9) for p in (1, 2)], "doc_id long, page_no int, text string").write.parquet(f"{tmp_path}/pages")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        node = D.chunk(L.label_runs(L.units(L.strip_edges(spark.read.parquet(f"{tmp_path}/pages")), 1200)))._jdf.queryExecution().sparkPlan()
+        node = spark._jvm.org.apache.spark.sql.execution.QueryExecution.prepareExecutedPlan(spark._jsparkSession, node)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moves = 0
+    while True:  # what stands over the texts
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            node = node.inputPlan()
+        moves += "ShuffleExchange" in node.getClass().getSimpleName()
+        if not node.children().size():
+            break
+        node = node.children().apply(0)
+    assert moves == 1
+
+
+def shuffle_files(spark):
+    return {p for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString() for p in Path(d).rglob("shuffle_*.data")}
+
+
+def test_a_write_leaves_no_shuffle_files(spark, tmp_path):
+    key, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", shuffle_files(spark)
+    own = spark.conf.get(key)
+    put(spark.range(1000).selectExpr("id", "id % 2 AS part").repartition(3, "id"), f"file://{tmp_path}/a", "part")
+    for _ in range(50):
+        if not shuffle_files(spark) - before:
+            break
+        time.sleep(0.1)
+    assert not shuffle_files(spark) - before and spark.conf.get(key) == own
+    assert spark.read.parquet(f"file://{tmp_path}/a").count() == 1000
+
+
+def test_replaced_rows_are_made_once(spark, tmp_path):
+    store, made = Buckets(spark, f"file://{tmp_path}/b", 4), spark.sparkContext.accumulator(0)
+    store.write(spark.createDataFrame([(i, f"old{i}") for i in range(12)], "doc_id long, text string"))
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    fresh = spark.createDataFrame([(1, "new"), (5, "new")], "doc_id long, text string").mapInArrow(counted, "doc_id long, text string")
+    store.replace(spark.createDataFrame([(1,), (5,), (2,), (6,), (10,)], "doc_id long"), fresh)
+    assert made.value == 2
+    assert {r.doc_id: r.text for r in store.read().collect()} == {i: "new" if i in (1, 5) else f"old{i}" for i in range(12) if i not in (2, 6, 10)}
