@@ -10,7 +10,7 @@ from scriptorium.operators import chunking as D
 from scriptorium.operators import layout as L
 from scriptorium.operators import scope as C
 from scriptorium.operators.retrieve import bm25
-from scriptorium.plans import QUERIES
+from scriptorium.plans import ORACLES, QUERIES
 from scriptorium.sources.files import put
 from scriptorium.sources.snapshots import Buckets, Generations
 from scriptorium.streaming import jobs as S
@@ -167,6 +167,23 @@ def test_uploads_with_ids_below_zero_arrive(spark, tmp_path):
 
 
 SENTENCE = "A plain sentence about ships and harbours that goes on for a while."
+LABELS = "ALPHA TANK\nBETA PIPE\nGAMMA PUMP"
+
+
+def as_sql_has_it(spark, folder, name, docs):
+    """A query's rows over documents (doc_id, text) and those of its SQL, sorted."""
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(i, text, "en", "web", len(text)) for i, text in docs]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    return sorted(map(tuple, QUERIES[name](spark, str(folder)).collect()), key=str), sorted(db.execute(ORACLES[name]).fetchall(), key=str)
+
+
+def test_all_documents_are_cut_again(spark, tmp_path):
+    docs = [(1, SENTENCE), (2, "x\n" + "\n" * 12 + "x"), (3, "\n" * 25), (4, ""), (5, "  "), (6, SENTENCE), (6, SENTENCE), (7, "One text."), (7, "Another text of seven."), (8, LABELS), (8, LABELS), (None, SENTENCE)]
+    got, want = as_sql_has_it(spark, tmp_path, "rechunk_idempotent", docs)
+    assert got == want and len(got) == len(docs)
 
 
 def test_texts_move_once_on_their_way_to_chunks(spark, tmp_path):
