@@ -192,6 +192,12 @@ def test_short_headings_in_a_row_are_cut_as_the_sql_has_them(spark, tmp_path):
     assert got == want and len(got) == 2
 
 
+def test_what_arrives_is_told_and_cut_as_the_sql_has_it(spark, tmp_path):
+    docs = [(1, f"{LABELS}\n{SENTENCE}"), (2, SENTENCE), (2, SENTENCE), (4, "Some other text."), (4, " \n"), (None, "Nobody has this one.")]
+    got, want = as_sql_has_it(spark, tmp_path, "stream_corpus", docs)
+    assert got == want and sum(r[0] == "upload" for r in got) == len(docs)
+
+
 def test_texts_move_once_on_their_way_to_chunks(spark, tmp_path):
     spark.createDataFrame([(i, p, f"Head\n{SENTENCE} {i}\nsayfa {p}") for i in range(9) for p in (1, 2)], "doc_id long, page_no int, text string").write.parquet(f"{tmp_path}/pages")
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
